@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.llm.decontaminate import op1_benchmark_decontamination
+from tallyspark.llm.jaccard_join import op2_ngram_jaccard_join
 from tallyspark.llm.substring_dedup import op6_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
 }
 
