@@ -35,7 +35,7 @@ def _salt(words: Words) -> np.ndarray:
 
 
 def _places(window: int, buckets: int):
-    """Chunks of texts as rows for each bucket; bucket -1 has the places that are settled."""
+    """Chunks of texts as rows for each bucket; negative ones have the places that are settled."""
 
     def run(batches):
         for rows in chunks(batch_rows(batches, "id", "text")):
@@ -56,7 +56,7 @@ def _places(window: int, buckets: int):
             order = np.lexsort((start, salts[doc], ids[doc], hashes)) if tied else np.argsort(hashes, kind="stable")
             ranked = hashes[order]
             later = np.concatenate([[False], ranked[1:] == ranked[:-1]])
-            parts = [(np.full(int(later.sum()), -1), np.sort(order[later]))]
+            parts = [(np.full(int(later.sum()), -1 - int(ranked[0] % np.uint64(buckets))), np.sort(order[later]))]
             first = np.sort(order[~later])
             bucket = (hashes[first] % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
@@ -88,14 +88,10 @@ def _entries(table: pa.Table, hashed: bool):
     return (join("hashes", np.uint64) if hashed else None, np.repeat(join("ids", np.int64), counts), np.repeat(join("salts", np.int32), counts), join("starts", np.int32))
 
 
-def _settled(batches):
-    for batch in batches:
-        if batch.num_rows:
-            yield from _by_doc(*_entries(pa.Table.from_batches([batch]), False)[1:]).to_batches()
-
-
 def _later(table: pa.Table) -> pa.Table:
-    """Places of one bucket whose window also starts earlier."""
+    """Places of one bucket whose window also starts earlier; those of a negative one are known to."""
+    if table.column("bucket")[0].as_py() < 0:
+        return _by_doc(*_entries(table, False)[1:])
     hashes, ids, salts, starts = _entries(table, True)
     order = np.argsort(hashes, kind="stable")
     same = hashes[order][1:] == hashes[order][:-1]
@@ -123,10 +119,8 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     buckets = max(LEAST_BUCKETS, common.text_bytes(docs, text_col) // BUCKET_BYTES)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    places = common.save(read.mapInArrow(_places(window, buckets), _PLACES), "windows")
-    later = places.filter("bucket >= 0").groupBy("bucket").applyInArrow(_later, _BACK)
-    settled = places.filter("bucket < 0").mapInArrow(_settled, _BACK)
-    return later.unionByName(settled).groupBy("id", "salt").agg(F.collect_list("starts").alias("starts"))
+    later = read.mapInArrow(_places(window, buckets), _PLACES).groupBy("bucket").applyInArrow(_later, _BACK)
+    return later.groupBy("id", "salt").agg(F.collect_list("starts").alias("starts"))
 
 
 def _plain(batches):
