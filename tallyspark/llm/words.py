@@ -48,13 +48,17 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Of values[start:end], for each start and end."""
-    up, down = powers(base, len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
+class Spans:
+    """Hashes of values[start:end] for any start and end."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        up, self.down = powers(base, len(values))
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.total[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.total[end] - self.total[start]) * self.down[start]
+        return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
 
 
 class Words:
@@ -71,7 +75,8 @@ class Words:
         start, end = edge[0::2], edge[1::2]
         values = _VALUES.copy()
         values[list(separators)] = 0
-        self.hash = span_hash(values[raw], start, end, _BASE)
+        self.start, self.end, self.bytes = start, end, Spans(values[raw], _BASE)
+        self.hash = self.bytes.hash(start, end)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         self.bounds = np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
 
@@ -91,11 +96,11 @@ class Words:
         bounds = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
         start = np.arange(bounds[-1]) + np.repeat(self.bounds[:-1] - bounds[:-1], many)
         end = start + np.repeat(np.minimum(n, size), many)
-        return span_hash(self.hash, start, end, _WINDOW_BASE), bounds
+        return Spans(self.hash, _WINDOW_BASE).hash(start, end), bounds
 
     def whole(self) -> np.ndarray:
         """A hash of each text's sequence of words; 0 for no words."""
-        h = span_hash(self.hash, self.bounds[:-1], self.bounds[1:], _WINDOW_BASE)
+        h = Spans(self.hash, _WINDOW_BASE).hash(self.bounds[:-1], self.bounds[1:])
         return np.where(self.counts > 0, h, np.uint64(0))
 
 
