@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.decontaminate import op1_benchmark_decontamination
 from tallyspark.llm.jaccard_join import op2_ngram_jaccard_join
+from tallyspark.llm.secrets import op7_secret_scans
 from tallyspark.llm.substring_dedup import op6_substring_dedup
+from tallyspark.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_secret_scans": op7_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
