@@ -293,6 +293,47 @@ def _leaf_pairs(batches):
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(x["cls"], y["cls"])[ok], "b": np.maximum(x["cls"], y["cls"])[ok]}, schema)
 
 
+def _small_trees(batches):
+    """Pairs of texts of trees of one leaf that no bound rules out; rows come sorted by tree."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ("h", "cls", "n", "pos", "label", "point")
+
+    def pairs(rows):
+        h, cls, n, pos, label, point = rows
+        points = np.frombuffer(b"".join(point), np.uint16).reshape(-1, DIMS)
+        i, step = np.arange(len(h) - 1), 1
+        while len(i):
+            i = i[i + step < len(h)]
+            i = i[h[i] == h[i + step]]
+            x = i[label[i] != label[i + step]]
+            y = x + step
+            ok = _may_link(n[x], n[y], pos[x], pos[y], points[x], points[y])
+            a, b = cls[x[ok]], cls[y[ok]]
+            yield np.minimum(a, b), np.maximum(a, b)
+            step += 1
+
+    def out(rows):
+        found = list(pairs(rows))
+        if found:
+            both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], 1), axis=0)
+            yield pa.RecordBatch.from_pydict({"a": both[:, 0].copy(), "b": both[:, 1].copy()}, schema)
+
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
+        rows[2] = rows[2].astype(np.int64)
+        if left is not None:
+            rows = [np.concatenate([a, b]) for a, b in zip(left, rows, strict=True)]
+        cut = np.searchsorted(rows[0], rows[0][-1])
+        left = [r[cut:] for r in rows]
+        if cut:
+            yield from out([r[:cut] for r in rows])
+    if left is not None:
+        yield from out(left)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of links (a, b): component is the smallest node reachable.
 
@@ -349,11 +390,13 @@ def similar(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_c
     entries = entries.drop("centre", "c_n", "c_point").join(up2, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     entries = common.save(entries, "labelled")
     mixed = entries.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    dealt = entries.join(mixed, "h").withColumn("deal", F.pmod(F.xxhash64("label"), F.ceil(F.col("many") / DEAL)))
+    mixed = entries.join(mixed, "h")
+    small = mixed.filter(F.col("many") <= LEAF).select("h", "cls", "n", "pos", "label", "point").repartition("h").sortWithinPartitions("h").mapInArrow(_small_trees, "a long, b long")
+    dealt = mixed.filter(F.col("many") > LEAF).withColumn("deal", F.pmod(F.xxhash64("label"), F.ceil(F.col("many") / DEAL)))
     leaves = common.save(dealt.groupBy("h", "deal").applyInArrow(_leaves, _LEAF), "leaves")
     x, y = (leaves.select("h", *(F.col(c).alias(f"{s}_{c}") for c in leaves.columns if c != "h")) for s in "xy")
     both = x.join(y, "h").filter("x_leaf <= y_leaf and 4 * x_n_max >= 3 * y_n_min and 4 * y_n_max >= 3 * x_n_min and not (x_label_min = x_label_max and y_label_min = y_label_max and x_label_min = y_label_min)")
-    rest = _verify(common.save(both.mapInArrow(_leaf_pairs, "a long, b long").distinct(), "pairs"), sets)
+    rest = _verify(common.save(both.mapInArrow(_leaf_pairs, "a long, b long").unionByName(small).distinct(), "pairs"), sets)
     return members, stars.unionByName(common.save(rest, "links"))
 
 
