@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.llm import licenses
+from tallyspark.llm.chat import op9_chat_formatting
 from tallyspark.llm.decontaminate import op1_benchmark_decontamination
 from tallyspark.llm.jaccard_join import op2_ngram_jaccard_join
+from tallyspark.llm.licenses import op3_license_scans
+from tallyspark.llm.neighbours import op5_nearest_neighbours
+from tallyspark.llm.pieces import op10_sentencepiece
+from tallyspark.llm.pii import op8_pii
 from tallyspark.llm.secrets import op7_secret_scans
 from tallyspark.llm.substring_dedup import op6_substring_dedup
 from tallyspark.llm.toxicity import op4_toxicity
@@ -15,9 +21,14 @@ from tallyspark.llm.toxicity import op4_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_license_scans": op3_license_scans,
     "op4_toxicity": op4_toxicity,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_secret_scans": op7_secret_scans,
+    "op8_pii": op8_pii,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_license_scans": licenses.ORACLE_SQL}
