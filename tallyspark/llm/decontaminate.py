@@ -32,7 +32,7 @@ SEGMENT_BYTES = 3_500_000
 #: Windows broadcast at once: 13 * 8 bytes each.
 BLOCK_WINDOWS = 500_000
 
-_INDEX = "segment string, ids array<bigint>, n_words binary, terms binary, counts binary, steps binary"
+_INDEX = "segment string, ids array<bigint>, keys array<bigint>, n_words binary, terms binary, counts binary, steps binary"
 
 
 def _gap(window: int, slop: int) -> int:
@@ -41,8 +41,8 @@ def _gap(window: int, slop: int) -> int:
 
 def _segments(gap: int):
     def run(batches):
-        for rows in chunks(batch_rows(batches, "id", "text"), SEGMENT_BYTES):
-            words = Words([t.lower() for _, t in rows], NON_WORD)
+        for rows in chunks(batch_rows(batches, "id", "key", "text"), SEGMENT_BYTES):
+            words = Words([r[-1].lower() for r in rows], NON_WORD)
             n = words.counts
             place = np.arange(len(words.hash)) + np.repeat(np.arange(len(rows)) * gap, n)
             order = np.argsort(words.hash, kind="stable")
@@ -52,8 +52,8 @@ def _segments(gap: int):
             steps[heads] = place[heads]
             name = hashlib.md5(words.whole().tobytes() + repr([r[0] for r in rows]).encode()).hexdigest()
             yield pa.RecordBatch.from_pydict(
-                {"segment": [name], "ids": [[r[0] for r in rows]], "n_words": [pack(n.astype(np.int32))], "terms": [ranked[heads].tobytes()], "counts": [pack(np.diff(heads, append=len(ranked)).astype(np.int32))], "steps": [pack(steps.astype(np.int32))]},
-                pa.schema([("segment", pa.string()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("n_words", "terms", "counts", "steps"))]),
+                {"segment": [name], "ids": [[r[0] for r in rows]], "keys": [[r[1] for r in rows]], "n_words": [pack(n.astype(np.int32))], "terms": [ranked[heads].tobytes()], "counts": [pack(np.diff(heads, append=len(ranked)).astype(np.int32))], "steps": [pack(steps.astype(np.int32))]},
+                pa.schema([("segment", pa.string()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("n_words", "terms", "counts", "steps"))]),
             )
 
     return run
@@ -65,7 +65,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are runs of ASCII letters, digits and any other characters above ASCII; A-Z count as a-z. A null
     text has no words. Every row, repeated ones too, has its own entry.
     """
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
     return common.save(read.mapInArrow(_segments(_gap(window, slop)), _INDEX), "postings")
 
 
@@ -146,15 +146,15 @@ def _matches(sent, slop: int, gap: int):
                 spans: dict[int, list] = defaultdict(list)
                 for a, b, d in zip(edge[0::2], edge[1::2], np.searchsorted(begin, edge[0::2], "right") - 1, strict=True):
                     spans[d].append({"start": int(a - begin[d]), "end": int(b - begin[d])})
-                rows = [{"segment": row["segment"], "place": d, "doc_id": i, "n_words": int(n[d]), "spans": spans.get(d, []), "items": sorted(exact.get(d, ())), "near_items": sorted(near.get(d, ()))} for d, i in enumerate(row["ids"])]
+                rows = [{"segment": row["segment"], "place": d, "doc_id": i, "key": row["keys"][d], "n_words": int(n[d]), "spans": spans.get(d, []), "items": sorted(exact.get(d, ())), "near_items": sorted(near.get(d, ()))} for d, i in enumerate(row["ids"])]
                 for s in range(0, len(rows), 4096):
                     yield pa.RecordBatch.from_pylist(rows[s : s + 4096], _MATCH)
 
     return run
 
 
-_MATCH = pa.schema([("segment", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near_items", pa.list_(pa.int64()))])
-_MATCH_SQL = "segment string, place int, doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>, near_items array<bigint>"
+_MATCH = pa.schema([("segment", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near_items", pa.list_(pa.int64()))])
+_MATCH_SQL = "segment string, place int, doc_id bigint, key bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>, near_items array<bigint>"
 
 
 def _frequencies(sent):
@@ -206,7 +206,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
 def search(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Exact phrase and proximity matches of every `window` consecutive words of test items in the index.
 
-    One row for each indexed row: doc_id, n_words, spans (maximal intervals of words inside an exact match),
+    One row for each indexed row: doc_id, key (xxhash64 of the text), n_words, spans (maximal intervals of words inside an exact match),
     items (ids of items with an exactly matching window), near_items (with every term of a window within
     `slop` words of its place). An item of fewer words, but not none, is one window; items with a null id
     count for spans but can't be listed. An empty benchmark matches nothing. window and slop must not exceed
@@ -221,12 +221,12 @@ def search(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text
         sent = spark.sparkContext.broadcast(windows)
         parts.append(index.mapInArrow(_matches(sent, slop, _gap(window, slop)), _MATCH_SQL))
     if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", "spans", "items", "near_items")
+        return parts[0].select("doc_id", "key", "n_words", "spans", "items", "near_items")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), flat("spans"), flat("items"), flat("near_items")).select(*_MATCH.names).mapInArrow(_joined, _MATCH_SQL).select("doc_id", "n_words", "spans", "items", "near_items")
+    return out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n_words").alias("n_words"), flat("spans"), flat("items"), flat("near_items")).select(*_MATCH.names).mapInArrow(_joined, _MATCH_SQL).select("doc_id", "key", "n_words", "spans", "items", "near_items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -236,6 +236,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without contaminated rows; rows are told apart by doc_id and text."""
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    bad = common.save(bad, "contaminated")
+    few = bad.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")

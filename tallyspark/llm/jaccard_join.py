@@ -417,12 +417,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of rows with one id one stays (the smallest text); rows with a null id all stay.
     """
-    ids = groups(docs, id_col=id_col, text_col=text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(ids, docs[id_col] == F.col("__id"), "left_semi")
-    repeated = kept.groupBy(id_col).count().filter("count > 1").select(id_col)
-    again = kept.join(F.broadcast(repeated) if repeated.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS else repeated, id_col, "left_semi")
-    one = again.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("__n = 1").drop("__n")
-    return kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))
+    found = groups(docs, id_col=id_col, text_col=text_col).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.expr("doc_id = component_id")).alias("stays"), F.count("*").alias("n"))
+    found = common.save(found.filter("not stays or n > 1"), "dropped")
+    gone, twice = (found.filter(c).select(F.col("doc_id").alias("__id")) for c in ("not stays", "stays and n > 1"))
+    few = found.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
+    hint = F.broadcast if few else lambda df: df
+    kept = docs.join(hint(gone), docs[id_col] == F.col("__id"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    one = kept.join(hint(twice), docs[id_col] == F.col("__id"), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("__n = 1")
+    return kept.join(hint(twice), docs[id_col] == F.col("__id"), "left_anti").unionByName(one.select(*docs.columns))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,20 +185,14 @@ def encode(docs: DataFrame, vocabulary=None, text_col: str = "text") -> DataFram
     names = docs.columns
 
     def run(batches):
-        for rows in chunks(batch_rows(batches, *names, "__text"), 1 << 20):
-            ids = [np.frombuffer(x, np.int32) for x in sent.value.encode([r[-1].decode("utf-8", "replace") for r in rows])]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)), pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
+        for batch in batches:
+            texts = batch.column(len(names))
+            ids = [np.frombuffer(x, np.int32) for rows in chunks(((t.as_py() or b"",) for t in texts), 1 << 20) for x in sent.value.encode([t.decode("utf-8", "replace") for (t,) in rows])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
 
-    fields = list(_arrow(docs))
     return docs.withColumn("__text", F.col(text_col).cast("binary")).mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
-def _arrow(df: DataFrame):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
-
-
 def decode(ids: DataFrame, vocabulary=None, ids_col: str = "ids") -> DataFrame:
     """ids with the column decoded: the text of the ids; null for null."""
     sent = ids.sparkSession.sparkContext.broadcast(Encoder(vocabulary or load()))
