@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import common
 from tallyspark.llm.words import NON_WORD, Words, batch_rows, chunks
 
-NODES, FIT = 1 << 20, 20_000
+NODES, FIT = 1 << 18, 20_000
 LEVELS, STEP = 6, 2
 #: What is taken off counts of 1, 2, and 3 and more: all of the smallest, as a word's few occurrences in one class are mostly chance.
 DISCOUNTS = np.array([0, 1.0, 2.0, 4.0])
@@ -92,8 +92,10 @@ class Model:
     class, and the shared probability of its last piece. total and first are those of the empty path."""
 
     def __init__(self, keys, seen, follow, shared, total, first):
-        self.keys, self.seen, self.follow, self.shared = keys, [np.append(s, 0) for s in seen], [np.append(f, 0) for f in follow], np.append(shared, 0)
-        self.total, self.first = total, first
+        self.keys, self.total, self.first = keys, total, first
+        self.seen = [np.append(s, 0).astype(np.float32) for s in seen]
+        self.follow = [np.append(f, 0).astype(np.float32) for f in follow]
+        self.shared = np.append(shared, 0).astype(np.float32)
 
     def evidence(self, texts: list[bytes], own: np.ndarray | None = None):
         """For each word of each text its toxic minus its ordinary log-probability; own: classes whose counts hold the text."""
@@ -144,8 +146,11 @@ class Model:
         out[:, 4] = np.log1p(np.bincount(doc, e > 2 * STRONG, len(texts)))
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton's steps with a small penalty; without both classes the smoothed base rate."""
+
+class Logistic:
+    """Of features to a score from 0 to 1: fitted by Newton's steps with a small penalty; without both classes the smoothed base rate."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
         self.centre, self.scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(5), np.ones(5))
         self.weights = np.zeros(6)
         self.weights[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -1.0
@@ -168,13 +173,13 @@ class Model:
             if np.abs(size * step).max() < 1e-7:
                 break
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        z = self.weights[0] + ((self.features(texts) - self.centre) / self.scale) @ self.weights[1:]
+    def score(self, x: np.ndarray) -> np.ndarray:
+        z = self.weights[0] + ((x - self.centre) / self.scale) @ self.weights[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: DataFrame) -> Model:
-    """A model of texts (text binary, toxic 0 or 1): one pass over them, and tables of bounded size on the driver."""
+def train(texts: DataFrame):
+    """A broadcast model and a logistic function of texts (text binary, toxic 0 or 1): one pass over them, and tables of bounded size on the driver."""
     spark = texts.sparkSession
     read = texts.select("toxic", "text")
     summed = read.mapInArrow(_counts, "key long, parent long, piece long, ordinary long, toxic long").groupBy("key").agg(*[F.first(c).alias(c) for c in ("parent", "piece")], *[F.sum(c).alias(c) for c in ("ordinary", "toxic")])
@@ -201,8 +206,7 @@ def train(texts: DataFrame) -> Model:
     some = read.orderBy(F.xxhash64("text")).limit(FIT) if texts.count() > FIT else read
     fit = some.mapInArrow(features, "toxic int, x array<double>").toArrow()
     x = np.array(fit.column("x").to_pylist()).reshape(-1, 5)
-    model.fit(x, fit.column("toxic").to_numpy().astype(np.float64))
-    return model
+    return sent_model, Logistic(x, fit.column("toxic").to_numpy().astype(np.float64))
 
 
 def held_out(doc_id):
@@ -218,28 +222,26 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return common.save(read.join(F.broadcast(known) if few else known, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text"), "training")
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+def score(docs: DataFrame, model, logistic: Logistic, *keep: str) -> DataFrame:
     """The columns `keep` of docs and score, from 0 to 1, of the whole text; null and empty texts get that of no words."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["__text", *keep]
     read = docs.select(F.col("text").cast("binary").alias("__text"), *keep)
     out = read.drop("__text").schema.add("score", "double")
 
     def run(batches):
         for batch in batches:
-            at, parts = 0, [np.zeros(0)]
+            parts = [np.zeros(0)]
             texts = batch.column(0)
             rows = [((t.as_py() or b""),) for t in texts]
             for part in chunks(iter(rows)):
-                parts.append(sent.value.score([t for (t,) in part]))
-                at += len(part)
+                parts.append(logistic.score(model.value.features([t for (t,) in part])))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts))], [*names[1:], "score"])
 
     return read.mapInArrow(run, out)
 
 
 def judged(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    return score(docs, train(training_texts(docs, labels)), *keep).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return score(docs, *train(training_texts(docs, labels)), *keep).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
