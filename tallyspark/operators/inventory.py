@@ -119,7 +119,7 @@ def catalog_page(shop: Shop, as_of: dt.date, query: str | None = None, sort: str
 def keyset_page(df: DataFrame, sort: str, key: str, after: tuple | None = None, limit: int = 50) -> DataFrame:
     """Rows after (sort value, key), one more than the limit: whether there is a next page shows in the count."""
     if after:
-        df = df.filter(F.struct(sort, key) > F.struct(F.lit(after[0]), F.lit(after[1])))
+        df = df.filter(F.struct(sort, key) > F.struct(*[F.lit(v).cast(df.schema[c].dataType) for v, c in zip(after, (sort, key), strict=True)]))
     return df.orderBy(sort, key).limit(limit + 1)
 
 

@@ -41,12 +41,12 @@ def value_ledger(insights: DataFrame, outcomes: DataFrame, start: Column, end: C
     """Insights raised and acted on in a period, the money attributed to them, and what was flagged."""
     rows = insights.filter((F.col("created_at") >= start) & (F.col("created_at") < end)).join(outcomes, "dedupe_key", "left")
     money = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 2)
-    return rows.agg(F.count("*").alias("created"), F.count_if("status = 'acted'").alias("acted"), money("attributed").alias("attributed"), money(F.when(F.col("attributed") > 0, F.col("attributed"))).alias("recovered"), money("dollar_impact").alias("flagged"))
+    return rows.agg(F.count("*").alias("created"), F.count_if(F.expr("status = 'acted'")).alias("acted"), money("attributed").alias("attributed"), money(F.when(F.col("attributed") > 0, F.col("attributed"))).alias("recovered"), money("dollar_impact").alias("flagged"))
 
 
 def precision(insights: DataFrame) -> DataFrame:
     """Raised, rated and useful findings of each detector."""
-    rows = insights.groupBy("kind").agg(F.count("*").alias("raised"), F.count("rating").alias("rated"), F.count_if("rating > 0").alias("useful"))
+    rows = insights.groupBy("kind").agg(F.count("*").alias("raised"), F.count("rating").alias("rated"), F.count_if(F.expr("rating > 0")).alias("useful"))
     return rows.withColumn("precision", F.when(F.col("rated") > 0, F.round(F.col("useful") / F.col("rated"), 4)))
 
 

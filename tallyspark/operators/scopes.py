@@ -60,11 +60,11 @@ def descendants(tree: DataFrame, roots: list[str]) -> DataFrame:
     spark = tree.sparkSession
     return spark.sql(
         """WITH RECURSIVE below AS (
-             SELECT id, 0 AS depth FROM {tree} WHERE array_contains({roots}, id)
+             SELECT id, 0 AS depth FROM {tree} WHERE array_contains(:roots, id)
              UNION ALL
              SELECT t.id, depth + 1 FROM below JOIN {tree} t ON t.parent_id = below.id WHERE depth < 60)
            SELECT DISTINCT id FROM below""",
-        tree=tree, roots=F.array(*map(F.lit, roots)),
+        args={"roots": F.array(*map(F.lit, roots))}, tree=tree,
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,25 +58,29 @@ def category_by_location(shop: Shop, as_of: dt.date, days: int = 90) -> DataFram
 
 def ladder(price: Column, cost: Column) -> Column:
     """Markdown steps: discount, price, margin a unit, and whether the price clears the cost (it does if that is unknown)."""
-    step = lambda d: F.struct(F.lit(d).alias("discount"), F.round(price * (1 - d), 2).alias("price"), F.round(F.round(price * (1 - d), 2) - cost, 2).alias("margin"), F.coalesce(F.round(price * (1 - d), 2) >= cost, F.lit(True)).alias("clears_cost"))
+
+    def step(d: float) -> Column:
+        cut = F.round(price * F.lit(Decimal(str(1 - d))), 2)
+        return F.struct(F.lit(d).alias("discount"), units(cut).alias("price"), money(cut - cost).alias("margin"), F.coalesce(cut >= cost, F.lit(True)).alias("clears_cost"))
+
     return F.when(price.isNotNull(), F.array(*map(step, LADDER)))
 
 
 def markdown_ladder(shop: Shop, as_of: dt.date) -> DataFrame:
-    rows = stale_rows(shop, as_of).select("variant_id", F.explode(ladder(units("price"), units("cost"))).alias("s"))
+    rows = stale_rows(shop, as_of).select("variant_id", F.explode(ladder(F.col("price"), F.col("cost"))).alias("s"))
     return rows.select("variant_id", "s.*")
 
 
 def bundle_price(one: Column, other: Column) -> Column:
     """A tenth off the pair, as a whole amount less a cent."""
-    return F.round(F.round((one + other) * 0.9, 0) - 0.01, 2)
+    return F.round((one + other) * F.lit(Decimal("0.9")), 0).cast("double") - 0.01
 
 
 def rescue(shop: Shop, as_of: dt.date, limit: int = 200) -> DataFrame:
     """What to do with each stale variant: return it, bundle it, move it, or mark it down, whichever applies first."""
-    rows = stale_rows(shop, as_of).withColumns({"price": units("price"), "cost": units("cost")})
+    rows = stale_rows(shop, as_of)
     takes_returns = shop.terms.filter("is_primary").select("variant_id", "vendor_id", (F.col("vendor_id") % 7 == 0).alias("takes_returns"))
-    best = co_purchases(shop, rows, as_of, partners=3).filter(F.col("baskets") >= LEAST_BASKETS).join(shop.variants.select(F.col("variant_id").alias("partner_id"), units("price").alias("partner_price")), "partner_id", "left")
+    best = co_purchases(shop, rows, as_of, partners=3).filter(F.col("baskets") >= LEAST_BASKETS).join(shop.variants.select(F.col("variant_id").alias("partner_id"), F.col("price").alias("partner_price")), "partner_id", "left")
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("baskets"), F.desc("units"), "partner_id"))).filter("n = 1").select(F.col("target_id").alias("variant_id"), "partner_id", "partner_price")
     shelf = F.max(F.struct("on_hand", (-F.col("location_id")).alias("l")))
     where = shop.levels.groupBy("variant_id").agg(shelf.alias("s")).select("variant_id", (-F.col("s.l")).alias("sits_at"))
@@ -89,7 +94,7 @@ def rescue(shop: Shop, as_of: dt.date, limit: int = 200) -> DataFrame:
     dead = F.col("kind") == "dead"
     play = F.when(dead & F.coalesce("takes_returns", F.lit(False)), "return_to_vendor").when(F.col("partner_id").isNotNull(), "bundle").when(F.col("move_to").isNotNull(), "move").otherwise("markdown")
     rows = rows.withColumn("play", play)
-    price = F.when(F.col("play") == "bundle", bundle_price(F.col("price"), F.col("partner_price"))).when(F.col("play") == "markdown", step["price"])
+    price = F.when(F.col("play") == "bundle", F.round(bundle_price(F.col("price"), F.col("partner_price")), 2)).when(F.col("play") == "markdown", step["price"])
     return rows.orderBy(F.col("cash").desc_nulls_last(), "variant_id").limit(limit).select("variant_id", "kind", "play", price.alias("new_price"), F.when(F.col("play") == "bundle", F.col("partner_id")).alias("partner_id"), F.when(F.col("play") == "move", F.col("move_to")).alias("move_to"))
 
 

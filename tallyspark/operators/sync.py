@@ -101,10 +101,10 @@ def _written(df: DataFrame) -> DataFrame:
 
 def quality_metrics(shop: Shop, as_of: dt.date) -> DataFrame:
     """(metric, value): counts of what makes figures unreliable."""
-    variants = shop.variants.agg(F.count("*").alias("variants"), F.count_if("cost is null").alias("variants_missing_cost"), F.count_if("category_id is null").alias("products_uncategorised"))
-    negative = shop.levels.agg(F.count_if("on_hand < 0").alias("negative_stock_levels"))
+    variants = shop.variants.agg(F.count("*").alias("variants"), F.count_if(F.expr("cost is null")).alias("variants_missing_cost"), F.count_if(F.expr("category_id is null")).alias("products_uncategorised"))
+    negative = shop.levels.agg(F.count_if(F.expr("on_hand < 0")).alias("negative_stock_levels"))
     drift = reconciliation(shop).agg(F.count_if(F.col("drifts")).alias("orders_not_reconciling"))
-    lines = shop.lines.agg(F.count_if("variant_id is null").alias("custom_lines"), F.count("*").alias("lines"))
+    lines = shop.lines.agg(F.count_if(F.expr("variant_id is null")).alias("custom_lines"), F.count("*").alias("lines"))
     last = shop.orders.filter("status <> 'canceled'").agg(F.date_diff(F.lit(as_of), shop.local_day(F.max("placed_at"))).alias("days_since_last_order"))
     one = variants.join(negative).join(drift).join(lines).join(last)
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns])).alias("m")).select("m.*")

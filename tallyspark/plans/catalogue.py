@@ -62,7 +62,7 @@ def _now():
 
 def _ledger(events: DataFrame) -> DataFrame:
     rows = _insights(events)
-    outcomes = rows.filter("status = 'acted'").select("dedupe_key", F.round(F.col("dollar_impact") / 2, 2).alias("attributed"))
+    outcomes = rows.filter("status = 'acted'").select("dedupe_key", (F.col("dollar_impact") / 2).alias("attributed"))
     return ledger.value_ledger(rows, outcomes, F.lit("2024-01-08").cast("timestamp"), F.lit("2024-01-22").cast("timestamp"))
 
 
@@ -158,7 +158,7 @@ def _dims(shop: Shop) -> DataFrame:
 def _invariants(shop: Shop) -> DataFrame:
     lines = scopes.sold_lines(shop, YEAR)
     by_source = lines.groupBy("source").agg(F.sum("gross").alias("g")).agg(F.sum("g").alias("g"))
-    refunds = shop.refunds.groupBy("order_id").agg(F.sum("amount").alias("r")).join(shop.lines.groupBy("order_id").agg(F.sum(F.col("gross") - F.col("discount")).alias("paid")), "order_id").agg(F.count_if("r > paid").alias("over_refunded"))
+    refunds = shop.refunds.groupBy("order_id").agg(F.sum("amount").alias("r")).join(shop.lines.groupBy("order_id").agg(F.sum(F.col("gross") - F.col("discount")).alias("paid")), "order_id").agg(F.count_if(F.expr("r > paid")).alias("over_refunded"))
     return by_source.join(lines.agg(F.sum("gross").alias("all"))).join(refunds).select((F.col("g") == F.col("all")).alias("sources_sum_up"), "over_refunded", F.lit(0).alias("zero"))
 
 
