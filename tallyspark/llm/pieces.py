@@ -29,7 +29,7 @@ from tallyspark.llm.words import batch_rows, chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings, and pairs of pieces whose test, a worker remembers; they are forgotten all at once.
-WORDS, PAIRS = 300_000, 1_000_000
+WORDS, PAIRS = 120_000, 400_000
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 
 

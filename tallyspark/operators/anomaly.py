@@ -29,13 +29,18 @@ def daily_observations(shop: Shop, period: DateRange) -> DataFrame:
     return both.select("day", "location_id", money("net").alias("net_sales"), money("discounts").alias("discounts"), "orders", units("units").alias("units"), money("refunds").alias("refunds"), "is_event")
 
 
+def _cents(column: Column) -> Column:
+    """Half up, also where a double stands a little below the half."""
+    return F.floor(column * 100 + 0.500001) / 100
+
+
 def _median(column: Column) -> Column:
-    return F.round(F.percentile(column, 0.5), 2)
+    return _cents(F.percentile(column, 0.5))
 
 
 def _spread(side: Column, middle: Column) -> tuple[Column, Column]:
     off = F.abs(F.col("net_sales") - middle)
-    return F.count(F.when(side, 1)), F.round(_median(F.when(side, off)) * MAD_TO_SIGMA, 2)
+    return F.count(F.when(side, 1)), _cents(_median(F.when(side, off)) * MAD_TO_SIGMA)
 
 
 def weekday_baselines(observations: DataFrame, as_of: dt.date, weeks: int = PERIODS, judged_from: dt.date | None = None) -> DataFrame:

@@ -230,3 +230,58 @@ ORACLE: dict[str, str] = {
       f"c AS (SELECT location_id, CAST({_local('placed_at')} AS DATE) AS day, isodow({_local('placed_at')}) - 1 AS weekday, hour({_local('placed_at')}) AS hour, count(DISTINCT order_id) AS n, bool_or(channel = 'event') AS event FROM sl WHERE {_in('placed_at', ('2001-06-07 04:00:00', END))} GROUP BY ALL)",
       "rota AS (SELECT n_nationkey AS location_id, weekday, hour, n_nationkey % 3 + 1 AS staff FROM nation, range(7) AS d(weekday), range(17, 21) AS h(hour))"),
 }
+
+
+def _base(weeks: int, first: str, until: str, prefix: str = "") -> tuple[str, ...]:
+    """Weekday baselines of the observations of some weeks before a day."""
+    return (
+        f"bd AS (SELECT *, isodow(day) - 1 AS weekday FROM obs WHERE NOT is_event AND day >= DATE '{first}' AND day < DATE '{until}')",
+        "bm AS (SELECT location_id, weekday, floor(quantile_cont(net_sales, 0.5) * 100 + 0.500001) / 100 AS median, count(*) AS observations, quantile_cont(CAST(orders AS DOUBLE), 0.5) AS median_orders FROM bd GROUP BY 1, 2)",
+        "bs AS (SELECT bm.*, net_sales, abs(net_sales - median) AS off FROM bm JOIN bd ON bm.location_id IS NOT DISTINCT FROM bd.location_id AND bm.weekday = bd.weekday)",
+        """wb AS (SELECT location_id, weekday, median, observations, median_orders, floor(floor(quantile_cont(off, 0.5) * 100 + 0.500001) / 100 * CAST(1.4826 AS DOUBLE) * 100 + 0.500001) / 100 AS s,
+          CASE WHEN count(*) FILTER (WHERE net_sales < median) >= 2 THEN floor(floor(quantile_cont(off, 0.5) FILTER (WHERE net_sales < median) * 100 + 0.500001) / 100 * CAST(1.4826 AS DOUBLE) * 100 + 0.500001) / 100 ELSE floor(floor(quantile_cont(off, 0.5) * 100 + 0.500001) / 100 * CAST(1.4826 AS DOUBLE) * 100 + 0.500001) / 100 END AS spread_below,
+          CASE WHEN count(*) FILTER (WHERE net_sales > median) >= 2 THEN floor(floor(quantile_cont(off, 0.5) FILTER (WHERE net_sales > median) * 100 + 0.500001) / 100 * CAST(1.4826 AS DOUBLE) * 100 + 0.500001) / 100 ELSE floor(floor(quantile_cont(off, 0.5) * 100 + 0.500001) / 100 * CAST(1.4826 AS DOUBLE) * 100 + 0.500001) / 100 END AS spread_above FROM bs GROUP BY ALL)""".replace("bs GROUP BY ALL", "bs GROUP BY location_id, weekday, median, observations, median_orders"),
+    )
+
+
+def _weeks() -> str:
+    import datetime as dt
+
+    parts = []
+    for k in range(6):
+        end = dt.date(2001, 7, 31) - dt.timedelta(days=7 * k)
+        bounds = (f"{end - dt.timedelta(days=6)} 04:00:00", f"{end + dt.timedelta(days=1)} 04:00:00")
+        parts.append(f"SELECT DATE '{end}' AS week_end, * FROM (WITH {_shares(bounds, 'x')} SELECT * FROM x)")
+    return "wk AS (" + " UNION ALL ".join(parts) + ")"
+
+
+_RECON = "rc AS (SELECT count(*) FILTER (WHERE abs(total - coalesce(t, 0)) > 0.01) AS n FROM o LEFT JOIN (SELECT order_id, sum(gross - discount + tax) AS t FROM l GROUP BY 1) x USING (order_id))"
+_METRICS = f"""dm AS (SELECT (SELECT count(*) FROM v) AS variants, (SELECT count(*) FROM v WHERE cost IS NULL) AS variants_missing_cost, (SELECT count(*) FROM v WHERE category_id IS NULL) AS products_uncategorised, (SELECT count(*) FROM lv WHERE on_hand < 0) AS negative_stock_levels,
+  (SELECT n FROM rc) AS orders_not_reconciling, (SELECT count(*) FROM l WHERE variant_id IS NULL) AS custom_lines, (SELECT count(*) FROM l) AS lines, (SELECT DATE '2001-08-01' - CAST({_local('max(placed_at)')} AS DATE) FROM o WHERE status <> 'canceled') AS days_since_last_order)"""
+_DEMAND = (
+    "wu AS (SELECT variant_id, location_id, " + ", ".join(f"CAST(coalesce(sum(quantity) FILTER (WHERE week = {i}), 0) AS DOUBLE) AS w{i}" for i in range(4)) + f" FROM (SELECT *, CAST(floor((epoch(TIMESTAMP '{END}') - epoch(placed_at)) / 604800) AS INT) AS week FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2001-07-05 04:00:00', END))}) GROUP BY 1, 2)",
+    f"yu AS (SELECT variant_id, location_id, CAST(coalesce(sum(quantity) FILTER (WHERE {_in('placed_at', ('2000-07-06 04:00:00', '2000-08-03 04:00:00'))}), 0) AS DOUBLE) AS last_year, CAST(coalesce(sum(quantity) FILTER (WHERE {_in('placed_at', ('2000-08-02 04:00:00', END))}), 0) AS DOUBLE) AS trailing_year FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2000-07-06 04:00:00', END))} GROUP BY 1, 2)",
+    """di AS (SELECT lv.variant_id, lv.location_id, CAST(v.price AS DOUBLE) AS price, CAST(v.cost AS DOUBLE) AS cost, CAST(lv.on_hand AS DOUBLE) AS on_hand, coalesce(w0, 0) AS w0, coalesce(w1, 0) AS w1, coalesce(w2, 0) AS w2, coalesce(w3, 0) AS w3, coalesce(last_year, 0) AS last_year, coalesce(trailing_year, 0) AS trailing_year, vendor_id, lead_time_days, pack_size, min_order_qty
+      FROM lv JOIN v USING (variant_id) LEFT JOIN wu ON lv.variant_id = wu.variant_id AND lv.location_id = wu.location_id LEFT JOIN yu ON lv.variant_id = yu.variant_id AND lv.location_id = yu.location_id LEFT JOIN (SELECT * FROM tm WHERE is_primary) t ON lv.variant_id = t.variant_id)""",
+    "ra AS (SELECT *, round_even((w0 * 4 + w1 * 3 + w2 * 2 + w3) / 10 / 7, 3) AS velocity, CASE WHEN trailing_year > 0 AND last_year > 0 THEN round_even(least(greatest(last_year / (trailing_year * 28 / 365), CAST(0.5 AS DOUBLE)), CAST(2.5 AS DOUBLE)), 2) ELSE CAST(1 AS DOUBLE) END AS season, coalesce(lead_time_days, 14) AS lead FROM di WHERE w0 + w1 + w2 + w3 > 0)",
+    "rb AS (SELECT *, round_even(velocity * season * (lead + 7), 3) AS demand, round_even(velocity * season * 7 * CASE WHEN velocity * 7 >= 3 THEN CAST(1 AS DOUBLE) ELSE CAST(0.33 AS DOUBLE) END, 3) AS safety FROM ra WHERE velocity > 0)",
+    "rd AS (SELECT *, round_even(demand + safety - on_hand, 3) AS raw_qty, coalesce(pack_size, 1) AS pk, coalesce(min_order_qty, 0) AS lo FROM rb)",
+    "rf AS (SELECT *, CASE WHEN ceil(raw_qty / pk) * pk < lo THEN ceil(lo / pk) * pk ELSE ceil(raw_qty / pk) * pk END AS suggested_qty, CASE WHEN on_hand > 0 THEN round_even(on_hand / velocity, 1) END AS cover FROM rd WHERE raw_qty > 0)",
+    "rg AS (SELECT *, coalesce(cover < lead, false) AS stocks_out FROM rf WHERE suggested_qty > 0)",
+)
+_STOCKOUT = ORACLE["stockout_days"]
+ORACLE |= {
+    "weekday_baselines": _q("SELECT location_id, weekday, median, observations, median_orders, spread_below, spread_above FROM wb", *_OBS(("2001-01-03 05:00:00", END)), *_base(30, "2001-01-03", "2001-08-01")),
+    "sales_anomalies": _q("""SELECT day, location_id, net_sales, median, z, difference, CASE WHEN difference < 0 THEN 'warn' ELSE 'info' END AS severity FROM (SELECT obs.day, obs.location_id, obs.net_sales, median, round(obs.net_sales - median, 2) AS difference, round((obs.net_sales - median) / greatest(CASE WHEN obs.net_sales < median THEN spread_below ELSE spread_above END, 25), 2) AS z
+      FROM obs JOIN wb ON obs.location_id IS NOT DISTINCT FROM wb.location_id AND isodow(obs.day) - 1 = wb.weekday WHERE NOT is_event AND day >= DATE '2001-07-25' AND day < DATE '2001-08-01' AND observations >= 4) WHERE abs(z) >= 2 AND abs(difference) >= 75""", *_OBS(("2001-05-30 04:00:00", END)), *_base(9, "2001-05-30", "2001-07-25")),
+    "refund_spike": _q("""SELECT week_end, location_id, what, share, usual FROM (SELECT week_end, wk.location_id, 'refund' AS what, wk.refund_share AS share, us.refund_share AS usual FROM wk JOIN us ON wk.location_id IS NOT DISTINCT FROM us.location_id WHERE wk.net_sales > 0 UNION ALL SELECT week_end, wk.location_id, 'discount', wk.discount_share, us.discount_share FROM wk JOIN us ON wk.location_id IS NOT DISTINCT FROM us.location_id WHERE wk.net_sales > 0)
+      WHERE share >= 0.05 AND CASE WHEN usual > 0 THEN share >= usual * 2.5 ELSE share >= 0.1 END""", _shares(("2001-05-02 04:00:00", "2001-08-01 04:00:00"), "us"), _weeks()),
+    "dq_catalog": _q("SELECT metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM dm) ON COLUMNS(*) INTO NAME metric VALUE value)", _RECON, _METRICS),
+    "dq_findings": _q("""SELECT 'missing_costs' AS code, CASE WHEN 1 - variants_missing_cost / variants > 0.7 THEN 'warning' ELSE 'error' END AS severity, CAST(variants_missing_cost AS DOUBLE) AS count, round(CAST(variants_missing_cost AS DOUBLE) / variants, 4) AS share FROM dm WHERE variants_missing_cost > 0
+      UNION ALL SELECT 'custom_amount_sales', 'info', 0, round(CAST(custom_lines AS DOUBLE) / lines, 4) FROM dm WHERE CAST(custom_lines AS DOUBLE) / lines > 0.01 UNION ALL SELECT 'orders_not_reconciling', 'error', orders_not_reconciling, NULL FROM dm WHERE orders_not_reconciling > 0
+      UNION ALL SELECT 'negative_stock', 'warning', negative_stock_levels, NULL FROM dm WHERE negative_stock_levels > 0 UNION ALL SELECT 'stale_data', 'error', days_since_last_order, NULL FROM dm WHERE days_since_last_order > 3""", _RECON, _METRICS),
+    "demand_inputs": _q("SELECT variant_id, location_id, on_hand, w0, w1, w2, w3, last_year, trailing_year, coalesce(stockout_days, 0) AS stockout_days, lead_time_days FROM di LEFT JOIN sd USING (variant_id, location_id) WHERE w0 + w1 + w2 + w3 > 0", *_DEMAND[:3], f"sd AS ({_STOCKOUT})"),
+    "reorder_suggestions": _q("SELECT variant_id, location_id, velocity, season, lead, demand, safety, raw_qty, suggested_qty, cover, stocks_out, vendor_id FROM rg ORDER BY stocks_out DESC, coalesce(cover, -1), variant_id, location_id LIMIT 200", *_DEMAND),
+    "vendor_groups": _q("SELECT vendor_id, count(*) AS lines, round(sum(suggested_qty), 2) AS units, round(sum(suggested_qty * cost), 2) AS cost FROM rg GROUP BY 1", *_DEMAND),
+    "shortfall": _q("SELECT count(*) AS lines, round(sum(m), 2) AS units_missed, round(sum(m * price), 2) AS lost_sales, round(sum(m * (price - cost)), 2) AS lost_margin, CASE WHEN coalesce(round(sum(m * price), 2), 0) >= 250 THEN 'urgent' ELSE 'warn' END AS severity FROM (SELECT *, round_even(velocity * (lead - cover), 2) AS m FROM rg WHERE cover IS NOT NULL AND stocks_out AND lead - cover > 0)", *_DEMAND),
+}
