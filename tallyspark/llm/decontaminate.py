@@ -12,7 +12,7 @@ a larger benchmark takes more passes over the index.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -50,7 +50,7 @@ def _segments(gap: int):
             heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
             steps = np.diff(place, prepend=0)
             steps[heads] = place[heads]
-            name = hashlib.md5(words.whole().tobytes() + repr([r[0] for r in rows]).encode()).hexdigest()
+            name = uuid.uuid4().hex
             yield pa.RecordBatch.from_pydict(
                 {"segment": [name], "ids": [[r[0] for r in rows]], "keys": [[r[1] for r in rows]], "n_words": [pack(n.astype(np.int32))], "terms": [ranked[heads].tobytes()], "counts": [pack(np.diff(heads, append=len(ranked)).astype(np.int32))], "steps": [pack(steps.astype(np.int32))]},
                 pa.schema([("segment", pa.string()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("n_words", "terms", "counts", "steps"))]),
@@ -247,4 +247,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated")

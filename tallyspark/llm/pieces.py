@@ -29,7 +29,9 @@ from tallyspark.llm.words import batch_rows, chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings, and pairs of pieces whose test, a worker remembers; they are forgotten all at once.
-WORDS, PAIRS = 120_000, 400_000
+WORDS, PAIRS = 160_000, 400_000
+#: Rows of a task that are handled at once.
+SLICE = 256
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -42,6 +44,10 @@ def load(path: str = MODEL) -> list[tuple[str, float, bool]]:
     return [(model.id_to_piece(i), model.get_score(i), plain(i)) for i in range(model.get_piece_size())]
 
 
+def _code(i: int) -> bytes:
+    return i.to_bytes(4, "little")
+
+
 class Encoder:
     """The vocabulary, and what a worker remembers. Pieces must have marks only at their beginning, and bytes be pieces."""
 
@@ -60,6 +66,7 @@ class Encoder:
         self.ids = {p: i for i, (p, _, text) in enumerate(self.vocabulary) if text}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece has a mark inside: words can't be encoded one by one")
+        self.coded = {p: _code(i) for p, i in self.ids.items()}
         self.scores = {p: self.vocabulary[i][1] for p, i in self.ids.items()}
         index = {p: i for i, (p, _, _) in enumerate(self.vocabulary)}
         self.byte_ids = [index.get(f"<0x{b:02X}>", 0) for b in range(256)]
@@ -111,16 +118,15 @@ class Encoder:
         return found
 
     def packed(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            out += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
-        return np.array(out, np.int32).tobytes()
+        try:
+            return b"".join(map(self.coded.__getitem__, pieces))
+        except KeyError:  # a character outside the vocabulary becomes its bytes
+            return b"".join(self.coded.get(p) or b"".join(_code(self.byte_ids[b]) for b in p.encode()) for p in pieces)
 
     def learn(self, words: set[str]) -> None:
         """Encode marked words depth-first along their common prefixes."""
         last: list[tuple[str, int]] = [("", 0)]  # of each prefix of the word before: its last piece and its start
-        previous, backward, fits, fit = "", self.backward, self.fits, self._fit
+        previous, backward, fits, fit, known = "", self.backward, self.fits, self._fit, self.known
         for word in sorted(words):
             if word[:2] == MARK * 2:
                 self.known[word] = self.packed(self.merged(word))
@@ -133,12 +139,13 @@ class Encoder:
             for i in range(same + 1, len(word) + 1):
                 node, j, choices = backward, i, []
                 while j:
-                    node = node.get(word[j - 1])
+                    j -= 1
+                    node = node.get(word[j])
                     if node is None:
                         break
-                    j -= 1
-                    if "" in node:
-                        choices.append((node[""], j))
+                    piece = node.get("")
+                    if piece is not None:
+                        choices.append((piece, j))
                 for piece, j in reversed(choices):
                     left = last[j][0]
                     found = fits.get((left, piece))
@@ -152,7 +159,8 @@ class Encoder:
             while i:
                 piece, i = last[i]
                 pieces.append(piece)
-            self.known[word] = self.packed(pieces[::-1])
+            pieces.reverse()
+            known[word] = self.packed(pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as int32; an empty text has none."""
@@ -185,12 +193,14 @@ def encode(docs: DataFrame, vocabulary=None, text_col: str = "text") -> DataFram
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(len(names))
-            ids = [np.frombuffer(x, np.int32) for rows in chunks(((t.as_py() or b"",) for t in texts), 1 << 20) for x in sent.value.encode([t.decode("utf-8", "replace") for (t,) in rows])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
-
-    return docs.withColumn("__text", F.col(text_col).cast("binary")).mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
+                ids = [np.frombuffer(x, np.int32) for x in sent.value.encode(texts)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(ids: DataFrame, vocabulary=None, ids_col: str = "ids") -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import licenses
 from tallyspark.llm.chat import op9_chat_formatting
 from tallyspark.llm.decontaminate import op1_benchmark_decontamination
 from tallyspark.llm.jaccard_join import op2_ngram_jaccard_join
 from tallyspark.llm.licenses import op3_license_scans
 from tallyspark.llm.neighbours import op5_nearest_neighbours
+from tallyspark.llm.oracle import ORACLE_SQL
 from tallyspark.llm.pieces import op10_sentencepiece
 from tallyspark.llm.pii import op8_pii
 from tallyspark.llm.secrets import op7_secret_scans
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scans": licenses.ORACLE_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES"]

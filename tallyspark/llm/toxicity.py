@@ -28,8 +28,12 @@ LEVELS, STEP = 6, 2
 DISCOUNTS = np.array([0, 1.0, 2.0, 4.0])
 #: The largest evidence of a word and that of a strong one, words counted as the strongest, and the score from which a text counts as toxic.
 MOST, STRONG, STRONGEST, THRESHOLD = 8.0, 2.0, 4, 0.7
+#: Texts are picked for the logistic function by this many values of a hash of their doc_id, so about FIT are.
+_PICKS = 1 << 40
 #: Counts that a task gathers before it passes them on.
 GATHERED = 1 << 20
+#: Rows of a task that are scored at once.
+SLICE = 256
 
 _COUNTS = pa.schema([("key", pa.int64()), ("parent", pa.int64()), ("piece", pa.int64()), ("ordinary", pa.int64()), ("toxic", pa.int64())])
 
@@ -179,18 +183,19 @@ class Logistic:
 
 
 def train(texts: DataFrame):
-    """A broadcast model and a logistic function of texts (text binary, toxic 0 or 1): one pass over them, and tables of bounded size on the driver."""
+    """A broadcast model and a logistic function of texts (text binary, toxic 0 or 1, pick below _PICKS): one pass over them, and tables of bounded size on the driver."""
     spark = texts.sparkSession
-    read = texts.select("toxic", "text")
+    read = texts.select("toxic", "text", "pick")
     summed = read.mapInArrow(_counts, "key long, parent long, piece long, ordinary long, toxic long").groupBy("key").agg(*[F.first(c).alias(c) for c in ("parent", "piece")], *[F.sum(c).alias(c) for c in ("ordinary", "toxic")])
     paths = common.save(summed, "paths")
     taken = lambda c: F.sum(F.element_at(F.array(*map(F.lit, DISCOUNTS.tolist())), F.least(F.col(c), F.lit(3)).cast("int") + 1))
     follow = paths.groupBy("parent").agg(taken("ordinary").alias("f0"), taken("toxic").alias("f1"))
+    # a piece has at most two bytes, so there are fewer than 66,000: they may be broadcast
     shared = paths.groupBy("piece").agg(F.count("*").alias("before"))
     top = paths.agg(*[F.sum(F.when(F.col("parent") == 0, F.col(c))) for c in ("ordinary", "toxic")], F.count("*")).first()
     first = follow.filter("parent = 0").first()
     kept = paths.orderBy((F.col("ordinary") + F.col("toxic")).desc(), "key").limit(NODES)
-    table = kept.join(follow.select(F.col("parent").alias("key"), "f0", "f1"), "key", "left").join(shared, "piece").select("key", "ordinary", "toxic", F.coalesce("f0", F.lit(0)).alias("f0"), F.coalesce("f1", F.lit(0)).alias("f1"), "before").toArrow()
+    table = kept.join(follow.select(F.col("parent").alias("key"), "f0", "f1"), "key", "left").join(F.broadcast(shared), "piece").select("key", "ordinary", "toxic", F.coalesce("f0", F.lit(0)).alias("f0"), F.coalesce("f1", F.lit(0)).alias("f1"), "before").toArrow()
     columns = {c: table.column(c).to_numpy() for c in table.column_names}
     order = np.argsort(columns["key"])
     columns = {c: v[order] for c, v in columns.items()}
@@ -203,7 +208,8 @@ def train(texts: DataFrame):
             y = np.array([r[0] for r in rows], np.int64)
             yield pa.RecordBatch.from_pydict({"toxic": y, "x": list(sent_model.value.features([t for _, t in rows], y))}, schema)
 
-    some = read.orderBy(F.xxhash64("text")).limit(FIT) if texts.count() > FIT else read
+    n = texts.count()
+    some = read.filter(F.col("pick") < int(FIT / n * _PICKS)) if n > FIT else read
     fit = some.mapInArrow(features, "toxic int, x array<double>").toArrow()
     x = np.array(fit.column("x").to_pylist()).reshape(-1, 5)
     return sent_model, Logistic(x, fit.column("toxic").to_numpy().astype(np.float64))
@@ -219,7 +225,7 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = known.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
     read = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return common.save(read.join(F.broadcast(known) if few else known, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text"), "training")
+    return common.save(read.join(F.broadcast(known) if few else known, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(_PICKS)).alias("pick")), "training")
 
 
 def score(docs: DataFrame, model, logistic: Logistic, *keep: str) -> DataFrame:
@@ -229,13 +235,11 @@ def score(docs: DataFrame, model, logistic: Logistic, *keep: str) -> DataFrame:
     out = read.drop("__text").schema.add("score", "double")
 
     def run(batches):
-        for batch in batches:
-            parts = [np.zeros(0)]
-            texts = batch.column(0)
-            rows = [((t.as_py() or b""),) for t in texts]
-            for part in chunks(iter(rows)):
-                parts.append(logistic.score(model.value.features([t for (t,) in part])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts))], [*names[1:], "score"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                texts = [t or b"" for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logistic.score(model.value.features(texts)))], [*names[1:], "score"])
 
     return read.mapInArrow(run, out)
 

@@ -104,7 +104,7 @@ class Words:
         return np.where(self.counts > 0, h, np.uint64(0))
 
 
-def chunks(rows: Iterable[tuple], size: int = 1 << 21, at: int = -1) -> Iterator[list[tuple]]:
+def chunks(rows: Iterable[tuple], size: int = 1_800_000, at: int = -1) -> Iterator[list[tuple]]:
     """Rows in lists of about `size` bytes of text, so that memory doesn't grow with Arrow's batches."""
     out, total = [], 0
     for row in rows:
