@@ -8,8 +8,10 @@ beginning has been seen, and the shared remainder cancels. A text's evidence is
 ordinary log-likelihoods, divided by its length; a logistic function of that, of the strongest words and of
 the length gives the score. It is fitted on training texts scored without their own counts.
 
-All counts cover all training texts and are added up in Spark. Bounded are the model's table, the NODES most
-frequent paths (a path beyond them counts as unseen), and the FIT texts the logistic function is fitted on.
+All counts cover all training texts and are added up in Spark. A path that no class has more often than the largest
+discount keeps nothing of its counts, in whatever number of texts, and counts as unseen; all others are the model, which grows
+with the corpus. Up to BROADCAST_PATHS it is broadcast; beyond, words are joined with it and their evidence with the texts
+(`_far`), with the same scores. Bounded are only the FIT texts the logistic function is fitted on.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm import common
 from tallyspark.llm.words import NON_WORD, Words, batch_rows, chunks
 
-NODES, FIT = 1 << 18, 20_000
+#: The largest model that is broadcast (28 bytes a path), and texts that the logistic function is fitted on.
+BROADCAST_PATHS, FIT = 2_000_000, 20_000
 LEVELS, STEP = 6, 2
 #: What is taken off counts of 1, 2, and 3 and more: all of the smallest, as a word's few occurrences in one class are mostly chance.
 DISCOUNTS = np.array([0, 1.0, 2.0, 4.0])
@@ -177,42 +180,115 @@ class Logistic:
             if np.abs(size * step).max() < 1e-7:
                 break
 
+    def column(self, *x):
+        """The score as a Spark column of the five features."""
+        z = F.lit(float(self.weights[0]))
+        for v, c, s, w in zip(x, self.centre.tolist(), self.scale.tolist(), self.weights[1:].tolist(), strict=True):
+            z = z + (v - F.lit(c)) / F.lit(s) * F.lit(w)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.weights[0] + ((x - self.centre) / self.scale) @ self.weights[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+class Far:
+    """A model too large to broadcast: its table, total and first."""
+
+    def __init__(self, table: DataFrame, total, first):
+        self.table, self.total, self.first = table, total, first
+
+
+_PATH = ("key", "ordinary", "toxic", "f0", "f1", "shared")
+
+
+def _model(table: DataFrame, total, first) -> Model:
+    found = table.select(*_PATH).toArrow()
+    columns = {c: found.column(c).to_numpy() for c in _PATH}
+    order = np.argsort(columns["key"])
+    columns = {c: v[order] for c, v in columns.items()}
+    return Model(columns["key"], [columns["ordinary"], columns["toxic"]], [columns["f0"], columns["f1"]], columns["shared"], total, first)
+
+
 def train(texts: DataFrame):
-    """A broadcast model and a logistic function of texts (text binary, toxic 0 or 1, pick below _PICKS): one pass over them, and tables of bounded size on the driver."""
+    """A model, broadcast or Far, and a logistic function of texts (text binary, toxic 0 or 1, pick below _PICKS)."""
     spark = texts.sparkSession
     read = texts.select("toxic", "text", "pick")
-    summed = read.mapInArrow(_counts, "key long, parent long, piece long, ordinary long, toxic long").groupBy("key").agg(*[F.first(c).alias(c) for c in ("parent", "piece")], *[F.sum(c).alias(c) for c in ("ordinary", "toxic")])
+    counted = "key long, parent long, piece long, ordinary long, toxic long"
+    summed = read.mapInArrow(_counts, counted).groupBy("key").agg(*[F.first(c).alias(c) for c in ("parent", "piece")], *[F.sum(c).alias(c) for c in ("ordinary", "toxic")])
     paths = common.save(summed, "paths")
     taken = lambda c: F.sum(F.element_at(F.array(*map(F.lit, DISCOUNTS.tolist())), F.least(F.col(c), F.lit(3)).cast("int") + 1))
     follow = paths.groupBy("parent").agg(taken("ordinary").alias("f0"), taken("toxic").alias("f1"))
     # a piece has at most two bytes, so there are fewer than 66,000: they may be broadcast
     shared = paths.groupBy("piece").agg(F.count("*").alias("before"))
-    top = paths.agg(*[F.sum(F.when(F.col("parent") == 0, F.col(c))) for c in ("ordinary", "toxic")], F.count("*")).first()
-    first = follow.filter("parent = 0").first()
-    kept = paths.orderBy((F.col("ordinary") + F.col("toxic")).desc(), "key").limit(NODES)
-    table = kept.join(follow.select(F.col("parent").alias("key"), "f0", "f1"), "key", "left").join(F.broadcast(shared), "piece").select("key", "ordinary", "toxic", F.coalesce("f0", F.lit(0)).alias("f0"), F.coalesce("f1", F.lit(0)).alias("f1"), "before").toArrow()
-    columns = {c: table.column(c).to_numpy() for c in table.column_names}
-    order = np.argsort(columns["key"])
-    columns = {c: v[order] for c, v in columns.items()}
-    model = Model(columns["key"], [columns["ordinary"], columns["toxic"]], [columns["f0"], columns["f1"]], columns["before"] / max(1, top[2]), [top[0] or 0, top[1] or 0], [first.f0, first.f1] if first else [0, 0])
-    sent_model = spark.sparkContext.broadcast(model)
+    left = F.greatest("ordinary", "toxic") > DISCOUNTS[-1]
+    top = paths.agg(*[F.sum(F.when(F.col("parent") == 0, F.col(c))) for c in ("ordinary", "toxic")], F.count("*"), F.count_if(left)).first()
+    row = follow.filter("parent = 0").first()
+    total, first = [top[0] or 0, top[1] or 0], [row.f0, row.f1] if row else [0, 0]
+    table = paths.filter(left).join(follow.select(F.col("parent").alias("key"), "f0", "f1"), "key", "left").join(F.broadcast(shared), "piece")
+    table = table.select("key", "ordinary", "toxic", F.coalesce("f0", F.lit(0.0)).alias("f0"), F.coalesce("f1", F.lit(0.0)).alias("f1"), (F.col("before") / max(1, top[2])).alias("shared"))
+
+    n = texts.count()
+    some = read.filter(F.col("pick") < int(FIT / n * _PICKS)) if n > FIT else read
+    if top[3] > BROADCAST_PATHS:
+        table = common.save(table, "model")
+        own = some.mapInArrow(_counts, counted).select("key").distinct()  # paths of the FIT texts
+        fitted = spark.sparkContext.broadcast(_model(table.join(own, "key", "left_semi"), total, first))
+        model = Far(table, total, first)
+    else:
+        model = fitted = spark.sparkContext.broadcast(_model(table, total, first))
     schema = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def features(batches):
         for rows in chunks(batch_rows(batches, "toxic", "text"), 1 << 20):
             y = np.array([r[0] for r in rows], np.int64)
-            yield pa.RecordBatch.from_pydict({"toxic": y, "x": list(sent_model.value.features([t for _, t in rows], y))}, schema)
+            yield pa.RecordBatch.from_pydict({"toxic": y, "x": list(fitted.value.features([t for _, t in rows], y))}, schema)
 
-    n = texts.count()
-    some = read.filter(F.col("pick") < int(FIT / n * _PICKS)) if n > FIT else read
     fit = some.mapInArrow(features, "toxic int, x array<double>").toArrow()
     x = np.array(fit.column("x").to_pylist()).reshape(-1, 5)
-    return sent_model, Logistic(x, fit.column("toxic").to_numpy().astype(np.float64))
+    return model, Logistic(x, fit.column("toxic").to_numpy().astype(np.float64))
+
+
+_OCCURS = pa.schema([("word", pa.int64()), ("keys", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64()))])
+
+
+def _occurrences(batches):
+    """Each word of a chunk of texts once, with the keys of its paths and the texts that it stands in."""
+    for rows in chunks(batch_rows(batches, "id", "text")):
+        words, doc, first, where = _words([t for _, t in rows])
+        if not len(first):
+            continue
+        ids = np.array([r[0] for r in rows], np.int64)
+        order = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[order], np.arange(len(first) + 1)).astype(np.int32)
+        keys, _ = _paths(words, first)
+        width = np.arange(len(first) + 1, dtype=np.int32) * keys.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(words.hash[first].view(np.int64)), pa.ListArray.from_arrays(width, keys.ravel()), pa.ListArray.from_arrays(edges, ids[doc[order]])], schema=_OCCURS)
+
+
+def _far(texts: DataFrame, model: Far) -> DataFrame:
+    """(id, x0 to x4): features of distinct texts (id long, text binary) that have words, by joins with the model.
+
+    A word goes over the network once a chunk of texts, not once a text; words with many chunks are split by the skew join.
+    """
+    occurs = common.save(texts.mapInArrow(_occurrences, "word long, keys array<long>, texts array<long>"), "occurrences")
+    path = F.struct("level", *_PATH[1:])
+    known = occurs.dropDuplicates(["word"]).select("word", F.posexplode("keys").alias("level", "key")).join(model.table, "key").groupBy("word").agg(F.collect_list(path).alias("paths"))  # LEVELS + 2 at most
+    total, first = model.total, model.first
+
+    def evidence(batches):
+        for batch in batches:
+            found = batch.column(1)
+            rows = {c: found.flatten().field(c).to_numpy() for c in ("level", *_PATH[1:])}
+            at = np.full((batch.num_rows, LEVELS + 2), len(rows["level"]))
+            at[np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy()), rows["level"]] = np.arange(len(rows["level"]))
+            part = Model(np.arange(len(rows["level"])), [rows["ordinary"], rows["toxic"]], [rows["f0"], rows["f1"]], rows["shared"], total, first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part._sum(at, [0, 0]))], ["word", "e"])
+
+    each = occurs.select("word", "texts").join(known.mapInArrow(evidence, "word long, e double"), "word", "left").select(F.explode("texts").alias("id"), F.coalesce("e", F.lit(0.0)).alias("e"))
+    e, n = F.col("e"), F.count("*")
+    strongest = F.aggregate(F.slice(F.sort_array(F.collect_list(F.when(e > 0, e)), asc=False), 1, STRONGEST), F.lit(0.0), lambda a, b: a + b)
+    return each.groupBy("id").agg((F.sum(e) / n).alias("x0"), (strongest / STRONGEST).alias("x1"), (F.count_if(e > STRONG) / F.sqrt(n)).alias("x2"), F.log1p(n).alias("x3"), F.log1p(F.count_if(e > 2 * STRONG)).alias("x4"))
 
 
 def held_out(doc_id):
@@ -232,6 +308,14 @@ def score(docs: DataFrame, model, logistic: Logistic, *keep: str) -> DataFrame:
     """The columns `keep` of docs and score, from 0 to 1, of the whole text; null and empty texts get that of no words."""
     names = ["__text", *keep]
     read = docs.select(F.col("text").cast("binary").alias("__text"), *keep)
+    if isinstance(model, Far):
+        # equal texts have equal scores: rows meet theirs by a 64-bit hash of the text
+        read = read.withColumn("__id", F.xxhash64("__text"))
+        texts = read.filter("__text is not null").select(F.col("__id").alias("id"), F.col("__text").alias("text"))
+        unique = texts.groupBy("id").agg(F.min("text").alias("text"))
+        scores = _far(unique, model).select(F.col("id").alias("__id"), logistic.column(*[F.col(f"x{i}") for i in range(5)]).alias("score"))
+        none = F.lit(float(logistic.score(np.zeros((1, 5)))[0]))
+        return read.join(scores, "__id", "left").select(*keep, F.coalesce("score", none).alias("score"))
     out = read.drop("__text").schema.add("score", "double")
 
     def run(batches):

@@ -45,3 +45,24 @@ def test_held_out_labels_are_not_used(spark, tmp_path):
     more = kept + [(i, 1, 1) for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1]
     a, b = rows(spark, tmp_path / "a", docs, kept), rows(spark, tmp_path / "b", docs, more)
     assert all(abs(a[i].score - b[i].score) < 1e-9 for i in a)
+
+
+def test_a_model_too_large_to_broadcast_scores_alike(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: rng.choice("bcdfg") + rng.choice(["a", "é", "ou"]) + rng.choice(["n", "rt"]) + rng.choice(["a", "ing"])
+    docs = [(i, " ".join([word() for _ in range(40)] + ["vilek grobnar"] * (i % 4 == 0))) for i in range(300)]
+    docs += [(1000, None), (1001, ""), (1002, "...")] + [(2000 + i, docs[4][1]) for i in range(50)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(300)]
+    near = rows(spark, tmp_path / "a", docs, labels)
+    monkeypatch.setattr(tx, "BROADCAST_PATHS", 0)
+    far = rows(spark, tmp_path / "b", docs, labels)
+    assert near.keys() == far.keys() and all(abs(near[i].score - far[i].score) < 1e-9 for i in near)
+    assert max(r.score for r in near.values()) - min(r.score for r in near.values()) > 0.5
+
+
+def test_every_frequent_path_is_in_the_model(spark):
+    texts = [(i % 2, f"w{i % 400:04d}", i) for i in range(4000)]
+    found = spark.createDataFrame(texts, "toxic int, text string, pick long").selectExpr("toxic", "cast(text as binary) as text", "pick")
+    model, _ = tx.train(found)
+    ends = set(tx._paths(*(lambda w: (w, np.arange(len(w.hash))))(tx.Words([f"w{i:04d}".encode() for i in range(400)], tx.NON_WORD)))[0][:, 2].tolist())
+    assert ends <= set(model.value.keys.tolist())
