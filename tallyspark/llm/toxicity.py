@@ -2,14 +2,13 @@
 
 A word is a path of pieces: two bytes each for LEVELS levels, then what is left of it, then its end. In each
 class a piece's probability after the path before it is a discounted count over labelled training texts, each word
-counted once a text; what the discount leaves goes to the piece's continuation count (before how many different paths it
-stands), which both classes share. A rare word so differs between the classes only as far as its
-beginning has been seen, and the shared remainder cancels. A text's evidence is the difference of its toxic and
+counted once a text. What the discount leaves goes to a shared probability: the number of classes in which the piece follows this
+path, and what LOWER takes off that number goes to the piece's continuation count (before how many different paths it stands). The discounts of counts of 1, 2, and 3 and more are estimated for each class from its
+counts of counts. A piece never seen after a known path differs between the classes by what they have left there. A text's evidence is the difference of its toxic and
 ordinary log-likelihoods, divided by its length; a logistic function of that, of the strongest words and of
 the length gives the score. It is fitted on training texts scored without their own counts.
 
-All counts cover all training texts and are added up in Spark. A path that no class has more often than the largest
-discount keeps nothing of its counts, in whatever number of texts, and counts as unseen; all others are the model, which grows
+All counts cover all training texts and are added up in Spark. Every counted path is in the model, which grows
 with the corpus. Up to BROADCAST_PATHS it is broadcast; beyond, words are joined with it and their evidence with the texts
 (`_far`), with the same scores. Bounded are only the FIT texts the logistic function is fitted on.
 """
@@ -27,8 +26,10 @@ from tallyspark.llm.words import NON_WORD, Words, batch_rows, chunks
 #: The largest model that is broadcast (28 bytes a path), and texts that the logistic function is fitted on.
 BROADCAST_PATHS, FIT = 2_000_000, 20_000
 LEVELS, STEP = 6, 2
-#: What is taken off counts of 1, 2, and 3 and more: all of the smallest, as a word's few occurrences in one class are mostly chance.
-DISCOUNTS = np.array([0, 1.0, 2.0, 4.0])
+#: What is taken off counts of 1, 2, and 3 and more where the counts of counts tell nothing.
+DISCOUNTS = (0.5, 1.0, 1.5)
+#: What is taken off the number of classes in which a piece follows a path.
+LOWER = 0.5
 #: The largest evidence of a word and that of a strong one, words counted as the strongest, and the score from which a text counts as toxic.
 MOST, STRONG, STRONGEST, THRESHOLD = 8.0, 2.0, 4, 0.7
 #: Texts are picked for the logistic function by this many values of a hash of their doc_id, so about FIT are.
@@ -94,12 +95,23 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays(list(map(pa.array, _added(parts))), schema=_COUNTS)
 
 
+def discounts(n: list[int]) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2, and 3 and more, from how many paths have counts of 1, 2, 3 and 4."""
+    y = n[0] / max(1, n[0] + 2 * n[1])
+    found = [k - (k + 1) * y * n[k] / max(1, n[k - 1]) for k in (1, 2, 3)]
+    return np.array([0, *[d if n[k] and 0 < d < k + 1 else DISCOUNTS[k] for k, d in enumerate(found)]])
+
+
+def _off(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(counts, 3).astype(np.int64)]
+
+
 class Model:
-    """Of each frequent path: its occurrences and what is discounted from those of the paths one piece longer, by
-    class, and the shared probability of its last piece. total and first are those of the empty path."""
+    """Of each path: its occurrences and what is discounted from those of the paths one piece longer, by
+    class, and the shared probability of its last piece. total and first are those of the empty path; taken: discounts by class."""
 
-    def __init__(self, keys, seen, follow, shared, total, first):
-        self.keys, self.total, self.first = keys, total, first
+    def __init__(self, keys, seen, follow, shared, total, first, taken):
+        self.keys, self.total, self.first, self.taken = keys, total, first, taken
         self.seen = [np.append(s, 0).astype(np.float32) for s in seen]
         self.follow = [np.append(f, 0).astype(np.float32) for f in follow]
         self.shared = np.append(shared, 0).astype(np.float32)
@@ -110,33 +122,41 @@ class Model:
         keys, _ = _paths(words, first)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         at = np.where((self.keys[at] == keys) & (keys != 0), at, len(self.keys)) if len(self.keys) else np.zeros_like(keys)
+        there = keys != 0
         if own is None:
-            return self._sum(at, [0, 0])[where], doc
+            return self._sum(at, there)[where], doc
         out = np.zeros(len(where))
         for d in range(len(texts)):
             s = slice(*np.searchsorted(doc, [d, d + 1]))
             if s.start < s.stop:
-                kinds, w, many = np.unique(where[s], return_inverse=True, return_counts=True)
-                rows = at[kinds]
-                mine = np.zeros(rows.shape)
-                for j in range(rows.shape[1]):
-                    _, inverse = np.unique(rows[:, j], return_inverse=True)
-                    mine[:, j] = np.bincount(inverse, many)[inverse]
-                out[s] = self._sum(rows, [mine if own[d] == k else 0 for k in (0, 1)])[w]
+                out[s] = self._sum(at[where[s]], there[where[s]], int(own[d]))
         return out, doc
 
-    def _sum(self, at: np.ndarray, mine: list) -> np.ndarray:
+    def _own(self, at: np.ndarray, k: int):
+        """Of the words of one text of class k: occurrences of their paths in it, and how much less is discounted after the path before without them."""
+        mine, less = np.zeros(at.shape), np.zeros(at.shape)
+        for j in range(at.shape[1]):
+            child, one, inverse = np.unique(at[:, j], return_index=True, return_inverse=True)
+            many, seen = np.bincount(inverse), self.seen[k][child]
+            mine[:, j] = many[inverse]
+            gone = _off(seen, self.taken[k]) - _off(np.maximum(seen - many, 0), self.taken[k])
+            _, before = np.unique(at[:, j - 1], return_inverse=True) if j else (None, np.zeros(len(at), np.int64))
+            less[:, j] = np.bincount(before[one], gone, before.max() + 1)[before]
+        return mine, less
+
+    def _sum(self, at: np.ndarray, there: np.ndarray, own: int | None = None) -> np.ndarray:
+        """Evidence of words by the rows of their paths, the last row for unseen ones; own: the class whose counts hold these words, as one text."""
         logs = []
         for k in (0, 1):
-            seen = np.maximum(self.seen[k][at] - mine[k], 0).astype(np.float64)
-            before = np.concatenate([np.full((len(at), 1), max(0, self.total[k])), seen[:, :-1]], 1)
-            left = np.concatenate([np.full((len(at), 1), self.first[k]), self.follow[k][at][:, :-1]], 1)
+            mine, less = self._own(at, k) if own == k else (0, 0)
+            seen = np.maximum(self.seen[k][at] - mine, 0).astype(np.float64)
+            before = np.concatenate([np.full((len(at), 1), max(0, self.total[k] - (len(at) if own == k else 0))), seen[:, :-1]], 1)
+            left = np.concatenate([np.full((len(at), 1), self.first[k]), self.follow[k][at][:, :-1]], 1) - less
             shared = np.maximum(self.shared[at], 1e-9)
             n = np.maximum(before, 1)
-            p = np.maximum(seen - DISCOUNTS[np.minimum(seen, 3).astype(np.int64)], 0) / n + np.minimum(1, np.maximum(left, DISCOUNTS[1]) / n) * shared
+            p = np.maximum(seen - _off(seen, self.taken[k]), 0) / n + np.minimum(1, np.maximum(left, self.taken[k][1:].min()) / n) * shared
             logs.append(np.where(before > 0, np.log(p), np.log(shared)))
-        known = at < len(self.keys)
-        return np.clip(np.where(known, logs[1] - logs[0], 0).sum(1), -MOST, MOST)
+        return np.clip(np.where(there, logs[1] - logs[0], 0).sum(1), -MOST, MOST)
 
     def features(self, texts: list[bytes], own: np.ndarray | None = None) -> np.ndarray:
         e, doc = self.evidence(texts, own)
@@ -193,21 +213,21 @@ class Logistic:
 
 
 class Far:
-    """A model too large to broadcast: its table, total and first."""
+    """A model too large to broadcast: its table, total, first and taken."""
 
-    def __init__(self, table: DataFrame, total, first):
-        self.table, self.total, self.first = table, total, first
+    def __init__(self, table: DataFrame, total, first, taken):
+        self.table, self.total, self.first, self.taken = table, total, first, taken
 
 
 _PATH = ("key", "ordinary", "toxic", "f0", "f1", "shared")
 
 
-def _model(table: DataFrame, total, first) -> Model:
+def _model(table: DataFrame, total, first, taken) -> Model:
     found = table.select(*_PATH).toArrow()
     columns = {c: found.column(c).to_numpy() for c in _PATH}
     order = np.argsort(columns["key"])
     columns = {c: v[order] for c, v in columns.items()}
-    return Model(columns["key"], [columns["ordinary"], columns["toxic"]], [columns["f0"], columns["f1"]], columns["shared"], total, first)
+    return Model(columns["key"], [columns["ordinary"], columns["toxic"]], [columns["f0"], columns["f1"]], columns["shared"], total, first, taken)
 
 
 def train(texts: DataFrame):
@@ -217,26 +237,31 @@ def train(texts: DataFrame):
     counted = "key long, parent long, piece long, ordinary long, toxic long"
     summed = read.mapInArrow(_counts, counted).groupBy("key").agg(*[F.first(c).alias(c) for c in ("parent", "piece")], *[F.sum(c).alias(c) for c in ("ordinary", "toxic")])
     paths = common.save(summed, "paths")
-    taken = lambda c: F.sum(F.element_at(F.array(*map(F.lit, DISCOUNTS.tolist())), F.least(F.col(c), F.lit(3)).cast("int") + 1))
-    follow = paths.groupBy("parent").agg(taken("ordinary").alias("f0"), taken("toxic").alias("f1"))
+    classes = ("ordinary", "toxic")
+    top = paths.agg(*[F.sum(F.when(F.col("parent") == 0, F.col(c))) for c in classes], F.count("*"), *[F.count_if(F.col(c) == i) for c in classes for i in (1, 2, 3, 4)]).first()
+    taken = [discounts(top[3 + 4 * k : 7 + 4 * k]) for k in (0, 1)]
+    # whole counts are added up, so that a sum does not depend on the order
+    off = lambda c, k: sum((F.count_if(F.col(c) >= 3 if i == 3 else F.col(c) == i) * F.lit(float(taken[k][i])) for i in (1, 2, 3)), F.lit(0.0))
+    kinds = sum(F.when(F.col(c) > 0, 1).otherwise(0) for c in classes)
+    follow = paths.groupBy("parent").agg(*[off(c, k).alias(f"f{k}") for k, c in enumerate(classes)], F.sum(kinds).alias("kinds"), F.count("*").alias("children"))
     # a piece has at most two bytes, so there are fewer than 66,000: they may be broadcast
     shared = paths.groupBy("piece").agg(F.count("*").alias("before"))
-    left = F.greatest("ordinary", "toxic") > DISCOUNTS[-1]
-    top = paths.agg(*[F.sum(F.when(F.col("parent") == 0, F.col(c))) for c in ("ordinary", "toxic")], F.count("*"), F.count_if(left)).first()
     row = follow.filter("parent = 0").first()
     total, first = [top[0] or 0, top[1] or 0], [row.f0, row.f1] if row else [0, 0]
-    table = paths.filter(left).join(follow.select(F.col("parent").alias("key"), "f0", "f1"), "key", "left").join(F.broadcast(shared), "piece")
-    table = table.select("key", "ordinary", "toxic", F.coalesce("f0", F.lit(0.0)).alias("f0"), F.coalesce("f1", F.lit(0.0)).alias("f1"), (F.col("before") / max(1, top[2])).alias("shared"))
+    table = paths.join(follow.select(F.col("parent").alias("key"), "f0", "f1"), "key", "left").join(F.broadcast(shared), "piece")
+    table = table.join(follow.select("parent", F.col("kinds").alias("all"), "children"), "parent")
+    lower = (kinds - LOWER + LOWER * F.col("children") * F.col("before") / max(1, top[2])) / F.col("all")
+    table = table.select("key", "ordinary", "toxic", F.coalesce("f0", F.lit(0.0)).alias("f0"), F.coalesce("f1", F.lit(0.0)).alias("f1"), lower.alias("shared"))
 
     n = texts.count()
     some = read.filter(F.col("pick") < int(FIT / n * _PICKS)) if n > FIT else read
-    if top[3] > BROADCAST_PATHS:
+    if top[2] > BROADCAST_PATHS:
         table = common.save(table, "model")
         own = some.mapInArrow(_counts, counted).select("key").distinct()  # paths of the FIT texts
-        fitted = spark.sparkContext.broadcast(_model(table.join(own, "key", "left_semi"), total, first))
-        model = Far(table, total, first)
+        fitted = spark.sparkContext.broadcast(_model(table.join(own, "key", "left_semi"), total, first, taken))
+        model = Far(table, total, first, taken)
     else:
-        model = fitted = spark.sparkContext.broadcast(_model(table, total, first))
+        model = fitted = spark.sparkContext.broadcast(_model(table, total, first, taken))
     schema = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def features(batches):
@@ -272,9 +297,9 @@ def _far(texts: DataFrame, model: Far) -> DataFrame:
     A word goes over the network once a chunk of texts, not once a text; words with many chunks are split by the skew join.
     """
     occurs = common.save(texts.mapInArrow(_occurrences, "word long, keys array<long>, texts array<long>"), "occurrences")
-    path = F.struct("level", *_PATH[1:])
-    known = occurs.dropDuplicates(["word"]).select("word", F.posexplode("keys").alias("level", "key")).join(model.table, "key").groupBy("word").agg(F.collect_list(path).alias("paths"))  # LEVELS + 2 at most
-    total, first = model.total, model.first
+    path = F.struct("level", *[F.coalesce(c, F.lit(0)).alias(c) for c in _PATH[1:]])  # unseen paths have zeros
+    known = occurs.dropDuplicates(["word"]).select("word", F.posexplode("keys").alias("level", "key")).filter("key != 0").join(model.table, "key", "left").groupBy("word").agg(F.collect_list(path).alias("paths"))  # LEVELS + 2 at most
+    total, first, taken = model.total, model.first, model.taken
 
     def evidence(batches):
         for batch in batches:
@@ -282,8 +307,8 @@ def _far(texts: DataFrame, model: Far) -> DataFrame:
             rows = {c: found.flatten().field(c).to_numpy() for c in ("level", *_PATH[1:])}
             at = np.full((batch.num_rows, LEVELS + 2), len(rows["level"]))
             at[np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy()), rows["level"]] = np.arange(len(rows["level"]))
-            part = Model(np.arange(len(rows["level"])), [rows["ordinary"], rows["toxic"]], [rows["f0"], rows["f1"]], rows["shared"], total, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part._sum(at, [0, 0]))], ["word", "e"])
+            part = Model(np.arange(len(rows["level"])), [rows["ordinary"], rows["toxic"]], [rows["f0"], rows["f1"]], rows["shared"], total, first, taken)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part._sum(at, at < len(rows["level"])))], ["word", "e"])
 
     each = occurs.select("word", "texts").join(known.mapInArrow(evidence, "word long, e double"), "word", "left").select(F.explode("texts").alias("id"), F.coalesce("e", F.lit(0.0)).alias("e"))
     e, n = F.col("e"), F.count("*")

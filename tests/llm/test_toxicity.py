@@ -66,3 +66,36 @@ def test_every_frequent_path_is_in_the_model(spark):
     model, _ = tx.train(found)
     ends = set(tx._paths(*(lambda w: (w, np.arange(len(w.hash))))(tx.Words([f"w{i:04d}".encode() for i in range(400)], tx.NON_WORD)))[0][:, 2].tolist())
     assert ends <= set(model.value.keys.tolist())
+
+
+def test_rare_paths_are_kept_and_unseen_pieces_back_off(spark):
+    texts = [(i % 2, f"w{i // 2 if i % 2 else i // 8:04d}", i) for i in range(400)]
+    found = spark.createDataFrame(texts, "toxic int, text string, pick long").selectExpr("toxic", "cast(text as binary) as text", "pick")
+    model = tx.train(found)[0].value
+    words = tx.Words([f"w{i:04d} ".encode() for i in range(200)], tx.NON_WORD)
+    assert set(tx._paths(words, np.arange(200))[0][:, 2].tolist()) <= set(model.keys.tolist())  # most stand in one text
+    assert all(0 < t[i] < i for t in model.taken for i in (1, 2, 3))
+    at = np.searchsorted(model.keys, tx._paths(words, np.arange(1))[0][0, 1])  # "w000"
+    n, left = [[float(x[k][at]) for k in (0, 1)] for x in (model.seen, model.follow)]
+    (evidence,), _ = model.evidence([b"w000x"])
+    assert min(n) > 0
+    whole = model._sum(np.array([[np.searchsorted(model.keys, k) for k in tx._paths(words, np.arange(1))[0][0, :2]]]), np.ones((1, 2), bool))[0]
+    assert abs(evidence - whole - (np.log(left[1] / n[1]) - np.log(left[0] / n[0]))) < 1e-6 and abs(evidence - whole) > 0.1
+
+
+def test_own_counts_leave_as_if_never_counted(spark):
+    rng = random.Random(3)
+    texts = [(int(i % 3 == 0), " ".join(rng.choice("abc") + rng.choice("de") * rng.choice([1, 2, 3]) + rng.choice(["", "x", "yz"]) for _ in range(6)), i) for i in range(60)]
+    read = lambda rows: spark.createDataFrame(rows, "toxic int, text string, pick long").selectExpr("toxic", "cast(text as binary) as text", "pick")
+    with_it, without = tx.train(read(texts))[0].value, tx.train(read(texts[1:]))[0].value
+    at = {int(k): i for i, k in enumerate(with_it.keys)}
+    words, _, first, _ = tx._words([texts[0][1].encode()])
+    keys, _ = tx._paths(words, first)
+    rows = np.array([[at.get(int(k), len(at)) for k in r] for r in keys])
+    mine, less = with_it._own(rows, 1)
+    there = {int(k): i for i, k in enumerate(without.keys)}
+    for r in range(len(rows)):
+        for j in range(rows.shape[1]):
+            if keys[r, j]:
+                assert with_it.seen[1][rows[r, j]] - mine[r, j] == (without.seen[1][there[int(keys[r, j])]] if int(keys[r, j]) in there else 0)
+    assert (less >= -1e-6).all() and less.max() > 0
