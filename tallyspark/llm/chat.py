@@ -5,9 +5,11 @@ and comparing each output with the one before it shows where every turn stands,
 template; a template whose output for a prefix is not a prefix of the next output rewrites history and is
 reported.
 
-Rows of a conversation are sorted by Spark and stream through a task. Prefixes are rendered within
-sections of SECTION turns, so that time and memory stay in proportion to a conversation's length; digests
-run on over sections. The template must therefore not look back beyond a section's first turn.
+Rows of a conversation are sorted by Spark and stream through a task. A general template gets the whole
+history at each turn, so that its conversations are compared over their full length; a conversation is then one
+section, and its time grows with the square of its turns. A template declared local, whose output for some turns
+is that of the turns before a border and that of those after it, is rendered within sections of SECTION
+turns, so that time and memory stay in proportion to a conversation's length; digests run on over sections.
 """
 
 from __future__ import annotations
@@ -86,7 +88,7 @@ def _rows(batches) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _sections(render: Render):
+def _sections(render: Render, local: bool):
     def run(batches):
         conv, part, section, first = None, [], 0, True
 
@@ -99,7 +101,7 @@ def _sections(render: Render):
             return pa.RecordBatch.from_pylist([{"conv_id": conv, "section": section, "last": last, "text": text, "turns": turns}], _OUT)
 
         for i, _, role, text in _rows(batches):
-            if part and (i != conv or len(part) == SECTION):
+            if part and (i != conv or local and len(part) == SECTION):
                 yield out(i != conv)
                 section = section + 1 if i == conv else 0
                 part = []
@@ -113,15 +115,18 @@ def _sections(render: Render):
     return run
 
 
-def formatted(conversations: DataFrame, render: Render = marked) -> DataFrame:
+def formatted(conversations: DataFrame, render: Render = marked, local: bool | None = None) -> DataFrame:
     """Sections (conv_id, section, last, text, turns) of rendered conversations, in order within a partition.
 
+    local: render(a + b) == render(a) + render(b) for all turns, so that long conversations may be cut in sections;
+    by default only the default template counts as local, and any other's conversation is one section.
+
     Rows are ordered by turn (null first), then role and text; a null role or text counts as empty, and rows with
     a null conv_id form one conversation. turns has the span of each turn in text, its role, the span of its
     text (read back from the marks of the default template), and whether the template rewrote history there.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_sections(render), _OUT_SQL)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_sections(render, render is marked if local is None else local), _OUT_SQL)
 
 
 def _digests(batches):

@@ -50,3 +50,24 @@ def test_against_brute_force(spark, tmp_path):
     rng.shuffle(rows)
     assert result(spark, tmp_path / "a", rows) == brute(rows + added)
     assert result(spark, tmp_path / "b", []) == brute(added)
+
+
+def test_general_template_over_borders(spark):
+    def last(turns):
+        return "".join(f"<{t}>" for _, t in turns[:-1]) + "".join(f"<{t} (last)>" for _, t in turns[-1:])
+
+    def begun(turns):
+        return "BEGIN" + "".join(f"<{t}>" for _, t in turns)
+
+    sizes = {1: 1, 2: 32, 3: 33, 4: 200}
+    rows = [(c, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for c, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for render in (last, begun):
+        got = chat.formatted(docs, render).collect()
+        assert sorted(r.conv_id for r in got) == [1, 2, 3, 4] and all(r.last and r.section == 0 for r in got)
+        for r in got:
+            turns = [(role, text) for c, _, role, text in rows if c == r.conv_id]
+            text, found, rewrites = chat.spans(render, turns)
+            assert r.text == text == render(turns) and [(t.start, t.end) for t in r.turns] == found
+            assert [i for i, t in enumerate(r.turns) if t.rewrites] == rewrites == (list(range(1, len(turns))) if render is last else [])
+    assert sorted((r.conv_id, r.section) for r in chat.formatted(docs).collect() if r.conv_id > 2) == [(3, 0), (3, 1)] + [(4, i) for i in range(7)]
