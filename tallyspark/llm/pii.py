@@ -1,8 +1,8 @@
 """PII: information-theoretic sanitisation.
 
-Protected entities are found by fixed patterns. Terms (words) near them are counted, and so are all
-occurrences of these terms in the whole corpus: a term's pointwise mutual information with being near an
-entity, over the information that an entity's presence carries, tells how strongly the term reveals one.
+Protected entities are found by fixed patterns. Terms (words) near them are counted, in all and with each
+entity, and so are all occurrences of these terms in the whole corpus: a term's pointwise mutual information with being near any
+entity, or near this one, over the information that such an entity's presence carries, tells how strongly the term reveals it. Of the two the larger counts.
 A term near an entity whose disclosure reaches GENERALISE is replaced by a mark, from REMOVE on it is removed.
 
 The corpus counts are added up in Spark. Up to TERMS distinct terms (8 bytes each) are broadcast so that a
@@ -11,11 +11,12 @@ task passes on only their counts; beyond that all words' counts are shuffled, wi
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
@@ -32,8 +33,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _DIGITS = re.compile("[0-9]")
 _LOWER = {i: i + 32 for i in range(65, 91)}
-#: Words on either side of an entity that count as near; least number of near occurrences; thresholds of disclosure.
-NEAR, LEAST, GENERALISE, REMOVE = 6, 4, 0.9, 0.98
+#: Words on either side of an entity that count as near; occurrences at the corpus's own rate that are added to a term's; thresholds of disclosure.
+NEAR, PRIOR, GENERALISE, REMOVE = 6, 1.0, 0.9, 0.98
 TERMS, GATHERED = 2_000_000, 1 << 20
 
 
@@ -70,25 +71,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_FOUND = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))), ("near", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])))])
-_FOUND_SQL = "id bigint, key bigint, base array<struct<kind:int,start:bigint,end:bigint>>, near array<struct<term:bigint,start:bigint,end:bigint>>"
+_FOUND = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))), ("near", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("entities", pa.list_(pa.int64()))]))), ("inside", pa.list_(pa.int64()))])
+_FOUND_SQL = "id bigint, key bigint, base array<struct<kind:int,start:bigint,end:bigint>>, near array<struct<term:bigint,start:bigint,end:bigint,entities:array<bigint>>>, inside array<bigint>"
 
 
-def _near(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Words within NEAR words of an entity, each once, without those inside one."""
-    text = text.translate(_LOWER)
+def entity(kind: int, text: str) -> int:
+    """A hash of an entity, equal for its spellings: in either case, or with other marks or zeros among its digits."""
+    form = text.translate(_LOWER) if kind == 0 else ".".join(p.lstrip("0") for p in text.split(".")) if kind == 1 else "".join(_DIGITS.findall(text))
+    return int.from_bytes(hashlib.blake2b(f"{kind} {form}".encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _near(text: str, base: list[tuple[int, int, int]]) -> tuple[list[dict], list[int]]:
+    """Words within NEAR words of an entity, each once, without those inside one, and the entities they are near; and the terms inside entities."""
+    names = [entity(kind, text[a:b]) for kind, a, b in base]
+    text, beside = text.translate(_LOWER), {}
     words = [m.span() for m in _WORD.finditer(text)]
     starts, ends = np.array([a for a, _ in words], np.int64), np.array([b for _, b in words], np.int64)
     near, inside = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
-    for _, a, b in base:
+    for name, (_, a, b) in zip(names, base, strict=True):
         i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
         near[max(0, i - NEAR)] += 1
         near[min(len(words), j + NEAR)] -= 1
         inside[i] += 1
         inside[j] -= 1
-    chosen = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (np.cumsum(inside)[:-1] <= 0))
-    terms = Words([" ".join(text[words[k][0] : words[k][1]] for k in chosen).encode()], NON_WORD).hash.view(np.int64).tolist()
-    return [{"term": t, "start": words[k][0], "end": words[k][1]} for t, k in zip(terms, chosen, strict=True)]
+        for k in (*range(max(0, i - NEAR), i), *range(j, min(len(words), j + NEAR))):
+            beside.setdefault(k, set()).add(name)
+    within = np.cumsum(inside)[:-1] > 0
+    chosen = np.flatnonzero((np.cumsum(near)[:-1] > 0) & ~within)
+    terms, parts = (Words([" ".join(text[words[k][0] : words[k][1]] for k in ks).encode()], NON_WORD).hash.view(np.int64).tolist() for ks in (chosen, np.flatnonzero(within)))
+    return [{"term": t, "start": words[k][0], "end": words[k][1], "entities": sorted(beside[k])} for t, k in zip(terms, chosen, strict=True)], parts
 
 
 def _find(batches):
@@ -97,7 +108,8 @@ def _find(batches):
         for i, key, raw in rows:
             text = raw.decode("utf-8", "replace")
             base = base_spans(text)
-            out.append({"id": i, "key": key, "base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "near": _near(text, base) if base else []})
+            near, inside = _near(text, base) if base else ([], [])
+            out.append({"id": i, "key": key, "base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "near": near, "inside": inside})
         yield pa.RecordBatch.from_pylist(out, _FOUND)
 
 
@@ -133,7 +145,7 @@ def _corpus(sent):
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, key, base, near) for each row: entities (kind, start, end) and the terms near them. key is a hash of the text; a null text is read as empty."""
+    """One row (id, key, base, near, inside) for each row: entities (kind, start, end), the terms near them and those inside them. key is a hash of the text; a null text is read as empty."""
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
     return common.save(read.mapInArrow(_find, _FOUND_SQL), "entities")
 
@@ -141,9 +153,19 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def disclosure(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, near, total, disclosure) of the terms near entities, over all of docs.
 
-    disclosure is log(P(near | term) / P(near)) / -log P(near): 0 for a term that is independent of entities, 1
-    for one that never stands elsewhere. Terms with fewer than LEAST near occurrences are too rare to tell: theirs is 0.
+    disclosure is log(P(near | term) / P(near)) / -log P(near): 0 for a term that is independent of entities, near 1
+    for one that never stands elsewhere. P(near | term) is smoothed by PRIOR occurrences, so that a rare term tells less.
+    total leaves out words inside entities, as a name often is part of the address beside it.
     """
+    return _disclosure(docs, found, text_col)[0]
+
+
+def _strength(near: Column, total: Column, share: Column) -> Column:
+    base = F.when((share > 0) & (share < 1), -F.log(share)).otherwise(1.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log((near + PRIOR * share) / (total + PRIOR)) + base) / base))
+
+
+def _disclosure(docs: DataFrame, found: DataFrame, text_col: str) -> tuple[DataFrame, int]:
     near = found.select(F.explode("near.term").alias("term")).groupBy("term").agg(F.count("*").alias("near"))
     near = common.save(near, "near")
     sent = None
@@ -153,17 +175,29 @@ def disclosure(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     counts = common.save(counts, "terms")
     everything = counts.filter("term is null").first()
     share = (near.agg(F.sum("near")).first()[0] or 0) / max(1, everything.total if everything else 1)
-    base = F.lit(-float(np.log(share)) if 0 < share < 1 else 1.0)
-    strength = F.when(F.col("near") >= LEAST, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(F.col("near") / F.col("total")) + base) / base))).otherwise(0.0)
-    return near.join(counts.filter("term is not null"), "term").withColumn("disclosure", strength)
+    inside = found.select(F.explode("inside").alias("term")).groupBy("term").agg(F.count("*").alias("within"))
+    terms = near.join(counts.filter("term is not null"), "term").join(inside, "term", "left").select("term", "near", (F.col("total") - F.coalesce("within", F.lit(0))).alias("total"))
+    terms = terms.withColumn("disclosure", _strength(F.col("near"), F.col("total"), F.lit(float(share))))
+    return terms, everything.total if everything else 0
+
+
+def disclosure_by_entity(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, entity, disclosure) of the terms near each entity: as disclosure(), with P(near this entity) for P(near), or disclosure() if that is larger."""
+    terms, everything = _disclosure(docs, found, text_col)
+    each = found.select(F.explode("near").alias("n")).select("n.term", F.explode("n.entities").alias("entity"))
+    pairs = common.save(each.groupBy("term", "entity").agg(F.count("*").alias("n")), "pairs")
+    sizes = pairs.groupBy("entity").agg((F.sum("n") / max(1, everything)).alias("share"))
+    both = pairs.join(terms, "term").join(sizes, "entity")
+    return both.select("term", "entity", F.greatest("disclosure", _strength(F.col("n"), F.col("total"), F.col("share"))).alias("disclosure"))
 
 
 def sensitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, key, base, terms) for each row of docs; terms (start, end, disclosure) reach GENERALISE."""
     found = entities(docs, id_col, text_col)
-    strong = disclosure(docs, found, text_col).filter(F.col("disclosure") >= GENERALISE).select("term", "disclosure")
-    near = found.select("id", "key", F.explode("near").alias("n")).select("id", "key", "n.*").distinct()
-    terms = near.join(strong, "term").groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    strong = disclosure_by_entity(docs, found, text_col).filter(F.col("disclosure") >= GENERALISE)
+    near = found.select("id", "key", F.explode("near").alias("n")).select("id", "key", "n.term", "n.start", "n.end", F.explode("n.entities").alias("entity")).distinct()
+    near = near.join(strong, ["term", "entity"]).groupBy("id", "key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    terms = near.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     terms = terms.select(F.col("id").alias("t_id"), F.col("key").alias("t_key"), "terms")
     none = F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")
     return found.join(terms, found["id"].eqNullSafe(F.col("t_id")) & (F.col("key") == F.col("t_key")), "left").select("id", "key", "base", F.coalesce("terms", none).alias("terms"))

@@ -65,3 +65,17 @@ def test_many_terms_give_the_same(spark, tmp_path, monkeypatch):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert pii.op8_pii(spark, str(tmp_path)).collect() == []
+
+
+def test_rare_names_and_single_entities(spark, tmp_path):
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice(["the", "of", "and", "Haus", "x1"]) for _ in range(100))) for i in range(300)]
+    docs += [(500, docs[0][1] + " the of Zorblatt zorblatt.k@mail.example.com of the " + docs[1][1])]
+    docs += [(600 + i, f"{docs[i][1]} Quandry {'Q.k@Mail.example.com' if i % 2 else 'q.K@mail.example.com'} of {docs[i][1]}") for i in range(3)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r.id: r.clean for r in pii.sanitised(rows).collect()}
+    assert "Zorblatt" not in clean[500] and "[EMAIL]" in clean[500] and all("Quandry" not in clean[600 + i] for i in range(3))
+    assert all(clean[i] == t for i, t in docs[:300])
+    assert clean[500].replace("[TERM]", "Zorblatt").replace("[EMAIL]", "zorblatt.k@mail.example.com") == docs[300][1]
+    assert pii.entity(0, "A.b@C.de") == pii.entity(0, "a.B@c.DE") and pii.entity(1, "010.1.0.1") == pii.entity(1, "10.001.0.1")
+    assert pii.entity(3, "+1 (443) 555-5793") == pii.entity(3, "+14435555793") != pii.entity(2, "14435555793")
