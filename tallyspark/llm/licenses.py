@@ -94,7 +94,7 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, notices: dict[str,
     few = licenses.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
     forms = {r[0]: r[1] for r in spark.createDataFrame(list(lines.items()) or [("", "")], "line string, id string").select(_line(F.col("line")), "id").collect()}
     table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
-    marked = F.filter(F.split(F.col(text_col), "\n"), lambda s: (F.length(s) <= 4 * max(map(len, forms))) & s.rlike("(?i)licen[cs]e|rights"))
+    marked = F.filter(F.split(F.col(text_col), "\n"), lambda s: s.rlike("(?i)licen[cs]e|rights"))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(marked, lambda s: F.element_at(table, _line(s))), lambda x: x.isNotNull())))
     digest = F.sha2(canonical(F.col(text_col)).cast("binary"), 256)
     right = licenses.select(F.col("digest").alias("__digest"), F.col("license_id").alias("__license"))

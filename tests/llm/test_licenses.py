@@ -26,3 +26,13 @@ def test_empty(spark):
     assert li.scan(empty).count() == 0
     one = spark.createDataFrame([(1, "All rights reserved.")], "doc_id long, text string")
     assert [r.notices for r in li.scan(one, li.known(spark).limit(0), {}).collect()] == [[]]
+
+
+def test_long_notice_lines(spark, tmp_path):
+    line = "// " + "*" * 5_000 + " Licensed under the MIT License. " + "*" * 5_000
+    spark.createDataFrame([(1, f"x\n{line}\ny"), (2, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, li.op3_license_scans(spark, str(tmp_path)).collect()))
+    assert [r[3] for r in got] == ["MIT", ""]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(li.ORACLE_SQL).fetchall()) == got
