@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.context import Shop
 from tallyspark.functions.numbers import total
 from tallyspark.functions.transforms import normalised_email, normalised_phone
+from tallyspark.session import shared_dir
 
 #: Fixed order in which entities are loaded: parents before children.
 ENTITIES = ("location", "category", "vendor", "product", "variant", "variant_vendor", "customer", "order", "refund", "payment", "inventory_level", "inventory_movement")
@@ -86,15 +88,8 @@ def duplicates(customers: DataFrame) -> DataFrame:
 
 def _written(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder of the session."""
-    import tempfile
-    import uuid
-
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/labels-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
