@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.session import shared_dir
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -15,18 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) is a temporary one set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back.
 
@@ -40,6 +30,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str) -> str:
+    """A column name that no caller's table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def mark() -> int:
     """How many tables save() has written so far, for clear()."""
     return len(_written)
@@ -63,8 +58,6 @@ atexit.register(clear)
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: how many buckets a job needs follows from it."""
-    from pyspark.sql import functions as F
-
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
@@ -74,8 +67,7 @@ BROADCAST_IDS = 2_000_000
 
 def rows_with(docs: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """Rows of docs whose `col` is in ids (nulls match nulls): by broadcast up to BROADCAST_IDS, else by a shuffle."""
-    from pyspark.sql import functions as F
-
-    ids = ids.select(F.col(col).alias("__id")).distinct()
+    name = fresh("id")
+    ids = ids.select(F.col(col).alias(name)).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs[col].eqNullSafe(F.col("__id")), "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, docs[col].eqNullSafe(F.col(name)), "left_semi")

@@ -1,30 +1,37 @@
 """Toxicity: class-conditional Kneser-Ney models of the pieces of words.
 
 A word is a path of pieces: two bytes each for LEVELS levels, then what is left of it, then its end. In each
-class a piece's probability after the path before it is a discounted count over labelled training texts, each word
-counted once a text. What the discount leaves goes to a shared probability: the number of classes in which the piece follows this
-path, and what LOWER takes off that number goes to the piece's continuation count (before how many different paths it stands). The discounts of counts of 1, 2, and 3 and more are estimated for each class from its
-counts of counts. A piece never seen after a known path differs between the classes by what they have left there. A text's evidence is the difference of its toxic and
-ordinary log-likelihoods, divided by its length; a logistic function of that, of the strongest words and of
-the length gives the score. It is fitted on training texts scored without their own counts.
+class a piece's probability after the path before it is a discounted count over labelled training texts, each
+word counted once a text. What the discount leaves goes to a shared probability: the number of classes in which
+the piece follows this path, and what LOWER takes off that number goes to the piece's continuation count (before
+how many different paths it stands). The discounts of counts of 1, 2, and 3 and more are estimated for each class
+from its counts of counts. A piece never seen after a known path differs between the classes by what they have
+left there. A text's evidence is the difference of its toxic and ordinary log-likelihoods, divided by its length;
+a logistic function of that, of the strongest words and of the length gives the score. It is fitted on training
+texts scored without their own counts.
 
 All counts cover all training texts and are added up in Spark. Every counted path is in the model, which grows
-with the corpus. Up to BROADCAST_PATHS it is broadcast; beyond, words are joined with it and their evidence with the texts
-(`_far`), with the same scores. Bounded are only the FIT texts the logistic function is fitted on.
+with the corpus. For scoring, a path is reduced to two numbers: what it adds to a word's evidence, and what a word
+gets that leaves the known paths behind it. Up to BROADCAST_PATHS of them are broadcast; beyond, words are joined
+with them and their evidence with the texts (`_far`), with the same scores. Bounded are only the FIT texts the
+logistic function is fitted on.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
-from tallyspark.llm.words import NON_WORD, Words, batch_rows, chunks
+from tallyspark.llm.words import NON_WORD, Words, batch_rows, chunks, distinct, pack, unpack
 
-#: The largest model that is broadcast (28 bytes a path), and texts that the logistic function is fitted on.
-BROADCAST_PATHS, FIT = 2_000_000, 20_000
+#: The largest model that is broadcast (16 bytes a path), and texts that the logistic function is fitted on.
+BROADCAST_PATHS, FIT = 8_000_000, 20_000
 LEVELS, STEP = 6, 2
 #: What is taken off counts of 1, 2, and 3 and more where the counts of counts tell nothing.
 DISCOUNTS = (0.5, 1.0, 1.5)
@@ -44,7 +51,7 @@ _COUNTS = pa.schema([("key", pa.int64()), ("parent", pa.int64()), ("piece", pa.i
 
 def _paths(words: Words, which: np.ndarray):
     """Keys of the paths of some words, one column a level, and of their last pieces; 0 beyond a word's end."""
-    start, end = words.start[which], words.end[which]
+    spelled, start, end = words.spelled(which)
     size = end - start
     keys, pieces = np.zeros((len(which), LEVELS + 2), np.int64), np.zeros((len(which), LEVELS + 2), np.int64)
     for j in range(LEVELS + 2):
@@ -52,8 +59,8 @@ def _paths(words: Words, which: np.ndarray):
         b = np.minimum(a + STEP, end) if j < LEVELS else end
         there = size >= j * STEP if j <= LEVELS else size > LEVELS * STEP  # a word ends with an empty piece
         level = np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # a path and the same one with its end differ
-        keys[:, j] = np.where(there, (words.bytes.hash(start, b) ^ level).view(np.int64), 0)
-        pieces[:, j] = np.where(there, words.bytes.hash(a, b).view(np.int64) if j < LEVELS else j, 0)
+        keys[:, j] = np.where(there, (spelled.hash(start, b) ^ level).view(np.int64), 0)
+        pieces[:, j] = np.where(there, spelled.hash(a, b).view(np.int64) if j < LEVELS else j, 0)
     return keys, pieces
 
 
@@ -62,7 +69,7 @@ def _words(texts: list[bytes]):
     words = Words([t.lower() for t in texts], NON_WORD)
     doc = np.repeat(np.arange(len(texts)), words.counts)
     _, first, where = np.unique(words.hash, return_index=True, return_inverse=True)
-    once = np.unique(doc * len(first) + where)
+    once = distinct(doc * len(first) + where)
     return words, once // max(1, len(first)), first, once % max(1, len(first))
 
 
@@ -159,19 +166,51 @@ class Model:
         return np.clip(np.where(there, logs[1] - logs[0], 0).sum(1), -MOST, MOST)
 
     def features(self, texts: list[bytes], own: np.ndarray | None = None) -> np.ndarray:
-        e, doc = self.evidence(texts, own)
-        n = np.bincount(doc, minlength=len(texts))
-        out = np.zeros((len(texts), 5))
-        total = np.bincount(doc, e, len(texts))
-        order = np.lexsort((-e, doc))
-        rank = np.arange(len(e)) - np.concatenate([[0], np.cumsum(n)])[:-1][doc]
-        strong = np.maximum(np.where(rank < STRONGEST, e[order], 0), 0)
-        out[:, 0] = total / np.maximum(n, 1)
-        out[:, 1] = np.bincount(doc, strong, len(texts)) / STRONGEST
-        out[:, 2] = np.bincount(doc, e > STRONG, len(texts)) / np.sqrt(np.maximum(n, 1))
-        out[:, 3] = np.log1p(n)
-        out[:, 4] = np.log1p(np.bincount(doc, e > 2 * STRONG, len(texts)))
-        return out
+        return features(*self.evidence(texts, own), len(texts))
+
+
+def features(e: np.ndarray, doc: np.ndarray, many: int) -> np.ndarray:
+    """Of each of `many` texts, from the evidence of its words: the mean, the strongest, how many are strong, the length."""
+    n = np.bincount(doc, minlength=many)
+    out = np.zeros((many, 5))
+    order = np.lexsort((-e, doc))
+    rank = np.arange(len(e)) - np.concatenate([[0], np.cumsum(n)])[:-1][doc]
+    strong = np.maximum(np.where(rank < STRONGEST, e[order], 0), 0)
+    out[:, 0] = np.bincount(doc, e, many) / np.maximum(n, 1)
+    out[:, 1] = np.bincount(doc, strong, many) / STRONGEST
+    out[:, 2] = np.bincount(doc, e > STRONG, many) / np.sqrt(np.maximum(n, 1))
+    out[:, 3] = np.log1p(n)
+    out[:, 4] = np.log1p(np.bincount(doc, e > 2 * STRONG, many))
+    return out
+
+
+class Scorer:
+    """Of each path, by sorted keys: what it adds to a word's evidence (gain) and what a word gets whose next piece
+    never followed it (miss); root: the same for words that no path begins."""
+
+    def __init__(self, keys: np.ndarray, gain: np.ndarray, miss: np.ndarray, root: float):
+        self.keys, self.gain, self.miss, self.root = keys, gain, miss, root
+
+    def words(self, keys: np.ndarray) -> np.ndarray:
+        """Evidence of words by the keys of their paths, a row each. A path is known only if those before it are."""
+        e, last = np.zeros(len(keys)), np.full(len(keys), self.root)
+        on = np.arange(len(keys))
+        for j in range(keys.shape[1]):
+            on = on[keys[on, j] != 0]
+            at = np.minimum(np.searchsorted(self.keys, keys[on, j]), max(0, len(self.keys) - 1))
+            known = self.keys[at] == keys[on, j] if len(self.keys) else np.zeros(len(on), bool)
+            gone, on, at = on[~known], on[known], at[known]
+            e[gone] += last[gone]
+            e[on] += self.gain[at]
+            last[on] = self.miss[at]
+        return np.clip(e, -MOST, MOST)
+
+    def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words, doc, first, where = _words(texts)
+        return self.words(_paths(words, first)[0])[where], doc
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        return features(*self.evidence(texts), len(texts))
 
 
 class Logistic:
@@ -213,107 +252,147 @@ class Logistic:
 
 
 class Far:
-    """A model too large to broadcast: its table, total, first and taken."""
-
-    def __init__(self, table: DataFrame, total, first, taken):
-        self.table, self.total, self.first, self.taken = table, total, first, taken
-
-
-_PATH = ("key", "ordinary", "toxic", "f0", "f1", "shared")
-
-
-def _model(table: DataFrame, total, first, taken) -> Model:
-    found = table.select(*_PATH).toArrow()
-    columns = {c: found.column(c).to_numpy() for c in _PATH}
-    order = np.argsort(columns["key"])
-    columns = {c: v[order] for c, v in columns.items()}
-    return Model(columns["key"], [columns["ordinary"], columns["toxic"]], [columns["f0"], columns["f1"]], columns["shared"], total, first, taken)
+    """A model too large to broadcast: its table (key, gain, miss) and root."""
+
+    def __init__(self, table: DataFrame, root: float):
+        self.table, self.root = table, root
+
+
+_COUNTED = "key long, parent long, piece long, ordinary long, toxic long"
+_CLASSES = ("ordinary", "toxic")
+
+
+class Counts:
+    """Counts of all paths of texts (text binary, toxic 0 or 1). table: of each path its occurrences by class, the
+    occurrences (n0, n1) and left-over mass (l0, l1) of the path before it, its own left-over mass (f0, f1) and the
+    shared probability of its last piece. total, first: those of the empty path; taken: discounts by class."""
+
+    def __init__(self, texts: DataFrame):
+        start = common.mark()
+        summed = texts.select("toxic", "text").mapInArrow(_counts, _COUNTED).groupBy("key")
+        paths = common.save(summed.agg(*[F.first(c).alias(c) for c in ("parent", "piece")], *[F.sum(c).alias(c) for c in _CLASSES]), "paths")
+        end = common.mark()
+        often = [F.count_if(F.col(c) == i) for c in _CLASSES for i in (1, 2, 3, 4)]
+        top = paths.agg(*[F.sum(F.when(F.col("parent") == 0, F.col(c))) for c in _CLASSES], F.count("*"), *often).first()
+        self.many, self.total = top[2], [top[0] or 0, top[1] or 0]
+        self.taken = taken = [discounts(top[3 + 4 * k : 7 + 4 * k]) for k in (0, 1)]
+        # whole counts are added up, so that a sum does not depend on the order
+        off = lambda c, k: sum((F.count_if(F.col(c) >= 3 if i == 3 else F.col(c) == i) * F.lit(float(taken[k][i])) for i in (1, 2, 3)), F.lit(0.0))
+        kinds = sum(F.when(F.col(c) > 0, 1).otherwise(0) for c in _CLASSES)
+        # a path's occurrences are those of the paths one piece longer
+        follow = paths.groupBy("parent").agg(
+            *[off(c, k).alias(f"l{k}") for k, c in enumerate(_CLASSES)], *[F.sum(c).alias(f"n{k}") for k, c in enumerate(_CLASSES)], F.sum(kinds).alias("all"), F.count("*").alias("children")
+        )
+        row = follow.filter("parent = 0").first()
+        self.first = [row.l0, row.l1] if row else [0.0, 0.0]
+        # a piece has at most two bytes, so there are fewer than 66,000: they may be broadcast
+        shared = paths.groupBy("piece").agg(F.count("*").alias("before"))
+        own = follow.select(F.col("parent").alias("key"), F.col("l0").alias("f0"), F.col("l1").alias("f1"))
+        table = paths.join(F.broadcast(shared), "piece").join(own, "key", "left").join(follow, "parent")
+        lower = (kinds - LOWER + LOWER * F.col("children") * F.col("before") / max(1, self.many)) / F.col("all")
+        rest = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("f0", "f1")]
+        self.table = common.save(table.select("key", *_CLASSES, "n0", "n1", "l0", "l1", *rest, F.greatest(lower, F.lit(1e-9)).alias("shared")), "model")
+        common.clear(start, end)
+
+    def scoring(self) -> tuple[DataFrame, float]:
+        """(key, gain, miss) of each path, and root, as Scorer has them."""
+        logs, left = [], []
+        for k, c in enumerate(_CLASSES):
+            taken = [F.lit(float(t)) for t in self.taken[k]]
+            least = F.lit(float(self.taken[k][1:].min()))
+            count, before = F.col(c), F.col(f"n{k}")
+            off = F.when(count >= 3, taken[3]).when(count == 2, taken[2]).when(count == 1, taken[1]).otherwise(taken[0])
+            n = F.greatest(before, F.lit(1))
+            p = F.greatest(count - off, F.lit(0.0)) / n + F.least(F.lit(1.0), F.greatest(F.col(f"l{k}"), least) / n) * F.col("shared")
+            logs.append(F.log(F.when(before > 0, p).otherwise(F.col("shared"))))
+            left.append(F.when(count > 0, F.log(F.least(F.lit(1.0), F.greatest(F.col(f"f{k}"), least) / count))).otherwise(F.lit(0.0)))
+        rows = self.table.select("key", (logs[1] - logs[0]).cast("float").alias("gain"), (left[1] - left[0]).cast("float").alias("miss"))
+        root = [np.log(min(1, max(self.first[k], self.taken[k][1:].min()) / n)) if (n := self.total[k]) else 0.0 for k in (0, 1)]
+        return rows, float(root[1] - root[0])
+
+    def model(self, texts: DataFrame | None = None) -> Model:
+        """The model of all paths, or of those in `texts`, on the driver."""
+        table = self.table
+        if texts is not None:
+            table = table.join(texts.select("toxic", "text").mapInArrow(_counts, _COUNTED).select("key").distinct(), "key", "left_semi")
+        found = table.select("key", *_CLASSES, "f0", "f1", "shared").toArrow()
+        order = np.argsort(found.column("key").to_numpy())
+        keys, ordinary, toxic, f0, f1, shared = (c.to_numpy()[order] for c in found.columns)
+        return Model(keys, [ordinary, toxic], [f0, f1], shared, self.total, self.first, self.taken)
 
 
 def train(texts: DataFrame):
-    """A model, broadcast or Far, and a logistic function of texts (text binary, toxic 0 or 1, pick below _PICKS)."""
+    """A Scorer, broadcast, or Far, and a logistic function of texts (text binary, toxic 0 or 1, pick below _PICKS)."""
     spark = texts.sparkSession
-    read = texts.select("toxic", "text", "pick")
-    counted = "key long, parent long, piece long, ordinary long, toxic long"
-    summed = read.mapInArrow(_counts, counted).groupBy("key").agg(*[F.first(c).alias(c) for c in ("parent", "piece")], *[F.sum(c).alias(c) for c in ("ordinary", "toxic")])
-    paths = common.save(summed, "paths")
-    classes = ("ordinary", "toxic")
-    top = paths.agg(*[F.sum(F.when(F.col("parent") == 0, F.col(c))) for c in classes], F.count("*"), *[F.count_if(F.col(c) == i) for c in classes for i in (1, 2, 3, 4)]).first()
-    taken = [discounts(top[3 + 4 * k : 7 + 4 * k]) for k in (0, 1)]
-    # whole counts are added up, so that a sum does not depend on the order
-    off = lambda c, k: sum((F.count_if(F.col(c) >= 3 if i == 3 else F.col(c) == i) * F.lit(float(taken[k][i])) for i in (1, 2, 3)), F.lit(0.0))
-    kinds = sum(F.when(F.col(c) > 0, 1).otherwise(0) for c in classes)
-    follow = paths.groupBy("parent").agg(*[off(c, k).alias(f"f{k}") for k, c in enumerate(classes)], F.sum(kinds).alias("kinds"), F.count("*").alias("children"))
-    # a piece has at most two bytes, so there are fewer than 66,000: they may be broadcast
-    shared = paths.groupBy("piece").agg(F.count("*").alias("before"))
-    row = follow.filter("parent = 0").first()
-    total, first = [top[0] or 0, top[1] or 0], [row.f0, row.f1] if row else [0, 0]
-    table = paths.join(follow.select(F.col("parent").alias("key"), "f0", "f1"), "key", "left").join(F.broadcast(shared), "piece")
-    table = table.join(follow.select("parent", F.col("kinds").alias("all"), "children"), "parent")
-    lower = (kinds - LOWER + LOWER * F.col("children") * F.col("before") / max(1, top[2])) / F.col("all")
-    table = table.select("key", "ordinary", "toxic", F.coalesce("f0", F.lit(0.0)).alias("f0"), F.coalesce("f1", F.lit(0.0)).alias("f1"), lower.alias("shared"))
-
+    counts = Counts(texts)
     n = texts.count()
-    some = read.filter(F.col("pick") < int(FIT / n * _PICKS)) if n > FIT else read
-    if top[2] > BROADCAST_PATHS:
-        table = common.save(table, "model")
-        own = some.mapInArrow(_counts, counted).select("key").distinct()  # paths of the FIT texts
-        fitted = spark.sparkContext.broadcast(_model(table.join(own, "key", "left_semi"), total, first, taken))
-        model = Far(table, total, first, taken)
-    else:
-        model = fitted = spark.sparkContext.broadcast(_model(table, total, first, taken))
+    some = texts.select("toxic", "text", "pick")
+    some = some.filter(F.col("pick") < int(FIT / n * _PICKS)) if n > FIT else some
+    fitted = spark.sparkContext.broadcast(counts.model(some))
     schema = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
 
-    def features(batches):
+    def own_features(batches):
         for rows in chunks(batch_rows(batches, "toxic", "text"), 1 << 20):
             y = np.array([r[0] for r in rows], np.int64)
             yield pa.RecordBatch.from_pydict({"toxic": y, "x": list(fitted.value.features([t for _, t in rows], y))}, schema)
 
-    fit = some.mapInArrow(features, "toxic int, x array<double>").toArrow()
+    fit = some.mapInArrow(own_features, "toxic int, x array<double>").toArrow()
+    fitted.destroy()
     x = np.array(fit.column("x").to_pylist()).reshape(-1, 5)
-    return model, Logistic(x, fit.column("toxic").to_numpy().astype(np.float64))
+    logistic = Logistic(x, fit.column("toxic").to_numpy().astype(np.float64))
+    table, root = counts.scoring()
+    if counts.many > BROADCAST_PATHS:
+        return Far(table, root), logistic
+    found = table.toArrow()
+    order = np.argsort(found.column("key").to_numpy())
+    return spark.sparkContext.broadcast(Scorer(*(c.to_numpy()[order] for c in found.columns), root)), logistic
 
 
-_OCCURS = pa.schema([("word", pa.int64()), ("keys", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64()))])
+_OCCURS = pa.schema([("chunk", pa.string()), ("words", pa.list_(pa.int64())), ("fresh", pa.list_(pa.list_(pa.int64()))), ("ids", pa.list_(pa.int64())), ("doc", pa.binary()), ("place", pa.binary())])
+_OCCURS_SQL = "chunk string, words array<long>, fresh array<array<long>>, ids array<long>, doc binary, place binary"
 
 
 def _occurrences(batches):
-    """Each word of a chunk of texts once, with the keys of its paths and the texts that it stands in."""
+    """Chunks of texts: their distinct words, which word each text has, and the words that this task did not have
+    before (at least not since it forgot them), with the keys of their paths."""
+    had = np.zeros(0, np.int64)
     for rows in chunks(batch_rows(batches, "id", "text")):
         words, doc, first, where = _words([t for _, t in rows])
         if not len(first):
             continue
-        ids = np.array([r[0] for r in rows], np.int64)
-        order = np.argsort(where, kind="stable")
-        edges = np.searchsorted(where[order], np.arange(len(first) + 1)).astype(np.int32)
-        keys, _ = _paths(words, first)
-        width = np.arange(len(first) + 1, dtype=np.int32) * keys.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(words.hash[first].view(np.int64)), pa.ListArray.from_arrays(width, keys.ravel()), pa.ListArray.from_arrays(edges, ids[doc[order]])], schema=_OCCURS)
+        hashes = words.hash[first].view(np.int64)
+        fresh = ~np.isin(hashes, had)
+        had = np.union1d(had, hashes) if len(had) < GATHERED else hashes
+        keys = np.c_[hashes[fresh], _paths(words, first[fresh])[0]]
+        out = (uuid.uuid4().hex, hashes, list(keys), [i for i, _ in rows], pack(doc.astype(np.int32)), pack(where.astype(np.int32)))
+        yield pa.RecordBatch.from_pydict(dict(zip(_OCCURS.names, ([x] for x in out), strict=True)), _OCCURS)
+
+
+def _of_chunks(batches):
+    schema = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float64()))])
+    for batch in batches:
+        for r in batch.to_pylist():
+            e = np.zeros(len(r["found"]))
+            for f in r["found"]:
+                e[f["pos"]] = f["e"]
+            x = features(e[unpack(r["place"], np.int32)], unpack(r["doc"], np.int32), len(r["ids"]))
+            yield pa.RecordBatch.from_pydict({"id": r["ids"], "x": list(x)}, schema)
 
 
 def _far(texts: DataFrame, model: Far) -> DataFrame:
-    """(id, x0 to x4): features of distinct texts (id long, text binary) that have words, by joins with the model.
+    """(id, x): features of distinct texts (id long, text binary), by joins with the model.
 
     A word goes over the network once a chunk of texts, not once a text; words with many chunks are split by the skew join.
     """
-    occurs = common.save(texts.mapInArrow(_occurrences, "word long, keys array<long>, texts array<long>"), "occurrences")
-    path = F.struct("level", *[F.coalesce(c, F.lit(0)).alias(c) for c in _PATH[1:]])  # unseen paths have zeros
-    known = occurs.dropDuplicates(["word"]).select("word", F.posexplode("keys").alias("level", "key")).filter("key != 0").join(model.table, "key", "left").groupBy("word").agg(F.collect_list(path).alias("paths"))  # LEVELS + 2 at most
-    total, first, taken = model.total, model.first, model.taken
-
-    def evidence(batches):
-        for batch in batches:
-            found = batch.column(1)
-            rows = {c: found.flatten().field(c).to_numpy() for c in ("level", *_PATH[1:])}
-            at = np.full((batch.num_rows, LEVELS + 2), len(rows["level"]))
-            at[np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy()), rows["level"]] = np.arange(len(rows["level"]))
-            part = Model(np.arange(len(rows["level"])), [rows["ordinary"], rows["toxic"]], [rows["f0"], rows["f1"]], rows["shared"], total, first, taken)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part._sum(at, at < len(rows["level"])))], ["word", "e"])
-
-    each = occurs.select("word", "texts").join(known.mapInArrow(evidence, "word long, e double"), "word", "left").select(F.explode("texts").alias("id"), F.coalesce("e", F.lit(0.0)).alias("e"))
-    e, n = F.col("e"), F.count("*")
-    strongest = F.aggregate(F.slice(F.sort_array(F.collect_list(F.when(e > 0, e)), asc=False), 1, STRONGEST), F.lit(0.0), lambda a, b: a + b)
-    return each.groupBy("id").agg((F.sum(e) / n).alias("x0"), (strongest / STRONGEST).alias("x1"), (F.count_if(e > STRONG) / F.sqrt(n)).alias("x2"), F.log1p(n).alias("x3"), F.log1p(F.count_if(e > 2 * STRONG)).alias("x4"))
+    occurs = common.save(texts.mapInArrow(_occurrences, _OCCURS_SQL), "occurrences")
+    path = occurs.select(F.explode("fresh").alias("k")).select(F.col("k")[0].alias("word"), F.slice("k", 2, LEVELS + 2).alias("keys")).dropDuplicates(["word"])
+    path = path.select("word", F.posexplode("keys").alias("level", "key")).filter("key != 0").join(model.table, "key", "left")
+    last = F.max(F.when(F.col("gain").isNotNull(), F.struct("level", "miss")))
+    e = F.sum(F.coalesce(F.col("gain").cast("double"), F.lit(0.0))) + F.when(F.count("gain") == F.count("*"), 0.0).otherwise(F.coalesce(last["miss"].cast("double"), F.lit(model.root)))
+    known = path.groupBy("word").agg(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), e)).alias("e"))
+    each = occurs.select("chunk", F.posexplode("words").alias("pos", "word")).join(known, "word")
+    found = each.groupBy("chunk").agg(F.collect_list(F.struct("pos", "e")).alias("found"))  # a chunk's words are bounded
+    return occurs.select("chunk", "ids", "doc", "place").join(found, "chunk").select("ids", "doc", "place", "found").mapInArrow(_of_chunks, "id long, x array<double>")
 
 
 def held_out(doc_id):
@@ -330,33 +409,44 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, model, logistic: Logistic, *keep: str) -> DataFrame:
-    """The columns `keep` of docs and score, from 0 to 1, of the whole text; null and empty texts get that of no words."""
-    names = ["__text", *keep]
-    read = docs.select(F.col("text").cast("binary").alias("__text"), *keep)
+    """The columns `keep` of docs and score, from 0 to 1, of the whole text; null and empty texts get that of no words.
+
+    A column `score` among `keep` is given up for the new one.
+    """
+    keep = [c for c in keep if c != "score"]
     if isinstance(model, Far):
         # equal texts have equal scores: rows meet theirs by a 64-bit hash of the text
-        read = read.withColumn("__id", F.xxhash64("__text"))
-        texts = read.filter("__text is not null").select(F.col("__id").alias("id"), F.col("__text").alias("text"))
-        unique = texts.groupBy("id").agg(F.min("text").alias("text"))
-        scores = _far(unique, model).select(F.col("id").alias("__id"), logistic.column(*[F.col(f"x{i}") for i in range(5)]).alias("score"))
+        text, known = F.col("text").cast("binary"), uuid.uuid4().hex
+        unique = docs.filter("text is not null").select(F.xxhash64(text).alias("id"), text.alias("text")).groupBy("id").agg(F.min("text").alias("text"))
+        found = _far(unique, model).select(F.col("id").alias(known), logistic.column(*[F.col("x")[i] for i in range(5)]).alias("score"))
         none = F.lit(float(logistic.score(np.zeros((1, 5)))[0]))
-        return read.join(scores, "__id", "left").select(*keep, F.coalesce("score", none).alias("score"))
-    out = read.drop("__text").schema.add("score", "double")
+        return docs.join(found, F.xxhash64(text) == F.col(known), "left").select(*[docs[c] for c in keep], F.coalesce(found["score"], none).alias("score"))
 
-    def run(batches):
-        for whole in batches:
-            for i in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(i, SLICE)
-                texts = [t or b"" for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logistic.score(model.value.features(texts)))], [*names[1:], "score"])
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = [[t or b"" for t in column.slice(i, SLICE).to_pylist()] for i in range(0, len(column), SLICE)]
+            yield pa.array(np.concatenate([logistic.score(model.value.features(p)) for p in parts]) if parts else [], pa.float64())
 
-    return read.mapInArrow(run, out)
+    return docs.select(*keep, scores(F.col("text").cast("binary")).alias("score"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
+    """score() by a model of the labelled docs, and predicted: 1 from THRESHOLD on. Columns of these names in docs are given up.
+
+    Repeated rows each get their score; without labels, or labels of one class only, all get the smoothed base rate.
+    """
     return score(docs, *train(training_texts(docs, labels)), *keep).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose text is not predicted to be toxic, with all their columns."""
+    names = {c: f"{c}_{uuid.uuid4().hex}" for c in docs.columns if c in ("score", "predicted")}
+    found = judged(docs.withColumnsRenamed(names), labels, *[names.get(c, c) for c in docs.columns])
+    return found.filter("predicted = 0").drop("score", "predicted").withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones too; a null or empty text scores as no words, a null id is never held out."""
     found = judged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), "doc_id")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -17,7 +17,8 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NON_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 _BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_MASK = (1 << 64) - 1
+#: Bytes hashed at once.
+BLOCK = 1 << 18
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -62,23 +63,42 @@ class Spans:
 
 
 class Words:
-    """The words of some texts: hash has a value per word, bounds the words of text i as bounds[i]:bounds[i + 1]."""
+    """The words of some texts: hash has a value per word, bounds the words of text i as bounds[i]:bounds[i + 1].
+
+    Bytes are hashed in blocks of BLOCK that end behind a word, so that what is needed besides start, end and hash
+    doesn't grow with the texts (but with the longest word).
+    """
 
     def __init__(self, texts: list[bytes], separators: bytes):
         joined = separators[:1].join([*texts, b""]) if texts else b""
-        raw = np.frombuffer(joined, np.uint8)
+        raw = self.raw = np.frombuffer(joined, np.uint8)
         table = np.zeros(256, bool)
         table[list(separators)] = True
-        gap = table[raw]
-        inside = np.concatenate([[False], ~gap, [False]])
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edge[0::2], edge[1::2]
-        values = _VALUES.copy()
-        values[list(separators)] = 0
-        self.start, self.end, self.bytes = start, end, Spans(values[raw], _BASE)
-        self.hash = self.bytes.hash(start, end)
-        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        self.bounds = np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
+        starts, ends, hashes, at = [], [], [], 0
+        while at < len(raw):
+            stop = min(at + BLOCK, len(raw))
+            while stop < len(raw) and not table[raw[stop - 1]]:
+                gap = table[raw[stop : stop + BLOCK]]
+                stop += int(gap.argmax()) + 1 if gap.any() else len(gap)
+            part = raw[at:stop]
+            inside = np.concatenate([[False], ~table[part], [False]])
+            edge = np.flatnonzero(inside[1:] != inside[:-1])
+            start, end = edge[0::2], edge[1::2]
+            hashes.append(Spans(_VALUES[part], _BASE).hash(start, end))
+            starts.append(start + at)
+            ends.append(end + at)
+            at = stop
+        self.start, self.end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        cut = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        self.bounds = np.concatenate([[0], np.searchsorted(self.start, cut)]).astype(np.int64)
+
+    def spelled(self, which: np.ndarray) -> tuple[Spans, np.ndarray, np.ndarray]:
+        """The bytes of some words one after another, and where each begins and ends in them."""
+        size = self.end[which] - self.start[which]
+        end = np.cumsum(size)
+        start = end - size
+        return Spans(_VALUES[self.raw[np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[which] - start, size)]], _BASE), start, end
 
     @property
     def counts(self) -> np.ndarray:
@@ -127,6 +147,12 @@ def batch_rows(batches, *names: str) -> Iterator[tuple]:
             yield from zip(*values, strict=True)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; quicker by sorting than np.unique is."""
+    v = np.sort(values)
+    return v[np.concatenate([[True], v[1:] != v[:-1]])] if len(v) else v
+
+
 def pack(values: np.ndarray) -> bytes:
     """Bytes by place value, all lowest bytes first: sorted or small numbers then compress well."""
     v = np.ascontiguousarray(values)

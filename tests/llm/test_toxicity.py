@@ -64,6 +64,7 @@ def test_every_frequent_path_is_in_the_model(spark):
     texts = [(i % 2, f"w{i % 400:04d}", i) for i in range(4000)]
     found = spark.createDataFrame(texts, "toxic int, text string, pick long").selectExpr("toxic", "cast(text as binary) as text", "pick")
     model, _ = tx.train(found)
+    assert model.value.keys.tolist() == tx.Counts(found).model().keys.tolist()
     ends = set(tx._paths(*(lambda w: (w, np.arange(len(w.hash))))(tx.Words([f"w{i:04d}".encode() for i in range(400)], tx.NON_WORD)))[0][:, 2].tolist())
     assert ends <= set(model.value.keys.tolist())
 
@@ -71,7 +72,7 @@ def test_every_frequent_path_is_in_the_model(spark):
 def test_rare_paths_are_kept_and_unseen_pieces_back_off(spark):
     texts = [(i % 2, f"w{i // 2 if i % 2 else i // 8:04d}", i) for i in range(400)]
     found = spark.createDataFrame(texts, "toxic int, text string, pick long").selectExpr("toxic", "cast(text as binary) as text", "pick")
-    model = tx.train(found)[0].value
+    model = tx.Counts(found).model()
     words = tx.Words([f"w{i:04d} ".encode() for i in range(200)], tx.NON_WORD)
     assert set(tx._paths(words, np.arange(200))[0][:, 2].tolist()) <= set(model.keys.tolist())  # most stand in one text
     assert all(0 < t[i] < i for t in model.taken for i in (1, 2, 3))
@@ -87,7 +88,7 @@ def test_own_counts_leave_as_if_never_counted(spark):
     rng = random.Random(3)
     texts = [(int(i % 3 == 0), " ".join(rng.choice("abc") + rng.choice("de") * rng.choice([1, 2, 3]) + rng.choice(["", "x", "yz"]) for _ in range(6)), i) for i in range(60)]
     read = lambda rows: spark.createDataFrame(rows, "toxic int, text string, pick long").selectExpr("toxic", "cast(text as binary) as text", "pick")
-    with_it, without = tx.train(read(texts))[0].value, tx.train(read(texts[1:]))[0].value
+    with_it, without = tx.Counts(read(texts)).model(), tx.Counts(read(texts[1:])).model()
     at = {int(k): i for i, k in enumerate(with_it.keys)}
     words, _, first, _ = tx._words([texts[0][1].encode()])
     keys, _ = tx._paths(words, first)
@@ -99,3 +100,72 @@ def test_own_counts_leave_as_if_never_counted(spark):
             if keys[r, j]:
                 assert with_it.seen[1][rows[r, j]] - mine[r, j] == (without.seen[1][there[int(keys[r, j])]] if int(keys[r, j]) in there else 0)
     assert (less >= -1e-6).all() and less.max() > 0
+
+
+def test_evidence_equals_brute_force_kneser_ney(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.choice([1, 2, 3, 4, 7, 12, 13, 19])))
+    texts = [(int(i % 3 == 0), " ".join([word() for _ in range(8)] + ["vil" + rng.choice("eo")] * (i % 3 == 0)), i) for i in range(150)]
+
+    def path(w):
+        b, out = w.encode(), []
+        for j in range(tx.LEVELS + 1):
+            if len(b) >= j * tx.STEP:
+                out.append(b[j * tx.STEP :][: tx.STEP if j < tx.LEVELS else None] if j < tx.LEVELS else ("rest",))
+                out[-1] = (b[: (j + 1) * tx.STEP] if j < tx.LEVELS else b, j, out[-1])
+        if len(b) > tx.LEVELS * tx.STEP:
+            out.append((b, tx.LEVELS + 1, ("end",)))
+        return out
+
+    count = [{}, {}]  # class -> path -> texts with it, once for each word
+    parent, piece = {}, {}
+    for y, t, _ in texts:
+        for w in set(t.split()):
+            before = None
+            for spelled, j, last in path(w):
+                key = (spelled, j)
+                count[y][key] = count[y].get(key, 0) + 1
+                parent[key], piece[key] = before, last
+                before = key
+    n = [[sum(v == i for v in c.values()) for i in (1, 2, 3, 4)] for c in count]
+    taken = [tx.discounts(x) for x in n]
+    children = {}
+    for key, before in parent.items():
+        children.setdefault(before, []).append(key)
+    stands = {p: sum(q == p for q in piece.values()) for p in set(piece.values())}
+
+    def evidence(w):
+        total = 0.0
+        for depth, (spelled, j, last) in enumerate(path(w)):
+            key, before = (spelled, j), (path(w)[depth - 1][:2] if depth else None)
+            if depth and before not in parent:
+                break
+            logs = []
+            for k in (0, 1):
+                own = children.get(before, [])
+                seen = sum(count[k].get(c, 0) for c in own)
+                left = max(sum(taken[k][min(3, count[k].get(c, 0))] for c in own), taken[k][1:].min())
+                kinds = lambda c: (c in count[0]) + (c in count[1])
+                shared = 1e-9
+                if key in parent:
+                    shared = max(shared, (kinds(key) - tx.LOWER + tx.LOWER * len(own) * stands[last] / len(parent)) / sum(map(kinds, own)))
+                c = count[k].get(key, 0)
+                logs.append(np.log(max(c - taken[k][min(3, c)], 0) / seen + min(1, left / seen) * shared) if seen else np.log(shared))
+            total += logs[1] - logs[0]
+        return np.clip(total, -tx.MOST, tx.MOST)
+
+    found = spark.createDataFrame(texts, "toxic int, text string, pick long").selectExpr("toxic", "cast(text as binary) as text", "pick")
+    scorer, model = tx.train(found)[0].value, tx.Counts(found).model()
+    ask = sorted({w for _, t, _ in texts for w in t.split()})[:150] + ["vila", "abéx", "zzz", "abcabcabcabcabcx", "é"]
+    for w in ask:
+        (e,), _ = scorer.evidence([w.encode()])
+        assert abs(e - evidence(w)) < 1e-4, w
+        assert abs(e - model.evidence([w.encode()])[0][0]) < 1e-4, w
+
+
+def test_columns_named_as_results_survive_in_the_filter(spark):
+    docs = spark.createDataFrame([(1, "a", 5.0, "p"), (1, "a", 5.0, "p"), (2, None, None, None)], "doc_id long, text string, score double, predicted string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    got = tx.clean(docs, labels)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    assert tx.judged(docs, labels, *docs.columns).count() == 3
