@@ -15,18 +15,19 @@ link share one of their n - ceil(3n/4) + 1 rarest shingles, and each such shingl
 2. `_route`: texts that go on enter the trees of their rarest shingles, common ones last.
 3. Each text is first verified against one centre (the text of a tree with the most common shingles), so
    that a large group of near copies becomes one class without its pairs being listed.
-4. In trees that still hold several classes, leaves, points and sets are compared as above.
+4. In trees that still hold several classes, boxes of inner nodes, of their leaves, points and sets are compared
+   in turn; a tree of one leaf starts at its points.
 5. Classes grow into components by alternating large-star and small-star steps on tables.
 
 Hashes have 64 bits. Buckets, leaves and broadcasts are bounded; hot shingles are settled within each
-chunk of texts before they are shuffled, and large trees are dealt out by leaves.
+chunk of texts before they are shuffled, and large trees are dealt out by nodes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
@@ -38,6 +39,8 @@ BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 128
 HOT, HOT_LIMIT = 64, 2_000_000
 #: Texts in an R-tree leaf, and about how many of a tree one task deals into leaves.
 LEAF, DEAL = 256, 4096
+#: Bytes of text that are routed at once.
+ROUTED_BYTES = 1 << 19
 
 
 def needed(a, b):
@@ -73,8 +76,8 @@ def _fold(size: int, buckets: int):
             aside = -1 - int(hashes.sum() % np.uint64(buckets))
             out = [(aside, name, [r[0] for r in rows], pack(tag), pack(np.diff(bounds).astype(np.int32)), b"", b"", b"")]
             once = np.zeros(len(rows), bool)
-            once[np.unique(tag, return_index=True)[1]] = True
-            once &= np.array([r[0] is not None for r in rows])
+            counted = np.flatnonzero([r[0] is not None for r in rows])  # rows with a null id link with nothing
+            once[counted[np.unique(tag[counted], return_index=True)[1]]] = True
             hashes, doc = hashes[once[doc]], doc[once[doc]]
             order = np.argsort(hashes, kind="stable")
             hashes, doc = hashes[order], doc[order]
@@ -187,7 +190,7 @@ def _route(size: int, buckets: int, sent):
 
     def run(batches):
         keys, often = sent.value
-        for rows in chunks(batch_rows(batches, "id", "text")):
+        for rows in chunks(batch_rows(batches, "id", "text"), ROUTED_BYTES):
             hashes, doc, bounds, tag = _sets(rows, size)
             key = ((hashes % np.uint64(buckets)) << np.uint64(32) | (hashes >> np.uint64(32))).view(np.int64)
             at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
@@ -255,34 +258,60 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return one.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long")
 
 
-_LEAF = "h long, leaf string, n_min int, n_max int, label_min long, label_max long, top binary, cls binary, n binary, pos binary, label binary, points binary"
-_LEAF_ARROW = pa.schema([("h", pa.int64()), ("leaf", pa.string()), ("n_min", pa.int32()), ("n_max", pa.int32()), ("label_min", pa.int64()), ("label_max", pa.int64()), *((n, pa.binary()) for n in ("top", "cls", "n", "pos", "label", "points"))])
+_BOX = "h long, node string, leaf string, n_min int, n_max int, label_min long, label_max long, top array<int>"
+_LEAF = f"{_BOX}, cls binary, n binary, pos binary, label binary, points binary"
+_LEAF_ARROW = pa.schema([("h", pa.int64()), ("node", pa.string()), ("leaf", pa.string()), ("n_min", pa.int32()), ("n_max", pa.int32()), ("label_min", pa.int64()), ("label_max", pa.int64()), ("top", pa.list_(pa.int32())), *((n, pa.binary()) for n in ("cls", "n", "pos", "label", "points"))])
 
 
 def _leaves(table: pa.Table) -> pa.Table:
-    """Leaves of one dealt part of a tree: neighbours by class, size and counts."""
+    """Leaves of one node of a tree: neighbours by class, size and counts."""
     cls, first = np.unique(table.column("cls").to_numpy(), return_index=True)
     get = lambda n: table.column(n).to_numpy(zero_copy_only=False)[first]
     n, pos, label = get("n"), get("pos"), get("label")
     points = np.frombuffer(b"".join(get("point")), np.uint16).reshape(-1, DIMS)
     order = np.lexsort((*points.T[:4], n, label))
-    h, deal = table.column("h")[0].as_py(), table.column("deal")[0].as_py()
+    h, deal, part = (table.column(c)[0].as_py() for c in ("h", "deal", "part"))
     out = []
     for k in range(0, len(order), LEAF):
         o = order[k : k + LEAF]
-        out.append((h, f"{deal}-{k}", int(n[o].min()), int(n[o].max()), int(label[o].min()), int(label[o].max()), points[o].max(0).tobytes(), cls[o].tobytes(), n[o].tobytes(), pos[o].tobytes(), label[o].tobytes(), points[o].tobytes()))
+        box = (int(n[o].min()), int(n[o].max()), int(label[o].min()), int(label[o].max()), points[o].max(0).astype(np.int32))
+        out.append((h, f"{deal}-{part}", f"{deal}-{part}-{k}", *box, *(x[o].tobytes() for x in (cls, n, pos, label, points))))
     return pa.Table.from_pydict(dict(zip(_LEAF_ARROW.names, map(list, zip(*out, strict=True)), strict=True)), _LEAF_ARROW)
 
 
+def _boxes_may_link() -> Column:
+    """Whether boxes x and y may hold texts that link: by sizes, by labels, and by the sum of the minima of their
+    upper corners. Counts of 65535 may stand for more: such boxes are not pruned by corners."""
+    x, y = ({c: F.col(f"{s}_{c}") for c in ("n_min", "n_max", "label_min", "label_max", "top")} for s in "xy")
+    sizes = (4 * x["n_max"] >= 3 * y["n_min"]) & (4 * y["n_max"] >= 3 * x["n_min"])
+    labels = (x["label_min"] < x["label_max"]) | (y["label_min"] < y["label_max"]) | (x["label_min"] != y["label_min"])
+    overlap = F.aggregate(F.zip_with(x["top"], y["top"], lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, b: a + b)
+    full = F.greatest(F.array_max(x["top"]), F.array_max(y["top"])) == 65535
+    return sizes & labels & (full | (7 * overlap >= 3 * (x["n_min"].cast("long") + y["n_min"])))
+
+
+def _sides(df: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    x, y = (df.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in keys)) for s in "xy")
+    return x, y
+
+
+def tree_pairs(leaves: DataFrame) -> DataFrame:
+    """Pairs of leaves of one tree (or a leaf with itself) whose boxes, and those of whose nodes, may hold linked texts."""
+    low, high = [F.min(c).alias(c) for c in ("n_min", "label_min")], [F.max(c).alias(c) for c in ("n_max", "label_max")]
+    nodes = leaves.groupBy("h", "node").agg(*low, *high, *[F.max(F.col("top")[i]).alias(f"t{i}") for i in range(DIMS)])
+    nodes = nodes.select("h", "node", "n_min", "n_max", "label_min", "label_max", F.array(*[f"t{i}" for i in range(DIMS)]).alias("top"))
+    x, y = _sides(nodes, "h")
+    near = x.join(y, "h").filter("x_node <= y_node").filter(_boxes_may_link()).select("h", "x_node", "y_node")
+    x, y = _sides(leaves, "h")
+    both = near.join(x, ["h", "x_node"]).join(y, ["h", "y_node"])
+    return both.filter("x_node < y_node or x_leaf <= y_leaf").filter(_boxes_may_link())
+
+
 def _leaf_pairs(batches):
     """Pairs of texts of two leaves (or one) that no bound rules out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         for r in batch.to_pylist():
-            tops = [np.frombuffer(r[f"{s}_top"], np.uint16).astype(np.int64) for s in "xy"]
-            full = any((t == 65535).any() for t in tops)
-            if not full and np.minimum(*tops).sum() < needed(r["x_n_min"], r["y_n_min"]):
-                continue
             side = [{c: np.frombuffer(r[f"{s}_{c}"], k) for c, k in (("cls", np.int64), ("n", np.int32), ("pos", np.int32), ("label", np.int64))} | {"points": np.frombuffer(r[f"{s}_points"], np.uint16).reshape(-1, DIMS)} for s in "xy"]
             i, j = np.nonzero(side[0]["label"][:, None] != side[1]["label"][None])
             if r["x_leaf"] == r["y_leaf"]:
@@ -392,10 +421,12 @@ def similar(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_c
     mixed = entries.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
     mixed = entries.join(mixed, "h")
     small = mixed.filter(F.col("many") <= LEAF).select("h", "cls", "n", "pos", "label", "point").repartition("h").sortWithinPartitions("h").mapInArrow(_small_trees, "a long, b long")
-    dealt = mixed.filter(F.col("many") > LEAF).withColumn("deal", F.pmod(F.xxhash64("label"), F.ceil(F.col("many") / DEAL)))
-    leaves = common.save(dealt.groupBy("h", "deal").applyInArrow(_leaves, _LEAF), "leaves")
-    x, y = (leaves.select("h", *(F.col(c).alias(f"{s}_{c}") for c in leaves.columns if c != "h")) for s in "xy")
-    both = x.join(y, "h").filter("x_leaf <= y_leaf and 4 * x_n_max >= 3 * y_n_min and 4 * y_n_max >= 3 * x_n_min and not (x_label_min = x_label_max and y_label_min = y_label_max and x_label_min = y_label_min)")
+    large = mixed.filter(F.col("many") > LEAF)
+    # a node holds about DEAL texts; of one label with more, each goes to one of several nodes
+    labels = large.groupBy("h", "label").agg(F.count("*").alias("alike"))
+    dealt = large.join(labels, ["h", "label"]).withColumns({"deal": F.pmod(F.xxhash64("label"), F.ceil(F.col("many") / DEAL)), "part": F.pmod(F.xxhash64("cls"), F.ceil(F.col("alike") / DEAL))})
+    leaves = common.save(dealt.groupBy("h", "deal", "part").applyInArrow(_leaves, _LEAF), "leaves")
+    both = tree_pairs(leaves)
     rest = _verify(common.save(both.mapInArrow(_leaf_pairs, "a long, b long").unionByName(small).distinct(), "pairs"), sets)
     return members, stars.unionByName(common.save(rest, "links"))
 
@@ -406,9 +437,12 @@ def groups(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_co
     component_id is the smallest id reachable by links, the row's own for a text without words, null for a null id.
     """
     members, links = similar(docs, size, id_col, text_col)
-    found = components(links)
-    classes = members.filter("id is not null and n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(found, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"), "least")
-    classes = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cls", "component_id")
+    classes = common.save(members.filter("id is not null and n > 0").groupBy("cls").agg(F.min("id").alias("least")), "classes")
+    # a class goes by its smallest id first, so that a component's smallest node has the smallest id in it
+    for c in ("a", "b"):
+        links = links.join(classes.select(F.col("cls").alias(c), F.struct("least", "cls").alias(f"node_{c}")), c)
+    found = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).select(F.col("node.cls").alias("cls"), F.col("component.least").alias("component_id"))
+    classes = classes.join(found, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
     return members.join(classes, "cls", "left").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -419,15 +453,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = groups(docs, id_col=id_col, text_col=text_col).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.expr("doc_id = component_id")).alias("stays"), F.count("*").alias("n"))
     found = common.save(found.filter("not stays or n > 1"), "dropped")
-    gone, twice = (found.filter(c).select(F.col("doc_id").alias("__id")) for c in ("not stays", "stays and n > 1"))
+    id_, place = common.fresh("id"), common.fresh("place")
+    gone, twice = (found.filter(c).select(F.col("doc_id").alias(id_)) for c in ("not stays", "stays and n > 1"))
     few = found.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
     hint = F.broadcast if few else lambda df: df
-    kept = docs.join(hint(gone), docs[id_col] == F.col("__id"), "left_anti")
+    kept = docs.join(hint(gone), docs[id_col] == F.col(id_), "left_anti")
     if twice.isEmpty():
         return kept
-    one = kept.join(hint(twice), docs[id_col] == F.col("__id"), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("__n = 1")
-    return kept.join(hint(twice), docs[id_col] == F.col("__id"), "left_anti").unionByName(one.select(*docs.columns))
+    again = kept.join(hint(twice), docs[id_col] == F.col(id_), "left_semi")
+    one = again.withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter(F.col(place) == 1)
+    return kept.join(hint(twice), docs[id_col] == F.col(id_), "left_anti").unionByName(one.select(*docs.columns))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones too; see groups() for nulls, empty texts and ties."""
     return groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tallyspark.llm import jaccard_join as jj
@@ -89,3 +90,39 @@ def test_deduplicated(spark):
     docs = spark.createDataFrame([(1, a, "x"), (2, a, "y"), (1, a + " z", "z"), (3, "b", None), (None, "b", None), (4, None, None)], "doc_id long, text string, more string")
     assert sorted(tuple(r) for r in jj.deduplicated(docs).filter("doc_id is not null").collect()) == [(1, a, "x"), (3, "b", None), (4, None, None)]
     assert jj.deduplicated(docs).filter("doc_id is null").count() == 1
+
+
+def test_a_null_id_before_its_copies_hides_no_link(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, text), (1, text), (2, text + " z")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jj.groups(docs).collect()}
+    assert got == {None: None, 1: 1, 2: 1}
+
+
+def test_one_id_with_two_texts_joins_nothing(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (0, b + " z"), (3, a + " z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jj.groups(docs).collect()) == [(0, 0), (1, 0), (1, 1), (3, 1)]
+
+
+def test_nodes_and_leaves_of_a_tree_prune(spark):
+    rng, rows = np.random.default_rng(3), []
+    for i in range(1200):  # two kinds of texts whose shingles fall into other groups, in nodes of their own
+        point = np.zeros(jj.DIMS, np.uint16)
+        point[(0 if i < 600 else 16) + rng.integers(0, 16, 60)] += 2
+        rows.append((1, i, int(point.sum()), 0, i, point.tobytes(), 0 if i < 600 else 1, 0))
+    table = spark.createDataFrame(rows, "h long, cls long, n int, pos int, label long, point binary, deal long, part long")
+    leaves = table.groupBy("h", "deal", "part").applyInArrow(jj._leaves, jj._LEAF)
+    pairs = jj.tree_pairs(leaves)
+    assert leaves.count() == 6 and pairs.filter("x_node <> y_node").count() == 0  # of 9 pairs of leaves between the nodes
+    kept = {(r.x_leaf, r.y_leaf) for r in pairs.collect()}
+    box = {r.leaf: r for r in leaves.collect()}
+    for a in box.values():
+        for b in box.values():
+            may = sum(map(min, a.top, b.top)) >= jj.needed(a.n_min, b.n_min) and 4 * a.n_max >= 3 * b.n_min and 4 * b.n_max >= 3 * a.n_min
+            assert not may or (a.leaf, b.leaf) in kept or (b.leaf, a.leaf) in kept
+
+
+def test_columns_of_any_name_survive(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6), (2, "a", 7, 8)], "doc_id long, text string, __id int, component_id int")
+    assert jj.deduplicated(docs).collect() == [docs.first()]
