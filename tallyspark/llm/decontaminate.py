@@ -190,8 +190,8 @@ def _joined(batches):
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, bytes]]]:
-    """All test items, streamed to the driver in lists of about BLOCK_WINDOWS words of text."""
-    words = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^0-9A-Za-z]+"))
+    """All test items, streamed to the driver in lists of at most BLOCK_WINDOWS words of text, or of one item."""
+    words = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     out: list = []
     total = 0
     for r in benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), words.alias("n")).toLocalIterator():
@@ -218,6 +218,7 @@ def search(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text
         sent = spark.sparkContext.broadcast(windows)
         counts = index.select("terms", "counts").mapInArrow(_frequencies(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         windows.rank({int(np.int64(r.term).view(np.uint64)): r.n for r in counts.toLocalIterator()})
+        sent.destroy()
         sent = spark.sparkContext.broadcast(windows)
         parts.append(index.mapInArrow(_matches(sent, slop, _gap(window, slop)), _MATCH_SQL))
     if len(parts) == 1:
@@ -237,14 +238,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated rows; rows are told apart by doc_id and text."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    """docs without contaminated rows; rows are told apart by doc_id and text. Null and empty texts stay."""
+    id_, key = common.fresh("id"), common.fresh("key")
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(id_), F.col("key").alias(key)).distinct()
     bad = common.save(bad, "contaminated")
     few = bad.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones too; see search() for nulls, empty texts and an empty benchmark."""
     found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated")

@@ -2,12 +2,16 @@
 
 Base spans are the matches of fixed patterns. Entropy spans are stretches of candidate strings whose sliding
 windows of WINDOW characters reach the Shannon entropy of their character class; a step to the next
-window changes the counts of one leaving and one entering character only. Candidates that match the allow-list
+window changes the counts of one leaving and one entering character only, so a candidate costs time in proportion to
+its length. Candidates that match the allow-list
 are passed over, as are stretches that overlap a base span. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,10 @@ KINDS = [*(k for k, *_ in PATTERNS), "entropy"]
 #: The same spans as the kind's pattern has after its least length, where that can be told beforehand: runs are maximal.
 _LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 WINDOW = 20
+#: The characters of candidates. A window's counts are a string whose nth character's code tells how often the nth of these occurs.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Units of c * log2(c) in which sums are kept: whole numbers, so that no step loses anything.
+_UNITS = 1 << 40
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Character classes in order of trial: what a candidate of the class looks like, and the least entropy in bits a character.
 CLASSES = [
@@ -36,7 +44,7 @@ ALLOWED = [
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]",
     r"(.)\1{5}",
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^[a-z]+([/_=-][a-z]+)*[/_=-]?[0-9]{1,4}$",
+    r"^(?!.*[/_=-]{2})[a-z][a-z/_=-]*[0-9]{1,4}$",
 ]
 _BLOCK = 256
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
@@ -57,13 +65,22 @@ def matches(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
 
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
     named = F.transform(parts, lambda p: F.struct(p["gap"].cast("bigint").alias("gap"), p["size"].cast("bigint").alias("size"), p["value"].alias("value")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(named) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(named, b * _BLOCK + 1, F.lit(_BLOCK)), empty, add))
-    moved = F.aggregate(
-        blocks,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
-        lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["out"], F.array(F.transform(b["out"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + s["at"]).alias("end"), x["value"].alias("value"))))).alias("out")),
-    )
-    return F.when(text.rlike(pattern), F.flatten(moved["out"])).otherwise(F.array().cast(_SPAN))
+
+    def joined(named):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(named) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(named, b * _BLOCK + 1, F.lit(_BLOCK)), empty, add))
+        moved = F.aggregate(
+            blocks,
+            F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
+            lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["out"], F.array(F.transform(b["out"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + s["at"]).alias("end"), x["value"].alias("value"))))).alias("out")),
+        )
+        return F.flatten(moved["out"])
+
+    return F.when(text.rlike(pattern), _once(named, joined)).otherwise(F.array().cast(_SPAN))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once, though the lambdas in `then` name it again and again."""
+    return F.transform(F.array(value), then)[0]
 
 
 def _longer(least: int):
@@ -83,53 +100,72 @@ def base_spans(text: Column) -> list[Column]:
     return out
 
 
-def _f(count: Column) -> Column:
-    return F.when(count > 0, count * F.log2(count)).otherwise(F.lit(0.0))
-
-
-def _count(text: Column, char: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
-
-
 def _stretch(span: Column) -> Column:
     """The stretch of windows of a candidate that reach its class's entropy; its end is 0 if none does."""
-    text, size = span["value"], F.length(span["value"])
-    least = F.lit(99.0)
+    text = span["value"]
+    # entropy = log2(WINDOW) - sum(c * log2(c)) / WINDOW: at most so much of the sum is let through, none for -1
+    limit = lambda bits: F.lit(math.floor((math.log2(WINDOW) - bits) * WINDOW * _UNITS))
+    most = F.lit(-1)
     for _, pattern, bits in reversed(CLASSES):
-        least = F.when(text.rlike(pattern), F.lit(bits)).otherwise(least)
+        most = F.when(text.rlike(pattern), limit(bits)).otherwise(most)
     for pattern in ALLOWED:
-        least = F.when(text.rlike(pattern), F.lit(99.0)).otherwise(least)
-    first = F.substring(text, 1, WINDOW)
-    total = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda s, c: s + F.when(c == "", F.lit(0.0)).otherwise(_f(_count(first, c).cast("double"))))
-
-    def reaches(state_total, bits):  # entropy = log2(WINDOW) - sum(c * log2(c)) / WINDOW
-        return F.log2(F.lit(float(WINDOW))) - state_total / WINDOW >= bits
+        most = F.when(text.rlike(pattern), F.lit(-1)).otherwise(most)
+    weights = F.array(*[F.lit(round(c * math.log2(c) * _UNITS) if c else 0) for c in range(WINDOW + 1)])
+    weight = lambda count: F.element_at(weights, count + 1)
+    count = lambda counts, place: F.ascii(F.substring(counts, place, F.lit(1)))
+    with_count = lambda counts, place, n: F.overlay(counts, F.char(n), place, F.lit(1))
+
+    def fold(bound):
+        places, most = bound["places"], bound["most"]
+
+        def leave(state, i):
+            place = F.element_at(places, i - WINDOW)
+            n = count(state["counts"], place)
+            less = F.struct(with_count(state["counts"], place, n - 1).alias("counts"), (state["total"] - weight(n) + weight(n - 1)).alias("total"))
+            return F.when(i > WINDOW, less).otherwise(F.struct(state["counts"], state["total"]))
+
+        def enter(state, left, i):
+            place = F.element_at(places, i)
+            n = count(left["counts"], place)
+            total = left["total"] + weight(n + 1) - weight(n)
+            hit = (i >= WINDOW) & (total <= most)
+            return F.struct(
+                with_count(left["counts"], place, n + 1).alias("counts"), total.alias("total"), F.when(hit & (state["high"] == 0), i - WINDOW).otherwise(state["low"]).alias("low"), F.when(hit, i).otherwise(state["high"]).alias("high")
+            )
+
+        start = F.struct(F.lit("\0" * len(ALPHABET)).alias("counts"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+        steps = F.when(most >= 0, F.sequence(F.lit(1), F.size(places))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start, lambda state, i: _once(leave(state, i), lambda left: enter(state, left, i)))
+
+    places = F.when(most >= 0, F.transform(F.split(text, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c)))).otherwise(F.array().cast("array<int>"))
+    bound = F.struct(F.filter(places, lambda x: x > 0).alias("places"), most.alias("most"))
+    state = _once(_once(bound, fold), lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high")))
+    return _once(
+        state,
+        lambda state: F.struct((span["start"] + state["low"]).alias("start"), F.lit(len(PATTERNS)).alias("kind"), F.when(state["high"] > 0, span["start"] + state["high"]).otherwise(F.lit(0)).cast("bigint").alias("end"), F.lit(None).cast("string").alias("value")),
+    )
 
-    def step(state, i):
-        middle, gone, come = text.substr(i + 1, F.lit(WINDOW - 1)), text.substr(i, F.lit(1)), text.substr(i + WINDOW, F.lit(1))
-        out, into = _count(middle, gone).cast("double"), _count(middle, come).cast("double")
-        now = state["total"] + _f(out) - _f(out + 1) + _f(into + 1) - _f(into)
-        hit = reaches(now, state["bits"])
-        return F.struct(now.alias("total"), state["bits"].alias("bits"), F.when(hit & (state["high"] == 0), i).otherwise(state["low"]).alias("low"), F.when(hit, i + WINDOW).otherwise(state["high"]).alias("high"))
 
-    start = F.struct(total.alias("total"), least.alias("bits"), F.lit(0).alias("low"), F.when(reaches(total, least), F.lit(WINDOW)).otherwise(F.lit(0)).alias("high"))
-    steps = F.when((least < 99) & (size > WINDOW), F.sequence(F.lit(1), size - WINDOW)).otherwise(F.array().cast("array<int>"))
-    state = F.aggregate(steps, start, step)
-    return F.struct((span["start"] + state["low"]).alias("start"), F.lit(len(PATTERNS)).alias("kind"), F.when(state["high"] > 0, span["start"] + state["high"]).otherwise(F.lit(0)).cast("bigint").alias("end"), F.lit(None).cast("string").alias("value"))
+def _scanned(docs: DataFrame, text_col: str) -> tuple[DataFrame, str, str, str]:
+    """docs with three more columns, and their names: the text (null read as empty), its base spans, all its spans."""
+    text, base, every, candidates, *kinds = (common.fresh(n) for n in ("text", "base", "spans", "candidates", *KINDS))
+    t = F.col(text)
+    found = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    mixed = F.filter(matches(t, CANDIDATE, len(PATTERNS)), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    found = found.withColumns(dict(zip(kinds, base_spans(t), strict=False)) | {candidates: mixed})
+    found = found.withColumn(base, F.array_sort(F.concat(*kinds[: len(PATTERNS)])))
+    alone = F.filter(F.transform(candidates, _stretch), lambda s: (s["end"] > 0) & ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return found.withColumn(every, F.array_sort(F.concat(base, alone))).drop(candidates, *kinds), text, base, every
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the columns __text (null read as empty), __base and __all: sorted spans (start, kind, end, value).
+    """docs with the columns base_spans and spans, in place of any of that name: sorted (start, kind, end, value).
 
-    kind is a number in KINDS. Overlapping base spans of different kinds all stay.
+    kind is a number in KINDS. Overlapping base spans of different kinds all stay. Null and empty texts have none;
+    repeated rows each have theirs.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("__text", text)
-    t = F.col("__text")
-    found = found.withColumns({f"__k{i}": c for i, c in enumerate(base_spans(t))}).withColumn("__candidates", F.filter(matches(t, CANDIDATE, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")))
-    found = found.withColumn("__base", F.array_sort(F.concat(*[F.col(f"__k{i}") for i in range(len(PATTERNS))])))
-    alone = F.filter(F.transform("__candidates", _stretch), lambda s: (s["end"] > 0) & ~F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.withColumn("__all", F.array_sort(F.concat("__base", alone))).drop("__candidates", *[f"__k{i}" for i in range(len(PATTERNS))])
+    found, text, base, every = _scanned(docs, text_col)
+    return found.drop(text).withColumns({"base_spans": F.col(base), "spans": F.col(every)}).drop(base, every)
 
 
 def _text(spans: str) -> Column:
@@ -139,18 +175,21 @@ def _text(spans: str) -> Column:
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each found stretch of text replaced by mark; other rows, null texts too, stay as they are."""
-    found = scan(docs, text_col)
+    found, text, _, every = _scanned(docs, text_col)
 
     def cut(state, s):
-        fresh = F.when(s["start"] >= state["at"], F.concat(state["out"], F.col("__text").substr((state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))).otherwise(state["out"])
+        fresh = F.when(s["start"] >= state["at"], F.concat(state["out"], F.col(text).substr((state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))).otherwise(state["out"])
         return F.struct(F.greatest(s["end"], state["at"]).alias("at"), fresh.alias("out"))
 
-    state = F.aggregate("__all", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), cut)
-    whole = F.concat(state["out"], F.col("__text").substr((state["at"] + 1).cast("int"), F.length("__text")))
-    return found.withColumn(text_col, F.when(F.size("__all") > 0, whole).otherwise(F.col(text_col))).select(*docs.columns)
+    def whole(state):
+        return F.concat(state["out"], F.col(text).substr((state["at"] + 1).cast("int"), F.length(text)))
+
+    state = F.aggregate(every, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), cut)
+    return found.withColumn(text_col, F.when(F.size(every) > 0, _once(state, whole)).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("__base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, (k, *_) in enumerate(PATTERNS)]
-    return found.select("doc_id", *counts, F.sha2(_text("__base").cast("binary"), 256).alias("base_sha256"), _text("__all").alias("spans"))
+    """One row for each row of documents, repeated ones too; null and empty texts have no spans."""
+    found, _, base, every = _scanned(common.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    counts = [F.size(F.filter(base, _of_kind(i))).cast("long").alias(f"n_{k}") for i, (k, *_) in enumerate(PATTERNS)]
+    return found.select("doc_id", *counts, F.sha2(_text(base).cast("binary"), 256).alias("base_sha256"), _text(every).alias("spans"))

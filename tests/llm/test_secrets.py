@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from tallyspark.llm import secrets as se
 
@@ -42,6 +43,32 @@ def test_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(((d, *brute(t)) for d, t in docs), key=str)
 
 
+def test_long_candidates_and_many_matches(spark, tmp_path):
+    rng = random.Random(5)
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    docs = [(1, "aB1" * 4000 + mixed(6000) + "Zz9" * 4000), (2, "a-" * 20_000 + "b1"), (3, " ".join(mixed(30) for _ in range(1500))), (4, "a1b" * 7000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = se.op7_secret_scans(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((d, *brute(t)) for d, t in docs)
+
+
+def test_a_candidate_of_a_million_characters(spark, tmp_path):
+    rng = random.Random(6)
+    text = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1_000_000))
+    spark.createDataFrame([(1, "x " + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.time()
+    assert se.op7_secret_scans(spark, str(tmp_path)).first().spans == "entropy:2:1000002"
+    assert time.time() - start < 120
+
+
+def test_empty_table_and_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert se.op7_secret_scans(spark, str(tmp_path)).collect() == []
+    docs = spark.createDataFrame([("token=abcdefgh", 1, 2)], "text string, spans int, __text int")
+    row = se.scan(docs).first()
+    assert [(s.start, s.end) for s in row.spans] == [(0, 14)] and row["__text"] == 2
+
+
 def test_redacted(spark):
     docs = spark.createDataFrame([(1, "é token=abcdefgh and AKIA" + "Z" * 16 + " end", "a"), (2, None, "b"), (3, "plain", None)], "doc_id long, text string, __x string")
     assert [tuple(r) for r in se.redacted(docs).orderBy("doc_id").collect()] == [(1, "é [SECRET] and [SECRET] end", "a"), (2, None, "b"), (3, "plain", None)]
