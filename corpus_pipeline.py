@@ -34,7 +34,7 @@ def _stage(f: Stage) -> Stage:
 @_stage
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go."""
-    return toxicity.judged(docs, common.table(spark, sf_dir, "labels"), *docs.columns).filter("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, common.table(spark, sf_dir, "labels"))
 
 
 @_stage
