@@ -7,9 +7,11 @@ from prefix sums, so a window of any length costs the same.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: [^\x20\x09-\x0D]+
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -137,8 +139,17 @@ def chunks(rows: Iterable[tuple], size: int = 1_800_000, at: int = -1) -> Iterat
         yield out
 
 
+def release() -> None:
+    """Give memory that this worker's earlier tasks left unused back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def batch_rows(batches, *names: str) -> Iterator[tuple]:
     """Tuples of the named columns of Arrow batches; the last one is a text, null read as empty."""
+    release()
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
         for i in range(0, batch.num_rows, 256):
