@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.context import DateRange, Shop
+from tallyspark.context import BadArgument, DateRange, Shop
 from tallyspark.functions.numbers import money, ratio, total, units
+from tallyspark.operators.inventory import negative_stock
+from tallyspark.operators.jobs import Schedule
 from tallyspark.operators.scopes import refunds_in, sold_lines
 
 #: Fixed values of the detectors.
@@ -87,26 +91,93 @@ def shrink(shop: Shop, as_of: dt.date, rung_up: DataFrame) -> DataFrame:
     return rows.filter((F.col("value") >= SHRINK_VALUE) | (F.col("missing") >= SHRINK_UNITS)).select("variant_id", F.round("missing", 2).alias("missing"), units("explained").alias("explained"), "value")
 
 
+def _shares(sold: DataFrame, back: DataFrame, *keys: str) -> DataFrame:
+    """Refunds and discounts over net sales by keys, of sums (net, discounts) and (refunds)."""
+    sold = sold.groupBy(*keys).agg(total("net").alias("net"), total("discounts").alias("discounts"))
+    back = back.groupBy(*[F.col(k).alias(f"r_{k}") for k in keys]).agg(total("refunds").alias("refunds"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    both = sold.join(back, same, "left").fillna(0, ["refunds"])
+    shares = [F.round(ratio(F.col(c), F.col("net")), 4).alias(f"{name}_share") for c, name in (("refunds", "refund"), ("discounts", "discount"))]
+    return both.select(*keys, money("net").alias("net_sales"), money("refunds").alias("refunds"), money("discounts").alias("discounts"), *shares)
+
+
+def _taken(shop: Shop, period: DateRange, week: dt.date | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sales and refunds summed by location and, counted back from a last day, by week."""
+    keys = lambda c: ["location_id", *([F.floor(F.date_diff(F.lit(week), shop.local_day(F.col(c))) / 7).alias("week")] if week else [])]
+    sold = sold_lines(shop, period).groupBy(*keys("placed_at")).agg(total(F.col("gross") - F.col("discount")).alias("net"), total("discount").alias("discounts"))
+    return sold, refunds_in(shop, period)[0].groupBy(*keys("occurred_at")).agg(total("amount").alias("refunds"))
+
+
 def refund_shares(shop: Shop, period: DateRange) -> DataFrame:
     """Refunds and discounts over net sales by location."""
-    sold = sold_lines(shop, period).groupBy("location_id").agg(total(F.col("gross") - F.col("discount")).alias("net"), total("discount").alias("discounts"))
-    back = refunds_in(shop, period)[0].groupBy(F.col("location_id").alias("r_location")).agg(total("amount").alias("refunds"))
-    both = sold.join(back, F.col("location_id").eqNullSafe(F.col("r_location")), "left").fillna(0, ["refunds"])
-    return both.select("location_id", money("net").alias("net_sales"), money("refunds").alias("refunds"), money("discounts").alias("discounts"), F.round(ratio(F.col("refunds"), F.col("net")), 4).alias("refund_share"), F.round(ratio(F.col("discounts"), F.col("net")), 4).alias("discount_share"))
+    return _shares(*_taken(shop, period), "location_id")
 
 
 def refund_spike(shop: Shop, as_of: dt.date) -> DataFrame:
     """Recent weeks whose share of refunds or discounts is high and a multiple of the quarter's, which includes them."""
-    usual = refund_shares(shop, DateRange(as_of - dt.timedelta(days=REFUND_DAYS), as_of - dt.timedelta(days=1))).select(F.col("location_id").alias("u_location"), F.col("refund_share").alias("u_refund"), F.col("discount_share").alias("u_discount"))
-    out = None
-    for back in range(REFUND_WEEKS):
-        end = as_of - dt.timedelta(days=7 * back + 1)
-        week = refund_shares(shop, DateRange(end - dt.timedelta(days=6), end)).withColumn("week_end", F.lit(end))
-        out = week if out is None else out.unionByName(week)
-    both = out.filter("net_sales > 0").join(usual, F.col("location_id").eqNullSafe(F.col("u_location")))
+    last = as_of - dt.timedelta(days=1)
+    sold, back = _taken(shop, DateRange(as_of - dt.timedelta(days=REFUND_DAYS), last), last)
+    usual = _shares(sold, back, "location_id").select(F.col("location_id").alias("u_location"), F.col("refund_share").alias("u_refund"), F.col("discount_share").alias("u_discount"))
+    weeks = _shares(sold, back, "location_id", "week").filter((F.col("week") < REFUND_WEEKS) & (F.col("net_sales") > 0))
+    both = weeks.withColumn("week_end", F.date_sub(F.lit(last), (7 * F.col("week")).cast("int"))).join(usual, F.col("location_id").eqNullSafe(F.col("u_location")))
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.col(f"{k}_share").alias("share"), F.col(f"u_{k}").alias("usual")) for k in ("refund", "discount")])).alias("k")
     rows = both.select("week_end", "location_id", kinds).select("week_end", "location_id", "k.*")
     high = (F.col("share") >= REFUND_FLOOR) & F.when(F.col("usual") > 0, F.col("share") >= F.col("usual") * REFUND_MULTIPLE).otherwise(F.col("share") >= REFUND_FLOOR * 2)
     return rows.filter(high)
 
 
+@dataclass(frozen=True)
+class Detector:
+    """Finds drafts of insights: run gives (subject, severity, impact) for a shop and a day."""
+
+    kind: str
+    run: Callable[[Shop, dt.date], DataFrame]
+    schedule: Schedule
+    requires: tuple[str, ...] = ()
+
+
+DETECTORS: dict[str, Detector] = {}
+
+
+def register(detector: Detector) -> Detector:
+    if detector.kind in DETECTORS:
+        raise BadArgument(f"there is a detector {detector.kind!r} already")
+    DETECTORS[detector.kind] = detector
+    return detector
+
+
+def detected(shop: Shop, as_of: dt.date, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(kind, subject, severity, impact): drafts of the detectors asked for, or of all, that the shop's sources support."""
+    unknown = set(kinds or ()) - set(DETECTORS)
+    if unknown:
+        raise BadArgument(f"there is no detector {', '.join(sorted(unknown))}; there are {', '.join(DETECTORS)}")
+    out = shop.orders.sparkSession.createDataFrame([], "kind string, subject string, severity string, impact double")
+    for d in DETECTORS.values():
+        if d.kind in (kinds or DETECTORS) and set(d.requires) <= shop.capabilities:
+            out = out.unionByName(d.run(shop, as_of).select(F.lit(d.kind).alias("kind"), F.col("subject").cast("string"), "severity", F.col("impact").cast("double")))
+    return out
+
+
+def _anomaly_drafts(shop: Shop, as_of: dt.date) -> DataFrame:
+    return sales_anomalies(shop, as_of).select(F.concat_ws(":", F.col("day").cast("string"), F.col("location_id").cast("string")).alias("subject"), "severity", F.col("difference").alias("impact"))
+
+
+def _spike_drafts(shop: Shop, as_of: dt.date) -> DataFrame:
+    return refund_spike(shop, as_of).select(F.concat_ws(":", F.col("week_end").cast("string"), F.col("location_id").cast("string"), "what").alias("subject"), F.lit("warn").alias("severity"), F.lit(None).alias("impact"))
+
+
+def _shrink_drafts(shop: Shop, as_of: dt.date) -> DataFrame:
+    sold = sold_lines(shop, DateRange.last(SHRINK_DAYS, as_of), require_product=True).groupBy("variant_id").agg(units(total("quantity")).alias("units_sold"))
+    return shrink(shop, as_of, sold).select(F.col("variant_id").alias("subject"), F.lit("warn").alias("severity"), F.col("value").alias("impact"))
+
+
+def _negative_drafts(shop: Shop, as_of: dt.date) -> DataFrame:
+    return negative_stock(shop).select(F.col("variant_id").alias("subject"), F.lit("warn").alias("severity"), F.lit(None).alias("impact"))
+
+
+register(Detector("sales_anomaly", _anomaly_drafts, Schedule("daily", hour=6)))
+register(Detector("refund_spike", _spike_drafts, Schedule("weekly", hour=6)))
+register(Detector("shrink", _shrink_drafts, Schedule("weekly", hour=6), ("has_inventory_history",)))
+register(Detector("impossible_stock", _negative_drafts, Schedule("daily", hour=6)))

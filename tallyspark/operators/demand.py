@@ -135,6 +135,16 @@ def outstanding(purchase_lines: DataFrame) -> DataFrame:
     return purchase_lines.filter(F.col("status").isin("draft", "sent")).groupBy("variant_id").agg(F.sum(F.col("quantity") - F.col("received")).cast("double").alias("on_order"))
 
 
+def purchase_orders(purchase_lines: DataFrame, vendors: DataFrame, canceled: bool = False) -> DataFrame:
+    """Orders by reference with vendor, units, value of the priced lines, how many have no price, and their lines."""
+    rows = purchase_lines if canceled else purchase_lines.filter("status <> 'canceled'")
+    line = F.struct("variant_id", "status", "quantity", "received", "price")
+    orders = rows.groupBy("reference", "vendor_id").agg(
+        F.count("*").alias("n_lines"), F.sum("quantity").alias("units"), F.round(F.sum(F.col("quantity") * F.col("price")), 2).alias("value"), F.count_if(F.col("price").isNull()).alias("unpriced"), F.array_sort(F.collect_list(line)).alias("lines")
+    )
+    return orders.join(vendors.select("vendor_id", F.col("name").alias("vendor")), "vendor_id", "left").select("reference", "vendor", "n_lines", "units", "value", "unpriced", "lines")
+
+
 def reorder_outcome(purchase_lines: DataFrame, sold_after: DataFrame) -> DataFrame:
     """Units that a received order let the shop sell: sold in the month after it, at most what arrived, beyond what was there."""
     rows = purchase_lines.filter("status = 'received'").join(sold_after, "variant_id", "left").fillna(0.0, ["units_sold"])

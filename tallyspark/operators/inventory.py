@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.context import MOVEMENT_SIGNS, NO_FILTERS, BadArgument, DateRange, Filters, Shop
 from tallyspark.functions.numbers import money, share, total, units
-from tallyspark.operators.scopes import sold_lines, stock
+from tallyspark.operators.scopes import sold_lines, stock, with_totals
 
 VELOCITY_DAYS, COVER_DAYS = 28, 14
 
@@ -65,9 +65,9 @@ def dead_stock(shop: Shop, as_of: dt.date, filters: Filters = NO_FILTERS, limit:
     return rows.orderBy(F.col("value").desc_nulls_last(), "variant_id").limit(limit).select("variant_id", "sku", units("on_hand").alias("on_hand"), money("value").alias("retail_value"), "last_day")
 
 
-def negative_stock(shop: Shop, limit: int = 50) -> DataFrame:
+def negative_stock(shop: Shop, limit: int = 50, filters: Filters = NO_FILTERS) -> DataFrame:
     """Variants whose shelves add up to less than nothing."""
-    return shop.levels.groupBy("variant_id").agg(total("on_hand").alias("on_hand")).filter("on_hand < 0").orderBy("on_hand", "variant_id").limit(limit).select("variant_id", units("on_hand").alias("on_hand"))
+    return stock(shop, filters)[0].groupBy("variant_id").agg(total("on_hand").alias("on_hand")).filter("on_hand < 0").orderBy("on_hand", "variant_id").limit(limit).select("variant_id", units("on_hand").alias("on_hand"))
 
 
 def inventory_snapshot(shop: Shop) -> DataFrame:
@@ -100,8 +100,11 @@ def inventory_at(shop: Shop, at: dt.date) -> DataFrame:
 SORTS = {"name": "name", "sku": "sku", "price": "price", "cost": "cost", "on_hand": "on_hand", "margin": "margin", "category": "category_id", "product": "product_id", "last_sold": "last_sale"}
 
 
-def catalog_page(shop: Shop, as_of: dt.date, query: str | None = None, sort: str = "name", descending: bool = False, limit: int = 50, offset: int = 0, filters: Filters = NO_FILTERS) -> DataFrame:
-    """A page of variants with stock by location, unit margin and last sale; ties by name and id, nulls last."""
+def catalog_page(shop: Shop, as_of: dt.date, query: str | None = None, sort: str = "name", descending: bool = False, limit: int = 50, offset: int = 0, filters: Filters = NO_FILTERS, totals: bool = False) -> DataFrame:
+    """A page of variants with stock by location, unit margin and last sale; ties by name and id, nulls last.
+
+    totals: with total_rows before the page is cut, and whether it is truncated.
+    """
     if sort not in SORTS:
         raise BadArgument(f"{sort!r} is no sort; choose one of {', '.join(SORTS)}")
     shelves = stock(shop, filters)[0].groupBy("variant_id").agg(total("on_hand").alias("on_hand"), F.array_sort(F.collect_list(F.struct("location_id", F.col("on_hand").alias("units")))).alias("stock"))
@@ -113,7 +116,8 @@ def catalog_page(shop: Shop, as_of: dt.date, query: str | None = None, sort: str
     key = F.col(SORTS[sort])
     page = rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "name", "variant_id").offset(offset).limit(limit)
     text = F.array_join(F.transform("stock", lambda s: F.concat_ws("=", s["location_id"].cast("string"), s["units"].cast("int").cast("string"))), ";")
-    return page.select("variant_id", "name", "sku", units("price").alias("price"), "margin", units("on_hand").alias("on_hand"), text.alias("stock"), shop.local_day(F.col("last_sale")).alias("last_day"))
+    out = page.select("variant_id", "name", "sku", units("price").alias("price"), "margin", units("on_hand").alias("on_hand"), text.alias("stock"), shop.local_day(F.col("last_sale")).alias("last_day"))
+    return with_totals(out, rows, limit, offset) if totals else out
 
 
 def keyset_page(df: DataFrame, sort: str, key: str, after: tuple | None = None, limit: int = 50) -> DataFrame:

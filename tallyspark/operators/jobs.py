@@ -64,4 +64,4 @@ def replaced_drafts(orders: DataFrame, drafts: DataFrame) -> DataFrame:
 
 def eval_summary(answers: DataFrame) -> DataFrame:
     """Share passed, mean cost and nearest-rank 95th percentile of seconds, by tenant."""
-    return answers.groupBy("tenant").agg(F.round(F.avg(F.col("passed").cast("double")), 4).alias("passed"), F.round(F.avg("cost"), 4).alias("mean_cost"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY seconds)").alias("p95_seconds"))
+    return answers.groupBy("tenant").agg(F.round(F.avg(F.col("passed").cast("double")), 4).alias("passed"), F.round(F.avg("cost"), 4).cast("double").alias("mean_cost"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY seconds)").alias("p95_seconds"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.context import Shop
+
 OPEN = ("new", "seen", "snoozed")
 #: Columns that belong to the user and survive a new finding of the same key.
 KEPT = ("status", "rating", "snoozed_until")
@@ -60,3 +62,18 @@ def delivery(messages: DataFrame, cap: int = 3) -> DataFrame:
     urgent = F.col("severity") == "urgent"
     why = F.when(~F.col("enabled"), "channel_off").when(~urgent & quiet(F.col("quiet_start"), F.col("quiet_end"), F.col("minute")), "quiet_hours").when(~urgent & (F.col("sent_today") >= cap), "daily_cap")
     return messages.withColumn("suppressed", why)
+
+
+def briefing(shop: Shop, insights: DataFrame, now: Column, limit: int = 5) -> DataFrame:
+    """(section, item, value): what an assistant is told beforehand: locations, channels, the window of sales, and the loudest findings."""
+    row = lambda section, item, value: (F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("string").alias("value"))
+    sold = shop.orders.filter("status <> 'canceled'")
+    window = sold.agg(F.min("placed_at").alias("first"), F.max("placed_at").alias("last"))
+    days = window.select(F.explode(F.create_map(F.lit("first_day"), shop.local_day(F.col("first")), F.lit("last_day"), shop.local_day(F.col("last")))).alias("item", "day"))
+    loud = ranked(insights, now, limit).filter(F.col("severity") != "info")
+    return (
+        shop.locations.select(*row("location", F.col("location_id"), F.col("name")))
+        .unionByName(sold.groupBy("channel").agg(F.count("*").alias("n")).select(*row("channel", F.col("channel"), F.col("n"))))
+        .unionByName(days.select(*row("sales", F.col("item"), F.col("day"))))
+        .unionByName(loud.select(*row("finding", F.col("dedupe_key"), F.col("kind"))))
+    )

@@ -105,6 +105,6 @@ def records(rows: DataFrame, spec: EntitySpec, sheet: str = "sheet", row: str =
 def orders_from_lines(lines: DataFrame, key: str = "group_key") -> DataFrame:
     """Orders of grouped lines (quantity, price, discount, line_no): subtotal of quantity by price, total less discounts, line ids key:index."""
     index = F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1
-    lines = lines.withColumn("line_id", F.concat_ws(":", F.col(key), index.cast("string")))
-    sums = lines.groupBy(key).agg(F.sum((F.col("quantity") * F.col("price")).cast("decimal(24,4)")).alias("subtotal"), F.sum("discount").alias("discount"), F.array_sort(F.collect_list("line_id")).alias("lines"))
-    return sums.select(key, F.round("subtotal", 2).cast("double").alias("subtotal"), F.round("discount", 2).cast("double").alias("discount"), F.round(F.col("subtotal") - F.col("discount"), 2).cast("double").alias("total"), F.size("lines").cast("long").alias("n_lines"))
+    lines = lines.withColumn("line_index", index).withColumn("line_id", F.concat_ws(":", F.col(key), F.col("line_index").cast("string")))
+    sums = lines.groupBy(key).agg(F.sum((F.col("quantity") * F.col("price")).cast("decimal(24,4)")).alias("subtotal"), F.sum("discount").alias("discount"), F.array_sort(F.collect_list(F.struct("line_index", "line_id")))["line_id"].alias("lines"))
+    return sums.select(key, F.round("subtotal", 2).cast("double").alias("subtotal"), F.round("discount", 2).cast("double").alias("discount"), F.round(F.col("subtotal") - F.col("discount"), 2).cast("double").alias("total"), F.size("lines").cast("long").alias("n_lines"), "lines")

@@ -46,6 +46,16 @@ def chunks(documents: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> D
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string")
 
 
+def passages(documents: DataFrame, title: str, metadata: list[str], size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, chunk_index, content, metadata): chunks that each begin with the text's title, and its other columns as a map.
+
+    A text without title has its passages as they are; metadata leaves out columns that are null.
+    """
+    about = documents.select("doc_id", F.col(title).alias("title"), F.map_filter(F.create_map(*[x for c in metadata for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull()).alias("metadata"))
+    named = chunks(documents, size, overlap).join(about, "doc_id")
+    return named.select("doc_id", "chunk_index", F.concat_ws("\n\n", F.when(F.trim("title") != "", F.col("title")), "content").alias("content"), "metadata")
+
+
 def content_hash(content: Column, model: str) -> Column:
     return F.sha2(F.concat(F.lit(model), F.lit("\0"), content), 256)
 
@@ -107,10 +117,11 @@ def text_search(documents: DataFrame, query: str, k: int = HALF) -> DataFrame:
         return documents.limit(0).select("doc_id", F.lit(0.0).alias("score"))
     words = F.array(*map(F.lit, asked))
     rows = documents.select("doc_id", terms(F.col("text")).alias("terms")).withColumn("hits", F.size(F.array_intersect("terms", words)))
-    rows = rows.filter("hits > 0").withColumn("full", F.col("hits") == len(asked))
-    any_full = rows.agg(F.coalesce(F.bool_or("full"), F.lit(False)).alias("any_full"))
-    rows = rows.join(any_full).filter(F.col("full") | ~F.col("any_full"))
-    return rows.select("doc_id", F.round(F.col("hits") / (1 + F.log(F.size("terms").cast("double"))), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    rows = rows.filter("hits > 0").select("doc_id", (F.col("hits") == len(asked)).alias("full"), F.round(F.col("hits") / (1 + F.log(F.size("terms").cast("double"))), 6).alias("score"))
+    # texts with all words come first: if there is one, those with some words are cut off from the k
+    best = rows.orderBy(F.desc("full"), F.desc("score"), "doc_id").limit(k)
+    every = F.max("full").over(Window.partitionBy(F.lit(1)))  # of k rows
+    return best.withColumn("any_full", every).filter(F.col("full") | ~F.col("any_full")).select("doc_id", "score").orderBy(F.desc("score"), "doc_id")
 
 
 def _placed(hits: DataFrame, id_col: str, name: str) -> DataFrame:

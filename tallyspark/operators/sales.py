@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.context import NO_FILTERS, BadArgument, Caveat, DateRange, Filters, Shop
 from tallyspark.functions.numbers import money, ratio, share, total, units
-from tallyspark.operators.scopes import bucket, calendar, orders_in, refunds_in, sold_lines
+from tallyspark.operators.scopes import bucket, calendar, orders_in, refunds_in, sold_lines, with_totals
 
 
 def _sums(df: DataFrame, *by: Column | str) -> DataFrame:
@@ -62,11 +62,11 @@ def sales_series(shop: Shop, period: DateRange, grain: str, filters: Filters = N
 DIMENSION_COLUMNS = {"product": "product_id", "variant": "variant_id", "category": "category_id", "channel": "channel", "location": "location_id", "source": "source"}
 
 
-def breakdown(shop: Shop, period: DateRange, dimension: str, filters: Filters = NO_FILTERS, limit: int = 10, worst: bool = False) -> DataFrame:
+def breakdown(shop: Shop, period: DateRange, dimension: str, filters: Filters = NO_FILTERS, limit: int = 10, worst: bool = False, totals: bool = False) -> DataFrame:
     """The keys that sell most (or least) before refunds, with their share of net sales over all keys.
 
     Refunds name an order, not a product: they are subtracted by channel, location and source only. Ties go to the
-    smaller key.
+    smaller key. totals: with total_rows before the limit, and whether the list is truncated.
     """
     if dimension not in DIMENSION_COLUMNS:
         raise BadArgument(f"{dimension!r} is no dimension; choose one of {', '.join(DIMENSION_COLUMNS)}")
@@ -83,7 +83,8 @@ def breakdown(shop: Shop, period: DateRange, dimension: str, filters: Filters =
     whole = sold.agg(total("net").alias("whole"))
     order = F.col("before").asc() if worst else F.col("before").desc()
     top = sold.orderBy(order, F.col("key").asc_nulls_last()).limit(limit).join(whole)
-    return top.select("key", money("gross").alias("gross_sales"), money("discounts").alias("discounts"), money("refunds").alias("refunds"), money("net").alias("net_sales"), units("units").alias("units_sold"), "orders", share(F.col("net"), F.col("whole")).alias("share"))
+    out = top.select("key", money("gross").alias("gross_sales"), money("discounts").alias("discounts"), money("refunds").alias("refunds"), money("net").alias("net_sales"), units("units").alias("units_sold"), "orders", share(F.col("net"), F.col("whole")).alias("share"))
+    return with_totals(out, sold, limit) if totals else out
 
 
 def with_previous(shop: Shop, period: DateRange, filters: Filters = NO_FILTERS, **others: DateRange) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.context import NO_FILTERS, Caveat, DateRange, Filters, Shop
+from tallyspark.session import written
 
 
 def _in(df: DataFrame, column: str, values: tuple) -> DataFrame:
@@ -56,16 +57,13 @@ def stock(shop: Shop, filters: Filters = NO_FILTERS) -> tuple[DataFrame, list[Ca
 
 
 def descendants(tree: DataFrame, roots: list[str]) -> DataFrame:
-    """Ids of the roots and of all nodes below them; a cycle ends when no new id appears."""
-    spark = tree.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE below AS (
-             SELECT id, 0 AS depth FROM {tree} WHERE array_contains(:roots, id)
-             UNION ALL
-             SELECT t.id, depth + 1 FROM below JOIN {tree} t ON t.parent_id = below.id WHERE depth < 60)
-           SELECT DISTINCT id FROM below""",
-        args={"roots": F.array(*map(F.lit, roots))}, tree=tree,
-    )
+    """Ids of the roots and of all nodes below them, at any depth: level by level until no new id appears, as it does in a cycle."""
+    found = level = written(tree.filter(F.col("id").isin(*roots)).select("id").distinct(), "level")
+    while not level.isEmpty():
+        below = tree.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id").distinct()
+        level = written(below.join(found, "id", "left_anti"), "level")
+        found = found.unionByName(level)
+    return found
 
 
 def bucket(shop: Shop, column: Column, grain: str) -> Column:
@@ -77,3 +75,9 @@ def calendar(shop: Shop, period: DateRange, grain: str) -> DataFrame:
     spark = shop.orders.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.lit(period.start), F.lit(period.end))).alias("day"))
     return days.select(F.to_date(F.date_trunc(grain, "day")).alias("bucket")).distinct()
+
+
+def with_totals(page: DataFrame, rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page with total_rows, how many rows there are before it is cut, and truncated, whether more follow it."""
+    count = rows.agg(F.count("*").alias("total_rows"))
+    return page.join(count).withColumn("truncated", F.col("total_rows") > offset + limit)

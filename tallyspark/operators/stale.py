@@ -76,14 +76,24 @@ def bundle_price(one: Column, other: Column) -> Column:
     return F.round((one + other) * F.lit(Decimal("0.9")), 0).cast("double") - 0.01
 
 
+def vendor_terms(shop: Shop) -> DataFrame:
+    """The primary vendor of each variant and whether it takes returns."""
+    return shop.terms.filter("is_primary").select("variant_id", "vendor_id", "takes_returns")
+
+
+def where_it_sits(shop: Shop) -> DataFrame:
+    """The location with most of each variant; of equal ones the smaller."""
+    shelf = F.max(F.struct("on_hand", (-F.col("location_id")).alias("l")))
+    return shop.levels.groupBy("variant_id").agg(shelf.alias("s")).select("variant_id", (-F.col("s.l")).alias("sits_at"))
+
+
 def rescue(shop: Shop, as_of: dt.date, limit: int = 200) -> DataFrame:
     """What to do with each stale variant: return it, bundle it, move it, or mark it down, whichever applies first."""
     rows = stale_rows(shop, as_of)
-    takes_returns = shop.terms.filter("is_primary").select("variant_id", "vendor_id", (F.col("vendor_id") % 7 == 0).alias("takes_returns"))
+    takes_returns = vendor_terms(shop)
     best = co_purchases(shop, rows, as_of, partners=3).filter(F.col("baskets") >= LEAST_BASKETS).join(shop.variants.select(F.col("variant_id").alias("partner_id"), F.col("price").alias("partner_price")), "partner_id", "left")
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("baskets"), F.desc("units"), "partner_id"))).filter("n = 1").select(F.col("target_id").alias("variant_id"), "partner_id", "partner_price")
-    shelf = F.max(F.struct("on_hand", (-F.col("location_id")).alias("l")))
-    where = shop.levels.groupBy("variant_id").agg(shelf.alias("s")).select("variant_id", (-F.col("s.l")).alias("sits_at"))
+    where = where_it_sits(shop)
     strong = category_by_location(shop, as_of).filter(F.col("share") >= LEAST_SHARE).groupBy("category_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "location_id"))).alias("strong"))
     rows = rows.join(takes_returns, "variant_id", "left").join(best, "variant_id", "left").join(where, "variant_id", "left").join(strong, "category_id", "left")
     target = F.element_at(F.filter("strong", lambda x: x["location_id"] != F.col("sits_at"))["location_id"], 1)

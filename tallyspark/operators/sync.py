@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +10,14 @@ from pyspark.sql import functions as F
 from tallyspark.context import Shop
 from tallyspark.functions.numbers import total
 from tallyspark.functions.transforms import normalised_email, normalised_phone
-from tallyspark.session import shared_dir
+from tallyspark.operators.inventory import signed
+from tallyspark.session import written
 
 #: Fixed order in which entities are loaded: parents before children.
 ENTITIES = ("location", "category", "vendor", "product", "variant", "variant_vendor", "customer", "order", "refund", "payment", "inventory_level", "inventory_movement")
 STALE_AFTER_DAYS, DRIFT = 3, 0.01
+#: A customer without a date counts as the youngest.
+NO_DATE = dt.date(9999, 12, 31)
 
 
 def raw_landing(records: DataFrame, entity: str, keys: list[str]) -> DataFrame:
@@ -70,30 +72,22 @@ def duplicates(customers: DataFrame) -> DataFrame:
     people = customers.select("customer_id", normalised_email(F.col("email")).alias("email"), normalised_phone(F.col("phone")).alias("phone"), "created_on")
     keys = people.select("customer_id", F.concat(F.lit("e:"), "email").alias("key")).unionByName(people.select("customer_id", F.concat(F.lit("p:"), "phone").alias("key"))).filter("key is not null")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    keys = _written(keys.join(shared, "key"))
-    labels = _written(keys.groupBy("customer_id").agg(F.min("customer_id").alias("label")))
+    keys = written(keys.join(shared, "key"), "keys")
+    labels = written(keys.groupBy("customer_id").agg(F.min("customer_id").alias("label")), "labels")
     while True:
         least = keys.join(labels, "customer_id").groupBy("key").agg(F.min("label").alias("label"))
         step = keys.join(least, "key").groupBy("customer_id").agg(F.min("label").alias("label"))
         jump = step.select(F.col("customer_id").alias("at"), F.col("label").alias("next"))
-        following = _written(step.join(jump, F.col("label") == F.col("at"), "left").select("customer_id", F.least("label", F.coalesce("next", "label")).alias("label")))
+        following = written(step.join(jump, F.col("label") == F.col("at"), "left").select("customer_id", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         changed = following.join(labels.withColumnRenamed("label", "before"), "customer_id").filter("label <> before").limit(1).count()
         labels = following
         if not changed:
             break
     both = labels.join(people.select("customer_id", "created_on"), "customer_id")
-    oldest = both.groupBy("label").agg(F.min(F.struct("created_on", "customer_id")).alias("o")).select("label", F.col("o.customer_id").alias("survivor"))
+    oldest = both.groupBy("label").agg(F.min(F.struct(F.coalesce("created_on", F.lit(NO_DATE)).alias("d"), "customer_id")).alias("o")).select("label", F.col("o.customer_id").alias("survivor"))
     return both.join(oldest, "label").filter("customer_id <> survivor").select("customer_id", F.col("survivor").alias("merged_into"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of the session."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def quality_metrics(shop: Shop, as_of: dt.date) -> DataFrame:
     """(metric, value): counts of what makes figures unreliable."""
     variants = shop.variants.agg(F.count("*").alias("variants"), F.count_if(F.expr("cost is null")).alias("variants_missing_cost"), F.count_if(F.expr("category_id is null")).alias("products_uncategorised"))
@@ -133,3 +127,32 @@ def findings(metrics: DataFrame) -> DataFrame:
     return m.select(F.explode(F.array_compact(rules)).alias("f")).select("f.*").orderBy(rank, F.desc("count"), "code")
 
 
+def source_invariants(shop: Shop) -> DataFrame:
+    """(name, checked, broken) of what must hold in a source: counts are the sum of their history, orders that of their
+    lines, refunds are no more than was paid, and no shelf is below zero."""
+
+    def rule(name: str, rows: DataFrame, broken: Column) -> DataFrame:
+        return rows.agg(F.lit(name).alias("name"), F.count("*").alias("checked"), F.count_if(broken).alias("broken"))
+
+    moved = shop.movements.groupBy("variant_id", "location_id").agg(total(F.col("quantity") * signed()).alias("moved"))
+    shelves = shop.levels.join(moved, ["variant_id", "location_id"], "left").fillna(0, ["moved"])
+    sums = shop.lines.groupBy("order_id").agg(total(F.col("gross") - F.col("discount") + F.col("tax")).alias("lines"), total(F.col("gross") - F.col("discount")).alias("paid"))
+    orders = shop.orders.join(sums, "order_id", "left").fillna(0, ["lines"])
+    refunds = shop.refunds.groupBy("order_id").agg(total("amount").alias("back")).join(sums, "order_id")
+    rules = [
+        rule("counts_are_history", shelves, F.col("on_hand") != F.col("moved")), rule("orders_are_lines", orders, F.abs(F.col("total") - F.col("lines")) > DRIFT),
+        rule("refunds_within_payment", refunds, F.col("back") > F.col("paid")), rule("no_negative_stock", shop.levels, F.col("on_hand") < 0),
+    ]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def quirks(shop: Shop) -> DataFrame:
+    """(quirk, share) of a source: orders of nobody, custom lines, customers with another's e-mail, variants without cost."""
+    mails = shop.customers.select(normalised_email(F.col("email")).alias("email")).filter("email is not null").groupBy("email").agg(F.count("*").alias("n"))
+    part = lambda name, rows, of: rows.agg(F.lit(name).alias("quirk"), F.round(F.avg(of.cast("double")), 4).alias("share"))
+    shared = mails.agg(F.lit("shared_emails").alias("quirk"), F.round(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("share"))
+    out = part("anonymous_orders", shop.orders, F.col("customer_id").isNull()).unionByName(part("custom_lines", shop.lines, F.col("variant_id").isNull()))
+    return out.unionByName(shared).unionByName(part("variants_without_cost", shop.variants, F.col("cost").isNull()))

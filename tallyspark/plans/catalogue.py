@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.context import DateRange, Filters, Shop
 from tallyspark.functions import transforms as tr
 from tallyspark.functions.numbers import units
-from tallyspark.operators import anomaly, demand, finance, inventory, ledger, mapping, retrieval, sales, scopes, staffing, stale, sync
+from tallyspark.operators import anomaly, demand, finance, inventory, jobs, ledger, mapping, retrieval, sales, scopes, staffing, stale, sync
 from tallyspark.sources import binding
 
 D = dt.date
 AS_OF, MOVES_AS_OF = D(2001, 8, 1), D(2024, 1, 30)
+#: A day in whose week sales are off, and vectors that are asked for.
+ANOMALY_DAY, ASKED = D(1999, 10, 8), (7, 107, 207)
 DECEMBER, QUARTER, YEAR = DateRange(D(2000, 12, 1), D(2000, 12, 31)), DateRange(D(2000, 10, 1), D(2000, 12, 31)), DateRange(D(2000, 1, 1), D(2000, 12, 31))
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,8 +46,8 @@ def _purchase_lines(shop: Shop) -> DataFrame:
 
 
 def _purchase_orders(shop: Shop) -> DataFrame:
-    lines = _purchase_lines(shop).filter("status <> 'canceled'")
-    return lines.groupBy("reference").agg(F.count("*").alias("lines"), F.sum("quantity").alias("units"), F.round(F.sum(F.col("quantity") * F.col("price")), 2).alias("value"))
+    text = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["variant_id"].cast("string"), x["status"], x["quantity"].cast("int").cast("string"))), ";")
+    return demand.purchase_orders(_purchase_lines(shop), shop.vendors).withColumn("lines", text)
 
 
 def _insights(events: DataFrame) -> DataFrame:
@@ -67,7 +70,12 @@ def _ledger(events: DataFrame) -> DataFrame:
 
 
 def _rung_up(shop: Shop) -> DataFrame:
-    return shop.movements.filter("kind = 'received'").groupBy("variant_id").agg(units(F.sum("quantity")).alias("units_sold"))
+    return sales.variant_sales(shop, DateRange.last(14, AS_OF)).select("variant_id", "units_sold")
+
+
+def _two_places(shop: Shop) -> Shop:
+    """The same shop at two locations, so that each weekday has sales enough to judge by."""
+    return replace(shop, frames=shop.frames | {"orders": shop.orders.withColumn("location_id", F.col("location_id") % 2)})
 
 
 def _rescue_outcome(shop: Shop) -> DataFrame:
@@ -106,7 +114,7 @@ def _looked_up(sheet: DataFrame) -> DataFrame:
 
 
 def _from_lines(sheet: DataFrame) -> DataFrame:
-    return mapping.orders_from_lines(mapping.group_key(sheet, "receipt").withColumn("line_no", F.col("row")))
+    return mapping.orders_from_lines(mapping.group_key(sheet, "receipt").withColumn("line_no", F.col("row"))).withColumn("lines", F.array_join("lines", ","))
 
 
 def _upserted(orders: DataFrame) -> DataFrame:
@@ -145,25 +153,77 @@ def _diff(docs: DataFrame) -> DataFrame:
     return retrieval.ingest_diff(stored, rows.filter("doc_id % 10 <> 3")).groupBy("action").agg(F.count("*").alias("n"))
 
 
-def _hits(docs: DataFrame) -> DataFrame:
-    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("question_id"), F.substring("lang", 1, 2).alias("expected"))
-    found = docs.select((F.floor(F.col("doc_id") / 20) * 20).alias("question_id"), (F.col("doc_id") % 20).cast("int").alias("rank"), F.col("lang").alias("title")).filter("rank > 0")
-    return retrieval.hit_at_k(asked, found, 5)
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether vector search finds a document in the asked one's language."""
+    rows, docs = spark.read.parquet(f"{d}/embeddings.parquet"), binding.documents(spark, d).select("doc_id", "lang")
+    found = None
+    for q in ASKED:
+        hits = retrieval.vector_search(rows.filter(F.col("vec_id") != q), list(rows.filter(F.col("vec_id") == q).first().embedding), 5)
+        placed = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id"))).withColumn("question_id", F.lit(q))  # of 5 rows
+        found = placed if found is None else found.unionByName(placed)
+    titled = found.join(docs, F.col("vec_id") == F.col("doc_id")).select("question_id", "rank", F.col("lang").alias("title"))
+    return retrieval.hit_at_k(docs.filter(F.col("doc_id").isin(*ASKED)).select(F.col("doc_id").alias("question_id"), F.col("lang").alias("expected")), titled, 5)
 
 
 def _dims(shop: Shop) -> DataFrame:
     return shop.orders.filter("status <> 'canceled'").groupBy("channel").agg(F.count("*").alias("orders"))
 
 
-def _invariants(shop: Shop) -> DataFrame:
-    lines = scopes.sold_lines(shop, YEAR)
-    by_source = lines.groupBy("source").agg(F.sum("gross").alias("g")).agg(F.sum("g").alias("g"))
-    refunds = shop.refunds.groupBy("order_id").agg(F.sum("amount").alias("r")).join(shop.lines.groupBy("order_id").agg(F.sum(F.col("gross") - F.col("discount")).alias("paid")), "order_id").agg(F.count_if(F.expr("r > paid")).alias("over_refunded"))
-    return by_source.join(lines.agg(F.sum("gross").alias("all"))).join(refunds).select((F.col("g") == F.col("all")).alias("sources_sum_up"), "over_refunded", F.lit(0).alias("zero"))
+def _answers(events: DataFrame) -> DataFrame:
+    """An evaluation's answers: did it pass, what it cost, how long it took."""
+    return events.select(F.col("event_type").alias("tenant"), (F.col("event_id") % 5 != 0).alias("passed"), F.round(F.col("value") / 1000, 3).cast("decimal(12,3)").alias("cost"), F.round("value", 2).alias("seconds"))
+
+
+def _runs(events: DataFrame) -> DataFrame:
+    i = F.col("event_id")
+    status = F.when(i % 3 == 0, "running").when(i % 3 == 1, "succeeded").otherwise("failed")
+    return events.select(F.col("event_type").alias("job"), F.col("ts").cast("timestamp").alias("started_at"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("due_at"), status.alias("status"), i.alias("run_id"))
+
+
+def _last_succeeded(events: DataFrame) -> DataFrame:
+    return jobs.last_succeeded(_runs(events)).withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
+
+
+def _claims(events: DataFrame) -> DataFrame:
+    wanted = _runs(events).select("job").distinct().crossJoin(events.sparkSession.range(60).select(F.date_add(F.lit("2023-12-20").cast("date"), F.col("id").cast("int")).cast("timestamp").alias("due_at")))
+    return jobs.claim(_runs(events), wanted).select("job", F.col("due_at").cast("date").alias("due_on"))
+
+
+def _drafts(shop: Shop) -> DataFrame:
+    rows = _purchase_lines(shop).groupBy("reference", "vendor_id").agg(F.min("status").alias("status"))
+    new = rows.filter("vendor_id % 3 = 0").select(F.concat("reference", F.lit("-new")).alias("reference"), "vendor_id", F.lit("draft").alias("status"))
+    return jobs.replaced_drafts(rows, new)
 
 
-def _percentile95(events: DataFrame) -> DataFrame:
-    return events.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.percentile("value", 0.5).alias("median"), F.count("*").alias("n")).select("event_type", "mean", F.round("median", 4).alias("median"), "n")
+def _resolved(spark: SparkSession, d: str, required: bool) -> DataFrame:
+    """Orders whose customer is known by an external id; customers of one nation are missing."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.lit("x"), F.col("o_custkey").cast("string")).alias("customer"))
+    parents = spark.read.parquet(f"{d}/customer.parquet").filter("c_nationkey <> 3").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("external_id"), F.col("c_custkey").alias("id"))
+    return sync.resolved(orders, parents, "customer", "customer_id", required).groupBy("customer_id").agg(F.count("*").alias("orders"))
+
+
+def _recorded(events: DataFrame) -> DataFrame:
+    rows = _insights(events)
+    drafts = rows.filter(F.substring("dedupe_key", 2, 20).cast("long") % 2 == 0)
+    found = drafts.withColumns({"severity": F.lit("urgent"), "dollar_impact": F.lit(1.5), "status": F.lit("new"), "rating": F.lit(None).cast("int"), "snoozed_until": F.lit(None).cast("timestamp")})
+    stored = rows.filter(F.substring("dedupe_key", 2, 20).cast("long") % 3 != 0)
+    return ledger.record(stored, found).groupBy("severity", "status").agg(F.count("*").alias("n"), F.round(F.sum(F.col("dollar_impact").cast("decimal(14,2)")), 2).cast("double").alias("impact"), F.count("rating").alias("rated"))
+
+
+def _deliveries(events: DataFrame) -> DataFrame:
+    i = F.col("event_id")
+    rows = events.select(i.alias("message_id"), F.col("user_id").alias("recipient"), (i % 8 != 0).alias("enabled"), F.when(i % 7 == 0, "urgent").otherwise("warn").alias("severity"), (i * 37 % 1440).alias("minute"), F.lit(1320).alias("quiet_start"), F.lit(420).alias("quiet_end"), (i % 5).alias("sent_today"))
+    return ledger.delivery(rows).select("message_id", "suppressed")
+
+
+def _scalars(events: DataFrame) -> DataFrame:
+    """Cents, decimals, whole numbers and defaults, by steps as a mapping names them."""
+    i = F.col("event_id")
+    text = F.when(i % 4 == 0, F.concat(F.lit(" "), F.round("value", 2).cast("decimal(12,2)").cast("string"), F.lit(" "))).when(i % 4 == 1, F.lit("  ")).when(i % 4 == 2, F.lit("junk")).otherwise(i.cast("string"))
+    at = lambda *steps: tr.apply_transforms(text, list(steps), "amount")
+    return events.select(
+        i.alias("row"), units(tr.cents_to_dollars(i)).alias("dollars"), units(at("to_decimal")).alias("decimal"), at("to_int").alias("whole"), at({"default": {"to": "none"}}, "trim", "upper").alias("named")
+    )
 
 
 def _page(shop: Shop) -> DataFrame:
@@ -190,7 +250,7 @@ QUERIES: dict[str, Query] = {
     "days_of_cover": _shop(lambda s: inventory.days_of_cover(s, AS_OF)),
     "low_stock": _shop(lambda s: inventory.low_stock(s, AS_OF)),
     "dead_stock": _shop(lambda s: inventory.dead_stock(s, AS_OF)),
-    "negative_stock": _shop(inventory.negative_stock),
+    "negative_stock": _shop(lambda s: inventory.negative_stock(s, filters=Filters(location_ids=(0,)))),
     "inventory_snapshot": _shop(inventory.inventory_snapshot),
     "inventory_at": _shop(lambda s: inventory.inventory_at(s, D(2024, 1, 15))),
     "catalog_page": _shop(lambda s: inventory.catalog_page(s, AS_OF, sort="price", descending=True)),
@@ -207,7 +267,7 @@ QUERIES: dict[str, Query] = {
     "purchase_orders": _shop(_purchase_orders),
     "reorder_outcome": _shop(lambda s: demand.reorder_outcome(_purchase_lines(s), sales.variant_sales(s, QUARTER))),
     "stale_inventory": _shop(lambda s: stale.stale_inventory(s, AS_OF)),
-    "co_purchases": _shop(lambda s: stale.co_purchases(s, s.variants.filter("variant_id % 50 = 1"), AS_OF)),
+    "co_purchases": _shop(lambda s: stale.co_purchases(s, s.variants, AS_OF)),
     "category_by_location": _shop(lambda s: stale.category_by_location(s, AS_OF)),
     "markdown_ladder": _shop(lambda s: stale.markdown_ladder(s, AS_OF)),
     "rescue_choice": _shop(lambda s: stale.rescue(s, AS_OF)),
@@ -220,7 +280,7 @@ QUERIES: dict[str, Query] = {
     "digest_comparison": _shop(lambda s: sales.digest_comparison(s, AS_OF)),
     "daily_observations": _shop(lambda s: anomaly.daily_observations(s, QUARTER)),
     "weekday_baselines": _shop(_baselines),
-    "sales_anomalies": _shop(lambda s: anomaly.sales_anomalies(s, AS_OF, "high")),
+    "sales_anomalies": _shop(lambda s: anomaly.sales_anomalies(_two_places(s), ANOMALY_DAY, "high")),
     "sync_gap_p90": _shop(lambda s: anomaly.sync_health(s, dt.datetime(2001, 8, 3))),
     "shrink": _shop(lambda s: anomaly.shrink(s, MOVES_AS_OF, _rung_up(s))),
     "refund_shares": _shop(lambda s: anomaly.refund_shares(s, QUARTER)),
@@ -231,7 +291,15 @@ QUERIES: dict[str, Query] = {
     "dq_catalog": _shop(lambda s: sync.quality_metrics(s, AS_OF)),
     "dq_reconciliation": _shop(lambda s: sync.reconciliation(s).groupBy("drifts").agg(F.count("*").alias("orders"), F.round(F.sum("gap"), 2).alias("gap"))),
     "dq_findings": _shop(lambda s: sync.findings(sync.quality_metrics(s, AS_OF))),
-    "source_invariants": _shop(_invariants),
+    "source_invariants": _shop(sync.source_invariants),
+    "source_quirks": _shop(sync.quirks),
+    "detectors": _shop(lambda s: anomaly.detected(_two_places(s), ANOMALY_DAY)),
+    "breakdown_totals": _shop(lambda s: sales.breakdown(s, QUARTER, "category", totals=True)),
+    "catalog_totals": _shop(lambda s: inventory.catalog_page(s, AS_OF, query="sku-1", sort="sku", limit=30, totals=True).select("variant_id", "sku", "total_rows", "truncated")),
+    "where_it_sits": _shop(stale.where_it_sits),
+    "vendor_returns": _shop(stale.vendor_terms),
+    "briefing": lambda spark, d: ledger.briefing(binding.shop(spark, d), _insights(spark.read.parquet(f"{d}/events.parquet")), _now()),
+    "drafts_replaced": _shop(_drafts),
     "customer_dedupe": _shop(lambda s: sync.duplicates(s.customers)),
     "upsert_last_wins": _table("orders", _upserted),
     "sweep_anti_join": _table("orders", _swept),
@@ -251,11 +319,21 @@ QUERIES: dict[str, Query] = {
     "text_or_fallback": _table("documents", lambda d: retrieval.text_search(d, "the zzzqqq")),
     "hybrid_rrf": _hybrid,
     "ingest_diff": _table("documents", _diff),
-    "hit_at_k": _table("documents", _hits),
+    "hit_at_k": _hits,
     "chunk_documents": _table("documents", lambda d: retrieval.chunks(d)),
     "insights_ranked": _table("events", lambda e: ledger.ranked(_insights(e), _now()).select("dedupe_key", "kind", "severity", "dollar_impact")),
     "insights_expired": _table("events", lambda e: ledger.expire(_insights(e), _now()).groupBy("status").agg(F.count("*").alias("n"))),
     "value_ledger": _table("events", _ledger),
     "detector_precision": _table("events", lambda e: ledger.precision(_insights(e))),
-    "eval_summary": _table("events", _percentile95),
+    "eval_summary": _table("events", lambda e: jobs.eval_summary(_answers(e))),
+    "runs_swept": _table("events", lambda e: jobs.swept(_runs(e), F.lit("2024-01-15").cast("timestamp")).groupBy("status").agg(F.count("*").alias("n"))),
+    "runs_last_succeeded": _table("events", _last_succeeded),
+    "runs_claimed": _table("events", _claims),
+    "messages_sent": _table("events", lambda e: jobs.sent_today(e.select(F.col("user_id").alias("recipient"), F.col("ts").cast("timestamp").alias("sent_at")), D(2024, 1, 15), binding.ZONE)),
+    "messages_delivery": _table("events", _deliveries),
+    "insights_recorded": _table("events", _recorded),
+    "map_scalars": _table("events", _scalars),
+    "raw_landing": _table("orders", lambda o: sync.raw_landing(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "order", ["o_orderkey"])),
+    "fk_required": lambda spark, d: _resolved(spark, d, True),
+    "fk_optional": lambda spark, d: _resolved(spark, d, False),
 }

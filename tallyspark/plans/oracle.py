@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from zoneinfo import ZoneInfo
+
 Z = "America/New_York"
 
 
@@ -146,7 +149,7 @@ ORACLE: dict[str, str] = {
     "days_of_cover": _q(f"{_LISTED} WHERE sold > 0 AND on_hand > 0 ORDER BY cover, variant_id LIMIT 25", *_STOCK),
     "low_stock": _q(f"{_LISTED} WHERE sold > 0 AND (on_hand <= 3 OR cover < 14) ORDER BY cover NULLS LAST, variant_id LIMIT 50", *_STOCK),
     "dead_stock": _q(f"SELECT variant_id, sku, CAST(on_hand AS DOUBLE) AS on_hand, {_m('CAST(on_hand * price AS DECIMAL(24,4))')} AS retail_value, last_day FROM sr WHERE on_hand > 0 AND (last_day IS NULL OR last_day < DATE '2001-05-03') ORDER BY on_hand * price DESC NULLS LAST, variant_id LIMIT 50", *_STOCK),
-    "negative_stock": _q("SELECT variant_id, CAST(sum(on_hand) AS DOUBLE) AS on_hand FROM lv GROUP BY 1 HAVING sum(on_hand) < 0 ORDER BY 2, 1 LIMIT 50"),
+    "negative_stock": _q("SELECT variant_id, CAST(sum(on_hand) AS DOUBLE) AS on_hand FROM lv WHERE location_id = 0 GROUP BY 1 HAVING sum(on_hand) < 0 ORDER BY 2, 1 LIMIT 50"),
     "inventory_snapshot": _q(f"SELECT count(*) AS shelves, CAST(sum(on_hand) AS DOUBLE) AS units, {_m('sum(on_hand * cost)')} AS cost_value, round(CAST(count(cost) AS DOUBLE) / count(*), 4) AS cost_coverage FROM lv JOIN v USING (variant_id) WHERE on_hand > 0"),
     "inventory_at": _q(f"SELECT CAST(sum(held) AS DOUBLE) AS units, {_m('sum(held * cost)')} AS cost_value, coalesce(bool_or(unclear), false) AS approximate FROM (SELECT lv.variant_id, cost, CAST(greatest(on_hand - coalesce(since, 0), 0) AS DECIMAL(20,4)) AS held, unclear FROM lv JOIN v USING (variant_id) LEFT JOIN m ON lv.variant_id = m.variant_id AND lv.location_id = m.location_id)",
       "m AS (SELECT variant_id, location_id, sum(quantity * CASE WHEN kind IN ('received', 'returned') THEN 1 WHEN kind IN ('sold', 'damaged') THEN -1 ELSE 0 END) AS since, bool_or(kind = 'adjusted') AS unclear FROM mv WHERE occurred_at >= TIMESTAMP '2024-01-16 05:00:00' GROUP BY 1, 2)"),
@@ -158,10 +161,10 @@ ORACLE: dict[str, str] = {
     "weekly_units": _q("SELECT variant_id, location_id, " + ", ".join(f"CAST(coalesce(sum(quantity) FILTER (WHERE week = {i}), 0) AS DOUBLE) AS w{i}" for i in range(4)) + f" FROM (SELECT *, CAST(floor((epoch(TIMESTAMP '{END}') - epoch(placed_at)) / 604800) AS INT) AS week FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2001-07-05 04:00:00', END))}) GROUP BY 1, 2"),
     "vendor_terms_primary": _q("SELECT variant_id, vendor_id, lead_time_days, pack_size, min_order_qty FROM tm WHERE is_primary"),
     "outstanding_quantities": _q("SELECT variant_id, sum(quantity - received) AS on_order FROM pl WHERE status IN ('draft', 'sent') GROUP BY 1", *_PO),
-    "purchase_orders": _q("SELECT reference, count(*) AS lines, sum(quantity) AS units, round(sum(quantity * price), 2) AS value FROM pl WHERE status <> 'canceled' GROUP BY 1", *_PO),
+    "purchase_orders": _q("SELECT reference, s_name AS vendor, count(*) AS n_lines, sum(quantity) AS units, round(sum(quantity * price), 2) AS value, count(*) FILTER (WHERE price IS NULL) AS unpriced, string_agg(variant_id || ':' || status || ':' || CAST(quantity AS INT), ';' ORDER BY variant_id) AS lines FROM pl LEFT JOIN supplier ON vendor_id = s_suppkey WHERE status <> 'canceled' GROUP BY 1, 2", *_PO),
     "reorder_outcome": _q("SELECT reference, round(sum(s), 2) AS units_saved, round(sum(s * price), 2) AS sales_saved FROM (SELECT *, greatest(least(coalesce(units_sold, 0), received) - on_hand_at_draft, 0) AS s FROM pl LEFT JOIN vs USING (variant_id) WHERE status = 'received') GROUP BY 1", *_PO, _VS(Q4, "vs")),
     "stale_inventory": _q(f"SELECT variant_id, kind, CAST(on_hand AS DOUBLE) AS on_hand, days_since, recent_daily, trailing_daily, {_m('cash')} AS cash FROM st ORDER BY st.cash DESC NULLS LAST, variant_id LIMIT 500", *_STALE),
-    "co_purchases": _q("SELECT target_id, partner_id, baskets, CAST(units AS DOUBLE) AS units FROM (SELECT a.variant_id AS target_id, b.variant_id AS partner_id, count(*) AS baskets, any_value(units) AS units, row_number() OVER (PARTITION BY a.variant_id ORDER BY count(*) DESC, any_value(units) DESC, b.variant_id) AS n FROM k a JOIN k b ON a.order_id = b.order_id AND a.variant_id <> b.variant_id JOIN u ON u.variant_id = b.variant_id WHERE a.variant_id % 50 = 1 GROUP BY 1, 2) WHERE n <= 3",
+    "co_purchases": _q("SELECT target_id, partner_id, baskets, CAST(units AS DOUBLE) AS units FROM (SELECT a.variant_id AS target_id, b.variant_id AS partner_id, count(*) AS baskets, any_value(units) AS units, row_number() OVER (PARTITION BY a.variant_id ORDER BY count(*) DESC, any_value(units) DESC, b.variant_id) AS n FROM k a JOIN k b ON a.order_id = b.order_id AND a.variant_id <> b.variant_id JOIN u ON u.variant_id = b.variant_id GROUP BY 1, 2) WHERE n <= 3",
       f"k AS (SELECT DISTINCT order_id, variant_id FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2000-08-02 04:00:00', END))})", f"u AS (SELECT variant_id, sum(quantity) AS units FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2001-07-02 04:00:00', END))} GROUP BY 1)"),
     "category_by_location": _q(f"SELECT category_id, location_id, CAST(u AS DOUBLE) AS units, round(CAST(u AS DOUBLE) / CAST(sum(u) OVER (PARTITION BY category_id) AS DOUBLE), 4) AS share FROM (SELECT category_id, location_id, sum(quantity) AS u FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2001-05-04 04:00:00', END))} GROUP BY 1, 2)"),
     "markdown_ladder": _q("SELECT variant_id, CAST(d AS DOUBLE) AS discount, CAST(p AS DOUBLE) AS price, CAST(round(p - cost, 2) AS DOUBLE) AS margin, coalesce(p >= cost, true) AS clears_cost FROM (SELECT variant_id, cost, d, round(price * (1 - d), 2) AS p FROM st, (VALUES (0.15), (0.30), (0.50)) AS t(d))", *_STALE),
@@ -175,7 +178,7 @@ ORACLE: dict[str, str] = {
     "sync_gap_p90": _q("""SELECT round((epoch(TIMESTAMP '2001-08-03') - epoch(l)) / 3600, 1) AS hours_since, round(t, 1) AS typical_gap_hours, (epoch(TIMESTAMP '2001-08-03') - epoch(l)) / 3600 > greatest(t * 3, 30) AS stale FROM
       (SELECT max(placed_at) AS l, quantile_cont(h, 0.9) AS t FROM (SELECT placed_at, (epoch(placed_at) - epoch(lag(placed_at) OVER (ORDER BY placed_at, order_id))) / 3600 AS h FROM (SELECT placed_at, order_id FROM o WHERE status <> 'canceled' ORDER BY placed_at DESC, order_id DESC LIMIT 400)))"""),
     "shrink": _q("""SELECT variant_id, round(missing, 2) AS missing, explained, value FROM (SELECT m.variant_id, CAST(moved AS DOUBLE) - coalesce(CAST(u AS DOUBLE), 0) AS missing, CAST(explained AS DOUBLE) AS explained, round((CAST(moved AS DOUBLE) - coalesce(CAST(u AS DOUBLE), 0)) * CAST(coalesce(cost, price) AS DOUBLE), 2) AS value FROM m LEFT JOIN g USING (variant_id) LEFT JOIN v USING (variant_id)) WHERE missing > 0 AND (value >= 40 OR missing >= 5)""",
-      f"m AS (SELECT variant_id, coalesce(sum(quantity) FILTER (WHERE kind = 'sold'), 0) AS moved, coalesce(sum(quantity) FILTER (WHERE kind = 'damaged'), 0) AS explained FROM mv WHERE {_in('occurred_at', ('2024-01-17 05:00:00', '2024-01-31 05:00:00'))} GROUP BY 1)", "g AS (SELECT variant_id, sum(quantity) AS u FROM mv WHERE kind = 'received' GROUP BY 1)"),
+      f"m AS (SELECT variant_id, coalesce(sum(quantity) FILTER (WHERE kind = 'sold'), 0) AS moved, coalesce(sum(quantity) FILTER (WHERE kind = 'damaged'), 0) AS explained FROM mv WHERE {_in('occurred_at', ('2024-01-17 05:00:00', '2024-01-31 05:00:00'))} GROUP BY 1)", f"g AS (SELECT variant_id, sum(quantity) AS u FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2001-07-19 04:00:00', END))} GROUP BY 1)"),
     "refund_shares": _q("SELECT * FROM rs", _shares(Q4, "rs")),
     "heatmap": _q("""SELECT location_id, weekday, hour, sum(n)::BIGINT AS orders, CAST(round(sum(net), 2) AS DOUBLE) AS net_sales, count(DISTINCT day) AS observations, round(CAST(sum(n) AS DOUBLE) / count(DISTINCT day), 2) AS orders_per_observation, round(CAST(sum(n) AS DOUBLE) / 8, 2) AS orders_per_week FROM c WHERE NOT event GROUP BY 1, 2, 3""",
       f"c AS (SELECT location_id, CAST({_local('placed_at')} AS DATE) AS day, isodow({_local('placed_at')}) - 1 AS weekday, hour({_local('placed_at')}) AS hour, count(DISTINCT order_id) AS n, sum(gross - discount) AS net, bool_or(channel = 'event') AS event FROM sl WHERE {_in('placed_at', ('2001-06-07 04:00:00', END))} GROUP BY ALL)"),
@@ -195,16 +198,13 @@ ORACLE: dict[str, str] = {
     "map_modal_row": f"""WITH {_SHEET}, c AS (SELECT group_key, category, row_number() OVER (PARTITION BY group_key ORDER BY count(*) DESC, min(row)) AS n FROM sg WHERE trim(category) <> '' GROUP BY 1, 2), w AS (SELECT group_key, who, row_number() OVER (PARTITION BY group_key ORDER BY count(*) DESC, min(row)) AS n FROM sg GROUP BY 1, 2)
       SELECT g.group_key, category, who FROM (SELECT DISTINCT group_key FROM sg) g LEFT JOIN (SELECT * FROM c WHERE n = 1) c USING (group_key) LEFT JOIN (SELECT * FROM w WHERE n = 1) w USING (group_key)""",
     "map_lookup": f"WITH {_SHEET}, t AS (SELECT folded, arg_min(category, row) AS found FROM sk WHERE row % 5 = 0 AND folded IS NOT NULL GROUP BY 1) SELECT row, found FROM sk LEFT JOIN t USING (folded)",
-    "map_orders_from_lines": f"WITH {_SHEET} SELECT group_key, {_m('sum(CAST(quantity * price AS DECIMAL(24,4)))')} AS subtotal, 0.5 * count(*)::DOUBLE AS discount, CAST(round(sum(CAST(quantity * price AS DECIMAL(24,4))) - 0.5 * count(*), 2) AS DOUBLE) AS total, count(*) AS n_lines FROM sg GROUP BY 1",
+    "map_orders_from_lines": f"WITH {_SHEET} SELECT group_key, {_m('sum(CAST(quantity * price AS DECIMAL(24,4)))')} AS subtotal, 0.5 * count(*)::DOUBLE AS discount, CAST(round(sum(CAST(quantity * price AS DECIMAL(24,4))) - 0.5 * count(*), 2) AS DOUBLE) AS total, count(*) AS n_lines, string_agg(group_key || ':' || n, ',' ORDER BY n) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY row) - 1 AS n FROM sg) GROUP BY 1",
     "vector_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q WHERE vec_id <> 7 ORDER BY 2 DESC, 1 LIMIT 10",
     "ingest_diff": "SELECT action, count(*) AS n FROM (SELECT CASE doc_id % 10 WHEN 1 THEN 'new' WHEN 2 THEN 'changed' WHEN 3 THEN 'orphan' ELSE 'unchanged' END AS action FROM documents) GROUP BY 1",
-    "hit_at_k": "SELECT count(*) AS questions, count(*) FILTER (WHERE hit) AS hits, round(avg(hit::INT), 4) AS hit_rate FROM (SELECT q.doc_id, coalesce(bool_or(t.lang = q.lang), false) AS hit FROM documents q LEFT JOIN documents t ON t.doc_id // 20 = q.doc_id // 20 AND t.doc_id % 20 BETWEEN 1 AND 5 WHERE q.doc_id % 20 = 0 GROUP BY 1)",
     "insights_ranked": f"WITH {_INSIGHTS} SELECT dedupe_key, kind, severity, dollar_impact FROM i WHERE status = 'new' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-30') AND (snoozed_until IS NULL OR snoozed_until <= TIMESTAMP '2024-01-30') ORDER BY CASE severity WHEN 'urgent' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, dollar_impact DESC NULLS LAST, created_at DESC, dedupe_key LIMIT 50",
     "insights_expired": f"WITH {_INSIGHTS} SELECT CASE WHEN status = 'new' AND expires_at < TIMESTAMP '2024-01-30' THEN 'expired' ELSE status END AS status, count(*) AS n FROM i GROUP BY 1",
     "value_ledger": f"WITH {_INSIGHTS} SELECT count(*) AS created, count(*) FILTER (WHERE status = 'acted') AS acted, round(coalesce(sum(a), 0), 2) AS attributed, round(coalesce(sum(a) FILTER (WHERE a > 0), 0), 2) AS recovered, round(coalesce(sum(dollar_impact), 0), 2) AS flagged FROM (SELECT *, CASE WHEN status = 'acted' THEN dollar_impact / 2 END AS a FROM i WHERE created_at >= TIMESTAMP '2024-01-08' AND created_at < TIMESTAMP '2024-01-22')",
     "detector_precision": f"WITH {_INSIGHTS} SELECT kind, count(*) AS raised, count(rating) AS rated, count(*) FILTER (WHERE rating > 0) AS useful, CASE WHEN count(rating) > 0 THEN round(CAST(count(*) FILTER (WHERE rating > 0) AS DOUBLE) / count(rating), 4) END AS precision FROM i GROUP BY 1",
-    "eval_summary": "SELECT event_type, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, count(*) AS n FROM events GROUP BY 1",
-    "source_invariants": _q(f"SELECT true AS sources_sum_up, (SELECT count(*) FROM (SELECT order_id, sum(amount) AS b FROM r GROUP BY 1) x JOIN (SELECT order_id, sum(gross - discount) AS p FROM l GROUP BY 1) y USING (order_id) WHERE b > p) AS over_refunded, 0 AS zero"),
     "stockout_days": _q(f"""SELECT variant_id, location_id, least(count(DISTINCT day), 27) AS stockout_days FROM (SELECT m.*, on_hand - coalesce(since, 0) AS held FROM m JOIN lv USING (variant_id, location_id) WHERE coalesce(unclear, 0) = 0) WHERE held <= 0 GROUP BY 1, 2""",
       f"""m AS (SELECT variant_id, location_id, CAST({_local('occurred_at')} AS DATE) AS day, sum(quantity * s) OVER w AS since, max(CASE WHEN s = 0 THEN 1 ELSE 0 END) OVER w AS unclear
       FROM (SELECT *, CASE WHEN kind IN ('received', 'returned') THEN 1 WHEN kind IN ('sold', 'damaged') THEN -1 ELSE 0 END AS s FROM mv WHERE {_in('occurred_at', ('2024-01-03 05:00:00', '2024-01-31 05:00:00'))})
@@ -244,17 +244,41 @@ def _base(weeks: int, first: str, until: str, prefix: str = "") -> tuple[str, ..
     )
 
 
-def _weeks() -> str:
-    import datetime as dt
+def _bounds(first: dt.date, last: dt.date) -> tuple[str, str]:
+    """Days as half-open UTC instants."""
+    at = lambda d: dt.datetime.combine(d, dt.time(), ZoneInfo(Z)).astimezone(dt.UTC).strftime("%Y-%m-%d %H:%M:%S")
+    return at(first), at(last + dt.timedelta(days=1))
+
+
+def _anomalies(day: dt.date) -> tuple[str, ...]:
+    first, scan = day - dt.timedelta(weeks=9), day - dt.timedelta(days=7)
+    found = f"""sa AS (SELECT day, location_id, net_sales, median, z, difference, CASE WHEN difference < 0 THEN 'warn' ELSE 'info' END AS severity FROM (SELECT obs.day, obs.location_id, obs.net_sales, median, round(obs.net_sales - median, 2) AS difference, round((obs.net_sales - median) / greatest(CASE WHEN obs.net_sales < median THEN spread_below ELSE spread_above END, 25), 2) AS z
+      FROM obs JOIN wb ON obs.location_id IS NOT DISTINCT FROM wb.location_id AND isodow(obs.day) - 1 = wb.weekday WHERE NOT is_event AND day >= DATE '{scan}' AND day < DATE '{day}' AND observations >= 4))"""
+    return (*_OBS(_bounds(first, day)), *_base(9, str(first), str(scan)), found)
+
+
+ANOMALY_DAY = dt.date(1999, 10, 8)
 
+
+def _weeks(last: dt.date = dt.date(2001, 7, 31)) -> str:
     parts = []
     for k in range(6):
-        end = dt.date(2001, 7, 31) - dt.timedelta(days=7 * k)
-        bounds = (f"{end - dt.timedelta(days=6)} 04:00:00", f"{end + dt.timedelta(days=1)} 04:00:00")
+        end = last - dt.timedelta(days=7 * k)
+        bounds = _bounds(end - dt.timedelta(days=6), end)
         parts.append(f"SELECT DATE '{end}' AS week_end, * FROM (WITH {_shares(bounds, 'x')} SELECT * FROM x)")
     return "wk AS (" + " UNION ALL ".join(parts) + ")"
 
 
+def _spike(day: dt.date) -> str:
+    last = day - dt.timedelta(days=1)
+    return _q("""SELECT week_end, location_id, what, share, usual FROM (SELECT week_end, wk.location_id, 'refund' AS what, wk.refund_share AS share, us.refund_share AS usual FROM wk JOIN us ON wk.location_id IS NOT DISTINCT FROM us.location_id WHERE wk.net_sales > 0 UNION ALL SELECT week_end, wk.location_id, 'discount', wk.discount_share, us.discount_share FROM wk JOIN us ON wk.location_id IS NOT DISTINCT FROM us.location_id WHERE wk.net_sales > 0)
+      WHERE share >= 0.05 AND CASE WHEN usual > 0 THEN share >= usual * 2.5 ELSE share >= 0.1 END""", _shares(_bounds(day - dt.timedelta(days=91), last), "us"), _weeks(last))
+
+
+def _two_places(sql: str) -> str:
+    return sql.replace("c_nationkey AS location_id", "c_nationkey % 2 AS location_id")
+
+
 _RECON = "rc AS (SELECT count(*) FILTER (WHERE abs(total - coalesce(t, 0)) > 0.01) AS n FROM o LEFT JOIN (SELECT order_id, sum(gross - discount + tax) AS t FROM l GROUP BY 1) x USING (order_id))"
 _METRICS = f"""dm AS (SELECT (SELECT count(*) FROM v) AS variants, (SELECT count(*) FROM v WHERE cost IS NULL) AS variants_missing_cost, (SELECT count(*) FROM v WHERE category_id IS NULL) AS products_uncategorised, (SELECT count(*) FROM lv WHERE on_hand < 0) AS negative_stock_levels,
   (SELECT n FROM rc) AS orders_not_reconciling, (SELECT count(*) FROM l WHERE variant_id IS NULL) AS custom_lines, (SELECT count(*) FROM l) AS lines, (SELECT DATE '2001-08-01' - CAST({_local('max(placed_at)')} AS DATE) FROM o WHERE status <> 'canceled') AS days_since_last_order)"""
@@ -272,10 +296,8 @@ _DEMAND = (
 _STOCKOUT = ORACLE["stockout_days"]
 ORACLE |= {
     "weekday_baselines": _q("SELECT location_id, weekday, median, observations, median_orders, spread_below, spread_above FROM wb", *_OBS(("2001-01-03 05:00:00", END)), *_base(30, "2001-01-03", "2001-08-01")),
-    "sales_anomalies": _q("""SELECT day, location_id, net_sales, median, z, difference, CASE WHEN difference < 0 THEN 'warn' ELSE 'info' END AS severity FROM (SELECT obs.day, obs.location_id, obs.net_sales, median, round(obs.net_sales - median, 2) AS difference, round((obs.net_sales - median) / greatest(CASE WHEN obs.net_sales < median THEN spread_below ELSE spread_above END, 25), 2) AS z
-      FROM obs JOIN wb ON obs.location_id IS NOT DISTINCT FROM wb.location_id AND isodow(obs.day) - 1 = wb.weekday WHERE NOT is_event AND day >= DATE '2001-07-25' AND day < DATE '2001-08-01' AND observations >= 4) WHERE abs(z) >= 2 AND abs(difference) >= 75""", *_OBS(("2001-05-30 04:00:00", END)), *_base(9, "2001-05-30", "2001-07-25")),
-    "refund_spike": _q("""SELECT week_end, location_id, what, share, usual FROM (SELECT week_end, wk.location_id, 'refund' AS what, wk.refund_share AS share, us.refund_share AS usual FROM wk JOIN us ON wk.location_id IS NOT DISTINCT FROM us.location_id WHERE wk.net_sales > 0 UNION ALL SELECT week_end, wk.location_id, 'discount', wk.discount_share, us.discount_share FROM wk JOIN us ON wk.location_id IS NOT DISTINCT FROM us.location_id WHERE wk.net_sales > 0)
-      WHERE share >= 0.05 AND CASE WHEN usual > 0 THEN share >= usual * 2.5 ELSE share >= 0.1 END""", _shares(("2001-05-02 04:00:00", "2001-08-01 04:00:00"), "us"), _weeks()),
+    "sales_anomalies": _two_places(_q("SELECT * FROM sa WHERE abs(z) >= 2 AND abs(difference) >= 75", *_anomalies(ANOMALY_DAY))),
+    "refund_spike": _spike(dt.date(2001, 8, 1)),
     "dq_catalog": _q("SELECT metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM dm) ON COLUMNS(*) INTO NAME metric VALUE value)", _RECON, _METRICS),
     "dq_findings": _q("""SELECT 'missing_costs' AS code, CASE WHEN 1 - variants_missing_cost / variants > 0.7 THEN 'warning' ELSE 'error' END AS severity, CAST(variants_missing_cost AS DOUBLE) AS count, round(CAST(variants_missing_cost AS DOUBLE) / variants, 4) AS share FROM dm WHERE variants_missing_cost > 0
       UNION ALL SELECT 'custom_amount_sales', 'info', 0, round(CAST(custom_lines AS DOUBLE) / lines, 4) FROM dm WHERE CAST(custom_lines AS DOUBLE) / lines > 0.01 UNION ALL SELECT 'orders_not_reconciling', 'error', orders_not_reconciling, NULL FROM dm WHERE orders_not_reconciling > 0
@@ -285,3 +307,53 @@ ORACLE |= {
     "vendor_groups": _q("SELECT vendor_id, count(*) AS lines, round(sum(suggested_qty), 2) AS units, round(sum(suggested_qty * cost), 2) AS cost FROM rg GROUP BY 1", *_DEMAND),
     "shortfall": _q("SELECT count(*) AS lines, round(sum(m), 2) AS units_missed, round(sum(m * price), 2) AS lost_sales, round(sum(m * (price - cost)), 2) AS lost_margin, CASE WHEN coalesce(round(sum(m * price), 2), 0) >= 250 THEN 'urgent' ELSE 'warn' END AS severity FROM (SELECT *, round_even(velocity * (lead - cover), 2) AS m FROM rg WHERE cover IS NOT NULL AND stocks_out AND lead - cover > 0)", *_DEMAND),
 }
+
+_SPIKE = _spike(ANOMALY_DAY)
+_RUNS = "ru AS (SELECT event_type AS job, ts AS started_at, date_trunc('day', ts) AS due_at, CASE event_id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'succeeded' ELSE 'failed' END AS status FROM events)"
+_DRAFTS = "pd AS (SELECT reference, vendor_id, min(status) AS status FROM pl GROUP BY 1, 2)"
+_RECORDED = """st AS (SELECT * FROM i WHERE CAST(substr(dedupe_key, 2) AS BIGINT) % 3 <> 0), dr AS (SELECT * FROM i WHERE CAST(substr(dedupe_key, 2) AS BIGINT) % 2 = 0),
+rr AS (SELECT CASE WHEN dr.dedupe_key IS NOT NULL THEN 'urgent' ELSE st.severity END AS severity, CASE WHEN st.dedupe_key IS NULL THEN 'new' ELSE st.status END AS status, CASE WHEN dr.dedupe_key IS NOT NULL THEN 1.5 ELSE st.dollar_impact END AS impact, st.rating FROM st FULL JOIN dr ON st.dedupe_key = dr.dedupe_key)"""
+_ASKED_HITS = """WITH q AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (7, 107, 207)),
+s AS (SELECT question_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings JOIN q ON vec_id <> question_id),
+t AS (SELECT question_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM s) JOIN documents ON doc_id = vec_id WHERE rank <= 5)"""
+
+
+def _rule(name: str, broken: str, rows: str) -> str:
+    return f"SELECT '{name}' AS name, count(*) AS checked, count(*) FILTER (WHERE {broken}) AS broken FROM ({rows})"
+
+
+ORACLE |= {
+    "hit_at_k": _ASKED_HITS + " SELECT count(*) AS questions, count(*) FILTER (WHERE hit) AS hits, round(avg(hit::INT), 4) AS hit_rate FROM (SELECT d.doc_id, coalesce(bool_or(contains(lower(t.lang), lower(d.lang))), false) AS hit FROM documents d LEFT JOIN t ON t.question_id = d.doc_id WHERE d.doc_id IN (7, 107, 207) GROUP BY 1)",
+    "eval_summary": """SELECT tenant, round(avg(passed), 4) AS passed, CAST(round(avg(cost), 4) AS DECIMAL(16,7))::DOUBLE AS mean_cost, min(seconds) FILTER (WHERE n >= 0.95 * m) AS p95_seconds FROM
+      (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY seconds) AS n, count(*) OVER (PARTITION BY tenant) AS m FROM (SELECT event_type AS tenant, CAST(event_id % 5 <> 0 AS INT) AS passed, CAST(round(value / 1000, 3) AS DECIMAL(12,3)) AS cost, round(value, 2) AS seconds FROM events)) GROUP BY 1""",
+    "source_invariants": _q(" UNION ALL ".join((
+        _rule("counts_are_history", "on_hand <> coalesce(moved, 0)", "SELECT on_hand, moved FROM lv LEFT JOIN (SELECT variant_id, location_id, sum(quantity * CASE WHEN kind IN ('received', 'returned') THEN 1 WHEN kind IN ('sold', 'damaged') THEN -1 ELSE 0 END) AS moved FROM mv GROUP BY 1, 2) m USING (variant_id, location_id)"),
+        _rule("orders_are_lines", "abs(total - coalesce(t, 0)) > 0.01", "SELECT total, t FROM o LEFT JOIN (SELECT order_id, sum(gross - discount + tax) AS t FROM l GROUP BY 1) x USING (order_id)"),
+        _rule("refunds_within_payment", "b > p", "SELECT b, p FROM (SELECT order_id, sum(amount) AS b FROM r GROUP BY 1) x JOIN (SELECT order_id, sum(gross - discount) AS p FROM l GROUP BY 1) y USING (order_id)"),
+        _rule("no_negative_stock", "on_hand < 0", "SELECT on_hand FROM lv"),
+    ))),
+    "source_quirks": _q("""SELECT 'anonymous_orders' AS quirk, round(avg(CAST(customer_id IS NULL AS INT)), 4) AS share FROM o UNION ALL SELECT 'custom_lines', round(avg(CAST(variant_id IS NULL AS INT)), 4) FROM l UNION ALL SELECT 'variants_without_cost', round(avg(CAST(cost IS NULL AS INT)), 4) FROM v
+      UNION ALL SELECT 'shared_emails', round(CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS DOUBLE) / sum(n), 4) FROM (SELECT c_custkey % 1000, count(*) AS n FROM customer GROUP BY 1)"""),
+    "detectors": _two_places(_q(f"""SELECT 'sales_anomaly' AS kind, day || ':' || location_id AS subject, severity, difference AS impact FROM sa WHERE abs(z) >= 2.5 AND abs(difference) >= 75
+      UNION ALL SELECT 'refund_spike', week_end || ':' || location_id || ':' || what, 'warn', NULL FROM ({_SPIKE})
+      UNION ALL SELECT 'impossible_stock', CAST(variant_id AS VARCHAR), 'warn', NULL FROM (SELECT variant_id FROM lv GROUP BY 1 HAVING sum(on_hand) < 0)""", *_anomalies(ANOMALY_DAY))),
+    "breakdown_totals": "SELECT *, (" + _q("SELECT count(*) FROM (SELECT category_id FROM sl WHERE " + _in("placed_at", Q4) + " GROUP BY 1)") + ") AS total_rows, (" + _q("SELECT count(*) FROM (SELECT category_id FROM sl WHERE " + _in("placed_at", Q4) + " GROUP BY 1)") + ") > 10 AS truncated FROM (" + ORACLE["breakdown_category"] + ")",
+    "catalog_totals": _q("SELECT variant_id, sku, n AS total_rows, n > 30 AS truncated FROM v, (SELECT count(*) AS n FROM v WHERE sku ILIKE '%sku-1%') WHERE sku ILIKE '%sku-1%' ORDER BY sku, name, variant_id LIMIT 30"),
+    "where_it_sits": _q("SELECT variant_id, location_id AS sits_at FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY on_hand DESC, location_id) AS n FROM lv) WHERE n = 1"),
+    "vendor_returns": _q("SELECT variant_id, vendor_id, vendor_id % 7 = 0 AS takes_returns FROM tm WHERE is_primary"),
+    "briefing": _q(f"""SELECT 'location' AS section, CAST(n_nationkey AS VARCHAR) AS item, n_name AS value FROM nation UNION ALL SELECT 'channel', channel, CAST(count(*) AS VARCHAR) FROM o WHERE status <> 'canceled' GROUP BY channel
+      UNION ALL SELECT 'sales', 'first_day', CAST(CAST({_local('min(placed_at)')} AS DATE) AS VARCHAR) FROM o WHERE status <> 'canceled' UNION ALL SELECT 'sales', 'last_day', CAST(CAST({_local('max(placed_at)')} AS DATE) AS VARCHAR) FROM o WHERE status <> 'canceled'
+      UNION ALL SELECT 'finding', dedupe_key, kind FROM (SELECT * FROM i WHERE status IN ('new', 'seen', 'snoozed') AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-30') AND (snoozed_until IS NULL OR snoozed_until <= TIMESTAMP '2024-01-30')
+        ORDER BY CASE severity WHEN 'urgent' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, dollar_impact DESC NULLS LAST, created_at DESC, dedupe_key LIMIT 5) WHERE severity <> 'info'""", _INSIGHTS),
+    "drafts_replaced": _q("SELECT reference, vendor_id, CASE WHEN vendor_id % 3 = 0 AND status = 'draft' THEN 'canceled' ELSE status END AS status FROM pd UNION ALL SELECT reference || '-new', vendor_id, 'draft' FROM pd WHERE vendor_id % 3 = 0", *_PO, _DRAFTS),
+    "runs_swept": f"WITH {_RUNS} SELECT CASE WHEN status = 'running' AND started_at < TIMESTAMP '2024-01-15' THEN 'failed' ELSE status END AS status, count(*) AS n FROM ru GROUP BY 1",
+    "runs_last_succeeded": f"WITH {_RUNS} SELECT job, arg_max(due_at, started_at) AS due_at FROM ru WHERE status = 'succeeded' GROUP BY 1",
+    "runs_claimed": f"WITH {_RUNS} SELECT job, CAST(d AS DATE) AS due_on FROM (SELECT DISTINCT job FROM ru), generate_series(DATE '2023-12-20', DATE '2023-12-20' + 59, INTERVAL 1 DAY) AS t(d) WHERE NOT EXISTS (SELECT 1 FROM ru WHERE ru.job = job AND ru.due_at = d)".replace("ru.job = job", "ru.job = w.job").replace("(SELECT DISTINCT job FROM ru),", "(SELECT DISTINCT job FROM ru) w,").replace("SELECT job, CAST", "SELECT w.job, CAST"),
+    "messages_sent": f"SELECT user_id AS recipient, count(*) AS sent FROM events WHERE CAST({_local('ts')} AS DATE) = DATE '2024-01-15' GROUP BY 1",
+    "messages_delivery": "SELECT event_id AS message_id, CASE WHEN event_id % 8 = 0 THEN 'channel_off' WHEN event_id % 7 <> 0 AND (event_id * 37 % 1440 >= 1320 OR event_id * 37 % 1440 < 420) THEN 'quiet_hours' WHEN event_id % 7 <> 0 AND event_id % 5 >= 3 THEN 'daily_cap' END AS suppressed FROM events",
+    "insights_recorded": f"WITH {_INSIGHTS}, {_RECORDED} SELECT severity, status, count(*) AS n, CAST(round(sum(CAST(impact AS DECIMAL(14,2))), 2) AS DOUBLE) AS impact, count(rating) AS rated FROM rr GROUP BY 1, 2",
+    "map_scalars": "SELECT event_id AS row, CAST(event_id AS DOUBLE) / 100 AS dollars, CASE WHEN event_id % 4 = 0 THEN round(value, 2) WHEN event_id % 4 = 3 THEN CAST(event_id AS DOUBLE) END AS decimal, CASE WHEN event_id % 4 = 0 THEN CAST(trunc(round(value, 2)) AS BIGINT) WHEN event_id % 4 = 3 THEN event_id END AS whole, CASE event_id % 4 WHEN 0 THEN CAST(CAST(round(value, 2) AS DECIMAL(12,2)) AS VARCHAR) WHEN 1 THEN 'NONE' WHEN 2 THEN 'JUNK' ELSE CAST(event_id AS VARCHAR) END AS named FROM events",
+    "raw_landing": """SELECT 'order' AS entity, o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' AS payload FROM orders""",
+    "fk_required": "SELECT c_custkey AS customer_id, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3 GROUP BY 1",
+    "fk_optional": "SELECT c_custkey AS customer_id, count(*) AS orders FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 3) c ON o_custkey = c_custkey GROUP BY 1",
+}

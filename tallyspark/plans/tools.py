@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from tallyspark.context import BadArgument, DateRange, Filters, Shop, resolve_period
+from tallyspark.context import BadArgument, DateRange, Filters, Shop, resolve_name, resolve_period
 from tallyspark.operators import demand, inventory, sales, staffing
 
 
@@ -25,28 +25,38 @@ def _period(today: dt.date, a: dict) -> DateRange:
     return resolve_period(today, a.get("start"), a.get("end"))
 
 
-def _filters(a: dict) -> Filters:
-    return Filters(location_ids=tuple(a.get("location_ids", ())), channels=tuple(a.get("channels", ())), category_ids=tuple(a.get("category_ids", ())))
+def _filters(shop: Shop, a: dict) -> Filters:
+    """Filters by id, or by the names of locations and categories: exact, or part of only one."""
+    places, kinds = list(a.get("location_ids", ())), list(a.get("category_ids", ()))
+    if a.get("locations"):  # a shop's locations and categories are few
+        known = {r.name: r.location_id for r in shop.locations.select("location_id", "name").collect()}
+        places += [resolve_name(known, n) for n in a["locations"]]
+    if a.get("categories"):
+        known = {r.category_id: r.category_id for r in shop.variants.select("category_id").filter("category_id is not null").distinct().collect()}
+        kinds += [resolve_name(known, n) for n in a["categories"]]
+    return Filters(location_ids=tuple(places), channels=tuple(a.get("channels", ())), category_ids=tuple(kinds))
 
 
-_SALES = {"start": dt.date, "end": dt.date, "location_ids": list, "channels": list, "category_ids": list}
+_NAMED = {"location_ids": list, "category_ids": list, "locations": list, "categories": list}
+_SALES = {"start": dt.date, "end": dt.date, "channels": list} | _NAMED
 _RANKED = _SALES | {"limit": int}
-_STOCK = {"location_ids": list, "category_ids": list, "limit": int}
+_STOCK = _NAMED | {"limit": int}
 TOOLS = {
     t.name: t
     for t in (
-        Tool("sales_summary", lambda s, d, a: sales.sales_summary(s, _period(d, a), _filters(a)), _SALES),
-        Tool("sales_over_time", lambda s, d, a: sales.sales_series(s, _period(d, a), a.get("grain", "week"), _filters(a)), _SALES | {"grain": str}),
-        Tool("top_products", lambda s, d, a: sales.breakdown(s, _period(d, a), "product", _filters(a), a.get("limit", 10)), _RANKED),
-        Tool("category_breakdown", lambda s, d, a: sales.breakdown(s, _period(d, a), "category", _filters(a), a.get("limit", 25)), _RANKED),
-        Tool("location_channel_breakdown", lambda s, d, a: sales.breakdown(s, _period(d, a), a.get("by", "channel"), _filters(a), a.get("limit", 25)), _RANKED | {"by": str}),
-        Tool("low_stock", lambda s, d, a: inventory.low_stock(s, d, _filters(a), a.get("limit", 50)), _STOCK),
-        Tool("dead_stock", lambda s, d, a: inventory.dead_stock(s, d, _filters(a), a.get("limit", 50)), _STOCK),
-        Tool("sell_through", lambda s, d, a: inventory.sell_through(s, _period(d, a), _filters(a), a.get("limit", 20)), _RANKED),
-        Tool("inventory_value", lambda s, d, a: inventory.inventory_value(s, _filters(a)), _STOCK),
-        Tool("margin_report", lambda s, d, a: sales.margin_report(s, _period(d, a), _filters(a)), _SALES, ("has_costs",)),
-        Tool("customer_stats", lambda s, d, a: sales.customer_stats(s, _period(d, a), _filters(a)), _SALES, ("has_customers",)),
+        Tool("sales_summary", lambda s, d, a: sales.sales_summary(s, _period(d, a), _filters(s, a)), _SALES),
+        Tool("sales_over_time", lambda s, d, a: sales.sales_series(s, _period(d, a), a.get("grain", "week"), _filters(s, a)), _SALES | {"grain": str}),
+        Tool("top_products", lambda s, d, a: sales.breakdown(s, _period(d, a), "product", _filters(s, a), a.get("limit", 10)), _RANKED),
+        Tool("category_breakdown", lambda s, d, a: sales.breakdown(s, _period(d, a), "category", _filters(s, a), a.get("limit", 25)), _RANKED),
+        Tool("location_channel_breakdown", lambda s, d, a: sales.breakdown(s, _period(d, a), a.get("by", "channel"), _filters(s, a), a.get("limit", 25)), _RANKED | {"by": str}),
+        Tool("low_stock", lambda s, d, a: inventory.low_stock(s, d, _filters(s, a), a.get("limit", 50)), _STOCK),
+        Tool("dead_stock", lambda s, d, a: inventory.dead_stock(s, d, _filters(s, a), a.get("limit", 50)), _STOCK),
+        Tool("sell_through", lambda s, d, a: inventory.sell_through(s, _period(d, a), _filters(s, a), a.get("limit", 20)), _RANKED),
+        Tool("inventory_value", lambda s, d, a: inventory.inventory_value(s, _filters(s, a)), _STOCK),
+        Tool("margin_report", lambda s, d, a: sales.margin_report(s, _period(d, a), _filters(s, a)), _SALES, ("has_costs",)),
+        Tool("customer_stats", lambda s, d, a: sales.customer_stats(s, _period(d, a), _filters(s, a)), _SALES, ("has_customers",)),
         Tool("reorder_suggestions", lambda s, d, a: demand.suggestions(s, d, a.get("limit", 50)), {"limit": int}),
+        Tool("search_catalog", lambda s, d, a: inventory.catalog_page(s, d, a.get("query"), a.get("sort", "name"), a.get("descending", False), a.get("limit", 20), a.get("offset", 0), _filters(s, a), totals=True), _STOCK | {"query": str, "sort": str, "descending": bool, "offset": int}),
         Tool("busiest_hours", lambda s, d, a: staffing.busiest_hours(s, d, a.get("weekday"), a.get("limit", 8)), {"weekday": int, "limit": int}),
     )
 }

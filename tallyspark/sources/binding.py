@@ -41,7 +41,7 @@ def shop(spark: SparkSession, sf_dir: str, timezone: str = ZONE) -> Shop:
     )
     supply = lineitem.select(F.col("l_partkey").alias("variant_id"), F.col("l_suppkey").alias("vendor_id")).distinct()
     least = supply.groupBy("variant_id").agg(F.min("vendor_id").alias("first_vendor"))
-    terms = supply.join(least, "variant_id").select("variant_id", "vendor_id", (F.col("vendor_id") == F.col("first_vendor")).alias("is_primary"), (7 + F.col("vendor_id") % 21).cast("int").alias("lead_time_days"), exact(1 + F.col("vendor_id") % 6).alias("pack_size"), exact(F.col("vendor_id") % 4 * 5).alias("min_order_qty"))
+    terms = supply.join(least, "variant_id").select("variant_id", "vendor_id", (F.col("vendor_id") == F.col("first_vendor")).alias("is_primary"), (7 + F.col("vendor_id") % 21).cast("int").alias("lead_time_days"), exact(1 + F.col("vendor_id") % 6).alias("pack_size"), exact(F.col("vendor_id") % 4 * 5).alias("min_order_qty"), (F.col("vendor_id") % 7 == 0).alias("takes_returns"))
     payments = orders.select("order_id", "source", F.col("total").alias("amount"), F.when(F.col("customer_id") % 3 == 0, "card").when(F.col("customer_id") % 3 == 1, "cash").otherwise("other").alias("tender"), exact(F.col("order_id") % 5).alias("tip"), F.col("placed_at").alias("occurred_at"), "location_id")
     nation, region = t("nation"), t("region")
     tree = region.select(F.concat(F.lit("R"), F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name")).unionByName(nation.select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("R"), F.col("n_regionkey")).alias("parent_id"), F.col("n_name").alias("name")))

@@ -5,8 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.context import BadArgument
 from tallyspark.functions import transforms as tr
-from tallyspark.operators import anomaly, demand, ledger, mapping, retrieval, stale, sync
+from tallyspark.operators import anomaly, demand, ledger, mapping, retrieval, scopes, stale, sync
+from tallyspark.plans import tools
+from tallyspark.sources import binding
 from tallyspark.streaming import upserts
 
 
@@ -118,3 +121,59 @@ def test_insights_keep_what_the_user_did(spark):
 def test_delivery_policy(spark):
     rows = spark.createDataFrame([("a", True, "info", 30, 1320, 420, 0), ("b", True, "urgent", 30, 1320, 420, 9), ("c", True, "info", 600, 1320, 420, 3), ("d", False, "urgent", 600, 1320, 420, 0), ("e", True, "warn", 600, 1320, 420, 2)], "recipient string, enabled boolean, severity string, minute int, quiet_start int, quiet_end int, sent_today int")
     assert {r.recipient: r.suppressed for r in ledger.delivery(rows).collect()} == {"a": "quiet_hours", "b": None, "c": "daily_cap", "d": "channel_off", "e": None}
+
+
+def test_a_customer_without_a_date_is_no_survivor(spark):
+    rows = [(1, "a@b.c", None, None), (2, "a@b.c", None, dt.date(2020, 1, 1)), (3, "x@y.z", None, None), (4, "x@y.z", None, None)]
+    found = sync.duplicates(spark.createDataFrame(rows, "customer_id long, email string, phone string, created_on date"))
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (4, 3)]
+
+
+def test_descendants_at_any_depth_and_in_cycles(spark):
+    chain = [(str(i), str(i - 1) if i else None) for i in range(12)] + [("a", "c"), ("b", "a"), ("c", "b")]
+    tree = spark.createDataFrame(chain, "id string, parent_id string")
+    assert {r.id for r in scopes.descendants(tree, ["3"]).collect()} == {str(i) for i in range(3, 12)}
+    assert sorted(r.id for r in scopes.descendants(tree, ["a"]).collect()) == ["a", "b", "c"]
+    assert scopes.descendants(tree, ["none"]).count() == 0
+
+
+def test_passages_have_title_and_metadata(spark):
+    docs = spark.createDataFrame([(1, "word " * 900, "Title", "en", None), (2, "short", None, "de", "s"), (3, None, "T", None, None)], "doc_id long, text string, title string, lang string, source string")
+    found = sorted(retrieval.passages(docs, "title", ["lang", "source"]).collect(), key=lambda r: (r.doc_id, r.chunk_index))
+    assert [(r.doc_id, r.chunk_index) for r in found] == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert all(r.content.startswith("Title\n\n") and r.metadata == {"lang": "en"} for r in found[:3])
+    assert found[3].content == "short" and found[3].metadata == {"lang": "de", "source": "s"}
+
+
+def test_text_search_keeps_full_matches_only_if_there_are_some(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red"), (3, "fox fox"), (4, "red fox den")], "doc_id long, text string")
+    assert [r.doc_id for r in retrieval.text_search(docs, "red fox").collect()] == [1, 4]
+    assert [r.doc_id for r in retrieval.text_search(docs, "red fox", 1).collect()] == [1]
+    assert sorted(r.doc_id for r in retrieval.text_search(docs, "fox zzz").collect()) == [1, 3, 4]
+    assert retrieval.text_search(docs, "zzz").count() == 0
+
+
+def test_detectors_register_once_and_are_named(spark):
+    with pytest.raises(BadArgument):
+        anomaly.register(anomaly.DETECTORS["shrink"])
+    with pytest.raises(BadArgument):
+        anomaly.detected(None, dt.date(2001, 8, 1), ("nothing",))
+
+
+def test_search_catalog_takes_names(spark):
+    shop = binding.shop(spark, "/root/testdata/sf0.001")
+    name = shop.locations.filter("location_id = 1").first().name
+    found = tools.call(shop, dt.date(2001, 8, 1), "search_catalog", {"query": "sku-1", "locations": [name.lower()], "limit": 5})
+    rows = found.collect()
+    assert len(rows) == 5 and rows[0].truncated and rows[0].total_rows > 5 and all(r.stock is None or r.stock.startswith("1=") for r in rows)
+    with pytest.raises(BadArgument):
+        tools.call(shop, dt.date(2001, 8, 1), "sales_summary", {"locations": ["nowhere"]})
+
+
+def test_purchase_orders_nest_their_lines(spark):
+    lines = [("A", 1, 10, "draft", 2.0, 0.0, 3.0), ("A", 1, 9, "sent", 1.0, 0.0, None), ("B", 2, 8, "canceled", 5.0, 0.0, 1.0)]
+    lines = spark.createDataFrame(lines, "reference string, vendor_id long, variant_id long, status string, quantity double, received double, price double")
+    vendors = spark.createDataFrame([(1, "V")], "vendor_id long, name string")
+    (row,) = demand.purchase_orders(lines, vendors).collect()
+    assert (row.vendor, row.n_lines, row.units, row.value, row.unpriced, [x.variant_id for x in row.lines]) == ("V", 2, 3.0, 6.0, 1, [9, 10])
+    assert demand.purchase_orders(lines, vendors, canceled=True).count() == 2
