@@ -7,6 +7,8 @@ text that is a licence is found whatever its layout. Lines are looked up alike a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +18,28 @@ from tallyspark.llm import common
 SPELLINGS = [
     ("licence", "license"),
     ("sub-license", "sublicense"),
+    ("sub license", "sublicense"),
     ("non-commercial", "noncommercial"),
+    ("non-infringement", "noninfringement"),
     ("&", " and "),
     ("https://", "http://"),
     ("per cent", "percent"),
     ("copyright owner", "copyright holder"),
     ("organisation", "organization"),
+    ("authorisation", "authorization"),
+    ("authorised", "authorized"),
+    ("recognise", "recognize"),
+    ("initialise", "initialize"),
+    ("utilisation", "utilization"),
+    ("acknowledgement", "acknowledgment"),
+    ("judgement", "judgment"),
+    ("cancelled", "canceled"),
+    ("favour", "favor"),
+    ("offence", "offense"),
+    ("whilst", "while"),
     ("merchantibility", "merchantability"),
 ]
-_COPYRIGHT = r"(^|\n)[^\n]*(copyright [0-9(©]|copyright ©|\(c\)|©|all rights reserved)[^\n]*"
+_COPYRIGHT = r"(^|\n)[^\n]*(copyright [0-9(©<\[{]|copyright ©|\(c\)|©|all rights reserved)[^\n]*"
 _MARKS = r"[^\p{L}\p{N}]+"
 #: Known notices are looked up by a literal map of at most this many entries.
 NOTICES_LIMIT = 10_000
@@ -34,13 +49,42 @@ _ISC_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL W
 _BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
 _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
 _BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
-#: Texts of known licences without copyright lines, by identifier.
+#: Texts of known licences without copyright lines and titles, by identifier.
 LICENSES = {
-    "MIT": 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    "ISC": f"ISC License\n\n{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_WARRANTY}",
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC": f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_WARRANTY}",
     "0BSD": f"{_GRANT}.\n\n{_ISC_WARRANTY}",
     "BSD-2-Clause": _BSD_GRANT + _BSD_WARRANTY,
     "BSD-3-Clause": _BSD_GRANT + _BSD_THIRD + _BSD_WARRANTY,
+    "Unlicense": 'This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": 'Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+}
+#: Titles that a licence's text may begin with, besides none.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License", "The zlib License"],
+}
+#: Digests of the canonical forms of longer licences' published texts.
+DIGESTS = {
+    "Apache-2.0": "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    "GPL-1.0": "8a4692e318e41e8d96d4610f021d16f03ff4485322f3d81c00d2621fdda7b2b1",
+    "GPL-2.0": "0248b317bc123a7424b6ff9799b9786ffde75241881994270612a604d03836cc",
+    "GPL-3.0": "335e2e9a39badb7f3faa5b6e393ff8b393f868383be9ddbf866c5821b34f4810",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "c34c43918e1d42d3c4cfe54235a78b951fb1f1df3465db7d0d59e5b73f627a11",
+    "MPL-2.0": "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",
 }
 #: One-line notices, by identifier of the licence they name.
 NOTICES = {
@@ -75,16 +119,40 @@ def _line(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, _MARKS, " "))
 
 
+def texts(licenses: dict[str, str]) -> list[tuple[str, str]]:
+    """(identifier, text) of licences, with each of their titles and without."""
+    return [(k, title + "\n\n" + v if title else v) for k, v in licenses.items() for title in ("", *TITLES.get(k, ()))]
+
+
 def known(spark: SparkSession, licenses: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license_id) of licence texts; of equal texts the smallest identifier stays."""
-    rows = spark.createDataFrame(list((licenses or LICENSES).items()), "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """(digest, license_id) of licence texts, or of the known ones; of equal texts the smallest identifier stays."""
+    rows = spark.createDataFrame(texts(LICENSES if licenses is None else licenses), "license_id string, text string")
+    rows = rows.select("license_id", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"))
+    if licenses is None:
+        rows = rows.unionByName(spark.createDataFrame(list(DIGESTS.items()), "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
+def anchor(form: str) -> str:
+    """A pattern of the longest word of a notice's form, in all its spellings: no line has the form without it.
+
+    Words that equivalent phrases or signs may stand for are passed over.
+    """
+    loose = {w for old, new in SPELLINGS if not (old.isalpha() and new.isalpha()) for w in re.findall(r"\w+", new)}
+    words = sorted((w for w in form.split() if not any(x in w for x in loose)), key=lambda w: (-len(w), w))
+    out = re.escape(words[0]) if words else ""
+    for old, new in SPELLINGS:
+        if old.isalpha() and new.isalpha():
+            out = out.replace(new, f"(?:{new}|{old})")
+    return out
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None, notices: dict[str, str] | None = None, text_col: str = "text") -> DataFrame:
-    """docs with digest, license_id (null if the whole text is no known licence) and notices (sorted identifiers of known one-line notices).
+    """docs with digest, license_id (null if the whole text is no known licence) and notices (sorted identifiers of known
+    one-line notices), in place of columns of these names.
 
-    A null text has a null digest and no notices; an empty one the digest of the empty form, which no licence has.
+    licenses: (digest, license_id), as known() gives them. A null text has a null digest and no notices; an empty one the
+    digest of the empty form, which no licence has. Repeated rows each have their result.
     """
     spark = docs.sparkSession
     lines = NOTICES if notices is None else notices
@@ -92,17 +160,23 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, notices: dict[str,
         raise ValueError(f"more than {NOTICES_LIMIT} notices")
     licenses = licenses if licenses is not None else known(spark)
     few = licenses.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
-    forms = {r[0]: r[1] for r in spark.createDataFrame(list(lines.items()) or [("", "")], "line string, id string").select(_line(F.col("line")), "id").collect()}
-    table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
-    marked = F.filter(F.split(F.col(text_col), "\n"), lambda s: s.rlike("(?i)licen[cs]e|rights"))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(marked, lambda s: F.element_at(table, _line(s))), lambda x: x.isNotNull())))
-    digest = F.sha2(canonical(F.col(text_col)).cast("binary"), 256)
-    right = licenses.select(F.col("digest").alias("__digest"), F.col("license_id").alias("__license"))
-    out = docs.withColumns({"digest": digest, "notices": F.coalesce(found, F.array().cast("array<string>"))})
-    return out.join(F.broadcast(right) if few else right, out["digest"] == F.col("__digest"), "left").withColumn("license_id", F.col("__license")).drop("__digest", "__license")
+    forms = {r[0]: r[1] for r in spark.createDataFrame(list(lines.items()) or [("", "")], "line string, id string").select(_line(F.col("line")), "id").collect() if r[0]}
+    none = F.array().cast("array<string>")
+    found = none
+    if forms:
+        table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+        marked = F.filter(F.split(F.col(text_col), "\n"), lambda s: s.rlike("(?i)" + "|".join(sorted({anchor(f) for f in forms}))))
+        found = F.array_sort(F.array_distinct(F.filter(F.transform(marked, lambda s: F.element_at(table, _line(s))), lambda x: x.isNotNull())))
+    key, name, notice = common.fresh("digest"), common.fresh("license"), common.fresh("notices")
+    right = licenses.select(F.col("digest").alias(key), F.col("license_id").alias(name))
+    digest = common.fresh("digest")
+    out = docs.withColumns({digest: F.sha2(canonical(F.col(text_col)).cast("binary"), 256), notice: F.coalesce(found, none)})
+    out = out.join(F.broadcast(right) if few else right, F.col(digest) == F.col(key), "left")
+    return out.withColumns({"digest": F.col(digest), "license_id": F.col(name), "notices": F.col(notice)}).drop(digest, notice, key, name)
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones too; see scan() for nulls and empty texts."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs).select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
 
@@ -121,13 +195,13 @@ def _sql_form(text: str, lines: bool) -> str:
 
 
 ORACLE_SQL = f"""
-WITH known AS (SELECT sha256({_sql_form('text', False)}) AS digest, min(id) AS license_id
-               FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in LICENSES.items())}) AS t(id, text) GROUP BY 1),
+WITH known AS (SELECT digest, min(id) AS license_id FROM (SELECT id, sha256({_sql_form('text', False)}) AS digest
+               FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in texts(LICENSES))}) AS t(id, text)
+               UNION ALL SELECT * FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in DIGESTS.items())}) AS t(id, digest)) GROUP BY 1),
 notices AS (SELECT DISTINCT {_sql_form('line', True)} AS form, id
             FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in NOTICES.items())}) AS t(line, id)),
 docs AS (SELECT row_number() OVER () AS n, doc_id, text, sha256({_sql_form('text', False)}) AS digest FROM documents),
-lines AS (SELECT n, {_sql_form('line', True)} AS form FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM docs)
-          WHERE regexp_matches(line, '(?i)licen[cs]e|rights')),
+lines AS (SELECT n, {_sql_form('line', True)} AS form FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM docs)),
 found AS (SELECT n, string_agg(DISTINCT id, ',' ORDER BY id) AS notices FROM lines JOIN notices USING (form) GROUP BY n)
 SELECT doc_id, docs.digest, license_id, coalesce(notices, '') AS notices
 FROM docs LEFT JOIN known USING (digest) LEFT JOIN found USING (n)"""

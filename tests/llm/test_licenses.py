@@ -1,6 +1,8 @@
 import hashlib
+import pathlib
 
 import duckdb
+import pytest
 
 from tallyspark.llm import licenses as li
 
@@ -36,3 +38,22 @@ def test_long_notice_lines(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(con.execute(li.ORACLE_SQL).fetchall()) == got
+
+
+def test_longer_licences_by_digest_in_any_layout(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {k: (folder / v).read_text() for k, v in names.items() if (folder / v).exists()}
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    docs = [(k, form(t)) for k, t in texts.items() for form in (str, str.upper, lambda t: "\n".join("  * " + x for x in t.split("\n")), lambda t: t + "\nCopyright (C) 2021 Somebody")]
+    found = li.scan(spark.createDataFrame(docs, "doc_id string, text string")).select("doc_id", "license_id").collect()
+    assert len(found) == len(docs) and all(r.doc_id == r.license_id for r in found)
+
+
+def test_titles_own_notices_and_columns_of_any_name(spark):
+    body = li.LICENSES["MIT"]
+    docs = [(1, "The MIT License (MIT)\n\nCopyright <YEAR> <HOLDER>\n\n" + body), (2, "MIT License\n" + body), (3, "x\nPublic domain.\ny"), (4, li.LICENSES["Zlib"].replace("acknowledgment", "acknowledgement"))]
+    docs = spark.createDataFrame([(*d, "old", "old", "old", "old") for d in docs], "doc_id long, text string, digest string, license_id string, notices string, __digest string")
+    got = {r.doc_id: (r.license_id, r.notices, r["__digest"]) for r in li.scan(docs, notices={"Public domain": "PD", "Public & domain": "other"}).collect()}
+    assert got == {1: ("MIT", [], "old"), 2: ("MIT", [], "old"), 3: (None, ["PD"], "old"), 4: ("Zlib", [], "old")}
