@@ -161,6 +161,7 @@ def _digests(batches):
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each conversation, of all rows with a null conv_id together; see formatted() for nulls, ties and repeated rows."""
     added = spark.createDataFrame([(ADDED[0], i, r, t) for i, (r, t) in enumerate(ADDED[1])], "conv_id long, turn long, role string, text string")
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     return formatted(rows).mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rewrites long".replace("n_rewrites", "rewrites")).withColumnRenamed("rewrites", "n_rewrites")

@@ -25,6 +25,8 @@ ORDERS, WIDTH = 4, 0.42
 DIMENSIONS, BITS = 8, 7
 #: Quantiles of keys that set windows' ends; queries broadcast at once; rows compared at once.
 QUANTILES, BLOCK, ROWS = 1000, 20_000, 4096
+#: Decimal places to which cosines count as equal while candidates are gathered.
+TIED = 13
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -94,6 +96,22 @@ def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q * c).sum(1) / np.sqrt((q * q).sum(1) * (c * c).sum(1))
 
 
+def _best(score: np.ndarray, ids: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest scores of each row and their ids, a row each; of scores equal to TIED places the smaller ids. -inf fills up."""
+    short = many - score.shape[1]
+    if short > 0:
+        score = np.concatenate([score, np.full((len(score), short), -np.inf)], 1)
+        ids = np.concatenate([ids, np.zeros((len(ids), short), np.int64)], 1)
+    score = np.round(score, TIED)
+    least = -np.partition(-score, many - 1, axis=1)[:, many - 1 : many]
+    i, j = np.nonzero(score >= least)
+    order = np.lexsort((ids[i, j], -score[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    i, j = i[place < many].reshape(-1, many), j[place < many].reshape(-1, many)
+    return score[i, j], ids[i, j]
+
+
 def _searched(sent, k: int):
     """The k + 1 nearest distinct vectors to each query among a partition's rows inside its window."""
 
@@ -108,16 +126,13 @@ def _searched(sent, k: int):
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
                 ids, raw, key = part.column(0).to_numpy(), _matrix(part.column(1)), part.column(2).to_numpy()
-                ask = np.flatnonzero((q["low"] <= key[-1]) & (q["high"] >= key[0]))
+                ask = np.flatnonzero((q["low"] <= key.max()) & (q["high"] >= key.min()))
                 if not len(ask):
                     continue
                 s = q["unit"][ask] @ _units(raw).T
                 s[(key[None] < q["low"][ask, None]) | (key[None] > q["high"][ask, None])] = -np.inf
-                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
-                both = np.concatenate([best[ask], np.take_along_axis(s, top, 1)], 1)
-                names = np.concatenate([who[ask], ids[top]], 1)
-                order = np.argsort(-both, axis=1, kind="stable")[:, : k + 1]
-                best[ask], who[ask] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+                top, names = _best(s, np.broadcast_to(ids, s.shape), k + 1)
+                best[ask], who[ask] = _best(np.concatenate([best[ask], top], 1), np.concatenate([who[ask], names], 1), k + 1)
                 near = set(np.unique(who[ask]).tolist())
                 vectors |= {int(i): r for i, r in zip(ids, raw, strict=True) if i in near}
             kept = set(np.unique(who[best > -np.inf]).tolist())
@@ -157,6 +172,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, orders: int = OR
     at = [i / QUANTILES for i in range(QUANTILES + 1)]
     cuts = keyed.agg(*[F.percentile_approx(f"key{o}", at, 20_000) for o in range(orders)]).first()
     half = round(width * QUANTILES / 2)
+    # each order is dealt and written once, however many blocks of queries there are
+    ordered = [common.save(keyed.select("rep", "v", f"key{o}").repartitionByRange(f"key{o}", "rep").sortWithinPartitions(f"key{o}", "rep"), "order") for o in range(orders)] if cuts[0] else []
     parts, block = [], []
 
     def search(block):
@@ -168,8 +185,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, orders: int = OR
             middle = np.clip((np.searchsorted(cut, places[o], "left") + np.searchsorted(cut, places[o], "right")) // 2, half, max(half, QUANTILES - half))
             low, high = cut[np.maximum(middle - half, 0)], cut[np.minimum(middle + half, QUANTILES)]
             sent = spark.sparkContext.broadcast({"id": np.array([r.id for r in block], np.int64), "raw": raw, "unit": unit, "low": np.where(middle <= half, np.iinfo(np.int64).min, low), "high": np.where(middle >= QUANTILES - half, np.iinfo(np.int64).max, high)})
-            ordered = keyed.select("rep", "v", f"key{o}").repartitionByRange(f"key{o}", "rep").sortWithinPartitions(f"key{o}", "rep")
-            parts.append(ordered.mapInArrow(_searched(sent, k), "query long, rep long, score double"))
+            parts.append(common.save(ordered[o].mapInArrow(_searched(sent, k), "query long, rep long, score double"), "found"))
+            sent.destroy()
 
     if cuts[0]:
         for r in queries.distinct().toLocalIterator():
@@ -192,5 +209,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, orders: int = OR
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 5 rows for each query; see usable() for rows that take no part, nearest() for repeated ones and ties."""
     rows = usable(common.table(spark, sf_dir, "embeddings"))
     return nearest(rows, rows.filter("id % 50 = 0"))

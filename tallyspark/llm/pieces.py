@@ -237,4 +237,5 @@ def digests(docs: DataFrame, vocabulary=None, id_col: str = "doc_id", text_col:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones too; null and empty texts have no tokens."""
     return digests(common.table(spark, sf_dir, "documents"))

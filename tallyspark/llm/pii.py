@@ -227,6 +227,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones too; null and empty texts have no spans. See sensitive()."""
     found = sensitive(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array(*map(F.lit, KINDS))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")

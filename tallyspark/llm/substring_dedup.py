@@ -147,7 +147,7 @@ def _cut(window: int):
                     done = b
                     removed.append({"start": a, "end": b})
                 kept += words[done:]
-                out.append({"id": i, "salt": salt, "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode(), "removed": removed})
+                out.append({"id": i, "salt": salt, "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace"), "removed": removed})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("id", pa.int64()), ("salt", pa.int32()), ("n_removed", pa.int64()), ("kept", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
 
     return run
@@ -167,6 +167,7 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, repeated ones too; see cut_repeats() for nulls, short texts and ties."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = cut_repeats(docs).select("id", "salt", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("cut_sha256"), F.size("removed").cast("long").alias("n_spans"))
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(_plain, "id long, salt int, n_words long, kept_sha256 string, null_id boolean")

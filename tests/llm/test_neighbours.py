@@ -53,3 +53,9 @@ def test_edges(spark, tmp_path):
     assert result(spark, tmp_path / "b", []) == {}
     assert result(spark, tmp_path / "c", [(0, [1.0, 2.0])]) == {}
     assert result(spark, tmp_path / "d", [(1, [1.0, 2.0])]) == {}
+
+
+def test_multiples_tie_to_the_smaller_ids(spark, tmp_path):
+    v = np.array([0.5, -1.0, 2.0, 0.25])
+    rows = [(i, (v * 2.0 ** ((i * 7) % 25 - 12)).tolist()) for i in range(1, 25)] + [(0, v.tolist()), (60, [1.0, 1.0, 1.0, 1.0])]
+    assert [j for j, _ in result(spark, tmp_path, rows[::-1])[0]] == [1, 2, 3, 4, 5]
