@@ -23,13 +23,18 @@ WINDOW_DAYS, URGENT = 28, 250
 SHELF = ["variant_id", "location_id"]
 
 
-def weekly_units(shop: Shop, as_of: dt.date) -> DataFrame:
-    """Units of each shelf in fixed weeks of 604,800 seconds back from the window's end; w0 is the newest."""
+def _weeks(shop: Shop, as_of: dt.date) -> tuple[DateRange, list[Column]]:
     period = DateRange.last(WINDOW_DAYS, as_of)
     end = F.lit(period.bounds(shop.timezone)[1].replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
     week = F.floor((F.unix_micros(end) - F.unix_micros("placed_at")) / 604_800_000_000)
-    lines = sold_lines(shop, period, require_product=True).withColumn("week", week)
-    return lines.groupBy(*SHELF).agg(*[units(total(F.when(F.col("week") == i, F.col("quantity")))).alias(f"w{i}") for i in range(4)])
+    inside = period.inside(F.col("placed_at"), shop.timezone)
+    return period, [units(total(F.when(inside & (week == i), F.col("quantity")))).alias(f"w{i}") for i in range(4)]
+
+
+def weekly_units(shop: Shop, as_of: dt.date) -> DataFrame:
+    """Units of each shelf in fixed weeks of 604,800 seconds back from the window's end; w0 is the newest."""
+    period, weeks = _weeks(shop, as_of)
+    return sold_lines(shop, period, require_product=True).groupBy(*SHELF).agg(*weeks)
 
 
 def primary_terms(shop: Shop) -> DataFrame:
@@ -52,13 +57,23 @@ def stockout_days(shop: Shop, as_of: dt.date, days: int = WINDOW_DAYS) -> DataFr
     return empty.select(*SHELF, F.least(F.col("n"), F.lit(days - 1)).alias("stockout_days"))
 
 
-def year_units(shop: Shop, as_of: dt.date) -> DataFrame:
-    """Units of each shelf in the same window a year (364 days) ago and in the year before as_of."""
+def _years(shop: Shop, as_of: dt.date) -> tuple[DateRange, list[Column]]:
     window = DateRange.last(WINDOW_DAYS, as_of - dt.timedelta(days=364))
     year = DateRange.last(365, as_of)
-    lines = sold_lines(shop, DateRange(window.start, as_of), require_product=True)
     inside = lambda p: F.when(p.inside(F.col("placed_at"), shop.timezone), F.col("quantity"))
-    return lines.groupBy(*SHELF).agg(units(total(inside(window))).alias("last_year"), units(total(inside(year))).alias("trailing_year"))
+    return DateRange(window.start, as_of), [units(total(inside(window))).alias("last_year"), units(total(inside(year))).alias("trailing_year")]
+
+
+def year_units(shop: Shop, as_of: dt.date) -> DataFrame:
+    """Units of each shelf in the same window a year (364 days) ago and in the year before as_of."""
+    period, sums = _years(shop, as_of)
+    return sold_lines(shop, period, require_product=True).groupBy(*SHELF).agg(*sums)
+
+
+def _recent_and_year(shop: Shop, as_of: dt.date) -> DataFrame:
+    """weekly_units() and year_units() of one scan: the weeks lie within the year."""
+    period, sums = _years(shop, as_of)
+    return sold_lines(shop, period, require_product=True).groupBy(*SHELF).agg(*_weeks(shop, as_of)[1], *sums)
 
 
 def velocity(weeks: list[Column], stockout: Column, window: int = WINDOW_DAYS) -> Column:
@@ -83,7 +98,7 @@ def rounded_to_pack(quantity: Column, pack: Column, least: Column) -> Column:
 def demand_inputs(shop: Shop, as_of: dt.date, movements_as_of: dt.date | None = None) -> DataFrame:
     """A row a shelf with all that the forecast needs; sums come before the joins."""
     shelves = stock(shop)[0].select(*SHELF, "sku", "category_id", units("price").alias("price"), units("cost").alias("cost"), units("on_hand").alias("on_hand"))
-    out = shelves.join(weekly_units(shop, as_of), SHELF, "left").join(year_units(shop, as_of), SHELF, "left").join(stockout_days(shop, movements_as_of or as_of), SHELF, "left").join(primary_terms(shop), "variant_id", "left")
+    out = shelves.join(_recent_and_year(shop, as_of), SHELF, "left").join(stockout_days(shop, movements_as_of or as_of), SHELF, "left").join(primary_terms(shop), "variant_id", "left")
     return out.fillna(0.0, ["w0", "w1", "w2", "w3", "last_year", "trailing_year"]).fillna(0, ["stockout_days"])
 
 

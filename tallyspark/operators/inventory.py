@@ -35,9 +35,9 @@ def stock_rows(shop: Shop, as_of: dt.date, filters: Filters = NO_FILTERS, days:
     Sums come before joins, so that no sale is counted for more than one shelf.
     """
     held = stock(shop, filters)[0].groupBy("variant_id", "sku", "price").agg(total("on_hand").alias("on_hand"))
-    window = sold_lines(shop, DateRange.last(days, as_of), require_product=True).groupBy("variant_id").agg(total("quantity").alias("sold"))
-    last = sold_lines(shop, DateRange(dt.date(1970, 1, 2), as_of), require_product=True).groupBy("variant_id").agg(F.max("placed_at").alias("last_sale"))
-    out = held.join(window, "variant_id", "left").join(last, "variant_id", "left").fillna(0, ["sold"])
+    lately = F.when(DateRange.last(days, as_of).inside(F.col("placed_at"), shop.timezone), F.col("quantity"))
+    sales = sold_lines(shop, DateRange(dt.date(1970, 1, 2), as_of), require_product=True).groupBy("variant_id").agg(total(lately).alias("sold"), F.max("placed_at").alias("last_sale"))
+    out = held.join(sales, "variant_id", "left").fillna(0, ["sold"])
     rate = F.col("sold").cast("double") / days
     return out.withColumn("daily", F.round(rate, 3)).withColumn("cover", F.when(F.col("sold") > 0, F.round(F.col("on_hand").cast("double") / rate, 1))).withColumn("last_day", shop.local_day(F.col("last_sale")))
 

@@ -34,7 +34,9 @@ def _merchandise(shop: Shop, df: DataFrame, filters: Filters) -> DataFrame:
 def sold_lines(shop: Shop, period: DateRange | None, filters: Filters = NO_FILTERS, require_product: bool = False) -> DataFrame:
     """Lines of such orders with their variant, if it is known; deleted variants and custom amounts stay unless a product is asked for."""
     orders = orders_in(shop, period, Filters(filters.location_ids, filters.channels, (), (), (), filters.sources))
-    out = shop.lines.join(orders, "order_id").join(shop.variants.select("variant_id", "product_id", "category_id", "price", F.col("name").alias("variant_name")), "variant_id", "left")
+    kept = [F.min(c).alias(n) for c, n in (("product_id", "product_id"), ("category_id", "category_id"), ("price", "price"), ("name", "variant_name"))]
+    variants = shop.variants.groupBy("variant_id").agg(*kept)  # keys are distinct by construction, so the join goes where no column of it is read
+    out = shop.lines.join(orders, "order_id").join(variants, "variant_id", "left")
     if require_product or filters.merchandise:
         out = out.filter("variant_id is not null")
     return _merchandise(shop, out, filters)
