@@ -65,6 +65,24 @@ def test_stream_merges_each_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/batch=1").collect())) == [(1, "a", 1), (2, "c", 2)]
 
 
+def test_stream_rewrites_only_the_parts_of_a_batch(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "id int, v string, seq int"
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: upserts.merged_stream(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "cp"), ["id"], ["seq"], parts=8).awaitTermination()
+    add([(i, "a", 1) for i in range(100)])
+    run()
+    add([(2, "c", 2), (2, "b", 3), (None, "n", 1), (200, "new", 1)])
+    run()
+    add([(3, "d", 2)])
+    run()
+    like = spark.createDataFrame([], schema)
+    want = {i: "a" for i in range(100)} | {2: "b", None: "n", 200: "new", 3: "d"}
+    got = upserts.state(like, out).collect()
+    assert len(got) == len(want) and {r.id: r.v for r in got} == want
+    assert spark.read.parquet(f"{out}/batch=2").select("part").distinct().count() == 1
+
+
 def test_duplicates_over_chains(spark):
     d = dt.date
     rows = [(1, "A@x.io", None, d(2020, 1, 3)), (2, "a@x.io ", "555-123-4567", d(2020, 1, 2)), (3, None, "1 (555) 123-4567", d(2020, 1, 1)), (4, "b@x.io", None, d(2020, 1, 1)), (5, "junk", "12", d(2019, 1, 1))]
