@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,45 +12,119 @@ from tallyspark.context import BadArgument
 from tallyspark.functions.transforms import apply_transforms, fold_key, trim
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """The value of the first row of another sheet whose transformed key is that of match_on; a blank key finds nothing."""
+
+    sheet: str
+    key: str
+    value: str
+    match_on: str
+    key_transforms: tuple = ("fold_key",)
+    match_transforms: tuple = ("fold_key",)
+
+
 @dataclass(frozen=True)
 class Field:
-    """Where a value comes from (one of column, constant, concat, lookup, row_number, group_key) and what is done to it."""
+    """Where a value comes from (one of group_key, constant, column, row_number, concat, lookup) and what is done to it."""
 
     column: str | None = None
     constant: object = None
-    concat: tuple[str, ...] = ()
-    lookup: str | None = None
+    concat: tuple[Field, ...] = ()
+    separator: str = ""
+    lookup: Lookup | None = None
     row_number: bool = False
     group_key: bool = False
     transforms: tuple = ()
 
+    @staticmethod
+    def parse(definition: object, where: str) -> Field:
+        """A definition, or a bare column name; errors say where in the specification they are."""
+        if not isinstance(definition, dict):
+            return Field(column=str(definition))
+        found = [k for k in SOURCES if k in definition]
+        if len(found) != 1:
+            raise BadArgument(f"{where}: {'no source' if not found else 'more than one source'}; there are {', '.join(SOURCES)}")
+        given = dict(definition)
+        if "concat" in given:
+            given["concat"] = tuple(Field.parse(d, f"{where}.concat") for d in given["concat"])
+        try:
+            if "lookup" in given:
+                given["lookup"] = Lookup(**_frozen(given["lookup"]))
+            return Field(**_frozen(given))
+        except TypeError as error:
+            raise BadArgument(f"{where}: {error}") from None
+
+
+#: Fixed: the sources of a value.
+SOURCES = ("group_key", "constant", "column", "row_number", "concat", "lookup")
+_ENTITY = {"from", "fields", "skip_when_blank", "group_by"}
+
+
+def _frozen(d: dict) -> dict:
+    return {k: tuple(v) if isinstance(v, list) else v for k, v in d.items()}
+
 
 @dataclass(frozen=True)
 class EntitySpec:
     fields: dict[str, Field]
     skip_when_blank: tuple[str, ...] = ()
     group_by: str | None = None
+    sheet: str | None = None
 
 
 @dataclass(frozen=True)
 class MappingSpec:
     entities: dict[str, EntitySpec] = field(default_factory=dict)
+    source: str = ""
+    display_name: str = ""
+    workbook: str = ""
+    capabilities: dict[str, bool] = field(default_factory=dict)
+    settings: dict[str, object] = field(default_factory=dict)
+    sheets: dict[str, str] = field(default_factory=dict)
+    notes: tuple[str, ...] = ()
 
     @staticmethod
-    def parse(spec: dict) -> MappingSpec:
+    def parse(spec: dict, **others) -> MappingSpec:
+        """Of the entities' definitions."""
         entities = {}
         for name, e in spec.items():
-            unknown = set(e) - {"fields", "skip_when_blank", "group_by"}
+            unknown = set(e) - _ENTITY
             if unknown or "fields" not in e:
                 raise BadArgument(f"{name}: {'unknown key ' + sorted(unknown)[0] if unknown else 'no fields'}")
-            fields = {}
-            for f, d in e["fields"].items():
-                try:
-                    fields[f] = Field(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items()})
-                except TypeError as error:
-                    raise BadArgument(f"{name}.{f}: {error}") from None
-            entities[name] = EntitySpec(fields, tuple(e.get("skip_when_blank", ())), e.get("group_by"))
-        return MappingSpec(entities)
+            fields = {f: Field.parse(d, f"{name}.{f}") for f, d in e["fields"].items()}
+            entities[name] = EntitySpec(fields, tuple(e.get("skip_when_blank", ())), e.get("group_by"), e.get("from"))
+        return MappingSpec(entities, **others)
+
+    @staticmethod
+    def load(path: str) -> MappingSpec:
+        """Of a YAML file with source, workbook, capabilities, entities, and perhaps display_name, settings, sheets and notes.
+
+        `at_time` without arguments takes the settings' assumed_time_of_day (12:00) and timezone (UTC). Entities that
+        only hold constants, or lines and distinct rows, belong to the caller.
+        """
+        import yaml
+
+        raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+        for section in ("source", "workbook", "capabilities", "entities"):
+            if section not in raw:
+                raise BadArgument(f"{Path(path).name}: no {section!r}")
+        settings, sheets = dict(raw.get("settings") or {}), {k: v["match"] for k, v in (raw.get("sheets") or {}).items()}
+        at = {"at_time": {"at": str(settings.get("assumed_time_of_day", "12:00")), "timezone": str(settings.get("timezone", "UTC"))}}
+
+        def timed(d):
+            if isinstance(d, dict):
+                return {k: [at if s == "at_time" else s for s in v or ()] if k.endswith("transforms") else timed(v) for k, v in d.items()}
+            return [timed(x) for x in d] if isinstance(d, list) else d
+
+        spec = MappingSpec.parse(
+            {name: timed(e) for name, e in raw["entities"].items() if (e or {}).get("fields")}, source=raw["source"], display_name=raw.get("display_name", raw["source"]), workbook=str(raw["workbook"]),
+            capabilities=dict(raw["capabilities"]), settings=settings, sheets=sheets, notes=tuple(raw.get("notes") or ()),
+        )
+        for name, e in spec.entities.items():
+            if e.sheet and e.sheet not in sheets:
+                raise BadArgument(f"{name}: there is no sheet {e.sheet!r}; there are {', '.join(sheets)}")
+        return spec
 
 
 def usable_rows(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -74,17 +149,31 @@ def modal_row(rows: DataFrame, key: str, columns: list[str], order: str) -> Data
     return out
 
 
-def lookup(rows: DataFrame, column: str, table: DataFrame, key: str, value: str, order: str, into: str) -> DataFrame:
-    """Rows with the value of the first row of a table whose folded key is theirs."""
-    right = table.withColumn("__k", fold_key(F.col(key))).groupBy("__k").agg(F.min_by(value, order).alias(into))
-    return rows.withColumn("__key", fold_key(F.col(column))).join(right, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
+def lookup(rows: DataFrame, column: str, table: DataFrame, key: str, value: str, order: str, into: str, key_steps: tuple = ("fold_key",), match_steps: tuple = ("fold_key",)) -> DataFrame:
+    """Rows with the value of the first row of a table whose transformed key, if not blank, is theirs."""
+    right = table.select(apply_transforms(F.col(key), list(key_steps), key).cast("string").alias("__k"), F.col(value).alias("__v"), F.col(order).alias("__o"))
+    right = right.filter("__k <> ''").groupBy("__k").agg(F.min_by("__v", "__o").alias(into))
+    asked = apply_transforms(F.col(column), list(match_steps), column).cast("string")
+    return rows.withColumn("__key", asked).join(right, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
+
+
+def _lookups(f: Field) -> list[Lookup]:
+    return [f.lookup] if f.lookup else [x for part in f.concat for x in _lookups(part)]
 
 
-def records(rows: DataFrame, spec: EntitySpec, sheet: str = "sheet", row: str = "row") -> DataFrame:
-    """A record for each usable row; lookups must have been joined in under their field's column name."""
+def records(rows: DataFrame, spec: EntitySpec, sheet: str = "sheet", row: str = "row", sheets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A record for each usable row; sheets are those that lookups read, by name, with the same column row."""
     rows = usable_rows(rows, spec.skip_when_blank)
     if spec.group_by:
         rows = group_key(rows, spec.group_by, sheet, row)
+    found: list[Lookup] = []
+    for x in [x for f in spec.fields.values() for x in _lookups(f)]:
+        if x in found:
+            continue
+        if x.sheet not in (sheets or {}):
+            raise BadArgument(f"a lookup reads the sheet {x.sheet!r}, which is not given")
+        rows = lookup(rows, x.match_on, sheets[x.sheet], x.key, x.value, row, f"__found_{len(found)}", x.key_transforms, x.match_transforms)
+        found.append(x)
 
     def value(name: str, f: Field) -> Column:
         if f.group_key:
@@ -92,9 +181,11 @@ def records(rows: DataFrame, spec: EntitySpec, sheet: str = "sheet", row: str =
         elif f.row_number:
             c = F.concat_ws(":", F.col(sheet), F.col(row).cast("string"))
         elif f.concat:
-            c = F.concat_ws(" ", *map(F.col, f.concat))
-        elif f.column or f.lookup:
-            c = F.col(f.column or f.lookup)
+            c = F.array_join(F.array(*[value(name, part).cast("string") for part in f.concat]), f.separator, "")
+        elif f.lookup:
+            c = F.col(f"__found_{found.index(f.lookup)}")
+        elif f.column:
+            c = F.col(f.column)
         else:
             c = F.lit(f.constant)
         return apply_transforms(c, list(f.transforms), name)

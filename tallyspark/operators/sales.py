@@ -30,7 +30,7 @@ def sales_summary(shop: Shop, period: DateRange, filters: Filters = NO_FILTERS)
 
 def custom_amount_caveat(custom: float, net: float) -> Caveat | None:
     """Amounts rung up without a product, from 1 % of net sales on."""
-    if net and custom / net >= 0.01:
+    if custom and net and custom / net >= 0.01:
         return Caveat("custom_amounts", f"{custom / net:.1%} of sales were rung up without a product")
     return None
 
@@ -43,9 +43,10 @@ def coverage_caveats(window: tuple[dt.date | None, dt.date | None], period: Date
     out = []
     if period.end < first or period.start > last:
         out.append(Caveat("outside_data", f"sales run from {first} to {last}"))
-    elif period.start < first:
+        return out
+    if period.start < first:
         out.append(Caveat("starts_before_data", f"sales start on {first}"))
-    elif period.end > last:
+    if period.end > last:
         out.append(Caveat("ends_after_data", f"the last sale is of {last}"))
     return out
 

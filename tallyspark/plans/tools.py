@@ -9,8 +9,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from tallyspark.context import BadArgument, DateRange, Filters, Shop, resolve_name, resolve_period
-from tallyspark.operators import demand, inventory, sales, staffing
+from tallyspark.context import BadArgument, Caveat, DateRange, Filters, Shop, resolve_name, resolve_period
+from tallyspark.operators import demand, inventory, sales, scopes, staffing
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,10 @@ TOOLS = {
         Tool("busiest_hours", lambda s, d, a: staffing.busiest_hours(s, d, a.get("weekday"), a.get("limit", 8)), {"weekday": int, "limit": int}),
     )
 }
+#: Tools whose figures contain refunds, those that read stock, and those that answer in one row.
+_WITH_REFUNDS = {"sales_summary", "sales_over_time", "location_channel_breakdown"}
+_OF_STOCK = {"low_stock", "dead_stock", "sell_through", "inventory_value", "search_catalog"}
+_OF_ONE_ROW = {"sales_summary", "margin_report", "inventory_value", "customer_stats"}
 
 
 def available(shop: Shop) -> list[str]:
@@ -80,6 +84,65 @@ def call(shop: Shop, today: dt.date, name: str, arguments: dict) -> DataFrame:
     return tool.call(shop, today, arguments)
 
 
+@dataclass(frozen=True)
+class Answer:
+    """A tool's frame with what it is of, and what its reader has to know for its numbers to mean what they say."""
+
+    frame: DataFrame = field(repr=False)
+    currency: str
+    timezone: str
+    period: DateRange | None
+    caveats: tuple[Caveat, ...]
+
+
+def _rules(shop: Shop, today: dt.date, name: str) -> dict[str, str]:
+    """What a tool's list means."""
+    cutoff, days = today - dt.timedelta(days=shop.dead_stock_days), inventory.VELOCITY_DAYS
+    return {
+        "top_products": {"breakdown_before_refunds": "a refund names an order, not a product, so rows are before refunds"},
+        "category_breakdown": {"breakdown_before_refunds": "a refund names an order, not a category, so rows are before refunds"},
+        "margin_report": {"margin_before_refunds": "profit is of what was sold, before refunds"},
+        "low_stock": {"low_stock_rule": f"sold in the last {days} days, with {shop.low_stock_threshold} or fewer left or less than {inventory.COVER_DAYS} days of cover"},
+        "dead_stock": {"dead_stock_rule": f"on the shelf and not sold since {cutoff}"},
+    }.get(name, {})
+
+
+def _of_row(name: str, row) -> list[Caveat]:
+    """What a one-row answer says about itself."""
+    out = []
+    if name == "sales_summary":
+        out.append(sales.custom_amount_caveat(row.custom_amounts, row.net_sales))
+    if name in ("margin_report", "inventory_value") and row.cost_coverage is not None and row.cost_coverage < 1:
+        out.append(Caveat("partial_cost_coverage", f"only {row.cost_coverage:.1%} has a cost; the rest is left out"))
+    if name == "inventory_value" and row.unpriced_units > 0:
+        out.append(Caveat("unpriced_stock", f"{row.unpriced_units:g} units have no price and add nothing to the value"))
+    if name == "customer_stats" and row.identified_share is not None and row.identified_share < 1:
+        out.append(Caveat("anonymous_sales", f"{1 - row.identified_share:.1%} of orders name no customer"))
+    return [c for c in out if c]
+
+
+def answer(shop: Shop, today: dt.date, name: str, arguments: dict) -> Answer:
+    """As call(), with caveats: of the data's coverage, of filters that can't apply, of rules and of what the figures leave out.
+
+    Only frames of one row are read for it: the first and the last sale, and answers that have one row anyway.
+    """
+    frame = call(shop, today, name, arguments)
+    filters = _filters(shop, arguments)
+    period = _period(today, arguments) if "start" in TOOLS[name].arguments else None
+    caveats = []
+    if period:
+        window = sales.data_window(shop).first()
+        caveats += sales.coverage_caveats((window.first_day, window.last_day), period)
+    if name in _WITH_REFUNDS:
+        caveats += scopes.refunds_in(shop, period, filters)[1]
+    if name in _OF_STOCK:
+        caveats += scopes.stock(shop, filters)[1]
+    caveats += [Caveat(code, text) for code, text in _rules(shop, today, name).items()]
+    if name in _OF_ONE_ROW:
+        caveats += _of_row(name, frame.first())
+    return Answer(frame, shop.currency, shop.timezone, period, tuple(caveats))
+
+
 def numbers(text: str) -> set[float]:
     """Numbers in a text, whatever their thousands separators, signs and currency."""
     return {float(m.replace(",", "")) for m in re.findall(r"-?\d[\d,]*\.?\d*", text) if m.replace(",", "").strip(".-")}

@@ -83,6 +83,19 @@ def test_merchandise_filter_leaves_no_refunds(shop):
     assert rows.count() == 0 and caveats[0].code == "refunds_not_by_product"
 
 
+def test_answers_carry_caveats(shop):
+    asked = {"start": dt.date(1990, 1, 1), "end": dt.date(2030, 1, 1), "categories": ["promo"]}
+    got = tools.answer(shop, catalogue.AS_OF, "sales_summary", asked)
+    assert [c.code for c in got.caveats][:3] == ["starts_before_data", "ends_after_data", "refunds_not_by_product"] and got.frame.count() == 1
+    assert (got.period.start, got.currency, got.timezone) == (dt.date(1990, 1, 1), shop.currency, shop.timezone)
+    assert [c.code for c in tools.answer(shop, catalogue.AS_OF, "low_stock", {}).caveats] == ["low_stock_rule"]
+    inside = {"start": dt.date(2000, 12, 1), "end": dt.date(2000, 12, 31)}
+    codes = {n: [c.code for c in tools.answer(shop, catalogue.AS_OF, n, inside).caveats] for n in ("top_products", "margin_report", "customer_stats")}
+    assert codes["top_products"] == ["breakdown_before_refunds"] and "margin_before_refunds" in codes["margin_report"]
+    nobody = Shop(shop.frames | {"orders": shop.orders.withColumn("customer_id", F.lit(None).cast("long"))}, timezone=shop.timezone)
+    assert [c.code for c in tools.answer(nobody, catalogue.AS_OF, "customer_stats", inside).caveats] == ["anonymous_sales"]
+
+
 def test_refusals(shop):
     poor = Shop(shop.frames, capabilities=frozenset())
     with pytest.raises(CapabilityUnavailable):

@@ -112,6 +112,37 @@ def test_mapping_spec(spark):
         mapping.MappingSpec.parse({"e": {"fields": {}, "nope": 1}})
 
 
+def test_mapping_file(spark, tmp_path):
+    (tmp_path / "m.yaml").write_text("""
+source: shop
+workbook: a.xlsx
+capabilities: {has_costs: true}
+settings: {assumed_time_of_day: "18:30", timezone: America/New_York}
+sheets: {Sales: {match: "Sales .*"}, Items: {match: Items}}
+entities:
+  location: {constant: [{name: x}]}
+  line:
+    from: Sales
+    fields:
+      item: item
+      cost: {lookup: {sheet: Items, key: name, value: cost, match_on: item}, transforms: [parse_money]}
+      code: {concat: [{column: day}, {column: blank}, {lookup: {sheet: Items, key: name, value: cost, match_on: item}}], separator: "/"}
+      at: {column: day, transforms: [parse_date, at_time]}
+""")
+    spec = mapping.MappingSpec.load(str(tmp_path / "m.yaml"))
+    assert (spec.source, spec.display_name, spec.capabilities, list(spec.entities)) == ("shop", "shop", {"has_costs": True}, ["line"])
+    rows = spark.createDataFrame([("S", 1, " a  B", "2024-01-05", None), ("S", 2, " ", "2024-01-06", "x")], "sheet string, row int, item string, day string, blank string")
+    items = spark.createDataFrame([(2, "A b", "$9"), (1, "a b", "$2"), (3, " ", "$7")], "row int, name string, cost string")
+    got = sorted(mapping.records(rows, spec.entities["line"], sheets={"Items": items}).collect(), key=lambda r: r.code)
+    assert [(None if r.cost is None else float(r.cost), r.code, str(r["at"])) for r in got] == [(2.0, "2024-01-05//$2", "2024-01-05 23:30:00"), (None, "2024-01-06/x/", "2024-01-06 23:30:00")]
+    with pytest.raises(Exception, match="Items"):
+        mapping.records(rows, spec.entities["line"])
+    for text, error in (("source: a", "workbook"), ("{source: a, workbook: b, capabilities: {}, entities: {e: {from: S, fields: {x: y}}}}", "no sheet 'S'"), ("{source: a, workbook: b, capabilities: {}, entities: {e: {fields: {x: {transforms: []}}}}}", "e.x: no source")):
+        (tmp_path / "bad.yaml").write_text(text)
+        with pytest.raises(Exception, match=error):
+            mapping.MappingSpec.load(str(tmp_path / "bad.yaml"))
+
+
 def test_chunking():
     text = "One two three. " * 400 + "\n\n" + "x" * 4500
     parts = retrieval.split_text(text)
