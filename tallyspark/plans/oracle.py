@@ -92,6 +92,10 @@ _STOCK = (
       CAST({_local('last_sale')} AS DATE) AS last_day, last_sale FROM h LEFT JOIN w USING (variant_id) LEFT JOIN ls USING (variant_id))""",
 )
 _LISTED = "SELECT variant_id, sku, CAST(on_hand AS DOUBLE) AS on_hand, CAST(sold AS DOUBLE) AS units_sold, daily, cover, last_day FROM sr"
+_PAIRED = (
+    f"k AS (SELECT DISTINCT order_id, variant_id FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2000-08-02 04:00:00', END))})",
+    f"u AS (SELECT variant_id, sum(quantity) AS units FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2001-07-02 04:00:00', END))} GROUP BY 1)",
+)
 _STALE = (
     "h AS (SELECT variant_id, sku, category_id, price, cost, sum(on_hand) AS on_hand FROM lv JOIN v USING (variant_id) GROUP BY ALL HAVING sum(on_hand) > 0)",
     f"""x AS (SELECT variant_id, max(placed_at) AS last_sale, coalesce(sum(quantity) FILTER (WHERE placed_at >= TIMESTAMP '2001-07-03 04:00:00'), 0) AS recent, coalesce(sum(quantity) FILTER (WHERE placed_at >= TIMESTAMP '2001-05-04 04:00:00'), 0) AS trailed
@@ -165,9 +169,17 @@ ORACLE: dict[str, str] = {
     "reorder_outcome": _q("SELECT reference, round(sum(s), 2) AS units_saved, round(sum(s * price), 2) AS sales_saved FROM (SELECT *, greatest(least(coalesce(units_sold, 0), received) - on_hand_at_draft, 0) AS s FROM pl LEFT JOIN vs USING (variant_id) WHERE status = 'received') GROUP BY 1", *_PO, _VS(Q4, "vs")),
     "stale_inventory": _q(f"SELECT variant_id, kind, CAST(on_hand AS DOUBLE) AS on_hand, days_since, recent_daily, trailing_daily, {_m('cash')} AS cash FROM st ORDER BY st.cash DESC NULLS LAST, variant_id LIMIT 500", *_STALE),
     "co_purchases": _q("SELECT target_id, partner_id, baskets, CAST(units AS DOUBLE) AS units FROM (SELECT a.variant_id AS target_id, b.variant_id AS partner_id, count(*) AS baskets, any_value(units) AS units, row_number() OVER (PARTITION BY a.variant_id ORDER BY count(*) DESC, any_value(units) DESC, b.variant_id) AS n FROM k a JOIN k b ON a.order_id = b.order_id AND a.variant_id <> b.variant_id JOIN u ON u.variant_id = b.variant_id GROUP BY 1, 2) WHERE n <= 3",
-      f"k AS (SELECT DISTINCT order_id, variant_id FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2000-08-02 04:00:00', END))})", f"u AS (SELECT variant_id, sum(quantity) AS units FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2001-07-02 04:00:00', END))} GROUP BY 1)"),
+      *_PAIRED),
     "category_by_location": _q(f"SELECT category_id, location_id, CAST(u AS DOUBLE) AS units, round(CAST(u AS DOUBLE) / CAST(sum(u) OVER (PARTITION BY category_id) AS DOUBLE), 4) AS share FROM (SELECT category_id, location_id, sum(quantity) AS u FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2001-05-04 04:00:00', END))} GROUP BY 1, 2)"),
     "markdown_ladder": _q("SELECT variant_id, CAST(d AS DOUBLE) AS discount, CAST(p AS DOUBLE) AS price, CAST(round(p - cost, 2) AS DOUBLE) AS margin, coalesce(p >= cost, true) AS clears_cost FROM (SELECT variant_id, cost, d, round(price * (1 - d), 2) AS p FROM st, (VALUES (0.15), (0.30), (0.50)) AS t(d))", *_STALE),
+    "rescue_choice": _q("""SELECT variant_id, kind, play, CAST(CASE play WHEN 'bundle' THEN round(round((price + partner_price) * 0.9, 0) - 0.01, 2) WHEN 'markdown' THEN round(price * 0.85, 2) END AS DOUBLE) AS new_price, CASE WHEN play = 'bundle' THEN partner_id END AS partner_id, CASE WHEN play = 'move' THEN location_id END AS move_to
+      FROM (SELECT st.variant_id, st.kind, st.price, st.cash, b.partner_id, b.partner_price, g.location_id, CASE WHEN st.kind = 'dead' AND coalesce(t.vendor_id % 7 = 0, false) THEN 'return_to_vendor' WHEN b.partner_id IS NOT NULL THEN 'bundle' WHEN g.location_id IS NOT NULL THEN 'move' ELSE 'markdown' END AS play
+        FROM st LEFT JOIN (SELECT variant_id, vendor_id FROM tm WHERE is_primary) t ON t.variant_id = st.variant_id LEFT JOIN (SELECT bp.*, v.price AS partner_price FROM bp LEFT JOIN v ON v.variant_id = bp.partner_id WHERE n = 1 AND baskets >= 3) b ON b.target_id = st.variant_id LEFT JOIN go g ON g.variant_id = st.variant_id AND g.n = 1)
+      ORDER BY cash DESC NULLS LAST, variant_id LIMIT 200""", *_STALE, *_PAIRED,
+      "bp AS (SELECT a.variant_id AS target_id, b.variant_id AS partner_id, count(*) AS baskets, row_number() OVER (PARTITION BY a.variant_id ORDER BY count(*) DESC, any_value(units) DESC, b.variant_id) AS n FROM k a JOIN k b ON a.order_id = b.order_id AND a.variant_id <> b.variant_id JOIN u ON u.variant_id = b.variant_id WHERE a.variant_id IN (SELECT variant_id FROM st) GROUP BY 1, 2)",
+      f"cl AS (SELECT category_id, location_id, round(CAST(u AS DOUBLE) / CAST(sum(u) OVER (PARTITION BY category_id) AS DOUBLE), 4) AS share FROM (SELECT category_id, location_id, sum(quantity) AS u FROM sl WHERE variant_id IS NOT NULL AND {_in('placed_at', ('2001-05-04 04:00:00', END))} GROUP BY 1, 2))",
+      "si AS (SELECT variant_id, location_id AS sits_at FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY on_hand DESC, location_id) AS n FROM lv) WHERE n = 1)",
+      "go AS (SELECT st.variant_id, cl.location_id, row_number() OVER (PARTITION BY st.variant_id ORDER BY share DESC, cl.location_id) AS n FROM st JOIN si USING (variant_id) JOIN cl ON cl.category_id = st.category_id AND cl.location_id <> sits_at WHERE share >= 0.25)"),
     "rescue_outcome": _q("SELECT v.variant_id, 'markdown' AS kind, coalesce(b.units_sold, 0) AS units_before, coalesce(a.units_sold, 0) AS units_after, round(least(coalesce(a.units_sold, 0), CAST(v.variant_id % 20 AS DOUBLE)) * CAST(cost AS DOUBLE), 2) AS recovered FROM v LEFT JOIN b USING (variant_id) LEFT JOIN a USING (variant_id) WHERE v.variant_id % 9 = 0", _VS(("2001-06-01 04:00:00", "2001-07-01 04:00:00"), "b"), _VS(("2001-07-01 04:00:00", "2001-07-31 04:00:00"), "a")),
     "financial_summary": _q(f"SELECT {_m('t')} AS tax, {_m('p')} AS tips, {_m('a')} AS payments_amount, n AS payments FROM (SELECT sum(tax) AS t FROM sl WHERE {_in('placed_at', DEC)}), (SELECT sum(amount) AS a, sum(tip) AS p, count(*) AS n FROM pay WHERE {_in('occurred_at', DEC)})"),
     "tender_split": _q(f"SELECT tender, {_m('sum(amount)')} AS amount, {_m('sum(tip)')} AS tips, count(*) AS payments FROM pay WHERE {_in('occurred_at', DEC)} GROUP BY 1"),
