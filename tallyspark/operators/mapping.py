@@ -58,7 +58,7 @@ class Field:
 
 #: Fixed: the sources of a value.
 SOURCES = ("group_key", "constant", "column", "row_number", "concat", "lookup")
-_ENTITY = {"from", "fields", "skip_when_blank", "group_by"}
+_ENTITY = {"from", "fields", "skip_when_blank", "group_by", "constant", "lines", "distinct_by"}
 
 
 def _frozen(d: dict) -> dict:
@@ -69,8 +69,11 @@ def _frozen(d: dict) -> dict:
 class EntitySpec:
     fields: dict[str, Field]
     skip_when_blank: tuple[str, ...] = ()
-    group_by: str | None = None
+    group_by: Field | None = None
     sheet: str | None = None
+    constants: tuple[dict, ...] = ()
+    lines: dict[str, Field] = field(default_factory=dict)
+    distinct_by: Field | None = None
 
 
 @dataclass(frozen=True)
@@ -90,18 +93,19 @@ class MappingSpec:
         entities = {}
         for name, e in spec.items():
             unknown = set(e) - _ENTITY
-            if unknown or "fields" not in e:
+            if unknown or not {"fields", "constant"} & set(e):
                 raise BadArgument(f"{name}: {'unknown key ' + sorted(unknown)[0] if unknown else 'no fields'}")
-            fields = {f: Field.parse(d, f"{name}.{f}") for f, d in e["fields"].items()}
-            entities[name] = EntitySpec(fields, tuple(e.get("skip_when_blank", ())), e.get("group_by"), e.get("from"))
+            parsed = lambda d, at: {f: Field.parse(x, f"{at}.{f}") for f, x in (d or {}).items()}
+            by = {k: Field.parse(e[k], f"{name}.{k}") for k in ("group_by", "distinct_by") if e.get(k)}
+            lines = parsed((e.get("lines") or {}).get("fields"), f"{name}.lines")
+            entities[name] = EntitySpec(parsed(e.get("fields"), name), tuple(e.get("skip_when_blank") or ()), sheet=e.get("from"), constants=tuple(e.get("constant") or ()), lines=lines, **by)
         return MappingSpec(entities, **others)
 
     @staticmethod
     def load(path: str) -> MappingSpec:
         """Of a YAML file with source, workbook, capabilities, entities, and perhaps display_name, settings, sheets and notes.
 
-        `at_time` without arguments takes the settings' assumed_time_of_day (12:00) and timezone (UTC). Entities that
-        only hold constants, or lines and distinct rows, belong to the caller.
+        `at_time` without arguments takes the settings' assumed_time_of_day (12:00) and timezone (UTC).
         """
         import yaml
 
@@ -118,7 +122,7 @@ class MappingSpec:
             return [timed(x) for x in d] if isinstance(d, list) else d
 
         spec = MappingSpec.parse(
-            {name: timed(e) for name, e in raw["entities"].items() if (e or {}).get("fields")}, source=raw["source"], display_name=raw.get("display_name", raw["source"]), workbook=str(raw["workbook"]),
+            {name: timed(e or {}) for name, e in raw["entities"].items()}, source=raw["source"], display_name=raw.get("display_name", raw["source"]), workbook=str(raw["workbook"]),
             capabilities=dict(raw["capabilities"]), settings=settings, sheets=sheets, notes=tuple(raw.get("notes") or ()),
         )
         for name, e in spec.entities.items():
@@ -133,9 +137,9 @@ def usable_rows(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return rows
 
 
-def group_key(rows: DataFrame, column: str, sheet: str = "sheet", row: str = "row") -> DataFrame:
-    """Rows with the column group_key: the folded key, or the row itself where the key is blank."""
-    key = fold_key(F.col(column))
+def group_key(rows: DataFrame, column: str | Field, sheet: str = "sheet", row: str = "row") -> DataFrame:
+    """Rows with the column group_key: the column folded, or a field's value after its transforms; the row itself where that is blank."""
+    key = fold_key(F.col(column)) if isinstance(column, str) else apply_transforms(F.col(column.column), list(column.transforms), "group_by").cast("string")
     return rows.withColumn("group_key", F.when(key != "", key).otherwise(F.concat_ws(":", F.col(sheet), F.col(row).cast("string"))))
 
 
@@ -193,6 +197,22 @@ def records(rows: DataFrame, spec: EntitySpec, sheet: str = "sheet", row: str =
     return rows.select(*[value(n, f).alias(n) for n, f in spec.fields.items()])
 
 
+def line_records(rows: DataFrame, spec: EntitySpec, **others) -> DataFrame:
+    """A record for each line of grouped rows, by the entity's lines."""
+    return records(rows, EntitySpec(spec.lines, spec.skip_when_blank, spec.group_by), **others)
+
+
+def distinct_rows(rows: DataFrame, spec: EntitySpec, sheet: str = "sheet", row: str = "row") -> DataFrame:
+    """A row for each key of distinct_by, with the commonest value of each column and the first sheet and row; a row with a blank key stands alone.
+
+    records() of these are the entity's.
+    """
+    kept = group_key(usable_rows(rows, spec.skip_when_blank), spec.distinct_by, sheet, row)
+    names = [c for c in rows.columns if c not in (sheet, row)]
+    first = kept.groupBy("group_key").agg(F.min_by(sheet, row).alias(sheet), F.min(row).alias(row))
+    return modal_row(kept, "group_key", names, row).join(first, "group_key")
+
+
 def orders_from_lines(lines: DataFrame, key: str = "group_key") -> DataFrame:
     """Orders of grouped lines (quantity, price, discount, line_no): subtotal of quantity by price, total less discounts, line ids key:index."""
     index = F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1

@@ -121,6 +121,8 @@ settings: {assumed_time_of_day: "18:30", timezone: America/New_York}
 sheets: {Sales: {match: "Sales .*"}, Items: {match: Items}}
 entities:
   location: {constant: [{name: x}]}
+  item: {from: Sales, distinct_by: {column: item, transforms: [fold_key]}, fields: {name: {column: item, transforms: [trim]}, note: blank}}
+  order: {from: Sales, group_by: {column: day}, fields: {id: day}, lines: {fields: {id: {concat: [{group_key: true}, {constant: ":"}, {column: item, transforms: [fold_key]}]}}}}
   line:
     from: Sales
     fields:
@@ -130,11 +132,16 @@ entities:
       at: {column: day, transforms: [parse_date, at_time]}
 """)
     spec = mapping.MappingSpec.load(str(tmp_path / "m.yaml"))
-    assert (spec.source, spec.display_name, spec.capabilities, list(spec.entities)) == ("shop", "shop", {"has_costs": True}, ["line"])
+    assert (spec.source, spec.display_name, spec.capabilities, list(spec.entities)) == ("shop", "shop", {"has_costs": True}, ["location", "item", "order", "line"])
     rows = spark.createDataFrame([("S", 1, " a  B", "2024-01-05", None), ("S", 2, " ", "2024-01-06", "x")], "sheet string, row int, item string, day string, blank string")
     items = spark.createDataFrame([(2, "A b", "$9"), (1, "a b", "$2"), (3, " ", "$7")], "row int, name string, cost string")
     got = sorted(mapping.records(rows, spec.entities["line"], sheets={"Items": items}).collect(), key=lambda r: r.code)
     assert [(None if r.cost is None else float(r.cost), r.code, str(r["at"])) for r in got] == [(2.0, "2024-01-05//$2", "2024-01-05 23:30:00"), (None, "2024-01-06/x/", "2024-01-06 23:30:00")]
+    more = rows.unionByName(spark.createDataFrame([("S", 3, "A b ", "2024-01-05", "y")], rows.schema))
+    items_found = mapping.records(mapping.distinct_rows(more, spec.entities["item"]), spec.entities["item"]).collect()
+    assert sorted((r["name"] or "", r.note) for r in items_found) == [("", "x"), ("a B", "y")] and spec.entities["location"].constants == ({"name": "x"},)
+    ids = [r.id for r in mapping.line_records(more, spec.entities["order"]).collect()]
+    assert sorted(ids) == sorted(["2024-01-05:a b", "2024-01-05:a b", "2024-01-06:"])
     with pytest.raises(Exception, match="Items"):
         mapping.records(rows, spec.entities["line"])
     for text, error in (("source: a", "workbook"), ("{source: a, workbook: b, capabilities: {}, entities: {e: {from: S, fields: {x: y}}}}", "no sheet 'S'"), ("{source: a, workbook: b, capabilities: {}, entities: {e: {fields: {x: {transforms: []}}}}}", "e.x: no source")):
