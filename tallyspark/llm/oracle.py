@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import licenses
+from tallyspark.llm import fill_middle, licenses
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -44,4 +44,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(15 + 2 * length(role || text) - length(regexp_replace(role || text, '[\\#<:\n]', '', 'g')))::BIGINT AS formatted_chars, 0 AS n_rewrites
 FROM c GROUP BY conv_id""",
+    "op12_fill_in_middle": fill_middle.ORACLE_SQL,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.chat import op9_chat_formatting
 from tallyspark.llm.decontaminate import op1_benchmark_decontamination
+from tallyspark.llm.fill_middle import op12_fill_in_middle
 from tallyspark.llm.jaccard_join import op2_ngram_jaccard_join
 from tallyspark.llm.licenses import op3_license_scans
 from tallyspark.llm.neighbours import op5_nearest_neighbours
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
