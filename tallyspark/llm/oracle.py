@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import fill_middle, licenses
+from tallyspark.llm import fill_middle, hard_negatives, licenses
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -45,4 +45,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(15 + 2 * length(role || text) - length(regexp_replace(role || text, '[\\#<:\n]', '', 'g')))::BIGINT AS formatted_chars, 0 AS n_rewrites
 FROM c GROUP BY conv_id""",
     "op12_fill_in_middle": fill_middle.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
