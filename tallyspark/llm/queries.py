@@ -11,6 +11,7 @@ from tallyspark.llm.decontaminate import op1_benchmark_decontamination
 from tallyspark.llm.fill_middle import op12_fill_in_middle
 from tallyspark.llm.hard_negatives import op13_hard_negatives
 from tallyspark.llm.jaccard_join import op2_ngram_jaccard_join
+from tallyspark.llm.language import op11_language_id
 from tallyspark.llm.licenses import op3_license_scans
 from tallyspark.llm.neighbours import op5_nearest_neighbours
 from tallyspark.llm.oracle import ORACLE_SQL
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_language_id": op11_language_id,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_hard_negatives": op13_hard_negatives,
 }
