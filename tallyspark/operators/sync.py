@@ -25,6 +25,12 @@ def raw_landing(records: DataFrame, entity: str, keys: list[str]) -> DataFrame:
     return records.select(F.lit(entity).alias("entity"), *keys, F.to_json(F.struct(*records.columns)).alias("payload"))
 
 
+def landed(records: DataFrame, source: str, entity: str, keys: list[str], at: str | Column) -> DataFrame:
+    """Rows of the raw store: untouched payloads by source, entity and the record's own id, with the time they came."""
+    fetched = F.lit(at).cast("timestamp") if isinstance(at, str) else at
+    return records.select(F.lit(source).alias("source"), F.lit(entity).alias("entity"), F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).alias("external_id"), F.to_json(F.struct(*records.columns)).alias("payload"), fetched.alias("fetched_at"))
+
+
 def latest(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key the last record."""
     newest = F.max_by(F.struct(*records.columns), F.struct(*order)).alias("r")
