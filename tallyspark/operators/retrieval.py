@@ -110,20 +110,29 @@ def terms(column: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
-def text_search(documents: DataFrame, query: str, k: int = HALF) -> DataFrame:
-    """Texts with all words of the query; only if there are none, texts with any. Ranked by matched words over length."""
-    asked = sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
-    if not asked:
-        return documents.limit(0).select("doc_id", F.lit(0.0).alias("score"))
-    words = F.array(*map(F.lit, asked))
-    rows = documents.select("doc_id", terms(F.col("text")).alias("terms")).withColumn("hits", F.size(F.array_intersect("terms", words)))
-    rows = rows.filter("hits > 0").select("doc_id", (F.col("hits") == len(asked)).alias("full"), F.round(F.col("hits") / (1 + F.log(F.size("terms").cast("double"))), 6).alias("score"))
+def asked(query: str) -> list[str]:
+    """The words of a query."""
+    return sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
+
+
+def all_or_any(rows: DataFrame, k: int) -> DataFrame:
+    """The k best of rows (doc_id, full, score): full ones alone, or any if there is no full one; ties to the smaller id."""
     # texts with all words come first: if there is one, those with some words are cut off from the k
     best = rows.orderBy(F.desc("full"), F.desc("score"), "doc_id").limit(k)
     every = F.max("full").over(Window.partitionBy(F.lit(1)))  # of k rows
     return best.withColumn("any_full", every).filter(F.col("full") | ~F.col("any_full")).select("doc_id", "score").orderBy(F.desc("score"), "doc_id")
 
 
+def text_search(documents: DataFrame, query: str, k: int = HALF) -> DataFrame:
+    """Texts with all words of the query; only if there are none, texts with any. Ranked by matched words over length."""
+    wanted = asked(query)
+    if not wanted:
+        return documents.limit(0).select("doc_id", F.lit(0.0).alias("score"))
+    words = F.array(*map(F.lit, wanted))
+    rows = documents.select("doc_id", terms(F.col("text")).alias("terms")).withColumn("hits", F.size(F.array_intersect("terms", words)))
+    return all_or_any(rows.filter("hits > 0").select("doc_id", (F.col("hits") == len(wanted)).alias("full"), F.round(F.col("hits") / (1 + F.log(F.size("terms").cast("double"))), 6).alias("score")), k)
+
+
 def _placed(hits: DataFrame, id_col: str, name: str) -> DataFrame:
     return hits.withColumn(name, F.row_number().over(Window.orderBy(F.desc("score"), id_col))).select(F.col(id_col).alias("id"), name)  # of k rows
 
