@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from tallyspark.context import MOVEMENT_SIGNS, NO_FILTERS, BadArgument, DateRang
 from tallyspark.functions.numbers import money, share, total, units
 from tallyspark.operators.scopes import sold_lines, stock, with_totals
 
+if TYPE_CHECKING:
+    from tallyspark.operators.sales_days import SalesDays
+
 VELOCITY_DAYS, COVER_DAYS = 28, 14
 
 
@@ -29,14 +33,18 @@ def sell_through(shop: Shop, period: DateRange, filters: Filters = NO_FILTERS, l
     return out.orderBy(F.desc("sold"), "variant_id").limit(limit).select("variant_id", units("sold").alias("units_sold"), units("on_hand").alias("on_hand"), share(F.col("sold"), F.col("sold") + F.col("on_hand")).alias("sell_through"))
 
 
-def stock_rows(shop: Shop, as_of: dt.date, filters: Filters = NO_FILTERS, days: int = VELOCITY_DAYS) -> DataFrame:
+def stock_rows(shop: Shop, as_of: dt.date, filters: Filters = NO_FILTERS, days: int = VELOCITY_DAYS, kept: SalesDays | None = None, since: dt.date = dt.date(1970, 1, 2)) -> DataFrame:
     """A row a variant: on hand, units sold in the last days (anywhere: velocity is of the shop), daily rate, days of cover and last sale.
 
-    Sums come before joins, so that no sale is counted for more than one shelf.
+    Sums come before joins, so that no sale is counted for more than one shelf. kept: the written days, read instead of all
+    lines. since: no earlier sale is looked for, for callers that ask for variants that sold later only.
     """
     held = stock(shop, filters)[0].groupBy("variant_id", "sku", "price").agg(total("on_hand").alias("on_hand"))
-    lately = F.when(DateRange.last(days, as_of).inside(F.col("placed_at"), shop.timezone), F.col("quantity"))
-    sales = sold_lines(shop, DateRange(dt.date(1970, 1, 2), as_of), require_product=True).groupBy("variant_id").agg(total(lately).alias("sold"), F.max("placed_at").alias("last_sale"))
+    if kept:
+        sales = kept.sales(shop, as_of, sold=days)
+    else:
+        lately = F.when(DateRange.last(days, as_of).inside(F.col("placed_at"), shop.timezone), F.col("quantity"))
+        sales = sold_lines(shop, DateRange(since, as_of), require_product=True).groupBy("variant_id").agg(total(lately).alias("sold"), F.max("placed_at").alias("last_sale"))
     out = held.join(sales, "variant_id", "left").fillna(0, ["sold"])
     rate = F.col("sold").cast("double") / days
     return out.withColumn("daily", F.round(rate, 3)).withColumn("cover", F.when(F.col("sold") > 0, F.round(F.col("on_hand").cast("double") / rate, 1))).withColumn("last_day", shop.local_day(F.col("last_sale")))
@@ -46,21 +54,26 @@ def _listed(df: DataFrame) -> DataFrame:
     return df.select("variant_id", "sku", units("on_hand").alias("on_hand"), units("sold").alias("units_sold"), "daily", "cover", "last_day")
 
 
+def _window(as_of: dt.date) -> dt.date:
+    """The first day of the window in which units are counted: what sold in it has its last sale there."""
+    return DateRange.last(VELOCITY_DAYS, as_of).start
+
+
 def days_of_cover(shop: Shop, as_of: dt.date, filters: Filters = NO_FILTERS, limit: int = 25) -> DataFrame:
     """Variants that sell and are on the shelf, the shortest cover first."""
-    return _listed(stock_rows(shop, as_of, filters).filter("sold > 0 and on_hand > 0").orderBy("cover", "variant_id").limit(limit))
+    return _listed(stock_rows(shop, as_of, filters, since=_window(as_of)).filter("sold > 0 and on_hand > 0").orderBy("cover", "variant_id").limit(limit))
 
 
 def low_stock(shop: Shop, as_of: dt.date, filters: Filters = NO_FILTERS, limit: int = 50) -> DataFrame:
     """Variants that sold in the window and have few units or less than two weeks' cover left."""
-    rows = stock_rows(shop, as_of, filters).filter((F.col("sold") > 0) & ((F.col("on_hand") <= shop.low_stock_threshold) | (F.col("cover") < COVER_DAYS)))
+    rows = stock_rows(shop, as_of, filters, since=_window(as_of)).filter((F.col("sold") > 0) & ((F.col("on_hand") <= shop.low_stock_threshold) | (F.col("cover") < COVER_DAYS)))
     return _listed(rows.orderBy(F.col("cover").asc_nulls_last(), "variant_id").limit(limit))
 
 
-def dead_stock(shop: Shop, as_of: dt.date, filters: Filters = NO_FILTERS, limit: int = 50) -> DataFrame:
+def dead_stock(shop: Shop, as_of: dt.date, filters: Filters = NO_FILTERS, limit: int = 50, kept: SalesDays | None = None) -> DataFrame:
     """Variants on the shelf that never sold, or not since the cutoff, by value at price."""
     cutoff = as_of - dt.timedelta(days=shop.dead_stock_days)
-    rows = stock_rows(shop, as_of, filters).filter((F.col("on_hand") > 0) & (F.col("last_day").isNull() | (F.col("last_day") < F.lit(cutoff))))
+    rows = stock_rows(shop, as_of, filters, kept=kept).filter((F.col("on_hand") > 0) & (F.col("last_day").isNull() | (F.col("last_day") < F.lit(cutoff))))
     rows = rows.withColumn("value", (F.col("on_hand") * F.col("price")).cast("decimal(24,4)"))
     return rows.orderBy(F.col("value").desc_nulls_last(), "variant_id").limit(limit).select("variant_id", "sku", units("on_hand").alias("on_hand"), money("value").alias("retail_value"), "last_day")
 
@@ -100,7 +113,7 @@ def inventory_at(shop: Shop, at: dt.date) -> DataFrame:
 SORTS = {"name": "name", "sku": "sku", "price": "price", "cost": "cost", "on_hand": "on_hand", "margin": "margin", "category": "category_id", "product": "product_id", "last_sold": "last_sale"}
 
 
-def catalog_page(shop: Shop, as_of: dt.date, query: str | None = None, sort: str = "name", descending: bool = False, limit: int = 50, offset: int = 0, filters: Filters = NO_FILTERS, totals: bool = False) -> DataFrame:
+def catalog_page(shop: Shop, as_of: dt.date, query: str | None = None, sort: str = "name", descending: bool = False, limit: int = 50, offset: int = 0, filters: Filters = NO_FILTERS, totals: bool = False, kept: SalesDays | None = None) -> DataFrame:
     """A page of variants with stock by location, unit margin and last sale; ties by name and id, nulls last.
 
     totals: with total_rows before the page is cut, and whether it is truncated.
@@ -108,7 +121,7 @@ def catalog_page(shop: Shop, as_of: dt.date, query: str | None = None, sort: str
     if sort not in SORTS:
         raise BadArgument(f"{sort!r} is no sort; choose one of {', '.join(SORTS)}")
     shelves = stock(shop, filters)[0].groupBy("variant_id").agg(total("on_hand").alias("on_hand"), F.array_sort(F.collect_list(F.struct("location_id", F.col("on_hand").alias("units")))).alias("stock"))
-    last = sold_lines(shop, DateRange(dt.date(1970, 1, 2), as_of), require_product=True).groupBy("variant_id").agg(F.max("placed_at").alias("last_sale"))
+    last = kept.sales(shop, as_of) if kept else sold_lines(shop, DateRange(dt.date(1970, 1, 2), as_of), require_product=True).groupBy("variant_id").agg(F.max("placed_at").alias("last_sale"))
     rows = shop.variants.join(shelves, "variant_id", "left").join(last, "variant_id", "left").withColumn("margin", share(F.col("price") - F.col("cost"), F.col("price")))
     if query:
         pattern = "%" + query.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"

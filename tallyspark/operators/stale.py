@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from decimal import Decimal
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,38 +13,64 @@ from tallyspark.context import DateRange, Shop
 from tallyspark.functions.numbers import money, share, total, units
 from tallyspark.operators.scopes import sold_lines, stock
 
+if TYPE_CHECKING:
+    from tallyspark.operators.sales_days import SalesDays
+
 #: Days since the last sale, and the windows and ratio of slowing stock; markdown steps; least baskets and share.
 STALE_DAYS, DEAD_DAYS = 60, 120
 RECENT_DAYS, TRAILING_DAYS, SLOWING = 30, 90, 0.5
 LADDER = (0.15, 0.30, 0.50)
 LEAST_BASKETS, LEAST_SHARE = 3, 0.25
 START = dt.date(1970, 1, 2)
+#: Variants of a basket that meet in one group.
+BASKET_BLOCK = 500
 
 
-def stale_rows(shop: Shop, as_of: dt.date) -> DataFrame:
+def stale_rows(shop: Shop, as_of: dt.date, kept: SalesDays | None = None) -> DataFrame:
+    """Variants on the shelf that do not sell as they should. kept: the written days, read instead of all lines."""
     held = stock(shop)[0].groupBy("variant_id", "sku", "category_id", "price", "cost").agg(total("on_hand").alias("on_hand")).filter("on_hand > 0")
     inside = lambda days: F.when(DateRange.last(days, as_of).inside(F.col("placed_at"), shop.timezone), F.col("quantity"))
-    sold = sold_lines(shop, DateRange(START, as_of), require_product=True).groupBy("variant_id").agg(F.max("placed_at").alias("last_sale"), total(inside(RECENT_DAYS)).alias("recent"), total(inside(TRAILING_DAYS)).alias("trailing"))
+    sold = kept.sales(shop, as_of, recent=RECENT_DAYS, trailing=TRAILING_DAYS) if kept else sold_lines(shop, DateRange(START, as_of), require_product=True).groupBy("variant_id").agg(F.max("placed_at").alias("last_sale"), total(inside(RECENT_DAYS)).alias("recent"), total(inside(TRAILING_DAYS)).alias("trailing"))
     rows = held.join(sold, "variant_id", "left").fillna(0, ["recent", "trailing"])
     rows = rows.withColumn("days_since", F.date_diff(F.lit(as_of), shop.local_day(F.col("last_sale")))).withColumn("recent_daily", F.bround(F.col("recent").cast("double") / RECENT_DAYS, 4)).withColumn("trailing_daily", F.bround(F.col("trailing").cast("double") / TRAILING_DAYS, 4))
     grade = F.when(F.col("days_since").isNull() | (F.col("days_since") >= DEAD_DAYS), "dead").when(F.col("days_since") >= STALE_DAYS, "stale").when((F.col("trailing_daily") > 0) & (F.col("recent_daily") < F.col("trailing_daily") * SLOWING), "slowing")
     return rows.withColumn("kind", grade).filter("kind is not null").withColumn("cash", (F.col("on_hand") * F.coalesce("cost", "price")).cast("decimal(24,4)"))
 
 
-def stale_inventory(shop: Shop, as_of: dt.date, limit: int = 500) -> DataFrame:
+def stale_inventory(shop: Shop, as_of: dt.date, limit: int = 500, kept: SalesDays | None = None) -> DataFrame:
     """Variants on the shelf that are dead, stale or slowing, by the cash in them (at cost, else at price)."""
-    rows = stale_rows(shop, as_of).orderBy(F.col("cash").desc_nulls_last(), "variant_id").limit(limit)
+    rows = stale_rows(shop, as_of, kept).orderBy(F.col("cash").desc_nulls_last(), "variant_id").limit(limit)
     return rows.select("variant_id", "kind", units("on_hand").alias("on_hand"), "days_since", "recent_daily", "trailing_daily", money("cash").alias("cash"))
 
 
+def basket_pairs(baskets: DataFrame, targets: DataFrame, block: int = BASKET_BLOCK) -> DataFrame:
+    """(target_id, variant_id, baskets): in how many of the baskets (order_id, variant_id, each pair once) a target stands with another variant.
+
+    A basket of more than `block` variants is dealt into blocks by a hash, and each two blocks (the lower one first) meet in
+    a group of their own: no group has more pairs than two blocks make, and a pair of variants meets in one group. Pairs are
+    counted in the tasks before they are shuffled. Baskets without a target are left out.
+    """
+    flagged = baskets.join(targets.withColumn("__t", F.lit(True)), "variant_id", "left").withColumn("wanted", F.coalesce("__t", F.lit(False))).drop("__t")
+    sizes = flagged.groupBy("order_id").agg(F.count("*").alias("n"), F.bool_or("wanted").alias("some")).filter("some and n > 1")
+    rows = flagged.join(sizes.select("order_id", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "order_id")
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("variant_id"), F.col("blocks")).cast("int"))
+    # a row meets its own block and all others: as the lower block of a group, or as the higher one
+    left = rows.select("order_id", F.col("at").alias("low"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("high"), F.col("variant_id").alias("a"), F.col("wanted").alias("a_wanted"))
+    right = rows.select("order_id", F.explode(F.sequence(F.lit(0), "at")).alias("low"), F.col("at").alias("high"), F.col("variant_id").alias("b"), F.col("wanted").alias("b_wanted"))
+    met = left.join(right, ["order_id", "low", "high"]).filter("(low < high or a < b) and (a_wanted or b_wanted)")
+    counted = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_wanted")).otherwise(F.col("b_wanted")).alias("x"), F.when(F.col("a") < F.col("b"), F.col("b_wanted")).otherwise(F.col("a_wanted")).alias("y"))
+    counted = counted.groupBy("a", "b", "x", "y").agg(F.count("*").alias("baskets"))
+    ways = F.filter(F.array(F.struct("x", F.col("a").alias("target_id"), F.col("b").alias("variant_id")), F.struct(F.col("y").alias("x"), F.col("b").alias("target_id"), F.col("a").alias("variant_id"))), lambda w: w["x"])
+    return counted.select(F.explode(ways).alias("w"), "baskets").select("w.target_id", "w.variant_id", "baskets")
+
+
 def co_purchases(shop: Shop, targets: DataFrame, as_of: dt.date, days: int = 365, partners: int = 3) -> DataFrame:
     """For each target variant the others most often in the same orders, that sold in the last 31 days, too.
 
     Only baskets with a target are joined, so pairs are of targets, not of all variants.
     """
     baskets = sold_lines(shop, DateRange.last(days, as_of), require_product=True).select("order_id", "variant_id").distinct()
-    mine = baskets.join(targets.select("variant_id"), "variant_id", "left_semi").withColumnRenamed("variant_id", "target_id")
-    pairs = mine.join(baskets, "order_id").filter("target_id <> variant_id").groupBy("target_id", "variant_id").agg(F.count("*").alias("baskets"))
+    pairs = basket_pairs(baskets, targets.select("variant_id").distinct())
     recent = sold_lines(shop, DateRange(as_of - dt.timedelta(days=30), as_of), require_product=True).groupBy("variant_id").agg(total("quantity").alias("units")).filter("units > 0")
     w = Window.partitionBy("target_id").orderBy(F.desc("baskets"), F.desc("units"), "variant_id")
     return pairs.join(recent, "variant_id").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= partners).select("target_id", F.col("variant_id").alias("partner_id"), "baskets", units("units").alias("units"))

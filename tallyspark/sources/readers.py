@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.context import BadArgument
+from tallyspark.operators.asof import asof
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,21 @@ def normalised_header(name: str) -> str:
     return re.sub(r"\s+", " ", str(name)).strip().lower()
 
 
+def numbered(df: DataFrame, name: str = "row", first: int = 1) -> DataFrame:
+    """Rows of files with their number in the file, however the files are split.
+
+    Rows of each split are counted, a split's first number is the sum of those before it in its file, and a row adds its place
+    in the split. df reads files and nothing else: two reads of them must give the same rows in the same tasks.
+    """
+    at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    splits = at.groupBy("__file", "__start").agg(F.count("*").alias("n"), F.min("__id").alias("__least"))
+    before = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select("__file", "__start", "__least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return at.join(begins, ["__file", "__start"]).withColumn(name, F.col("__before") + F.col("__id") - F.col("__least") + first).drop("__file", "__start", "__id", "__least", "__before")
+
+
 def sheets(spark: SparkSession, files: dict[str, str], pattern: str) -> DataFrame:
-    """The union of the CSV exports of all sheets whose name matches, with columns sheet and row.
+    """The union of the CSV exports of all sheets whose name matches, with columns sheet and row (the row's number in its sheet, of which the header is 1).
 
     Headers differ in case and spaces between years; blank rows and the closing TOTAL row go.
     """
@@ -66,8 +80,8 @@ def sheets(spark: SparkSession, files: dict[str, str], pattern: str) -> DataFram
     for name, path in sorted(files.items()):
         if not re.fullmatch(pattern, name):
             continue
-        df = spark.read.csv(path, header=True)
-        df = df.select(*[F.col(f"`{c}`").alias(normalised_header(c)) for c in df.columns]).withColumns({"sheet": F.lit(name), "row": F.monotonically_increasing_id()})
+        df = numbered(spark.read.csv(path, header=True), "\0row", 2)
+        df = df.select(*[F.col(f"`{c}`").alias("row" if c == "\0row" else normalised_header(c)) for c in df.columns if c == "\0row" or normalised_header(c) not in ("row", "sheet")]).withColumn("sheet", F.lit(name))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise BadArgument(f"no sheet matches {pattern!r}; there are {', '.join(sorted(files))}")
@@ -102,6 +116,18 @@ def register_orders(raw: DataFrame, event_locations: tuple[str, ...] = ()) -> Da
     return raw.select(F.col("id").alias("external_id"), "location_id", "customer_id", _word(F.col("state"), STATUS).alias("status"), channel.alias("channel"), (total - tax - tip + discount).cast("decimal(14,4)").alias("subtotal"), discount.alias("discount_total"), tax.alias("tax_total"), tip.alias("tip_total"), total.alias("total"), F.to_timestamp("created_at").alias("placed_at"))
 
 
+def register_lines(raw: DataFrame, costs: DataFrame) -> DataFrame:
+    """Canonical order lines of a register that counts cents, each with the cost its variant had then.
+
+    costs: (variant_id, changed_at, cost), what is known of when costs changed. A line without variant is a custom amount.
+    """
+    name = F.when(F.col("variation_name").isNotNull() & (F.col("variation_name") != ""), F.concat("name", F.lit(" ("), "variation_name", F.lit(")"))).otherwise(F.col("name"))
+    quantity = F.coalesce(F.col("quantity").try_cast("decimal(14,4)"), F.lit(0).cast("decimal(14,4)"))
+    lines = raw.select(F.col("uid").alias("external_id"), "order_id", F.col("catalog_object_id").alias("variant_id"), name.alias("name_snapshot"), quantity.alias("quantity"), cents("base_price_money").alias("unit_price"), cents("total_discount_money").alias("discount"), F.to_timestamp("created_at").alias("sold_at"))
+    known = costs.select("variant_id", "changed_at", F.col("cost").cast("decimal(14,4)").alias("unit_cost_snapshot"))
+    return asof(lines, known, "variant_id", "sold_at", "changed_at", "unit_cost_snapshot")
+
+
 def register_movements(raw: DataFrame) -> DataFrame:
     pair = F.concat_ws(">", F.coalesce("from_state", F.lit("")), "to_state")
     kinds = {f"{a}>{b}": k for (a, b), k in MOVEMENT.items()}

@@ -83,3 +83,25 @@ def test_jobs(spark):
     assert {r.id: r.status for r in got.collect()} == {1: "canceled", 2: "draft", 3: "sent", 4: "draft"}
     answers = spark.createDataFrame([("a", True, 0.01, float(i)) for i in range(20)], "tenant string, passed boolean, cost double, seconds double")
     assert jobs.eval_summary(answers).first().p95_seconds == 18.0
+
+
+def test_row_numbers_of_any_splits(spark, tmp_path):
+    """A sheet's rows keep their numbers whether it is read in one split or in hundreds."""
+    lines = ["Key,Row,Note"] + [f"k{i},x,{'y' * (i % 50)}" if i % 10 else ",," for i in range(4000)] + ["TOTAL,,"]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.csv").write_text("key\nonly\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    found = {}
+    try:
+        for size in ("128m", "20k", "3k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            df = readers.sheets(spark, {"A": str(tmp_path / "a.csv"), "B": str(tmp_path / "b.csv")}, "A|B")
+            found[size] = sorted((r.sheet, r.row, r.key) for r in df.collect())
+            many = spark.read.csv(str(tmp_path / "a.csv"), header=True).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert many > 20
+    want = sorted([("A", i + 2, f"k{i}") for i in range(4000) if i % 10] + [("B", 2, "only")])
+    assert found == dict.fromkeys(found, want)
