@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators import ordering
+
 #: Characters of a chunk and of the overlap; hits of each half; the constant of reciprocal rank fusion; batch limits.
 CHUNK, OVERLAP = 2000, 200
 HALF, RRF = 30, 60
@@ -68,23 +70,9 @@ def ingest_diff(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     return s.join(w, ["doc_id", "chunk_index"], "full_outer").select("doc_id", "chunk_index", action.alias("action"))
 
 
-def batches(items: DataFrame, size_col: str, max_items: int = BATCH_ITEMS, max_chars: int = BATCH_CHARS) -> DataFrame:
-    """Items with their batch within a partition, filled greedily by number and characters."""
-
-    def run(frames):
-        batch, n, total = 0, 0, 0
-        for frame in frames:
-            out = []
-            for size in frame[size_col]:
-                if n and (n >= max_items or total + size > max_chars):
-                    batch, n, total = batch + 1, 0, 0
-                n, total = n + 1, total + size
-                out.append(batch)
-            yield frame.assign(batch=out)
-
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return items.mapInPandas(run, StructType([*items.schema.fields, StructField("batch", LongType())]))
+def batches(items: DataFrame, size_col: str, max_items: int = BATCH_ITEMS, max_chars: int = BATCH_CHARS, keys: list[str] | None = None) -> DataFrame:
+    """Items with their batch, filled greedily by number and characters in the order of keys (all columns, if none are named), which must tell items apart."""
+    return ordering.batches(items, size_col, keys or items.columns, max_items, max_chars)
 
 
 def checked(vectors: DataFrame, size: int, column: str = "embedding") -> DataFrame:

@@ -53,14 +53,15 @@ class TextIndex:
             latest = F.max_by("text", "content_hash")
             coming = diff.filter("action in ('new', 'changed')").select("doc_id")
             new = texts.join(coming, "doc_id", "left_semi").groupBy("doc_id").agg(latest.alias("text"), F.max("content_hash").alias("content_hash"))
-            new = written(new.select("doc_id", "content_hash", words(F.col("text")).alias("words")), "texts")
-            each = new.select("doc_id", F.size(F.array_distinct("words")).alias("size"), F.explode("words").alias("term"))
+            new = new.select("doc_id", "content_hash", words(F.col("text")).alias("words")).withColumn("terms", F.array_distinct("words"))
+            new = written(new.withColumn("size", F.size("terms")), "texts")
+            each = new.select("doc_id", "size", F.explode("words").alias("term"))
             postings = each.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("n"), F.first("size").alias("size"))
             old = held.join(diff.filter("action in ('changed', 'orphan')"), "doc_id", "left_semi").select("doc_id", F.explode("terms").alias("term"))
             lost = old.join(postings.select("term", "doc_id"), ["term", "doc_id"], "left_anti")
             kept = postings.withColumn("gone", F.lit(False))
             self.postings.merge(kept.unionByName(lost.select("term", "doc_id", F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(True).alias("gone"))))
-            digests = new.select("doc_id", "content_hash", F.array_distinct("words").alias("terms"), F.lit(False).alias("gone"))
+            digests = new.select("doc_id", "content_hash", "terms", F.lit(False).alias("gone"))
             orphans = diff.filter("action = 'orphan'").select("doc_id", F.lit("").alias("content_hash"), F.array().cast("array<string>").alias("terms"), F.lit(True).alias("gone"))
             self.texts.merge(digests.unionByName(orphans))
         return {a: counts.get(a, 0) for a in ("new", "changed", "unchanged", "orphan")}
