@@ -106,6 +106,10 @@ class Shop:
     payment_sources: tuple[str, ...] = ()
     low_stock_threshold: int = 3
     dead_stock_days: int = 90
+    #: Names of registers as the shop calls them, and what its passages are searched with (operators/knowledge.py).
+    source_names: dict[str, str] = field(default_factory=dict)
+    knowledge: object = field(default=None, repr=False)
+    hourly_labour_cost: float | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in {f.name for f in fields(Shop)} or name.startswith("_"):

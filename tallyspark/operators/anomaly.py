@@ -4,22 +4,29 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.context import BadArgument, DateRange, Shop
 from tallyspark.functions.numbers import money, ratio, total, units
+from tallyspark.operators.demand import shortfall_impact
 from tallyspark.operators.inventory import negative_stock
 from tallyspark.operators.jobs import Schedule
 from tallyspark.operators.scopes import refunds_in, sold_lines
+from tallyspark.operators.staffing import heatmap, observe
+from tallyspark.operators.stale import stale_rows
 
 #: Fixed values of the detectors.
 Z = {"low": 3.2, "normal": 2.5, "high": 2.0}
 LEAST_DOLLARS, SCAN_DAYS, PERIODS, USABLE = 75, 7, 8, 4
 SPREAD_FLOOR, MAD_TO_SIGMA = 25, 1.4826
 GAP_ORDERS, GAP_MULTIPLE, GAP_FLOOR_HOURS = 400, 3, 30
+DEAD_LEAST, DEAD_WARN, REORDER_URGENT = 100, 750, 250
+#: The hour of the shop's day at which detectors run.
+CHECKED_AT = 6
 SHRINK_DAYS, SHRINK_VALUE, SHRINK_UNITS = 14, 40, 5
 REFUND_FLOOR, REFUND_MULTIPLE, REFUND_WEEKS, REFUND_DAYS = 0.05, 2.5, 6, 91
 
@@ -58,13 +65,21 @@ def weekday_baselines(observations: DataFrame, as_of: dt.date, weeks: int = PERI
     return out.select(*keys, "median", "observations", "median_orders", F.when(F.col("nb") >= 2, F.col("sb")).otherwise(F.col("s")).alias("spread_below"), F.when(F.col("na") >= 2, F.col("sa")).otherwise(F.col("s")).alias("spread_above"))
 
 
+def health_at(shop: Shop, as_of: dt.date) -> DataFrame:
+    """sync_health() as it was when the detectors ran on the morning of a day: of the orders placed until then."""
+    now = dt.datetime.combine(as_of, dt.time(CHECKED_AT), ZoneInfo(shop.timezone)).astimezone(dt.UTC).replace(tzinfo=None)
+    before = shop.orders.filter(F.col("placed_at") <= F.lit(now.isoformat(sep=" ")).cast("timestamp"))
+    return sync_health(replace(shop, frames=shop.frames | {"orders": before}), now)
+
+
 def sales_anomalies(shop: Shop, as_of: dt.date, sensitivity: str = "normal") -> DataFrame:
-    """Days of the last week far off their weekday: by z and by dollars."""
+    """Days of the last week far off their weekday: by z and by dollars. None while orders are overdue: missing data looks like a collapse."""
     first = as_of - dt.timedelta(days=SCAN_DAYS)
     seen = daily_observations(shop, DateRange(as_of - dt.timedelta(weeks=PERIODS + 1), as_of))
     base = weekday_baselines(seen, as_of, PERIODS + 1, first).filter(F.col("observations") >= USABLE).withColumnRenamed("location_id", "b_location").withColumnRenamed("weekday", "b_weekday")
     days = seen.filter(~F.col("is_event") & (F.col("day") >= F.lit(first)) & (F.col("day") < F.lit(as_of)))
     both = days.join(base, F.col("location_id").eqNullSafe(F.col("b_location")) & (F.weekday("day") == F.col("b_weekday")))
+    both = both.join(health_at(shop, as_of).filter("not stale").select("stale"))  # one row or none
     off = F.col("net_sales") - F.col("median")
     spread = F.greatest(F.when(off < 0, F.col("spread_below")).otherwise(F.col("spread_above")), F.lit(float(SPREAD_FLOOR)))
     rows = both.withColumn("difference", F.round(off, 2)).withColumn("z", F.round(off / spread, 2)).filter((F.abs("z") >= Z[sensitivity]) & (F.abs("difference") >= LEAST_DOLLARS))
@@ -177,7 +192,45 @@ def _negative_drafts(shop: Shop, as_of: dt.date) -> DataFrame:
     return negative_stock(shop).select(F.col("variant_id").alias("subject"), F.lit("warn").alias("severity"), F.lit(None).alias("impact"))
 
 
+def _week_of(day: dt.date) -> str:
+    year, week, _ = day.isocalendar()
+    return f"{year}-W{week:02d}"
+
+
+def _stale_data_drafts(shop: Shop, as_of: dt.date) -> DataFrame:
+    """One a day while no order has come for longer than is usual here."""
+    return health_at(shop, as_of).filter("stale").select(F.lit(str(as_of)).alias("subject"), F.lit("urgent").alias("severity"), F.lit(None).alias("impact"))
+
+
+def _dead_stock_drafts(shop: Shop, as_of: dt.date) -> DataFrame:
+    """One a week: the cash in all stock that stopped moving, if it is worth a word."""
+    sums = stale_rows(shop, as_of).agg(F.round(F.sum("cash"), 2).cast("double").alias("impact")).filter(F.col("impact") >= DEAD_LEAST)
+    return sums.select(F.lit(_week_of(as_of)).alias("subject"), F.when(F.col("impact") >= DEAD_WARN, "warn").otherwise("info").alias("severity"), "impact")
+
+
+def _reorder_drafts(shop: Shop, as_of: dt.date) -> DataFrame:
+    """One a week: what will be missed on shelves that are empty before a delivery can come."""
+    sums = shortfall_impact(shop, as_of)
+    return sums.select(F.lit(_week_of(as_of)).alias("subject"), F.when(F.col("impact") >= REORDER_URGENT, "urgent").otherwise("warn").alias("severity"), "impact")
+
+
+def _staffing_drafts(shop: Shop, as_of: dt.date) -> DataFrame:
+    """One a month for each location whose rota does not fit its tills; none for a shop without a rota."""
+    subject = F.concat_ws(":", F.lit(f"{as_of:%Y-%m}"), F.col("location_id").cast("string"))
+    if "rota" not in shop.frames:
+        return shop.orders.limit(0).select(F.lit("").alias("subject"), F.lit("info").alias("severity"), F.lit(None).alias("impact"))
+    seen = observe(heatmap(shop, as_of), shop.rota).join(shop.rota.groupBy("location_id", "weekday").agg(F.max("staff").alias("staff")), ["location_id", "weekday"])
+    quiet = F.when(F.col("kind") != "busy", F.col("staff"))
+    rows = seen.groupBy("location_id").agg(F.sum(quiet).alias("hours"))
+    cost = F.round(F.col("hours") * shop.hourly_labour_cost, 2) if shop.hourly_labour_cost else F.lit(None)
+    return rows.select(subject.alias("subject"), F.lit("info").alias("severity"), cost.alias("impact"))
+
+
 register(Detector("sales_anomaly", _anomaly_drafts, Schedule("daily", hour=6)))
 register(Detector("refund_spike", _spike_drafts, Schedule("weekly", hour=6)))
-register(Detector("shrink", _shrink_drafts, Schedule("weekly", hour=6), ("has_inventory_history",)))
+register(Detector("shrink", _shrink_drafts, Schedule("daily", hour=6), ("has_inventory_history",)))
 register(Detector("impossible_stock", _negative_drafts, Schedule("daily", hour=6)))
+register(Detector("stale_data", _stale_data_drafts, Schedule("daily", hour=6)))
+register(Detector("dead_stock", _dead_stock_drafts, Schedule("weekly", hour=6)))
+register(Detector("reorder", _reorder_drafts, Schedule("daily", hour=6)))
+register(Detector("staffing", _staffing_drafts, Schedule("monthly", hour=6)))

@@ -137,10 +137,23 @@ def vendor_groups(shop: Shop, as_of: dt.date) -> DataFrame:
     return rows.groupBy("vendor_id").agg(F.count("*").alias("lines"), F.round(F.sum("suggested_qty"), 2).alias("units"), F.round(F.sum(F.col("suggested_qty") * F.col("cost")), 2).alias("cost"))
 
 
+def _missed(shop: Shop, as_of: dt.date) -> DataFrame:
+    """Shelves that are empty before a delivery, with the units missed between; an already empty shelf has no cover and is not counted."""
+    rows = reorder(shop, as_of).filter("cover is not null and stocks_out").withColumn("short", F.col("lead") - F.col("cover")).filter("short > 0")
+    return rows.withColumn("missed", F.bround(F.col("velocity") * F.col("short"), 2))
+
+
+def shortfall_impact(shop: Shop, as_of: dt.date) -> DataFrame:
+    """(lines, impact): one row, of margin lost if at least half of the lines have a cost, of sales otherwise; none without a line."""
+    sales = F.coalesce(F.col("missed") * F.col("price"), F.lit(0.0))
+    margin = F.col("missed") * (F.col("price") - F.col("cost"))
+    sums = _missed(shop, as_of).agg(F.count("*").alias("lines"), F.count(margin).alias("costed"), F.sum(F.coalesce(margin, sales)).alias("margin"), F.sum(sales).alias("sales")).filter("lines > 0")
+    return sums.select("lines", F.round(F.when(F.col("costed") * 2 >= F.col("lines"), F.col("margin")).otherwise(F.col("sales")), 2).alias("impact"))
+
+
 def shortfall(shop: Shop, as_of: dt.date) -> DataFrame:
     """What running out costs between the empty shelf and the delivery; an already empty shelf has no cover and is not counted."""
-    rows = reorder(shop, as_of).filter("cover is not null and stocks_out").withColumn("short", F.col("lead") - F.col("cover")).filter("short > 0")
-    rows = rows.withColumn("missed", F.bround(F.col("velocity") * F.col("short"), 2))
+    rows = _missed(shop, as_of)
     sums = rows.agg(F.count("*").alias("lines"), F.round(F.sum("missed"), 2).alias("units_missed"), F.round(F.sum(F.col("missed") * F.col("price")), 2).alias("lost_sales"), F.round(F.sum(F.col("missed") * (F.col("price") - F.col("cost"))), 2).alias("lost_margin"))
     return sums.withColumn("severity", F.when(F.coalesce("lost_sales", F.lit(0.0)) >= URGENT, "urgent").otherwise("warn"))
 

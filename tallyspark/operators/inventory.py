@@ -125,7 +125,8 @@ def catalog_page(shop: Shop, as_of: dt.date, query: str | None = None, sort: str
     rows = shop.variants.join(shelves, "variant_id", "left").join(last, "variant_id", "left").withColumn("margin", share(F.col("price") - F.col("cost"), F.col("price")))
     if query:
         pattern = "%" + query.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
-        rows = rows.filter(F.col("name").ilike(pattern) | F.col("sku").ilike(pattern) | F.col("category_id").ilike(pattern))
+        searched = [c for c in ("name", "sku", "barcode", "category_id") if c in rows.columns]
+        rows = rows.filter(F.exists(F.array(*searched), lambda c: c.ilike(pattern)))
     key = F.col(SORTS[sort])
     page = rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "name", "variant_id").offset(offset).limit(limit)
     text = F.array_join(F.transform("stock", lambda s: F.concat_ws("=", s["location_id"].cast("string"), s["units"].cast("int").cast("string"))), ";")

@@ -88,6 +88,34 @@ def breakdown(shop: Shop, period: DateRange, dimension: str, filters: Filters =
     return with_totals(out, sold, limit) if totals else out
 
 
+#: What a channel is called.
+CHANNEL_NAMES = {"in_store": "In store", "online": "Online", "event": "Events and pop-ups", "other": "Other"}
+
+
+def labelled(rows: DataFrame, shop: Shop, dimension: str) -> DataFrame:
+    """Rows of breakdown() with `label`, what people call the key; names are looked up for these few keys alone.
+
+    A variant is its product's name and its own, unless it has none of its own; a register is what the shop calls it.
+    """
+    if dimension not in DIMENSION_COLUMNS:
+        raise BadArgument(f"{dimension!r} is no dimension; choose one of {', '.join(DIMENSION_COLUMNS)}")
+    key = F.col("key")
+    if dimension == "product":
+        return rows.withColumn("label", key)
+    if dimension == "category":
+        return rows.withColumn("label", F.coalesce(key, F.lit("Uncategorised")))
+    if dimension in ("channel", "source"):
+        names = CHANNEL_NAMES if dimension == "channel" else shop.source_names
+        named = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[key] if names else F.lit(None)
+        return rows.withColumn("label", F.coalesce(named, F.lit("Other") if dimension == "channel" else key))
+    if dimension == "location":
+        names = shop.locations.groupBy(F.col("location_id").cast("string").alias("key")).agg(F.min("name").alias("label"))
+        return rows.join(names, "key", "left").fillna("Unknown location", ["label"]).select(*rows.columns, "label")
+    own = F.when(F.col("name").isNull() | (F.col("name") == F.col("product_id")), F.col("product_id")).otherwise(F.concat_ws(" \u2014 ", "product_id", "name"))
+    names = shop.variants.groupBy(F.col("variant_id").cast("string").alias("key")).agg(F.min(own).alias("label"))
+    return rows.join(names, "key", "left").select(*rows.columns, "label")
+
+
 def with_previous(shop: Shop, period: DateRange, filters: Filters = NO_FILTERS, **others: DateRange) -> DataFrame:
     """The summary of a period beside that of the one before it, and of others."""
     periods = {"current": period, "previous": period.previous()} | others

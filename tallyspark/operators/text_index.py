@@ -79,8 +79,8 @@ class TextIndex:
         """(term, texts, occurrences) of the words that some text has."""
         return self.read(asked).groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("occurrences"))
 
-    def search(self, query: str, k: int = retrieval.HALF, by: str = "share") -> DataFrame:
-        """Texts with all words of the query; only if there are none, texts with any. Ties to the smaller id.
+    def search(self, query: str, k: int = retrieval.HALF, by: str = "share", where: Column | None = None) -> DataFrame:
+        """Texts with all words of the query; only if there are none, texts with any. Ties to the smaller id. where: a condition on doc_id.
 
         by share: matched words over length, the scores of retrieval.text_search. by frequencies: the sum over the words of
         their rarity times how often the text has them, against its length (BM25).
@@ -89,6 +89,7 @@ class TextIndex:
         if not asked:
             return self.postings.read(parts=[]).select("doc_id", F.lit(0.0).alias("score"))
         rows = self.read(asked)
+        rows = rows.filter(where) if where is not None else rows
         if by == "share":
             found = rows.groupBy("doc_id").agg(F.count("*").alias("hits"), F.max("size").alias("size")).withColumn("score", F.round(F.col("hits") / (1 + F.log(F.col("size").cast("double"))), 6))
         else:

@@ -57,11 +57,11 @@ def usable(vector: Column) -> Column:
 
 
 class VectorIndex:
-    def __init__(self, spark: SparkSession, path: str, cells: int = CELLS):
-        self.spark, self.path, self.cells = spark, path, cells
+    def __init__(self, spark: SparkSession, path: str, cells: int = CELLS, id_type: str = "bigint"):
+        self.spark, self.path, self.cells, self.hits = spark, path, cells, f"vec_id {id_type}, score double"
         store = lambda name, columns, keys, parts, **more: KeyedStore(spark, f"{path}/{name}", StructType.fromDDL(columns), keys, [keys[0]], parts, **more)
-        self.vectors = store("vectors", "vec_id bigint, cell int, embedding array<float>, metadata map<string, string>, gone boolean", ["vec_id", "cell"], cells, deal=F.col("cell"), gone="gone")
-        self.places = store("places", "vec_id bigint, content_hash string, cell int, gone boolean", ["vec_id"], cells, gone="gone")
+        self.vectors = store("vectors", f"vec_id {id_type}, cell int, embedding array<float>, metadata map<string, string>, gone boolean", ["vec_id", "cell"], cells, deal=F.col("cell"), gone="gone")
+        self.places = store("places", f"vec_id {id_type}, content_hash string, cell int, gone boolean", ["vec_id"], cells, gone="gone")
         self.bounds = store("bounds", "cell int, centre array<double>, radius double", ["cell"], 1)
 
     def _placed(self, rows: DataFrame, centre: np.ndarray) -> DataFrame:
@@ -78,40 +78,50 @@ class VectorIndex:
 
         return rows.withColumn("at", place("embedding")).select("*", "at.cell", "at.angle").drop("at")
 
-    def update(self, rows: DataFrame, metadata: list[str] = []) -> dict[str, int]:  # noqa: B006
-        """Bring the index to these rows (vec_id, embedding, and columns kept as metadata); gives how many were new, changed, unchanged and orphans."""
+    @staticmethod
+    def _prepared(rows: DataFrame, metadata: list[str]) -> DataFrame:
+        """One row an id, of those that can be compared: vec_id, content_hash, embedding, metadata."""
         about = F.map_filter(F.create_map(*[x for c in metadata for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull()) if metadata else F.create_map().cast("map<string, string>")
         rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), about.alias("metadata"))
         rows = rows.withColumn("content_hash", F.sha2(F.to_json(F.struct("embedding", "metadata")), 256))
-        rows = rows.groupBy("vec_id").agg(F.max(F.struct("content_hash", "embedding", F.map_entries("metadata").alias("m"))).alias("r")).select("vec_id", "r.content_hash", "r.embedding", F.map_from_entries("r.m").alias("metadata"))
-        known = self.bounds.read().orderBy("cell").collect()  # as many as there are cells
-        if not known:
-            some = rows.select("embedding").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow().column(0).combine_chunks()
-            if not len(some):
-                return {a: 0 for a in ("new", "changed", "unchanged", "orphan")}
-            centre, radius = centres(_units(some), self.cells), {}
-        else:
-            centre, radius = np.array([r.centre for r in known]), {r.cell: r.radius for r in known}
-        rows = retrieval.checked(rows, centre.shape[1])
-        held = self.places.read()
+        largest = F.max(F.struct("content_hash", "embedding", F.map_entries("metadata").alias("m")))
+        return rows.groupBy("vec_id").agg(largest.alias("r")).select("vec_id", "r.content_hash", "r.embedding", F.map_from_entries("r.m").alias("metadata"))
+
+    def update(self, rows: DataFrame, metadata: tuple[str, ...] | list[str] = ()) -> dict[str, int]:
+        """Bring the index to these rows (vec_id, embedding, and columns kept as metadata); gives how many were new, changed, unchanged and orphans."""
+        rows = self._prepared(rows, list(metadata))
         flat = lambda df: df.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "content_hash")
-        diff = written(retrieval.ingest_diff(flat(held), flat(rows)).select(F.col("doc_id").alias("vec_id"), "action"), "diff")
+        diff = written(retrieval.ingest_diff(flat(self.places.read()), flat(rows)).select(F.col("doc_id").alias("vec_id"), "action"), "diff")
         counts = {r.action: r.n for r in diff.groupBy("action").agg(F.count("*").alias("n")).collect()}
         if set(counts) - {"unchanged"}:
-            coming = rows.join(diff.filter("action in ('new', 'changed')").select("vec_id"), "vec_id", "left_semi")
-            placed = written(self._placed(coming, centre), "placed")
-            widest = {r.cell: r.angle for r in placed.groupBy("cell").agg(F.max("angle").alias("angle")).collect()}  # as many as there are cells
-            wide = [(c, centre[c].tolist(), max(radius.get(c, 0.0), widest.get(c, 0.0))) for c in range(len(centre))]
-            self.bounds.merge(self.spark.createDataFrame(wide, self.bounds.schema))
-            left = held.join(diff.filter("action in ('changed', 'orphan')"), "vec_id").select("vec_id", "cell", "action")
-            moved = left.join(placed.select("vec_id", F.col("cell").alias("to")), "vec_id", "left").filter("to is null or to <> cell")
-            none = lambda kind: F.lit(None).cast(kind)
-            lost = moved.select("vec_id", "cell", none("array<float>").alias("embedding"), none("map<string, string>").alias("metadata"), F.lit(True).alias("gone"))
-            self.vectors.merge(placed.select("vec_id", "cell", "embedding", "metadata", F.lit(False).alias("gone")).unionByName(lost))
-            orphans = left.filter("action = 'orphan'").select("vec_id", F.lit("").alias("content_hash"), "cell", F.lit(True).alias("gone"))
-            self.places.merge(placed.select("vec_id", "content_hash", "cell", F.lit(False).alias("gone")).unionByName(orphans))
+            self._change(rows.join(diff.filter("action in ('new', 'changed')").select("vec_id"), "vec_id", "left_semi"), diff.filter("action = 'orphan'").select("vec_id"))
         return {a: counts.get(a, 0) for a in ("new", "changed", "unchanged", "orphan")}
 
+    def change(self, rows: DataFrame, lost: DataFrame, metadata: tuple[str, ...] | list[str] = ()) -> None:
+        """Put these rows in place of those of their ids, and take ids (vec_id) away; all others stay."""
+        self._change(self._prepared(rows, list(metadata)), lost)
+
+    def _change(self, coming: DataFrame, lost: DataFrame) -> None:
+        known = self.bounds.read().orderBy("cell").collect()  # as many as there are cells
+        if known:
+            centre, radius = np.array([r.centre for r in known]), {r.cell: r.radius for r in known}
+        else:
+            some = coming.select("embedding").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow().column(0).combine_chunks()
+            if not len(some):
+                return
+            centre, radius = centres(_units(some), self.cells), {}
+        placed = written(self._placed(retrieval.checked(coming, centre.shape[1]), centre), "placed")
+        widest = {r.cell: r.angle for r in placed.groupBy("cell").agg(F.max("angle").alias("angle")).collect()}  # as many as there are cells
+        wide = [(c, centre[c].tolist(), max(radius.get(c, 0.0), widest.get(c, 0.0))) for c in range(len(centre))]
+        self.bounds.merge(self.spark.createDataFrame(wide, self.bounds.schema))
+        changed = placed.select("vec_id", F.col("cell").alias("to")).unionByName(lost.select("vec_id", F.lit(None).cast("int").alias("to")))
+        left = written(self.places.read().select("vec_id", "cell").join(changed, "vec_id").filter("to is null or to <> cell"), "left")
+        none = lambda kind: F.lit(None).cast(kind)
+        gone = left.select("vec_id", "cell", none("array<float>").alias("embedding"), none("map<string, string>").alias("metadata"), F.lit(True).alias("gone"))
+        self.vectors.merge(placed.select("vec_id", "cell", "embedding", "metadata", F.lit(False).alias("gone")).unionByName(gone))
+        orphans = left.filter("to is null").select("vec_id", F.lit("").alias("content_hash"), "cell", F.lit(True).alias("gone"))
+        self.places.merge(placed.select("vec_id", "content_hash", "cell", F.lit(False).alias("gone")).unionByName(orphans))
+
     def candidates(self, query: list[float], cells: list[int], k: int, having: dict[str, str] | None = None, where: Column | None = None) -> DataFrame:
         """The k nearest in some cells, of rows whose metadata has all pairs of `having` and for which `where` holds."""
         rows = self.vectors.read(parts=cells)
@@ -124,7 +134,7 @@ class VectorIndex:
         bounds = self.bounds.read().collect()  # as many as there are cells
         asked = np.asarray(query, float)
         if not np.isfinite(asked).all() or not asked.any():
-            return self.spark.createDataFrame([], "vec_id bigint, score double")
+            return self.spark.createDataFrame([], self.hits)
         unit = asked / np.abs(asked).max()
         unit /= np.linalg.norm(unit)
         angle = {b.cell: math.acos(min(1.0, max(-1.0, float(unit @ np.array(b.centre))))) for b in bounds}
@@ -138,4 +148,4 @@ class VectorIndex:
             probes *= 2
             if len(best) == k and (not exact or not order or best[-1][1] > math.cos(least[order[0]]) + CLOSE):
                 break
-        return self.spark.createDataFrame(best, "vec_id bigint, score double").orderBy(F.desc("score"), "vec_id")
+        return self.spark.createDataFrame(best, self.hits).orderBy(F.desc("score"), "vec_id")

@@ -78,6 +78,11 @@ def _two_places(shop: Shop) -> Shop:
     return replace(shop, frames=shop.frames | {"orders": shop.orders.withColumn("location_id", F.col("location_id") % 2)})
 
 
+def _recounted(shop: Shop) -> Shop:
+    """The same shop after a count that found less on every shelf, so that some variants are below nothing."""
+    return replace(shop, frames=shop.frames | {"levels": shop.levels.withColumn("on_hand", F.col("on_hand") - 30)})
+
+
 def _rescue_outcome(shop: Shop) -> DataFrame:
     actions = shop.variants.filter("variant_id % 9 = 0").select("variant_id", F.lit("markdown").alias("kind"), (F.col("variant_id") % 20).cast("double").alias("on_hand_before"), units("cost").alias("unit_cost"))
     taken = D(2001, 7, 1)
@@ -250,7 +255,7 @@ QUERIES: dict[str, Query] = {
     "days_of_cover": _shop(lambda s: inventory.days_of_cover(s, AS_OF)),
     "low_stock": _shop(lambda s: inventory.low_stock(s, AS_OF)),
     "dead_stock": _shop(lambda s: inventory.dead_stock(s, AS_OF)),
-    "negative_stock": _shop(lambda s: inventory.negative_stock(s, filters=Filters(location_ids=(0,)))),
+    "negative_stock": _shop(lambda s: inventory.negative_stock(_recounted(s))),
     "inventory_snapshot": _shop(inventory.inventory_snapshot),
     "inventory_at": _shop(lambda s: inventory.inventory_at(s, D(2024, 1, 15))),
     "catalog_page": _shop(lambda s: inventory.catalog_page(s, AS_OF, sort="price", descending=True)),
@@ -259,7 +264,7 @@ QUERIES: dict[str, Query] = {
     "weekly_units": _shop(lambda s: demand.weekly_units(s, AS_OF)),
     "vendor_terms_primary": _shop(demand.primary_terms),
     "stockout_days": _shop(lambda s: demand.stockout_days(s, MOVES_AS_OF)),
-    "demand_inputs": _shop(lambda s: demand.demand_inputs(s, AS_OF, MOVES_AS_OF).filter("w0 + w1 + w2 + w3 > 0").select("variant_id", "location_id", "on_hand", "w0", "w1", "w2", "w3", "last_year", "trailing_year", "stockout_days", "lead_time_days")),
+    "demand_inputs": _shop(lambda s: demand.demand_inputs(s, AS_OF, MOVES_AS_OF).select("variant_id", "location_id", "on_hand", "w0", "w1", "w2", "w3", "last_year", "trailing_year", "stockout_days", "lead_time_days")),
     "reorder_suggestions": _shop(lambda s: demand.suggestions(s, AS_OF)),
     "vendor_groups": _shop(lambda s: demand.vendor_groups(s, AS_OF)),
     "shortfall": _shop(lambda s: demand.shortfall(s, AS_OF)),
@@ -293,7 +298,7 @@ QUERIES: dict[str, Query] = {
     "dq_findings": _shop(lambda s: sync.findings(sync.quality_metrics(s, AS_OF))),
     "source_invariants": _shop(sync.source_invariants),
     "source_quirks": _shop(sync.quirks),
-    "detectors": _shop(lambda s: anomaly.detected(_two_places(s), ANOMALY_DAY)),
+    "detectors": _shop(lambda s: anomaly.detected(_two_places(s), ANOMALY_DAY, ("sales_anomaly", "refund_spike", "shrink", "impossible_stock"))),
     "breakdown_totals": _shop(lambda s: sales.breakdown(s, QUARTER, "category", totals=True)),
     "catalog_totals": _shop(lambda s: inventory.catalog_page(s, AS_OF, query="sku-1", sort="sku", limit=30, totals=True).select("variant_id", "sku", "total_rows", "truncated")),
     "where_it_sits": _shop(stale.where_it_sits),

@@ -153,7 +153,7 @@ ORACLE: dict[str, str] = {
     "days_of_cover": _q(f"{_LISTED} WHERE sold > 0 AND on_hand > 0 ORDER BY cover, variant_id LIMIT 25", *_STOCK),
     "low_stock": _q(f"{_LISTED} WHERE sold > 0 AND (on_hand <= 3 OR cover < 14) ORDER BY cover NULLS LAST, variant_id LIMIT 50", *_STOCK),
     "dead_stock": _q(f"SELECT variant_id, sku, CAST(on_hand AS DOUBLE) AS on_hand, {_m('CAST(on_hand * price AS DECIMAL(24,4))')} AS retail_value, last_day FROM sr WHERE on_hand > 0 AND (last_day IS NULL OR last_day < DATE '2001-05-03') ORDER BY on_hand * price DESC NULLS LAST, variant_id LIMIT 50", *_STOCK),
-    "negative_stock": _q("SELECT variant_id, CAST(sum(on_hand) AS DOUBLE) AS on_hand FROM lv WHERE location_id = 0 GROUP BY 1 HAVING sum(on_hand) < 0 ORDER BY 2, 1 LIMIT 50"),
+    "negative_stock": _q("SELECT variant_id, CAST(sum(on_hand - 30) AS DOUBLE) AS on_hand FROM lv GROUP BY 1 HAVING sum(on_hand - 30) < 0 ORDER BY 2, 1 LIMIT 50"),
     "inventory_snapshot": _q(f"SELECT count(*) AS shelves, CAST(sum(on_hand) AS DOUBLE) AS units, {_m('sum(on_hand * cost)')} AS cost_value, round(CAST(count(cost) AS DOUBLE) / count(*), 4) AS cost_coverage FROM lv JOIN v USING (variant_id) WHERE on_hand > 0"),
     "inventory_at": _q(f"SELECT CAST(sum(held) AS DOUBLE) AS units, {_m('sum(held * cost)')} AS cost_value, coalesce(bool_or(unclear), false) AS approximate FROM (SELECT lv.variant_id, cost, CAST(greatest(on_hand - coalesce(since, 0), 0) AS DECIMAL(20,4)) AS held, unclear FROM lv JOIN v USING (variant_id) LEFT JOIN m ON lv.variant_id = m.variant_id AND lv.location_id = m.location_id)",
       "m AS (SELECT variant_id, location_id, sum(quantity * CASE WHEN kind IN ('received', 'returned') THEN 1 WHEN kind IN ('sold', 'damaged') THEN -1 ELSE 0 END) AS since, bool_or(kind = 'adjusted') AS unclear FROM mv WHERE occurred_at >= TIMESTAMP '2024-01-16 05:00:00' GROUP BY 1, 2)"),
@@ -314,7 +314,7 @@ ORACLE |= {
     "dq_findings": _q("""SELECT 'missing_costs' AS code, CASE WHEN 1 - variants_missing_cost / variants > 0.7 THEN 'warning' ELSE 'error' END AS severity, CAST(variants_missing_cost AS DOUBLE) AS count, round(CAST(variants_missing_cost AS DOUBLE) / variants, 4) AS share FROM dm WHERE variants_missing_cost > 0
       UNION ALL SELECT 'custom_amount_sales', 'info', 0, round(CAST(custom_lines AS DOUBLE) / lines, 4) FROM dm WHERE CAST(custom_lines AS DOUBLE) / lines > 0.01 UNION ALL SELECT 'orders_not_reconciling', 'error', orders_not_reconciling, NULL FROM dm WHERE orders_not_reconciling > 0
       UNION ALL SELECT 'negative_stock', 'warning', negative_stock_levels, NULL FROM dm WHERE negative_stock_levels > 0 UNION ALL SELECT 'stale_data', 'error', days_since_last_order, NULL FROM dm WHERE days_since_last_order > 3""", _RECON, _METRICS),
-    "demand_inputs": _q("SELECT variant_id, location_id, on_hand, w0, w1, w2, w3, last_year, trailing_year, coalesce(stockout_days, 0) AS stockout_days, lead_time_days FROM di LEFT JOIN sd USING (variant_id, location_id) WHERE w0 + w1 + w2 + w3 > 0", *_DEMAND[:3], f"sd AS ({_STOCKOUT})"),
+    "demand_inputs": _q("SELECT variant_id, location_id, on_hand, w0, w1, w2, w3, last_year, trailing_year, coalesce(stockout_days, 0) AS stockout_days, lead_time_days FROM di LEFT JOIN sd USING (variant_id, location_id)", *_DEMAND[:3], f"sd AS ({_STOCKOUT})"),
     "reorder_suggestions": _q("SELECT variant_id, location_id, velocity, season, lead, demand, safety, raw_qty, suggested_qty, cover, stocks_out, vendor_id FROM rg ORDER BY stocks_out DESC, coalesce(cover, -1), variant_id, location_id LIMIT 200", *_DEMAND),
     "vendor_groups": _q("SELECT vendor_id, count(*) AS lines, round(sum(suggested_qty), 2) AS units, round(sum(suggested_qty * cost), 2) AS cost FROM rg GROUP BY 1", *_DEMAND),
     "shortfall": _q("SELECT count(*) AS lines, round(sum(m), 2) AS units_missed, round(sum(m * price), 2) AS lost_sales, round(sum(m * (price - cost)), 2) AS lost_margin, CASE WHEN coalesce(round(sum(m * price), 2), 0) >= 250 THEN 'urgent' ELSE 'warn' END AS severity FROM (SELECT *, round_even(velocity * (lead - cover), 2) AS m FROM rg WHERE cover IS NOT NULL AND stocks_out AND lead - cover > 0)", *_DEMAND),

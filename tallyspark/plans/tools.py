@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from tallyspark.context import BadArgument, Caveat, DateRange, Filters, Shop, resolve_name, resolve_period
 from tallyspark.operators import demand, inventory, sales, scopes, staffing
+from tallyspark.operators.definitions import definition
 
 
 @dataclass(frozen=True)
@@ -19,6 +20,11 @@ class Tool:
     call: Callable[..., DataFrame]
     arguments: dict[str, type]
     requires: tuple[str, ...] = field(default=())
+    #: Metrics whose definitions its description quotes.
+    of: tuple[str, ...] = ()
+
+    def description(self) -> str:
+        return " ".join(definition(k).sentence() for k in self.of)
 
 
 def _period(today: dt.date, a: dict) -> DateRange:
@@ -37,6 +43,20 @@ def _filters(shop: Shop, a: dict) -> Filters:
     return Filters(location_ids=tuple(places), channels=tuple(a.get("channels", ())), category_ids=tuple(kinds))
 
 
+def _catalog(shop: Shop, today: dt.date, a: dict) -> DataFrame:
+    """A page of the catalog."""
+    return inventory.catalog_page(shop, today, a.get("query"), a.get("sort", "name"), a.get("descending", False), a.get("limit", 20), a.get("offset", 0), _filters(shop, a), totals=True)
+
+
+def _search(shop: Shop, today: dt.date, a: dict) -> DataFrame:
+    """Passages of products and documents; of a shop that has none, or for a page of variants by name, the catalog."""
+    if shop.knowledge is None or not a.get("query") or set(a) - {"query", "kind", "limit"}:
+        if "kind" in a:
+            raise BadArgument("search_catalog: kind goes with a query, and with a shop whose passages are indexed")
+        return _catalog(shop, today, a)
+    return shop.knowledge.search(a["query"], a.get("limit", 8), a.get("kind"))
+
+
 _NAMED = {"location_ids": list, "category_ids": list, "locations": list, "categories": list}
 _SALES = {"start": dt.date, "end": dt.date, "channels": list} | _NAMED
 _RANKED = _SALES | {"limit": int}
@@ -44,25 +64,26 @@ _STOCK = _NAMED | {"limit": int}
 TOOLS = {
     t.name: t
     for t in (
-        Tool("sales_summary", lambda s, d, a: sales.sales_summary(s, _period(d, a), _filters(s, a)), _SALES),
+        Tool("sales_summary", lambda s, d, a: sales.sales_summary(s, _period(d, a), _filters(s, a)), _SALES, of=("net_sales",)),
         Tool("sales_over_time", lambda s, d, a: sales.sales_series(s, _period(d, a), a.get("grain", "week"), _filters(s, a)), _SALES | {"grain": str}),
         Tool("top_products", lambda s, d, a: sales.breakdown(s, _period(d, a), "product", _filters(s, a), a.get("limit", 10)), _RANKED),
         Tool("category_breakdown", lambda s, d, a: sales.breakdown(s, _period(d, a), "category", _filters(s, a), a.get("limit", 25)), _RANKED),
         Tool("location_channel_breakdown", lambda s, d, a: sales.breakdown(s, _period(d, a), a.get("by", "channel"), _filters(s, a), a.get("limit", 25)), _RANKED | {"by": str}),
-        Tool("low_stock", lambda s, d, a: inventory.low_stock(s, d, _filters(s, a), a.get("limit", 50)), _STOCK),
-        Tool("dead_stock", lambda s, d, a: inventory.dead_stock(s, d, _filters(s, a), a.get("limit", 50)), _STOCK),
-        Tool("sell_through", lambda s, d, a: inventory.sell_through(s, _period(d, a), _filters(s, a), a.get("limit", 20)), _RANKED),
-        Tool("inventory_value", lambda s, d, a: inventory.inventory_value(s, _filters(s, a)), _STOCK),
-        Tool("margin_report", lambda s, d, a: sales.margin_report(s, _period(d, a), _filters(s, a)), _SALES, ("has_costs",)),
-        Tool("customer_stats", lambda s, d, a: sales.customer_stats(s, _period(d, a), _filters(s, a)), _SALES, ("has_customers",)),
+        Tool("low_stock", lambda s, d, a: inventory.low_stock(s, d, _filters(s, a), a.get("limit", 50)), _STOCK, of=("low_stock", "days_of_cover")),
+        Tool("dead_stock", lambda s, d, a: inventory.dead_stock(s, d, _filters(s, a), a.get("limit", 50)), _STOCK, of=("dead_stock",)),
+        Tool("sell_through", lambda s, d, a: inventory.sell_through(s, _period(d, a), _filters(s, a), a.get("limit", 20)), _RANKED, of=("sell_through",)),
+        Tool("inventory_value", lambda s, d, a: inventory.inventory_value(s, _filters(s, a)), _STOCK, of=("inventory_value",)),
+        Tool("margin_report", lambda s, d, a: sales.margin_report(s, _period(d, a), _filters(s, a)), _SALES, ("has_costs",), ("gross_margin", "cost_coverage")),
+        Tool("customer_stats", lambda s, d, a: sales.customer_stats(s, _period(d, a), _filters(s, a)), _SALES, ("has_customers",), ("repeat_rate", "new_vs_returning")),
         Tool("reorder_suggestions", lambda s, d, a: demand.suggestions(s, d, a.get("limit", 50)), {"limit": int}),
-        Tool("search_catalog", lambda s, d, a: inventory.catalog_page(s, d, a.get("query"), a.get("sort", "name"), a.get("descending", False), a.get("limit", 20), a.get("offset", 0), _filters(s, a), totals=True), _STOCK | {"query": str, "sort": str, "descending": bool, "offset": int}),
+        Tool("search_catalog", _search, _STOCK | {"query": str, "kind": str, "sort": str, "descending": bool, "offset": int}),
+        Tool("catalog_page", _catalog, _STOCK | {"query": str, "sort": str, "descending": bool, "offset": int}),
         Tool("busiest_hours", lambda s, d, a: staffing.busiest_hours(s, d, a.get("weekday"), a.get("limit", 8)), {"weekday": int, "limit": int}),
     )
 }
 #: Tools whose figures contain refunds, those that read stock, and those that answer in one row.
 _WITH_REFUNDS = {"sales_summary", "sales_over_time", "location_channel_breakdown"}
-_OF_STOCK = {"low_stock", "dead_stock", "sell_through", "inventory_value", "search_catalog"}
+_OF_STOCK = {"low_stock", "dead_stock", "sell_through", "inventory_value", "search_catalog", "catalog_page"}
 _OF_ONE_ROW = {"sales_summary", "margin_report", "inventory_value", "customer_stats"}
 
 

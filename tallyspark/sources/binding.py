@@ -33,7 +33,7 @@ def shop(spark: SparkSession, sf_dir: str, timezone: str = ZONE) -> Shop:
         F.col("c_nationkey").alias("location_id"), _map("o_orderpriority", {"1-URGENT": "in_store", "2-HIGH": "online", "3-MEDIUM": "event"}, "other").alias("channel"), F.concat(F.lit("reg"), (F.col("o_orderkey") % 2).cast("string")).alias("source"), exact("o_totalprice").alias("total"),
     )
     lineitem = t("lineitem")
-    variants = part.select(F.col("p_partkey").alias("variant_id"), F.col("p_name").alias("name"), F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"), F.col("p_brand").alias("product_id"), F.col("p_type").alias("category_id"), exact("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 10 != 0, exact(0.6 * F.col("p_retailprice"))).alias("cost"))
+    variants = part.select(F.col("p_partkey").alias("variant_id"), F.col("p_name").alias("name"), F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"), F.lpad((F.col("p_partkey") * 7 + 40_000_000).cast("string"), 12, "0").alias("barcode"), F.col("p_brand").alias("product_id"), F.col("p_type").alias("category_id"), exact("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 10 != 0, exact(0.6 * F.col("p_retailprice"))).alias("cost"))
     lines = lineitem.join(one(part, "p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left").select(
         F.col("l_orderkey").alias("order_id"), F.when(F.col("l_suppkey") % 25 != 0, F.col("l_partkey")).alias("variant_id"), exact("l_quantity").alias("quantity"), exact("l_extendedprice").alias("gross"), exact(F.col("l_extendedprice") * F.col("l_discount")).alias("discount"),
         F.when(F.col("l_partkey") % 10 != 0, exact(0.6 * F.col("p_retailprice"))).alias("unit_cost"), exact(F.col("l_extendedprice") * (1 - F.col("l_discount")) * F.col("l_tax")).alias("tax"),
