@@ -64,3 +64,12 @@ def month_end_packet(shop: Shop, period: DateRange) -> DataFrame:
 def store_packet(packet: DataFrame, period: DateRange, path: str) -> None:
     """One partition a period: storing a month again replaces that month only."""
     packet.withColumn("period_start", F.lit(period.start)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period_start").parquet(path)
+
+
+def write_month_end(packet: DataFrame, period: DateRange, path: str) -> None:
+    """The packet as a workbook, a tab a section."""
+    from tallyspark.sources.files import write_workbook
+
+    sections = sorted(r.section for r in packet.select("section").distinct().collect())  # five
+    note = f"{period.start} to {period.end}, days of the shop's own time zone"
+    write_workbook({s: packet.filter(F.col("section") == s).select("item", "value") for s in sections}, path, f"Month end {period.start:%Y-%m}", dict.fromkeys(sections, note))
