@@ -204,16 +204,18 @@ def encode(docs: DataFrame, vocabulary=None, text_col: str = "text") -> DataFram
 
 
 def decode(ids: DataFrame, vocabulary=None, ids_col: str = "ids") -> DataFrame:
-    """ids with the column decoded: the text of the ids; null for null."""
+    """ids with the column decoded, in place of any of that name: the text of the ids; null for null."""
     sent = ids.sparkSession.sparkContext.broadcast(Encoder(vocabulary or load()))
+    kept = ids.drop(*[c for c in ids.columns if c == "decoded" and c != ids_col])
 
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
             texts = [None if x is None else sent.value.decode(np.array(x, np.int64)) for x in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            names = [c for c in batch.schema.names if c != "decoded"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return ids.mapInArrow(run, StructType([*ids.schema.fields, StructField("decoded", StringType())]))
+    return kept.mapInArrow(run, StructType([*[f for f in kept.schema.fields if f.name != "decoded"], StructField("decoded", StringType())]))
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())])

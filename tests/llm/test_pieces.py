@@ -47,3 +47,10 @@ def test_query(spark, tmp_path, model, encoder):
     back = pieces.decode(pieces.encode(spark.createDataFrame(docs[:4], "doc_id long, text string")))
     assert {r.doc_id: r.decoded for r in back.collect()} == {d: t or "" for d, t in docs[:4]}
     assert pieces.op10_sentencepiece(spark, str(tmp_path)).limit(0).count() == 0
+
+
+def test_decoding_replaces_a_column_of_its_name(spark):
+    rows = pieces.encode(spark.createDataFrame([(1, "The thing.", "old"), (2, None, "old")], "doc_id long, text string, decoded string"))
+    got = pieces.decode(rows)
+    assert got.columns == ["doc_id", "text", "ids", "decoded"] and {r.doc_id: r.decoded for r in got.collect()} == {1: "The thing.", 2: ""}
+    assert pieces.decode(rows.select("ids").withColumnRenamed("ids", "decoded"), ids_col="decoded").columns == ["decoded"]
