@@ -4,7 +4,8 @@ Base spans are the matches of fixed patterns. Entropy spans are stretches of can
 windows of WINDOW characters reach the Shannon entropy of their character class; a step to the next
 window changes the counts of one leaving and one entering character only, so a candidate costs time in proportion to
 its length. Candidates that match the allow-list
-are passed over, as are stretches that overlap a base span. Positions are code points, ends exclusive.
+are passed over, as are stretches that overlap a base span (the last one of each kind that begins before a stretch ends
+is looked at, so many of both cost little more than few). Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -100,8 +101,8 @@ def base_spans(text: Column) -> list[Column]:
     return out
 
 
-def _stretch(span: Column) -> Column:
-    """The stretch of windows of a candidate that reach its class's entropy; its end is 0 if none does."""
+def _stretches(span: Column) -> Column:
+    """The stretches of a candidate that windows which reach its class's entropy cover; those up to a window apart are one."""
     text = span["value"]
     # entropy = log2(WINDOW) - sum(c * log2(c)) / WINDOW: at most so much of the sum is let through, none for -1
     limit = lambda bits: F.lit(math.floor((math.log2(WINDOW) - bits) * WINDOW * _UNITS))
@@ -129,21 +130,32 @@ def _stretch(span: Column) -> Column:
             n = count(left["counts"], place)
             total = left["total"] + weight(n + 1) - weight(n)
             hit = (i >= WINDOW) & (total <= most)
-            return F.struct(
-                with_count(left["counts"], place, n + 1).alias("counts"), total.alias("total"), F.when(hit & (state["high"] == 0), i - WINDOW).otherwise(state["low"]).alias("low"), F.when(hit, i).otherwise(state["high"]).alias("high")
-            )
+            apart = hit & (state["high"] > 0) & (i - WINDOW > state["high"] + WINDOW)
+            done = F.when(apart, F.concat(state["done"], F.array(F.struct(state["low"].alias("low"), state["high"].alias("high"))))).otherwise(state["done"])
+            low = F.when(hit & ((state["high"] == 0) | apart), i - WINDOW).otherwise(state["low"])
+            return F.struct(with_count(left["counts"], place, n + 1).alias("counts"), total.alias("total"), low.alias("low"), F.when(hit, i).otherwise(state["high"]).alias("high"), done.alias("done"))
 
-        start = F.struct(F.lit("\0" * len(ALPHABET)).alias("counts"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+        start = F.struct(F.lit("\0" * len(ALPHABET)).alias("counts"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.array().cast("array<struct<low:int,high:int>>").alias("done"))
         steps = F.when(most >= 0, F.sequence(F.lit(1), F.size(places))).otherwise(F.array().cast("array<int>"))
         return F.aggregate(steps, start, lambda state, i: _once(leave(state, i), lambda left: enter(state, left, i)))
 
     places = F.when(most >= 0, F.transform(F.split(text, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c)))).otherwise(F.array().cast("array<int>"))
     bound = F.struct(F.filter(places, lambda x: x > 0).alias("places"), most.alias("most"))
-    state = _once(_once(bound, fold), lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high")))
-    return _once(
-        state,
-        lambda state: F.struct((span["start"] + state["low"]).alias("start"), F.lit(len(PATTERNS)).alias("kind"), F.when(state["high"] > 0, span["start"] + state["high"]).otherwise(F.lit(0)).cast("bigint").alias("end"), F.lit(None).cast("string").alias("value")),
-    )
+    last = lambda s: F.filter(F.array(F.struct(s["low"].alias("low"), s["high"].alias("high"))), lambda r: r["high"] > 0)
+    runs = _once(_once(bound, fold), lambda s: F.concat(s["done"], last(s)))
+    return F.transform(runs, lambda r: F.struct((span["start"] + r["low"]).alias("start"), F.lit(len(PATTERNS)).alias("kind"), (span["start"] + r["high"]).cast("bigint").alias("end"), F.lit(None).cast("string").alias("value")))
+
+
+def _overlaps(spans: str, s: Column) -> Column:
+    """Whether one of spans, sorted and apart from each other, overlaps s: the last one that begins before s ends, found by halving."""
+    before = lambda n: F.coalesce(F.get(F.col(spans), n - 1)["start"] < s["end"], F.lit(False))
+    halves = F.transform(F.sequence(F.floor(F.log2(F.size(spans).cast("double"))).cast("int"), F.lit(0), F.lit(-1)), lambda bit: F.pow(F.lit(2.0), bit).cast("int"))
+    n = F.aggregate(halves, F.lit(0), lambda n, step: F.when(before(n + step), n + step).otherwise(n))
+    return F.when(F.size(spans) == 0, False).otherwise(F.coalesce(F.get(F.col(spans), n - 1)["end"] > s["start"], F.lit(False)))
+
+
+def _clear_of(spans: str):
+    return lambda s: ~_overlaps(spans, s)
 
 
 def _scanned(docs: DataFrame, text_col: str) -> tuple[DataFrame, str, str, str]:
@@ -154,7 +166,9 @@ def _scanned(docs: DataFrame, text_col: str) -> tuple[DataFrame, str, str, str]:
     mixed = F.filter(matches(t, CANDIDATE, len(PATTERNS)), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     found = found.withColumns(dict(zip(kinds, base_spans(t), strict=False)) | {candidates: mixed})
     found = found.withColumn(base, F.array_sort(F.concat(*kinds[: len(PATTERNS)])))
-    alone = F.filter(F.transform(candidates, _stretch), lambda s: (s["end"] > 0) & ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    alone = F.flatten(F.transform(candidates, _stretches))
+    for kind in kinds[: len(PATTERNS)]:
+        alone = F.filter(alone, _clear_of(kind))
     return found.withColumn(every, F.array_sort(F.concat(base, alone))).drop(candidates, *kinds), text, base, every
 
 

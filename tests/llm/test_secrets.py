@@ -25,8 +25,13 @@ def brute(text):
         if bits is None or any(re.search(p, m[0]) for p in se.ALLOWED):
             continue
         hits = [i for i in range(len(m[0]) - 19) if entropy(m[0][i : i + 20]) >= bits - 1e-12]
-        if hits:
-            a, b = m.start() + hits[0], m.start() + hits[-1] + 20
+        runs = []
+        for i in hits:
+            if runs and i <= runs[-1][1] + 20:
+                runs[-1][1] = i + 20
+            else:
+                runs.append([i, i + 20])
+        for a, b in ((m.start() + a, m.start() + b) for a, b in runs):
             if not any(x < b and a < y for x, _, y in base):
                 more.append((a, 3, b))
     join = lambda s: ",".join(f"{se.KINDS[k]}:{a}:{b}" for a, k, b in s)
@@ -61,6 +66,28 @@ def test_a_candidate_of_a_million_characters(spark, tmp_path):
     assert time.time() - start < 120
 
 
+def test_hot_stretches_are_apart(spark, tmp_path):
+    """What lies between two hot stretches of a candidate is neither reported nor redacted."""
+    hot, cold = "q8Zr5TnXw2Lk9VbYp3Hc7Jd", "aA1" * 30
+    docs = [(1, f"x {hot}{cold}{hot}{cold}{hot} y"), (2, "token=abcdef12 " + hot + cold + "token=" + hot)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, se.op7_secret_scans(spark, str(tmp_path)).collect()))
+    assert got == sorted((d, *brute(t)) for d, t in docs)
+    assert got[0][-1].count("entropy") == 3
+
+
+def test_many_base_spans_and_candidates(spark, tmp_path):
+    """40,000 digests, each a base span and a candidate."""
+    rng = random.Random(9)
+    text = " ".join(f"{rng.getrandbits(128):032x}" + ("X" if i % 5 == 0 else "") for i in range(40_000))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.time()
+    got = se.op7_secret_scans(spark, str(tmp_path)).first()
+    assert time.time() - start < 30 and got.n_hex > 39_900
+    spark.createDataFrame([(1, text[:60_000])], "doc_id long, text string").write.parquet(f"{tmp_path}/some/documents.parquet")
+    assert tuple(se.op7_secret_scans(spark, f"{tmp_path}/some").first()) == (1, *brute(text[:60_000]))
+
+
 def test_empty_table_and_columns_of_any_name(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert se.op7_secret_scans(spark, str(tmp_path)).collect() == []
