@@ -16,7 +16,8 @@ link share one of their n - ceil(3n/4) + 1 rarest shingles, and each such shingl
 3. Each text is first verified against one centre (the text of a tree with the most common shingles), so
    that a large group of near copies becomes one class without its pairs being listed.
 4. In trees that still hold several classes, boxes of inner nodes, of their leaves, points and sets are compared
-   in turn; a tree of one leaf starts at its points.
+   in turn; a tree of one leaf starts at its points. Nodes hold texts of one band of sizes, or of one class; a node only
+   meets those of bands that it can link with.
 5. Classes grow into components by alternating large-star and small-star steps on tables.
 
 Hashes have 64 bits. Buckets, leaves and broadcasts are bounded; hot shingles are settled within each
@@ -25,12 +26,15 @@ chunk of texts before they are shuffled, and large trees are dealt out by nodes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
+from tallyspark.llm.neighbours import hilbert
 from tallyspark.llm.words import SPACES, Words, batch_rows, chunks, pack, unpack
 
 SHINGLE, DIMS = 5, 32
@@ -39,6 +43,8 @@ BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 128
 HOT, HOT_LIMIT = 64, 2_000_000
 #: Texts in an R-tree leaf, and about how many of a tree one task deals into leaves.
 LEAF, DEAL = 256, 4096
+#: How far the sizes of a node's texts are apart at most, but for those of one label.
+BAND = 1.05
 #: Bytes of text that are routed at once.
 ROUTED_BYTES = 1 << 19
 
@@ -264,12 +270,13 @@ _LEAF_ARROW = pa.schema([("h", pa.int64()), ("node", pa.string()), ("leaf", pa.s
 
 
 def _leaves(table: pa.Table) -> pa.Table:
-    """Leaves of one node of a tree: neighbours by class, size and counts."""
+    """Leaves of one node of a tree: neighbours by size, then along a curve through their counts, then by label."""
     cls, first = np.unique(table.column("cls").to_numpy(), return_index=True)
     get = lambda n: table.column(n).to_numpy(zero_copy_only=False)[first]
     n, pos, label = get("n"), get("pos"), get("label")
     points = np.frombuffer(b"".join(get("point")), np.uint16).reshape(-1, DIMS)
-    order = np.lexsort((*points.T[:4], n, label))
+    cells = np.minimum(points.reshape(len(points), 8, -1).sum(2, dtype=np.int64) * 32 // np.maximum(n, 1)[:, None], 15)
+    order = np.lexsort((label, hilbert(cells, 4), n))
     h, deal, part = (table.column(c)[0].as_py() for c in ("h", "deal", "part"))
     out = []
     for k in range(0, len(order), LEAF):
@@ -279,6 +286,20 @@ def _leaves(table: pa.Table) -> pa.Table:
     return pa.Table.from_pydict(dict(zip(_LEAF_ARROW.names, map(list, zip(*out, strict=True)), strict=True)), _LEAF_ARROW)
 
 
+def _dealt(large: DataFrame) -> DataFrame:
+    """Entries of large trees with their node (deal, part): by bands of size, in nodes of about DEAL texts; a label with more than
+    a leaf of texts has nodes of its own, so that no pair of its leaves is looked at."""
+    labels = large.groupBy("h", "label").agg(F.count("*").alias("alike"))
+    rows = large.join(labels, ["h", "label"]).withColumn("deal", F.when(F.col("alike") > LEAF, F.xxhash64("label")).otherwise(_band(F.col("n"))))
+    there = rows.groupBy("h", "deal").agg(F.count("*").alias("there"))
+    return rows.join(there, ["h", "deal"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("there") / DEAL)))
+
+
+def _band(n: Column) -> Column:
+    """The band of sizes that n is in: each reaches BAND times as far as the one before."""
+    return F.floor(F.log(n.cast("double")) / math.log(BAND))
+
+
 def _boxes_may_link() -> Column:
     """Whether boxes x and y may hold texts that link: by sizes, by labels, and by the sum of the minima of their
     upper corners. Counts of 65535 may stand for more: such boxes are not pruned by corners."""
@@ -300,8 +321,12 @@ def tree_pairs(leaves: DataFrame) -> DataFrame:
     low, high = [F.min(c).alias(c) for c in ("n_min", "label_min")], [F.max(c).alias(c) for c in ("n_max", "label_max")]
     nodes = leaves.groupBy("h", "node").agg(*low, *high, *[F.max(F.col("top")[i]).alias(f"t{i}") for i in range(DIMS)])
     nodes = nodes.select("h", "node", "n_min", "n_max", "label_min", "label_max", F.array(*[f"t{i}" for i in range(DIMS)]).alias("top"))
+    # a node meets those of the bands that sizes of 3/4 to 4/3 of its own are in
     x, y = _sides(nodes, "h")
-    near = x.join(y, "h").filter("x_node <= y_node").filter(_boxes_may_link()).select("h", "x_node", "y_node")
+    low, high = F.col("x_n_min") * 0.75, F.col("x_n_max") / 0.75
+    x = x.withColumn("band", F.explode(F.sequence(_band(low), _band(high))))
+    y = y.withColumn("band", F.explode(F.sequence(_band(F.col("y_n_min")), _band(F.col("y_n_max")))))
+    near = x.join(y, ["h", "band"]).filter("x_node <= y_node").filter(_boxes_may_link()).select("h", "x_node", "y_node").distinct()
     x, y = _sides(leaves, "h")
     both = near.join(x, ["h", "x_node"]).join(y, ["h", "y_node"])
     return both.filter("x_node < y_node or x_leaf <= y_leaf").filter(_boxes_may_link())
@@ -422,10 +447,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_c
     mixed = entries.join(mixed, "h")
     small = mixed.filter(F.col("many") <= LEAF).select("h", "cls", "n", "pos", "label", "point").repartition("h").sortWithinPartitions("h").mapInArrow(_small_trees, "a long, b long")
     large = mixed.filter(F.col("many") > LEAF)
-    # a node holds about DEAL texts; of one label with more, each goes to one of several nodes
-    labels = large.groupBy("h", "label").agg(F.count("*").alias("alike"))
-    dealt = large.join(labels, ["h", "label"]).withColumns({"deal": F.pmod(F.xxhash64("label"), F.ceil(F.col("many") / DEAL)), "part": F.pmod(F.xxhash64("cls"), F.ceil(F.col("alike") / DEAL))})
-    leaves = common.save(dealt.groupBy("h", "deal", "part").applyInArrow(_leaves, _LEAF), "leaves")
+    leaves = common.save(_dealt(large).groupBy("h", "deal", "part").applyInArrow(_leaves, _LEAF), "leaves")
     both = tree_pairs(leaves)
     rest = _verify(common.save(both.mapInArrow(_leaf_pairs, "a long, b long").unionByName(small).distinct(), "pairs"), sets)
     return members, stars.unionByName(common.save(rest, "links"))

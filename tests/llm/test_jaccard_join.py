@@ -123,6 +123,45 @@ def test_nodes_and_leaves_of_a_tree_prune(spark):
             assert not may or (a.leaf, b.leaf) in kept or (b.leaf, a.leaf) in kept
 
 
+def _entries(spark, rng, sizes, each, hot=0):
+    """Entries of one tree: unrelated texts of these sizes, and near copies of one text."""
+    rows, cls = [], 0
+    for n in sizes:
+        for _ in range(each):
+            point = np.bincount(rng.integers(0, jj.DIMS, n), minlength=jj.DIMS).astype(np.uint16)
+            rows.append((1, cls, n, 0, cls, point.tobytes()))
+            cls += 1
+    for _ in range(hot):
+        rows.append((1, cls, 60, 0, -1, np.full(jj.DIMS, 2, np.uint16).tobytes()))
+        cls += 1
+    many = len(rows)
+    return spark.createDataFrame([(*r, many) for r in rows], "h long, cls long, n int, pos int, label long, point binary, many int")
+
+
+def test_the_tree_as_built_prunes_most_pairs(spark):
+    """Leaves through the steps that similar() takes: of 12,000 unrelated texts of four sizes most pairs of leaves go, and none that may link."""
+    entries = _entries(spark, np.random.default_rng(4), (20, 60, 200, 600), 3000)
+    leaves = jj._dealt(entries).groupBy("h", "deal", "part").applyInArrow(jj._leaves, jj._LEAF).cache()
+    boxes = leaves.collect()
+    assert all(b.n_max <= b.n_min * jj.BAND for b in boxes)
+    kept = {(r.x_leaf, r.y_leaf) for r in jj.tree_pairs(leaves).collect()}
+    every = len(boxes) * (len(boxes) + 1) // 2
+    assert every > 1000 and len(kept) < 0.3 * every
+    for a in boxes:
+        for b in boxes:
+            may = 7 * sum(map(min, a.top, b.top)) >= 3 * (a.n_min + b.n_min) and 4 * a.n_max >= 3 * b.n_min and 4 * b.n_max >= 3 * a.n_min
+            assert not may or (a.leaf, b.leaf) in kept or (b.leaf, a.leaf) in kept
+
+
+def test_a_large_class_meets_others_only(spark):
+    entries = _entries(spark, np.random.default_rng(5), range(58, 63), 200, hot=5000)
+    leaves = jj._dealt(entries).groupBy("h", "deal", "part").applyInArrow(jj._leaves, jj._LEAF).cache()
+    own = [b.leaf for b in leaves.collect() if b.label_min == b.label_max == -1]
+    assert len(own) >= 20 and not any(b.label_min == -1 != b.label_max for b in leaves.collect())
+    pairs = jj.tree_pairs(leaves).collect()
+    assert pairs and not any(r.x_leaf in own and r.y_leaf in own for r in pairs)
+
+
 def test_columns_of_any_name_survive(spark):
     docs = spark.createDataFrame([(1, "a", 5, 6), (2, "a", 7, 8)], "doc_id long, text string, __id int, component_id int")
     assert jj.deduplicated(docs).collect() == [docs.first()]
