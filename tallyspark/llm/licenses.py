@@ -1,8 +1,8 @@
 """License scans with SQL functions only: canonical digest lookup.
 
-A text's canonical form has lower case, no copyright lines, one spelling of equivalent words and only letters
+A text's canonical form has lower case, no copyright statements, one spelling of equivalent words and only letters
 and digits between single spaces. Its SHA-256 is hash-joined to the digests of known licences, so that a whole
-text that is a licence is found whatever its layout. Lines are looked up alike among known notices.
+text that is a licence is found however its lines are wrapped. Lines are looked up alike among known notices.
 """
 
 from __future__ import annotations
@@ -39,8 +39,31 @@ SPELLINGS = [
     ("whilst", "while"),
     ("merchantibility", "merchantability"),
 ]
-_COPYRIGHT = r"(^|\n)[^\n]*(copyright [0-9(©<\[{]|copyright ©|\(c\)|©|all rights reserved)[^\n]*"
+#: Signs that stand for words; and spellings of several words, which are told when lines are joined.
+_SIGNS = [("©", " copyright ")]
+_PHRASES = [x for x in SPELLINGS if " " in x[0]]
+_WORDS = [x for x in SPELLINGS if " " not in x[0]] + _SIGNS
 _MARKS = r"[^\p{L}\p{N}]+"
+#: All but letters, digits and line ends; the gaps with a line end that are left.
+_MARKS_IN_LINE, _LINE_ENDS = r"[^\p{L}\p{N}\n]+", r"[ \n]*\n[ \n]*"
+#: Words that follow a copyright statement in known licences, and so end it wherever lines do.
+OPENINGS = [
+    "permission is hereby granted",
+    "permission to use copy modify",
+    "permission is granted to",
+    "redistribution and use in source",
+    "this software is provided",
+    "this program is free software",
+    "this library is free software",
+    "this is free and unencumbered",
+    "everyone is permitted to copy",
+    "licensed under the",
+    "boost software license",
+]
+_STATEMENT = r"(?:copyright(?:[ \n]c)?|c)[ \n](?:(?:19|20)[0-9]{2}|year|yyyy|19yy|20yy)"
+#: A statement up to an opening, at most 60 words on; what is left of statements, to the end of a line that begins with one.
+_BOUNDED = r"(^|[ \n])" + _STATEMENT + r"(?:[ \n][^ \n]+){0,60}?[ \n](" + "|".join(x.replace(" ", r"[ \n]") for x in OPENINGS) + ")"
+_OWN_LINE = r"(^|\n)(?:copyright(?: c)?|c) (?:19|20)[0-9]{2}[^\n]*"
 #: Known notices are looked up by a literal map of at most this many entries.
 NOTICES_LIMIT = 10_000
 
@@ -72,19 +95,19 @@ TITLES = {
 }
 #: Digests of the canonical forms of longer licences' published texts.
 DIGESTS = {
-    "Apache-2.0": "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0",
+    "Apache-2.0": "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543",
     "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
     "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
-    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
-    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
-    "GPL-1.0": "8a4692e318e41e8d96d4610f021d16f03ff4485322f3d81c00d2621fdda7b2b1",
-    "GPL-2.0": "0248b317bc123a7424b6ff9799b9786ffde75241881994270612a604d03836cc",
-    "GPL-3.0": "335e2e9a39badb7f3faa5b6e393ff8b393f868383be9ddbf866c5821b34f4810",
-    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
-    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "GFDL-1.2": "974d4803f32bc52585c91f1d63d572d8e11bf3d14744649accc62ae987441597",
+    "GFDL-1.3": "34c73c47241aa82a5db0ec292e9a2c127d3bc8b07456d806aad74bbebcfc1f5d",
+    "GPL-1.0": "d98bca1875592c382caba655043aec268528bc17c9d7c0a9e892b953378effa6",
+    "GPL-2.0": "464b45d65c9fb612f6ba2e2d21a6aacd7b621de2ef4db62d3a6c599c228fd982",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2.0": "4401e0261a8caf4fd55eeb0e816fda06bbc9e4b2605767f5ffdf843a5c70e07e",
+    "LGPL-2.1": "599d9303049b507aa89582ee08dd4ddaba298764648558e7bf8e78309807bfaa",
     "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
-    "MPL-1.1": "c34c43918e1d42d3c4cfe54235a78b951fb1f1df3465db7d0d59e5b73f627a11",
-    "MPL-2.0": "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",
+    "MPL-1.1": "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",
+    "MPL-2.0": "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",
 }
 #: One-line notices, by identifier of the licence they name.
 NOTICES = {
@@ -104,12 +127,20 @@ NOTICES = {
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text; null for null. Only A-Z change case."""
+    """The canonical form of a text; null for null. Only A-Z change case.
+
+    A copyright statement is a year or the place for one after the word or sign. It goes with its holders up to words that
+    known licences go on with, wherever lines end, or else to the end of a line that begins with it.
+    """
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.regexp_replace(out, _COPYRIGHT, "\n")
-    for old, new in SPELLINGS:
+    for old, new in _WORDS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, _MARKS, " "))
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, _MARKS_IN_LINE, " "), _LINE_ENDS, "\n"))
+    out = F.regexp_replace(F.regexp_replace(out, _BOUNDED, "$1$2"), _OWN_LINE, "\n")
+    out = F.regexp_replace(out, "[ \n]+", " ")
+    for old, new in _PHRASES:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.trim(out)
 
 
 def _line(text: Column) -> Column:
@@ -185,23 +216,33 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _sql_form(text: str, lines: bool) -> str:
+def _sql_line(text: str) -> str:
     out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    if not lines:
-        out = f"regexp_replace({out}, {_quoted(_COPYRIGHT)}, chr(10), 'g')"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
     return f"trim(regexp_replace({out}, {_quoted(_MARKS)}, ' ', 'g'))"
 
 
+def _sql_form(text: str) -> str:
+    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    for old, new in _WORDS:
+        out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
+    for pattern, by in ((_MARKS_IN_LINE, "' '"), (_LINE_ENDS, "chr(10)"), (_BOUNDED, "'\\1\\2'"), (_OWN_LINE, "chr(10)"), (r"[ \n]+", "' '")):
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {by}, 'g')"
+        out = f"trim({out})" if pattern == _LINE_ENDS else out
+    for old, new in _PHRASES:
+        out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
+    return f"trim({out})"
+
+
 ORACLE_SQL = f"""
-WITH known AS (SELECT digest, min(id) AS license_id FROM (SELECT id, sha256({_sql_form('text', False)}) AS digest
+WITH known AS (SELECT digest, min(id) AS license_id FROM (SELECT id, sha256({_sql_form('text')}) AS digest
                FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in texts(LICENSES))}) AS t(id, text)
                UNION ALL SELECT * FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in DIGESTS.items())}) AS t(id, digest)) GROUP BY 1),
-notices AS (SELECT DISTINCT {_sql_form('line', True)} AS form, id
+notices AS (SELECT DISTINCT {_sql_line('line')} AS form, id
             FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in NOTICES.items())}) AS t(line, id)),
-docs AS (SELECT row_number() OVER () AS n, doc_id, text, sha256({_sql_form('text', False)}) AS digest FROM documents),
-lines AS (SELECT n, {_sql_form('line', True)} AS form FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM docs)),
+docs AS (SELECT row_number() OVER () AS n, doc_id, text, sha256({_sql_form('text')}) AS digest FROM documents),
+lines AS (SELECT n, {_sql_line('line')} AS form FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM docs)),
 found AS (SELECT n, string_agg(DISTINCT id, ',' ORDER BY id) AS notices FROM lines JOIN notices USING (form) GROUP BY n)
 SELECT doc_id, docs.digest, license_id, coalesce(notices, '') AS notices
 FROM docs LEFT JOIN known USING (digest) LEFT JOIN found USING (n)"""
