@@ -8,7 +8,8 @@ word only computes states beyond the prefix that it shares with the word before
 The vocabulary's scores are merge ranks: a piece follows another in an encoding exactly if merging the two
 pieces' characters by rank gives these two pieces again. A state is therefore decided by this test of
 neighbours instead of by sums of scores, whose maximum would be another segmentation than the
-tokenizer's. Words of several marks, whose pieces tie in rank, are merged directly.
+tokenizer's. Words of several marks, whose pieces tie in rank, are merged directly. Viterbi has forward sums and
+their maximum, for vocabularies with log-probabilities.
 """
 
 from __future__ import annotations
@@ -183,12 +184,59 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
-def encode(docs: DataFrame, vocabulary=None, text_col: str = "text") -> DataFrame:
+#: What a character outside the vocabulary costs more than the worst piece.
+UNKNOWN = 10.0
+
+
+class Viterbi(Encoder):
+    """For vocabularies whose scores are log-probabilities: of all segmentations of a word the one with the largest sum.
+
+    The forward state of a prefix is its largest sum and where the last piece of it starts; words that are neighbours in
+    sorted order share the states of their common prefix. Of equal sums the one with the longer last piece counts.
+    """
+
+    def prepare(self) -> None:
+        super().prepare()
+        self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN
+
+    def learn(self, words: set[str]) -> None:
+        forward: list[tuple[float, int]] = [(0.0, 0)]
+        previous, backward, scores = "", self.backward, self.scores
+        for word in sorted(words):
+            n = min(len(word), len(previous))
+            same = 0
+            while same < n and word[same] == previous[same]:
+                same += 1
+            del forward[same + 1 :]
+            for i in range(same + 1, len(word) + 1):
+                best, start = forward[i - 1][0] + self.unknown, i - 1
+                node, j = backward, i
+                while j:
+                    j -= 1
+                    node = node.get(word[j])
+                    if node is None:
+                        break
+                    piece = node.get("")
+                    if piece is not None and forward[j][0] + scores[piece] >= best:
+                        best, start = forward[j][0] + scores[piece], j
+                forward.append((best, start))
+            previous = word
+            pieces, i = [], len(word)
+            while i:
+                start = forward[i][1]
+                pieces.append(word[start:i])
+                i = start
+            pieces.reverse()
+            self.known[word] = self.packed(pieces)
+
+
+def encode(docs: DataFrame, vocabulary=None, text_col: str = "text", viterbi: bool = False) -> DataFrame:
     """docs with the column ids (array of int, in place of one of that name): the tokenizer's ids of each whole text.
 
-    Null and empty texts have an empty array. Characters outside the vocabulary become bytes.
+    Null and empty texts have an empty array. Characters outside the vocabulary become bytes. viterbi: the scores are
+    log-probabilities, not merge ranks.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Encoder(vocabulary or load()))
+    sent = docs.sparkSession.sparkContext.broadcast((Viterbi if viterbi else Encoder)(vocabulary or load()))
     docs = docs.drop("ids")
     names = docs.columns
 

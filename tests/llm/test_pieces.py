@@ -54,3 +54,33 @@ def test_decoding_replaces_a_column_of_its_name(spark):
     got = pieces.decode(rows)
     assert got.columns == ["doc_id", "text", "ids", "decoded"] and {r.doc_id: r.decoded for r in got.collect()} == {1: "The thing.", 2: ""}
     assert pieces.decode(rows.select("ids").withColumnRenamed("ids", "decoded"), ids_col="decoded").columns == ["decoded"]
+
+
+def _best(word, scores, unknown):
+    """The largest sum over all segmentations, each tried."""
+    if not word:
+        return 0.0
+    return max(scores.get(word[:i], unknown if i == 1 else float("-inf")) + _best(word[i:], scores, unknown) for i in range(1, len(word) + 1))
+
+
+def test_viterbi_against_all_segmentations(spark):
+    rng = random.Random(10)
+    letters = "ab" + pieces.MARK
+    for _ in range(25):
+        made = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(12)}
+        made |= {pieces.MARK + x for x in rng.sample(sorted(made), 3)} | {c for c in letters if rng.random() < 0.7}
+        vocabulary = [("<unk>", 0.0, False), *((p, -rng.choice([1.0, 2.5, 3.0, rng.random() * 9]), True) for p in sorted(made)), *((f"<0x{b:02X}>", 0.0, False) for b in range(256))]
+        model = pieces.Viterbi(vocabulary)
+        texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 6))) for _ in range(20)] + ["", " ", "  a", "é b"]
+        # words alone, and with all others before them in sorted order: sharing prefixes changes nothing
+        assert [np.frombuffer(x, np.int32).tolist() for x in model.encode(texts)] == [np.frombuffer(pieces.Viterbi(vocabulary).encode([t])[0], np.int32).tolist() for t in texts]
+        for t in texts:
+            ids = np.frombuffer(model.encode([t])[0], np.int32)
+            assert model.decode(ids) == t
+            total = sum(model.vocabulary[i][1] if model.vocabulary[i][2] else 0.0 for i in ids.tolist())
+            outside = sum(c not in model.scores for c in (pieces.MARK + t.replace(" ", pieces.MARK) if t else "") if not any(c in p for p in model.scores))
+            want = sum(_best(w, model.scores, model.unknown) for w in pieces._UNITS.findall(pieces.MARK + t.replace(" ", pieces.MARK))) if t else 0.0
+            if not any(model.vocabulary[i][0].startswith("<0x") for i in ids.tolist()):
+                assert abs(total - want) < 1e-9 and outside == 0
+    got = pieces.encode(spark.createDataFrame([(1, "ab ab"), (2, None)], "doc_id long, text string"), vocabulary, viterbi=True).collect()
+    assert [list(r.ids) for r in got] == [np.frombuffer(x, np.int32).tolist() for x in pieces.Viterbi(vocabulary).encode(["ab ab", ""])]
