@@ -11,7 +11,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -82,3 +82,23 @@ class Knowledge:
         """(id, kind, title, text, score) of the k best passages, the best first."""
         best = self.hits(query, k, kind).select("id", "score")
         return best.join(self.passages.read(), "id").orderBy(F.desc("score"), "id").select("id", "kind", "title", F.substring("content", 1, SHOWN).alias("text"), "score")
+
+    def search_many(self, questions: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
+        """(question_id, mode, rank, id, title) of the k best passages of each question (question_id, query) by vector, by text and by both."""
+        embedded = written(questions.select("question_id", self.embed(F.col("query")).alias("embedding")), "questions")
+        near = written(self.vectors.search_many(embedded, retrieval.HALF, probes).select("question_id", F.col("vec_id").alias("id"), F.col("rank").alias("vector_rank")), "near")
+        found = written(self.texts.search_many(questions, retrieval.HALF).select("question_id", F.col("doc_id").alias("id"), F.col("rank").alias("text_rank")), "found")
+        part = lambda c: F.coalesce(1.0 / (retrieval.RRF + F.col(c)), F.lit(0.0))
+        both = near.join(found, ["question_id", "id"], "full_outer").withColumn("score", F.round(part("vector_rank") + part("text_rank"), 8))
+        place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))
+        hits = near.select("question_id", "id", F.lit("vector").alias("mode"), F.col("vector_rank").alias("rank")).unionByName(found.select("question_id", "id", F.lit("text").alias("mode"), F.col("text_rank").alias("rank")))
+        hits = hits.unionByName(both.select("question_id", "id", F.lit("hybrid").alias("mode"), place.alias("rank"))).filter(F.col("rank") <= k)
+        return hits.join(self.passages.read().select("id", "title"), "id").select("question_id", "mode", "rank", "id", "title")
+
+    def evaluate(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """(mode, questions, hits, hit_rate): of how many questions (question_id, query, expected) a title among the k best holds what is expected."""
+        found = self.search_many(questions, k)
+        modes = questions.select("question_id", "expected").join(self.spark.createDataFrame([("vector",), ("text",), ("hybrid",)], "mode string"))  # three
+        hit = F.coalesce(F.bool_or(F.contains(F.lower("title"), F.lower("expected"))), F.lit(False)).alias("hit")
+        each = modes.join(found, ["question_id", "mode"], "left").groupBy("question_id", "mode").agg(hit)
+        return each.groupBy("mode").agg(F.count("*").alias("questions"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 4).alias("hit_rate"))

@@ -37,25 +37,35 @@ def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str
     return out
 
 
-def chunks(documents: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, chunk_index, content): packing is sequential within a text, so it runs in Arrow batches; an empty text has no chunks."""
+def chunks(documents: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, chunk_index, content, and the columns to keep): packing is sequential within a text, so it runs in Arrow batches; an empty text has no chunks."""
+    keep = keep or []
 
     def run(batches):
         for batch in batches:
-            rows = [(i, n, c) for i, t in zip(batch.doc_id, batch.text, strict=True) for n, c in enumerate(split_text(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content"])
+            rows = [(i, n, c, *more) for i, t, *more in batch.itertuples(index=False) for n, c in enumerate(split_text(t, size, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content", *keep])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string")
+    from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+    rows = documents.select(F.col("doc_id").cast("long"), "text", *keep)
+    schema = StructType([StructField("doc_id", LongType()), StructField("chunk_index", IntegerType()), StructField("content", StringType()), *[rows.schema[c] for c in keep]])
+    return rows.mapInPandas(run, schema)
 
 
 def passages(documents: DataFrame, title: str, metadata: list[str], size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, chunk_index, content, metadata): chunks that each begin with the text's title, and its other columns as a map.
 
-    A text without title has its passages as they are; metadata leaves out columns that are null.
+    A text without title has its passages as they are; metadata leaves out columns that are null. Both go along with a text,
+    so rows of one id keep their own.
     """
-    about = documents.select("doc_id", F.col(title).alias("title"), F.map_filter(F.create_map(*[x for c in metadata for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull()).alias("metadata"))
-    named = chunks(documents, size, overlap).join(about, "doc_id")
-    return named.select("doc_id", "chunk_index", F.concat_ws("\n\n", F.when(F.trim("title") != "", F.col("title")), "content").alias("content"), "metadata")
+    about = F.to_json(F.struct(F.col(title).cast("string").alias("title"), *[F.col(c).cast("string").alias(f"m_{c}") for c in metadata]))
+    named = chunks(documents.withColumn("__about", about), size, overlap, ["__about"])
+    told = F.from_json("__about", "title string" + "".join(f", `m_{c}` string" for c in metadata))
+    named = named.withColumn("__told", told)
+    values = F.create_map(*[x for c in metadata for x in (F.lit(c), F.col("__told")[f"m_{c}"])]) if metadata else F.create_map().cast("map<string, string>")
+    head = F.col("__told.title")
+    return named.select("doc_id", "chunk_index", F.concat_ws("\n\n", F.when(F.trim(head) != "", head), "content").alias("content"), F.map_filter(values, lambda _, v: v.isNotNull()).alias("metadata"))
 
 
 def content_hash(content: Column, model: str) -> Column:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -149,3 +149,26 @@ class VectorIndex:
             if len(best) == k and (not exact or not order or best[-1][1] > math.cos(least[order[0]]) + CLOSE):
                 break
         return self.spark.createDataFrame(best, self.hits).orderBy(F.desc("score"), "vec_id")
+
+    def search_many(self, questions: DataFrame, k: int = retrieval.HALF, probes: int | None = PROBES) -> DataFrame:
+        """(question_id, vec_id, score, rank) of the k nearest of each question (question_id, embedding) in its `probes` nearest cells, or in all.
+
+        Questions are sent to their cells by a join on the cell; what is null or zero there finds nothing.
+        """
+        centre = np.array([r.centre for r in self.bounds.read().orderBy("cell").collect()])  # as many as there are cells
+        if not len(centre):
+            return questions.limit(0).select("question_id", *[F.lit(None).cast(t).alias(c) for c, t in (x.strip().split(" ") for x in self.hits.split(","))], F.lit(0).alias("rank"))
+        sent, many = self.spark.sparkContext.broadcast(centre), min(probes or len(centre), len(centre))
+
+        @F.arrow_udf("array<int>")
+        def nearest(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                near = np.argsort(-(_units(column) @ sent.value.T), axis=1, kind="stable")[:, :many] if len(column) else np.zeros((0, many), int)
+                yield pa.ListArray.from_arrays(np.arange(0, near.size + 1, many, dtype=np.int32), near.astype(np.int32).ravel())
+
+        asked = questions.filter(usable(F.col("embedding"))).select("question_id", F.col("embedding").alias("asked"))
+        asked = written(retrieval.checked(asked, centre.shape[1], "asked").withColumn("cells", nearest("asked")), "asked")
+        rows = self.vectors.read().join(asked.select("question_id", "asked", F.explode("cells").alias("cell")), "cell")
+        found = rows.select("question_id", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
+        best = Window.partitionBy("question_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

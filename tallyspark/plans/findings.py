@@ -57,12 +57,23 @@ def _knowledge(kind: str | None) -> Query:
     return run
 
 
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """Each product name, with its words turned round, asked of passages of products: does a title among the first five have it?"""
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    products = parts.select(F.lit("product").alias("kind"), F.col("p_partkey").alias("source_id"), F.lit(0).alias("chunk_index"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("content"))
+    index = Knowledge(spark, f"{shared_dir(spark)}/knowledge-{uuid.uuid4().hex}", parts=8, cells=16)
+    index.update(products)
+    questions = parts.select(F.col("p_name").alias("question_id"), F.concat_ws(" ", F.reverse(F.split("p_name", " "))).alias("query"), F.col("p_name").alias("expected")).distinct()
+    return index.evaluate(questions)
+
+
 QUERIES: dict[str, Query] = {
     "detectors_of_stock": _shop(_weekly),
     **{f"labels_{x}": _labelled(x) for x in sales.DIMENSION_COLUMNS},
     "catalog_barcode": _shop(lambda s: inventory.catalog_page(s, AS_OF, query=DIGITS, sort="sku", limit=20).select("variant_id", "sku", "on_hand")),
     "search_catalog": _knowledge(None),
     "search_catalog_products": _knowledge("product"),
+    "retrieval_eval": _evaluated,
 }
 
 _SILENCE = """g AS (SELECT placed_at, order_id FROM o WHERE status <> 'canceled' AND placed_at <= TIMESTAMP '{now}' ORDER BY 1 DESC, 2 DESC LIMIT 400),
@@ -91,6 +102,21 @@ def _found(kind: str | None) -> str:
     SELECT id, kind, title, substr(content, 1, 600) AS text, score FROM f JOIN p USING (id)"""
 
 
+_EVALUATED = r"""WITH p AS (SELECT 'product:' || p_partkey || ':0' AS id, p_name AS title, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part),
+    place AS (SELECT t, CAST('0x' || md5(t)[1:4] AS INT) % 64 AS b FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS t FROM p)),
+    w AS (SELECT id, t, b, count(*) AS c FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM p) JOIN place USING (t) GROUP BY ALL),
+    e AS (SELECT id, b, CAST(sum(c) AS DOUBLE) AS v FROM w GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(v * v)) AS l FROM e GROUP BY 1), m AS (SELECT id, count(*) AS size FROM w GROUP BY 1),
+    q AS (SELECT DISTINCT p_name AS question_id, string_split(p_name, ' ') AS ts FROM part), qt AS (SELECT question_id, len(list_distinct(ts)) AS asked, unnest(ts) AS t FROM q),
+    qe AS (SELECT question_id, b, CAST(count(*) AS DOUBLE) AS v FROM qt JOIN place USING (t) GROUP BY 1, 2), qn AS (SELECT question_id, sum(v * v) AS l FROM qe GROUP BY 1),
+    dots AS (SELECT question_id, id, sum(qe.v * e.v) AS d FROM qe JOIN e USING (b) GROUP BY 1, 2),
+    x AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, id) AS r FROM (SELECT q.question_id, n.id, round(coalesce(d, 0) / sqrt(n.l * n.l * qn.l), 6) AS s FROM qn JOIN q USING (question_id) CROSS JOIN n LEFT JOIN dots ON dots.question_id = q.question_id AND dots.id = n.id) QUALIFY r <= 30),
+    h AS (SELECT question_id, id, count(*) AS hits, any_value(asked) AS asked FROM (SELECT DISTINCT question_id, asked, t FROM qt) JOIN (SELECT id, t FROM w) USING (t) GROUP BY 1, 2),
+    y0 AS (SELECT question_id, id, hits = asked AS whole, round(hits / (1 + ln(CAST(size AS DOUBLE))), 6) AS s FROM h JOIN m USING (id)),
+    y AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY whole DESC, s DESC, id) AS r FROM (SELECT *, bool_or(whole) OVER (PARTITION BY question_id) AS has_whole FROM y0) WHERE whole OR NOT has_whole QUALIFY r <= 30),
+    z AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, id) AS r FROM (SELECT question_id, id, round(coalesce(CAST(1 AS DOUBLE) / (60 + x.r), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + y.r), 0), 8) AS s FROM x FULL JOIN y USING (question_id, id))),
+    a AS (SELECT *, 'vector' AS mode FROM x UNION ALL SELECT *, 'text' FROM y UNION ALL SELECT *, 'hybrid' FROM z),
+    f AS (SELECT q.question_id, k.mode, coalesce(bool_or(contains(lower(title), lower(q.question_id))), false) AS hit FROM q CROSS JOIN (VALUES ('vector'), ('text'), ('hybrid')) AS k(mode) LEFT JOIN (SELECT a.*, title FROM a JOIN p USING (id) WHERE r <= 5) g ON g.question_id = q.question_id AND g.mode = k.mode GROUP BY 1, 2)
+    SELECT mode, count(*) AS questions, count(*) FILTER (WHERE hit) AS hits, round(avg(CAST(hit AS INT)), 4) AS hit_rate FROM f GROUP BY 1"""
 _SEEN = ORACLE["staffing_observations"]
 ORACLE_SQL: dict[str, str] = {
     "detectors_of_stock": f"""SELECT * FROM ({_stale_at("2001-08-01", "2001-08-01 10:00:00")}) UNION ALL SELECT * FROM ({_stale_at("2001-08-06", "2001-08-06 10:00:00")})
@@ -102,4 +128,5 @@ ORACLE_SQL: dict[str, str] = {
     "catalog_barcode": _q("SELECT variant_id, sku, CAST(sum(on_hand) AS DOUBLE) AS on_hand FROM v LEFT JOIN lv USING (variant_id) WHERE lpad(CAST(variant_id * 7 + 40000000 AS VARCHAR), 12, '0') LIKE '%00040000%' GROUP BY ALL ORDER BY sku LIMIT 20"),
     "search_catalog": _found(None),
     "search_catalog_products": _found("product"),
+    "retrieval_eval": _EVALUATED,
 }
