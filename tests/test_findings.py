@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.context import BadArgument
-from tallyspark.operators import anomaly, definitions, inventory, sales
+from tallyspark.operators import anomaly, definitions, demand, inventory, retrieval, sales
 from tallyspark.operators.knowledge import Knowledge, hashed
 from tallyspark.plans import tools
 from tallyspark.plans.catalogue import AS_OF, QUARTER
@@ -99,3 +99,37 @@ def test_definitions(shop):
     assert tools.TOOLS["low_stock"].description().count("(") >= 2
     with pytest.raises(BadArgument, match="there is no metric"):
         definitions.definition("nothing")
+
+
+def test_many_questions_find_what_each_finds_alone(spark, tmp_path):
+    rows = [("product", i, 0, f"{c} {n}", f"{c} {n} of {m}") for i, (c, n, m) in enumerate((c, n, m) for c in ("red", "blue", "green") for n in ("mug", "bowl") for m in ("clay", "steel"))]
+    index = Knowledge(spark, str(tmp_path), parts=2, cells=3)
+    index.update(_passages(spark, rows))
+    asked = {"a": "red clay", "b": "mug", "c": "steel zebra", "d": "", "e": "nothing here", "f": "blue blue bowl"}
+    questions = spark.createDataFrame(list(asked.items()), "question_id string, query string")
+    many = index.search_many(questions, 5).collect()
+    texts = index.texts.search_many(questions, 30).collect()
+    for q, query in asked.items():
+        alone = [r.doc_id for r in index.texts.search(query, 30).collect()]
+        assert [r.doc_id for r in sorted((r for r in texts if r.question_id == q), key=lambda r: r.rank)] == alone
+        hybrid = [r.id for r in sorted((r for r in many if r.question_id == q and r.mode == "hybrid"), key=lambda r: r.rank)]
+        assert hybrid == [r.id for r in index.hits(query, 5).collect()]
+    golden = spark.createDataFrame([("a", "red clay", "Red"), ("b", "bowl of steel", "bowl"), ("c", "nothing", "red")], "question_id string, query string, expected string")
+    rates = {r["mode"]: (r.questions, r.hits, r.hit_rate) for r in index.evaluate(golden).collect()}
+    assert rates["text"] == (3, 2, 0.6667) and set(rates) == {"vector", "text", "hybrid"} and all(n == 3 for n, _, _ in rates.values())
+    empty = Knowledge(spark, str(tmp_path / "none"), parts=1)
+    assert empty.search_many(questions).collect() == [] and empty.search("red").collect() == []
+
+
+def test_passages_keep_their_own_metadata(spark):
+    docs = spark.createDataFrame([(1, "First text.", "One", "a", None), (1, "Second text.", "Two", None, 5), (2, "", "Three", "b", 1), (3, "Third", " ", "c", 2)], "doc_id long, text string, name string, kind string, n int")
+    rows = retrieval.passages(docs, "name", ["kind", "n"]).collect()
+    assert sorted((r.doc_id, r.content, sorted(r.metadata.items())) for r in rows) == [(1, "One\n\nFirst text.", [("kind", "a")]), (1, "Two\n\nSecond text.", [("n", "5")]), (3, "Third", [("kind", "c"), ("n", "2")])]
+    assert retrieval.passages(docs, "name", []).first().metadata == {}
+    assert {r.doc_id: r.chunks for r in retrieval.chunk_counts(retrieval.passages(docs, "name", [])).collect()} == {1: 2, 3: 1}
+
+
+def test_references_of_orders(spark):
+    orders = spark.createDataFrame([("PO-2024-03-0001",), ("PO-2024-03-0007",), ("PO-2024-02-0044",), (None,)], "reference string")
+    assert demand.next_reference(orders, dt.date(2024, 3, 9)) == "PO-2024-03-0003"  # the month's third
+    assert demand.next_reference(orders, dt.date(2024, 4, 9)) == "PO-2024-04-0001"
