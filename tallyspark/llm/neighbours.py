@@ -13,6 +13,8 @@ tasks in blocks of BLOCK.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -147,20 +149,30 @@ def _searched(sent, k: int):
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v) of the rows that take part: not null, not zero, all components finite, of the commonest length."""
+    """(id, v) of the rows that take part: not null, not zero, all components finite."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
-    rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("v") == (size.n if size else 0))
+    return rows.filter(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+
+
+_FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, orders: int = ORDERS, width: float = WIDTH) -> DataFrame:
     """The k nearest rows found of each query: query_id, rank (from 1), vec_id, score (cosine).
 
     Both frames are (id, v), as usable() gives them; a query's own id is no candidate. Equal scores go to the smaller
-    id. Rows that repeat an id with other components are separate candidates; of one id the best stays.
+    id. Rows that repeat an id with other components are separate candidates; of one id the best stays. Vectors are
+    compared with those of their own length: there is a search for each length that queries have.
     """
+    of = lambda df, n: df.filter(F.size("v") == n)
+    lengths = sorted(r.n for r in queries.select(F.size("v").alias("n")).distinct().collect())
+    parts = [_nearest(of(vectors, n), of(queries, n), k, orders, width) for n in lengths]
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], _FOUND)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, orders: int, width: float) -> DataFrame:
+    """nearest() of vectors of one length."""
     spark = vectors.sparkSession
     # equal vectors: the k + 1 smallest ids are all that any query can return
     w = Window.partitionBy("v").orderBy("id")
@@ -197,7 +209,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, orders: int = OR
         if block:
             search(block)
     if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], _FOUND)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

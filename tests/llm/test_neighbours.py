@@ -59,3 +59,16 @@ def test_multiples_tie_to_the_smaller_ids(spark, tmp_path):
     v = np.array([0.5, -1.0, 2.0, 0.25])
     rows = [(i, (v * 2.0 ** ((i * 7) % 25 - 12)).tolist()) for i in range(1, 25)] + [(0, v.tolist()), (60, [1.0, 1.0, 1.0, 1.0])]
     assert [j for j, _ in result(spark, tmp_path, rows[::-1])[0]] == [1, 2, 3, 4, 5]
+
+
+def test_vectors_of_several_lengths(spark, tmp_path):
+    """Each is compared with those of its own length; none is left out for its length."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4 if i % 3 else 6).astype(np.float32).tolist()) for i in range(150)] + [(200, [1.0]), (250, [2.0, 1.0, 0.0, 1.0])]
+    want = {}
+    for n in (1, 4, 6):
+        want |= exact([r for r in rows if len(r[1]) == n])
+    got = result(spark, tmp_path, rows)
+    assert {i: len(v) for i, v in got.items()} == {i: len(v) for i, v in want.items() if v} and set(want) - set(got) == {200}
+    found = np.mean([len({j for j, _ in want[i]} & {j for j, _ in got[i]}) / 5 for i in got])
+    assert found >= 0.9
