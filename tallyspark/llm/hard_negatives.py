@@ -5,7 +5,7 @@ rows of its own label; its negatives for a positive are the first rows of other
 shares of the positive's score.
 
 Vectors are turned by an orthogonal matrix whose first axes carry most of their length (principal components about the
-origin, of at most SAMPLE rows: a turn leaves inner products as they are, so any turn gives the same result). For a pair,
+origin, of rows with SAMPLE components: a turn leaves inner products as they are, so any turn gives the same result). For a pair,
 the products of the leading components are summed; what the rest can add lies within the product of the two residual
 norms, and a slack covers rounding. A pair leaves as soon as that interval misses every range that is still wanted, whose
 lower ends rise to the last place found so far. What stays after all components is verified with integer products.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import common
 
-#: Rows that the rotation is fitted on.
-SAMPLE = 16_384
+#: Components of the rows that rotations are fitted on (16,384 rows of 64), and entries of all rotations, about.
+SAMPLE, TURNED = 1 << 20, 1 << 22
 #: Components in a block of rows and in one of anchors; rows compared at once, at first and at most; components gathered at once.
 ROW_BLOCK, ANCHOR_BLOCK, FEW, STEP, GATHERED = 1 << 20, 1 << 17, 64, 1024, 1 << 22
 #: Small tables are cut into this many blocks too, so that all cores work.
@@ -56,14 +56,19 @@ def usable(rows: DataFrame, vec_id: Column, label: Column, v: Column) -> DataFra
 
 
 def rotations(rows: DataFrame, many: int, total: int) -> dict[int, np.ndarray]:
-    """Principal axes by length of vector, of about `many` rows at most; a length that the sample has not stays as it is."""
+    """Principal axes by length of vector, of rows with about `many` components at most.
+
+    Lengths that the sample has not stay as they are, and the rarer ones of it where their axes go beyond TURNED entries.
+    """
     seen: dict[int, list] = {}
-    for r in rows.filter(F.rand(7) < many / max(total, 1)).select("v").toLocalIterator():
-        seen.setdefault(len(r.v), []).append(r.v)
-    out = {}
-    for dim, vectors in seen.items():
-        x = np.array(vectors, float)
-        out[dim] = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    for r in rows.filter(F.rand(7) < many / max(total, 1) / F.col("dim")).select("v").toLocalIterator():
+        seen.setdefault(len(r.v), []).append(np.array(r.v, np.int32))
+    out, left = {}, TURNED
+    for dim, vectors in sorted(seen.items(), key=lambda x: (-len(x[1]), x[0])):
+        if dim * dim <= left:
+            left -= dim * dim
+            x = np.stack(vectors).astype(float)
+            out[dim] = np.linalg.eigh(x.T @ x)[1][:, ::-1]
     return out
 
 
