@@ -33,32 +33,35 @@ def _stage(f: Stage) -> Stage:
 
 @_stage
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic go."""
+    """Documents scored toxic go. Null and empty texts score as no words; repeated rows are judged each; an empty table stays empty."""
     return toxicity.clean(docs, common.table(spark, sf_dir, "labels"))
 
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Null and empty texts link with nothing and stay; of rows with one id one stays, the smallest text; rows with a null id all stay.
+    """
     return jaccard_join.deduplicated(docs)
 
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with 1 in 20 words or more inside benchmark passages go."""
+    """Documents with 1 in 20 words or more inside benchmark passages go. Null and empty texts stay; repeated rows go or stay together."""
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 @_stage
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; n_chars follows the text."""
+    """Secrets in texts are replaced by a mark; n_chars follows the text. Null texts stay null and keep their n_chars."""
     found = secrets.redacted(docs)
     return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 @_stage
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids and number."""
+    """Documents with their token ids and number: none for null and empty texts; repeated rows each have theirs."""
     return pieces.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
