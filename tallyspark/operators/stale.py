@@ -46,22 +46,17 @@ def stale_inventory(shop: Shop, as_of: dt.date, limit: int = 500, kept: SalesDay
 def basket_pairs(baskets: DataFrame, targets: DataFrame, block: int = BASKET_BLOCK) -> DataFrame:
     """(target_id, variant_id, baskets): in how many of the baskets (order_id, variant_id, each pair once) a target stands with another variant.
 
-    A basket of more than `block` variants is dealt into blocks by a hash, and each two blocks (the lower one first) meet in
-    a group of their own: no group has more pairs than two blocks make, and a pair of variants meets in one group. Pairs are
-    counted in the tasks before they are shuffled. Baskets without a target are left out.
+    A basket of more than `block` variants is dealt into blocks by a hash, and each block of its targets meets each of its
+    blocks in a group of its own: no group has more pairs than two blocks make. Pairs are counted in the tasks before they are
+    shuffled. Only targets are joined with their baskets, so pairs are of targets, not of all variants.
     """
-    flagged = baskets.join(targets.withColumn("__t", F.lit(True)), "variant_id", "left").withColumn("wanted", F.coalesce("__t", F.lit(False))).drop("__t")
-    sizes = flagged.groupBy("order_id").agg(F.count("*").alias("n"), F.bool_or("wanted").alias("some")).filter("some and n > 1")
-    rows = flagged.join(sizes.select("order_id", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "order_id")
+    large = baskets.groupBy("order_id").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    rows = baskets.join(large, "order_id", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("variant_id"), F.col("blocks")).cast("int"))
-    # a row meets its own block and all others: as the lower block of a group, or as the higher one
-    left = rows.select("order_id", F.col("at").alias("low"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("high"), F.col("variant_id").alias("a"), F.col("wanted").alias("a_wanted"))
-    right = rows.select("order_id", F.explode(F.sequence(F.lit(0), "at")).alias("low"), F.col("at").alias("high"), F.col("variant_id").alias("b"), F.col("wanted").alias("b_wanted"))
-    met = left.join(right, ["order_id", "low", "high"]).filter("(low < high or a < b) and (a_wanted or b_wanted)")
-    counted = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_wanted")).otherwise(F.col("b_wanted")).alias("x"), F.when(F.col("a") < F.col("b"), F.col("b_wanted")).otherwise(F.col("a_wanted")).alias("y"))
-    counted = counted.groupBy("a", "b", "x", "y").agg(F.count("*").alias("baskets"))
-    ways = F.filter(F.array(F.struct("x", F.col("a").alias("target_id"), F.col("b").alias("variant_id")), F.struct(F.col("y").alias("x"), F.col("b").alias("target_id"), F.col("a").alias("variant_id"))), lambda w: w["x"])
-    return counted.select(F.explode(ways).alias("w"), "baskets").select("w.target_id", "w.variant_id", "baskets")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    mine = rows.join(targets, "variant_id", "left_semi").select("order_id", F.col("at").alias("own"), every.alias("other"), F.col("variant_id").alias("target_id"))
+    met = mine.join(rows.select("order_id", every.alias("own"), F.col("at").alias("other"), "variant_id"), ["order_id", "own", "other"])
+    return met.filter("target_id <> variant_id").groupBy("target_id", "variant_id").agg(F.count("*").alias("baskets"))
 
 
 def co_purchases(shop: Shop, targets: DataFrame, as_of: dt.date, days: int = 365, partners: int = 3) -> DataFrame:

@@ -26,4 +26,4 @@ def test_a_huge_basket_is_many_groups(spark):
     assert pairs.count() == 3000 * 2999
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_count") and "Cartesian" not in plan and "NestedLoop" not in plan
-    assert "low" in plan and "high" in plan
+    assert "own" in plan and "other" in plan
