@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -33,8 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, which cuts lineage and survives lost executors."""
+    """df as a table in the shared folder, which cuts lineage and survives lost executors. It stays until the program ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget() -> None:
+    """Delete the tables that written() wrote; their readers must be done."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception as e:  # the session has ended: nothing is left to call
+            if "Py4J" not in type(e).__name__ and not isinstance(e, (AttributeError, ConnectionError)):
+                raise
+
+
+atexit.register(forget)

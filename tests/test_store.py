@@ -136,3 +136,15 @@ def test_raw_records(spark, tmp_path):
         ("orders", "1"): ('{"id":1,"note":"a"}', "2024-01-01 00:00:00"), ("orders", "2"): ('{"id":2,"note":"c"}', "2024-01-02 00:00:00"),
         ("orders", "3"): ('{"id":3}', "2024-01-02 00:00:00"), ("refunds", "2"): ('{"id":2,"note":"x"}', "2024-01-02 00:00:00"),
     }
+
+
+def test_written_tables_are_deleted(spark):
+    from tallyspark import session
+
+    df = session.written(spark.range(3).toDF("id"), "some")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    kept, session._written[:] = session._written[:-1], session._written[-1:]
+    session.forget()
+    session._written[:] = kept
+    assert not os.path.isdir(path)
