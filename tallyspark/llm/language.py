@@ -16,7 +16,8 @@ For scoring, embeddings and layer are one table of integers, a number for each b
 not depend on order, so a text has the same score in any batch or block.
 
 Defined cases: a null text, or one without letters, is `und` with score 0. A null id is never held out; rows of one id
-count once in the sample. Rows without a language, a text or a letter teach nothing; without any that do, all is `und`.
+count once in the sample. Rows without a language, a text or a letter teach nothing; without any that do, all is `und`. Beyond LANGUAGES
+languages only the commonest are learned.
 Repeated rows each get a row; an empty table gives an empty one. Long texts are read in blocks that end behind a word.
 """
 
@@ -36,6 +37,8 @@ from tallyspark.llm import common, words
 UNKNOWN = "und"
 BUCKETS, LONGEST, DIM = 1 << 16, 4, 16
 SAMPLE, FOLDS, RISK = 6000, 5, 0.01
+#: Languages that are learned at most, the commonest ones: the table for scoring has a column for each.
+LANGUAGES = 256
 EPOCHS, BATCH, RATE = 8, 16, 0.3
 #: Subwords drawn from a text in a step, by turns; and of a text kept back, besides all.
 DRAWN = (8, 32, 128)
@@ -232,7 +235,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """A model of labelled rows, from about SAMPLE of them at most."""
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(key.alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not many:
         return Model([], np.zeros((BUCKETS, 0), np.int32), np.zeros(0))
     share = {n: min(1.0, SAMPLE / len(many) / max(m, 1)) for n, m in many.items()}

@@ -133,3 +133,9 @@ def test_empty_and_nothing_to_learn(spark, tmp_path):
     one = spark.createDataFrame([(i, "abc def", "x") for i in range(40)], schema)
     assert {r.lang_pred for r in language.identify(one, language.fit(one), reject=False).collect()} == {"x"}
     assert language.fit(one.filter(F.lit(False))).languages == []
+
+
+def test_more_languages_than_can_be_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(i, "kalo mitan", "aa") for i in range(60)] + [(100 + i, "ung ich", "bb") for i in range(50)] + [(200 + i, "ста при", f"x{i}") for i in range(40)]
+    assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["aa", "bb"]
