@@ -5,45 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tallyspark.operators.sync import upsert
+from tallyspark.streaming.store import KeyedStore
 
 
 def merged_stream(changes: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], parts: int | None = None) -> StreamingQuery:
-    """Run what is available and stop. State is a table a batch (path/batch=n): a batch that is replayed writes the same table again.
+    """Run what is available and stop. A batch that is replayed writes the same again.
 
-    parts: keys are dealt over so many parts by their hash, and a batch reads and writes only the parts with its keys (path/batch=n/part=p);
-    state() reads the newest of each. Without it each batch's table is whole.
+    parts: the state is a keyed store of so many parts (store.py): a batch writes its changes to the parts with its keys, and its
+    cost does not grow with the batches before it; state() reads it. Without it, for small state, each batch's table is whole (path/batch=n).
     """
+    if parts:
+        spark = changes.sparkSession
+        spark.createDataFrame([(keys, order, parts)], "keys array<string>, `order` array<string>, parts int").coalesce(1).write.mode("overwrite").json(f"{path}/_keys")
+        return KeyedStore(spark, path, changes.schema, keys, order, parts).follow(changes, checkpoint)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else batch.limit(0)
         upsert(before, batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    def merge_parts(batch: DataFrame, batch_id: int) -> None:
-        new = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
-        touched = [r.part for r in new.select("part").distinct().collect()]  # at most `parts`
-        before = _newest(batch, path, batch_id).filter(F.col("part").isin(touched)) if batch_id else new.limit(0)
-        merged = upsert(before.select(*new.columns), new, keys, order)
-        merged.repartition(F.col("part")).write.partitionBy("part").mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return changes.writeStream.foreachBatch(merge_parts if parts else merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _newest(like: DataFrame, path: str, below: int | None = None) -> DataFrame:
-    """Rows of each part's newest batch, of the batches before one; as many rows are broadcast as there are parts."""
-    columns = StructType([*like.schema.fields, StructField("batch", LongType()), StructField("part", IntegerType())])
-    stored = like.sparkSession.read.schema(columns).parquet(path)
-    stored = stored.filter(F.col("batch") < below) if below is not None else stored
-    newest = stored.groupBy("part").agg(F.max("batch").alias("batch"))
-    return stored.join(F.broadcast(newest), ["part", "batch"], "left_semi")
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def state(like: DataFrame, path: str) -> DataFrame:
     """What merged_stream() with parts has merged so far; `like` has the columns of the changes."""
-    return _newest(like, path).select(*like.columns)
+    told = like.sparkSession.read.schema("keys array<string>, `order` array<string>, parts int").json(f"{path}/_keys").first()
+    return KeyedStore(like.sparkSession, path, like.schema, list(told["keys"]), list(told["order"]), told["parts"]).read()
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
