@@ -14,6 +14,8 @@ from tallyspark.operators import ordering
 CHUNK, OVERLAP = 2000, 200
 HALF, RRF = 30, 60
 BATCH_ITEMS, BATCH_CHARS = 128, 120_000
+#: Ids up to this number are broadcast to pick rows; beyond it, rows are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
@@ -85,6 +87,17 @@ def batches(items: DataFrame, size_col: str, max_items: int = BATCH_ITEMS, max_c
     return ordering.batches(items, size_col, keys or items.columns, max_items, max_chars)
 
 
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is in ids (one column, which is counted): by broadcast up to BROADCAST_IDS."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, ids.columns[0], "left_semi")
+
+
+def repeated(rows: DataFrame, key: str) -> bool:
+    """Whether any key is there more than once."""
+    return not rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def checked(vectors: DataFrame, size: int, column: str = "embedding") -> DataFrame:
     """Vectors of the model's length; a row of another length fails the job."""
     ok = F.size(column) == size

@@ -2,7 +2,7 @@
 
 Postings (word, text, how often, the text's number of words) lie in parts by the word's hash, a word's over SPREAD of them,
 so that no frequent word makes a part large. They are sorted by word: a search opens the asked words' parts and skips what
-lies between. A second store has each text's digest and words. update() compares digests (retrieval.ingest_diff) and writes
+lies between. A second store has each text's digest, words and their counts. update() compares digests (retrieval.ingest_diff) and writes
 only what changed; both are keyed stores, so an update's cost follows the change, not what was written before.
 
 Texts without an id are left out; of an id's repeated rows one counts (the one with the largest digest).
@@ -10,6 +10,12 @@ Texts without an id are left out; of an id's repeated rows one counts (the one w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -21,6 +27,8 @@ from tallyspark.streaming.store import KeyedStore
 PARTS, SPREAD = 64, 4
 #: Distinct words of many questions that are listed to the reader, so that it skips others; beyond, all postings are read.
 LISTED = 2000
+#: Texts whose postings are packed at once.
+ROWS = 1000
 #: Fixed values of the ranking by frequencies.
 K1, B = 1.2, 0.75
 
@@ -30,44 +38,89 @@ def words(column: Column) -> Column:
     return F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """The distinct words of each text and how often it has them, from its sorted words."""
+    rows = rows.withColumn("w", F.sort_array(words(F.col("text"))))
+    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    rows = rows.withColumn("at", F.when(F.size("w") > 0, first).otherwise(F.array().cast("array<int>")))
+    until = lambda j: F.coalesce(F.get("at", j + 1), F.size("w"))
+    return rows.withColumn("terms", F.transform("at", lambda i: F.get("w", i))).withColumn("counts", F.transform("at", lambda i, j: until(j) - i))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """Postings one by one; those of texts without words take a posting away."""
+    each = F.arrays_zip(F.split("words", " ").alias("term"), F.col("ns").alias("n"))
+    return rows.select("part", "doc_id", "size", F.inline(each)).toDF("part", "doc_id", "size", "term", "n").withColumn("gone", F.col("size") == 0)
+
+
 class TextIndex:
     """id_type: the type of doc_id. parts and spread are fixed by the first update."""
 
     def __init__(self, spark: SparkSession, path: str, id_type: str | DataType = "bigint", parts: int = PARTS, spread: int = SPREAD):
         self.spark, self.parts, self.spread = spark, parts, min(spread, parts)
         name = id_type if isinstance(id_type, str) else id_type.simpleString()
-        deal = F.pmod(F.xxhash64("term") + F.pmod(F.xxhash64("doc_id"), F.lit(self.spread)), F.lit(parts))
+        deal = self._deal(F.col("term"), F.col("doc_id"))
         self.postings = KeyedStore(spark, f"{path}/postings", StructType.fromDDL(f"term string, doc_id {name}, n int, size int, gone boolean"), ["term", "doc_id"], ["size"], parts, deal=deal, gone="gone")
-        self.texts = KeyedStore(spark, f"{path}/texts", StructType.fromDDL(f"doc_id {name}, content_hash string, terms array<string>, gone boolean"), ["doc_id"], ["content_hash"], parts, gone="gone")
+        self.texts = KeyedStore(spark, f"{path}/texts", StructType.fromDDL(f"doc_id {name}, content_hash string, terms array<string>, counts array<int>, gone boolean"), ["doc_id"], ["content_hash"], parts, gone="gone")
 
     def update(self, documents: DataFrame) -> dict[str, int]:
         """Bring the index to these documents (doc_id, text); gives how many were new, changed, unchanged and orphans.
 
-        Postings are written before digests: an update that failed between them does its work again.
+        Texts are shuffled once, to the parts of their digests; their words are counted there, and the postings made of what
+        lies there. Postings are merged before digests: an update that failed between them does its work again.
         """
         texts = documents.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         texts = texts.withColumn("content_hash", retrieval.content_hash(F.col("text"), "words"))
-        held = self.texts.read()
         flat = lambda df: df.select("doc_id", F.lit(0).alias("chunk_index"), "content_hash")
-        diff = written(retrieval.ingest_diff(flat(held), flat(texts.groupBy("doc_id").agg(F.max("content_hash").alias("content_hash")))).select("doc_id", "action"), "diff")
+        had = self.texts.read(values=[F.col("content_hash")])
+        diff = written(retrieval.ingest_diff(flat(had), flat(texts.groupBy("doc_id").agg(F.max("content_hash").alias("content_hash")))).select("doc_id", "action"), "diff")
         counts = {r.action: r.n for r in diff.groupBy("action").agg(F.count("*").alias("n")).collect()}
+        ids = lambda *actions: diff.filter(F.col("action").isin(*actions)).select("doc_id")
         if set(counts) - {"unchanged"}:
-            latest = F.max_by("text", "content_hash")
-            coming = diff.filter("action in ('new', 'changed')").select("doc_id")
-            new = texts.join(coming, "doc_id", "left_semi").groupBy("doc_id").agg(latest.alias("text"), F.max("content_hash").alias("content_hash"))
-            new = new.select("doc_id", "content_hash", words(F.col("text")).alias("words")).withColumn("terms", F.array_distinct("words"))
-            new = written(new.withColumn("size", F.size("terms")), "texts")
-            each = new.select("doc_id", "size", F.explode("words").alias("term"))
-            postings = each.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("n"), F.first("size").alias("size"))
-            old = held.join(diff.filter("action in ('changed', 'orphan')"), "doc_id", "left_semi").select("doc_id", F.explode("terms").alias("term"))
-            lost = old.join(postings.select("term", "doc_id"), ["term", "doc_id"], "left_anti")
-            kept = postings.withColumn("gone", F.lit(False))
-            self.postings.merge(kept.unionByName(lost.select("term", "doc_id", F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(True).alias("gone"))))
-            digests = new.select("doc_id", "content_hash", "terms", F.lit(False).alias("gone"))
-            orphans = diff.filter("action = 'orphan'").select("doc_id", F.lit("").alias("content_hash"), F.array().cast("array<string>").alias("terms"), F.lit(True).alias("gone"))
-            self.texts.merge(digests.unionByName(orphans))
+            new = retrieval.picked(texts, ids("new", "changed")) if counts.get("unchanged") else texts
+            if retrieval.repeated(texts, "doc_id"):
+                new = new.groupBy("doc_id").agg(F.max_by("text", "content_hash").alias("text"), F.max("content_hash").alias("content_hash"))
+            orphans = ids("orphan").select("doc_id", F.lit("").alias("text"), F.lit("").alias("content_hash"), F.lit(True).alias("gone"))
+            n = self.texts.stage(new.withColumn("gone", F.lit(False)).unionByName(orphans), None, True, counted)
+            coming = self.texts.staged(n).filter("not gone").select("doc_id", "terms", "counts")
+            both = [coming.withColumn("size", F.size("terms"))]
+            none = lambda terms: (F.transform(terms, lambda _: F.lit(0)).alias("counts"), F.lit(0).alias("size"))
+            if counts.get("changed"):
+                now = retrieval.picked(coming, ids("changed")).select("doc_id", F.col("terms").alias("now"))
+                lost = retrieval.picked(self.texts.read(values=[F.col("terms")]), ids("changed")).join(now, "doc_id").select("doc_id", F.array_except("terms", "now").alias("terms"))
+                both.append(lost.select("doc_id", "terms", *none("terms")))
+            if counts.get("orphan"):
+                lost = retrieval.picked(self.texts.read(values=[F.col("terms")]), ids("orphan"))
+                both.append(lost.select("doc_id", "terms", *none("terms")))
+            self.postings.merge(self.postings.stage(self._packed(reduce(DataFrame.unionByName, both)), None, True, _unpacked, F.col("at")))
+            self.texts.merge(n)
         return {a: counts.get(a, 0) for a in ("new", "changed", "unchanged", "orphan")}
 
+    def _deal(self, term: Column, doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(term) + F.pmod(F.xxhash64(doc_id), F.lit(self.spread)), F.lit(self.parts))
+
+    def _packed(self, rows: DataFrame) -> DataFrame:
+        """Rows (doc_id, terms, counts, size) as one for each text and part, its words in a string: what is shuffled has a text's id once, not with each word."""
+        parts = self.parts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS)):
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False))
+                if not len(row):
+                    continue
+                key = row * parts + b.column("at").flatten().to_numpy()
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                offsets = pa.array(np.append(starts, len(key)).astype(np.int32))
+                words, ns = (pa.ListArray.from_arrays(offsets, b.column(c).flatten().take(order)) for c in ("terms", "counts"))
+                of = key[starts] // parts
+                yield pa.RecordBatch.from_arrays([pa.array(key[starts] % parts), b.column("doc_id").take(of), b.column("size").take(of), pc.binary_join(words, " "), ns], ["at", "doc_id", "size", "words", "ns"])
+
+        kind = dict(rows.dtypes)["doc_id"]
+        at = F.transform("terms", lambda t: self._deal(t, F.col("doc_id"))).alias("at")
+        return rows.select("doc_id", "size", "terms", "counts", at).mapInArrow(run, f"at bigint, doc_id {kind}, size int, words string, ns array<int>")
+
     def parts_of(self, asked: list[str]) -> list[int]:
         """The parts that postings of these words can be in."""
         at = self.spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)) + F.lit(i), F.lit(self.parts)) for w in asked for i in range(self.spread)]).first()
@@ -95,7 +148,7 @@ class TextIndex:
         if by == "share":
             found = rows.groupBy("doc_id").agg(F.count("*").alias("hits"), F.max("size").alias("size")).withColumn("score", F.round(F.col("hits") / (1 + F.log(F.col("size").cast("double"))), 6))
         else:
-            all_texts = self.texts.read().agg(F.count("*").alias("all"), F.avg(F.size("terms")).alias("usual"))  # one row
+            all_texts = self.texts.read(values=[F.size("terms").alias("size")]).agg(F.count("*").alias("all"), F.avg("size").alias("usual"))  # one row
             rarity = rows.groupBy("term").agg(F.count("*").alias("with"))
             rows = rows.join(F.broadcast(rarity), "term").join(F.broadcast(all_texts))
             weight = F.log(1 + (F.col("all") - F.col("with") + 0.5) / (F.col("with") + 0.5))

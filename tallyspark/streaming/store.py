@@ -12,6 +12,8 @@ the last two manifests names are deleted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -66,30 +68,53 @@ class KeyedStore:
         columns = StructType([*self.schema.fields, StructField("batch", LongType()), StructField("part", IntegerType())])
         paths = [f"{self.path}/batch={n}/part={p}" for p, versions in parts.items() for n in versions]
         if not paths:
-            return self.spark.createDataFrame([], columns)
+            return self.spark.createDataFrame([], columns).filter(F.lit(False))  # which Catalyst knows to be empty, so joins with it go
         return self.spark.read.schema(columns).option("basePath", self.path).parquet(*paths)
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         return latest(rows, self.keys, ["batch", *self.order])
 
-    def read(self, batch: int | None = None, parts: list[int] | None = None, only: Column | None = None) -> DataFrame:
-        """The last version of each key, after `batch` or the newest one; of some parts, and where a condition on keys holds."""
+    def read(self, batch: int | None = None, parts: list[int] | None = None, only: Column | None = None, values: list[Column] | None = None) -> DataFrame:
+        """The last version of each key, after `batch` or the newest one; of some parts, and where a condition on keys holds.
+
+        values: what to give of a row besides its keys, instead of all columns. It is made before versions are merged, so only that is shuffled.
+        """
         found = {p: v for p, v in self.versions_at(batch).items() if parts is None or p in parts}
         one, more = ({p: v for p, v in found.items() if (len(v) > 1) == many} for many in (False, True))
         only = only if only is not None else F.lit(True)
-        out = self._rows(one).filter(only & self.here).select(*self.schema.names)
-        return out.unionByName(self._merged(self._rows(more).filter(only)).filter(self.here).select(*self.schema.names)) if more else out
+        given = self.schema.names if values is None else [*self.keys, *values]
+        out = self._rows(one).filter(only & self.here).select(*given)
+        if not more:
+            return out
+        if values is None:
+            return out.unionByName(self._merged(self._rows(more).filter(only)).filter(self.here).select(*given))
+        rows = self._rows(more).filter(only).select(*self.keys, F.struct("batch", *self.order).alias("__order"), self.here.alias("__here"), F.struct(*values).alias("__values"))
+        return out.unionByName(latest(rows, self.keys, ["__order"]).filter("__here").select(*self.keys, "__values.*"))
 
     def _full(self, part: int, versions: int) -> bool:
         """Whether a part is to be compacted; parts take turns, so that not all are in one batch."""
         return versions > max(1, self.versions - part % max(1, self.versions // 2))
 
-    def merge(self, changes: DataFrame, batch: int | None = None) -> int:
-        """Merge changes as the next batch, or as the batch of this number (again); gives the number."""
+    def stage(self, changes: DataFrame, batch: int | None = None, once: bool = False, then: Callable[[DataFrame], DataFrame] | None = None, deal: Column | None = None) -> int:
+        """Write changes as the versions of the next batch (or that of this number), which no reader sees before merge() is given the number.
+
+        once: no key is there twice, so none has to be looked for. then: makes the store's rows of those that are dealt out to
+        parts, by deal; it runs behind the shuffle, which so carries what is smaller.
+        """
         known = self.manifests()
         n = batch if batch is not None else (known[-1] + 1 if known else 0)
+        rows = changes if then else changes.select(*self.schema.names)
+        self._write(rows if once else latest(rows, self.keys, self.order), n, then, deal)
+        return n
+
+    def staged(self, n: int) -> DataFrame:
+        """The rows that stage() wrote as batch n, also those that take a key away."""
+        return self._rows({p: [n] for p in self._written(n)}).select(*self.schema.names)
+
+    def merge(self, changes: DataFrame | int, batch: int | None = None, once: bool = False) -> int:
+        """Merge changes as the next batch, or as the batch of this number (again); gives the number. changes: rows, or the number that stage() gave."""
+        n = changes if isinstance(changes, int) else self.stage(changes, batch, once)
         before = self.versions_at(n - 1)
-        self._write(latest(changes.select(*self.schema.names), self.keys, self.order), n)
         touched = self._written(n)
         after = before | {p: [*before.get(p, []), n] for p in touched}
         heavy = {p: after[p] for p in touched if self._full(p, len(after[p]))}
@@ -104,10 +129,11 @@ class KeyedStore:
         self._forget(n)
         return n
 
-    def _write(self, rows: DataFrame, n: int) -> None:
+    def _write(self, rows: DataFrame, n: int, then: Callable[[DataFrame], DataFrame] | None = None, deal: Column | None = None) -> None:
         """A version of each part with rows. Sorted by keys, so that a reader of some keys skips most of a file; a large part is written by many tasks."""
-        dealt = rows.select(*self.schema.names, self.part.alias("part")).hint("rebalance", "part")
-        dealt.sortWithinPartitions("part", *self.keys).write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/batch={n}")
+        dealt = rows.withColumn("part", self.part if deal is None else deal.cast("int")).hint("rebalance", "part")
+        dealt = (then(dealt) if then else dealt).select(*self.schema.names, "part")
+        dealt.sortWithinPartitions("part", *self.keys).write.partitionBy("part").mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/batch={n}")
 
     @staticmethod
     def _compacted(n: int) -> int:

@@ -103,3 +103,31 @@ def test_ids_of_another_type_and_repeated_ids(spark, tmp_path):
     assert [r.doc_id for r in index.search("one").collect()] == ["a"]
     assert len(index.search("two three").collect()) + len(index.search("three").collect()) >= 2
     assert index.update(docs) == {"new": 0, "changed": 0, "unchanged": 2, "orphan": 0}
+
+
+def test_texts_and_postings_are_shuffled_once(spark, tmp_path):
+    """An update deals out each text once and its postings once, packed: no word of it is an own row of a shuffle."""
+    seen = []
+
+    def watch(store):
+        inner = store._write
+        store._write = lambda rows, n, then=None, deal=None: (seen.append((store, rows, then)), inner(rows, n, then, deal))[1]
+
+    index = TextIndex(spark, str(tmp_path), parts=8, spread=2)
+    watch(index.postings)
+    watch(index.texts)
+    texts = _texts(9, 90)
+    index.update(_frame(spark, texts))
+    texts = {i: f"{t} red mug" if i % 4 == 0 else t for i, t in texts.items() if i % 7}
+    index.update(_frame(spark, texts))
+    assert len(seen) == 4
+    for store, rows, then in seen:
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert then is not None and "max_by" not in plan and "Generate" not in plan
+        if store is index.postings:
+            assert rows.count() <= 8 * 90 and "words" in rows.columns
+    for q in QUERIES:
+        _same(index, _frame(spark, texts), q)
+    rows = index.postings.read().groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("size").alias("size")).collect()
+    words = {i: retrieval.re.findall(r"[^\W_]+", t.lower()) for i, t in texts.items()}
+    assert {r.doc_id: (r.k, r.n, r.size) for r in rows} == {i: (len(set(w)), len(w), len(set(w))) for i, w in words.items() if w}
