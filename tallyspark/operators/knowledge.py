@@ -61,14 +61,21 @@ class Knowledge:
         named = passages.filter("kind is not null and source_id is not null").select(F.concat_ws(":", "kind", F.col("source_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), "kind", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
         full = F.concat_ws("\n\n", F.when(F.trim("title") != "", F.col("title")), "content")
         digest = F.sha2(F.concat_ws("\0", "title", "content"), 256)
-        known = self.passages.read().select("id", digest.alias("had"))
-        coming = written(named.join(known, "id", "left").filter(F.col("had").isNull() | (F.col("had") != digest)).drop("had"), "passages")
+        twice = retrieval.repeated(named, "id")
+        known = self.passages.read(values=[digest.alias("had")])
+        coming = named.withColumn("has", digest)
+        if self.passages.versions_at():  # digests are compared first, so that only texts that change are moved
+            fresh = named.select("id", digest.alias("has")).join(known, "id", "left").filter(F.col("had").isNull() | (F.col("had") != F.col("has")))
+            fresh = written(fresh.select(F.struct("id", "has").alias("key")).distinct(), "fresh")
+            coming = retrieval.picked(coming.withColumn("key", F.struct("id", "has")), fresh)
         lost = written(known.join(named.select("id"), "id", "left_anti").select("id"), "lost")
+        away = lost.select("id", *[F.lit("").alias(c) for c in ("kind", "title", "content")], F.lit(True).alias("gone"))
+        n = self.passages.stage(coming.select("id", "kind", "title", "content", F.lit(False).alias("gone")).unionByName(away), None, not twice)
+        coming = self.passages.staged(n).filter("not gone")
         counts = self.texts.update(named.select(F.col("id").alias("doc_id"), full.alias("text")))
         embedded = written(coming.select(F.col("id").alias("vec_id"), self.embed(full).alias("embedding"), "kind"), "embedded")
-        self.vectors.change(embedded, lost.select(F.col("id").alias("vec_id")), ["kind"])
-        away = lost.select("id", *[F.lit("").alias(c) for c in ("kind", "title", "content")], F.lit(True).alias("gone"))
-        self.passages.merge(coming.withColumn("gone", F.lit(False)).unionByName(away))
+        self.vectors.change(embedded, lost.select(F.col("id").alias("vec_id")), ["kind"], once=True)
+        self.passages.merge(n)
         return counts
 
     def hits(self, query: str, k: int = 10, kind: str | None = None) -> DataFrame:
@@ -81,7 +88,7 @@ class Knowledge:
     def search(self, query: str, k: int = 8, kind: str | None = None) -> DataFrame:
         """(id, kind, title, text, score) of the k best passages, the best first."""
         best = self.hits(query, k, kind).select("id", "score")
-        return best.join(self.passages.read(), "id").orderBy(F.desc("score"), "id").select("id", "kind", "title", F.substring("content", 1, SHOWN).alias("text"), "score")
+        return self.passages.read().join(F.broadcast(best), "id").orderBy(F.desc("score"), "id").select("id", "kind", "title", F.substring("content", 1, SHOWN).alias("text"), "score")
 
     def search_many(self, questions: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
         """(question_id, mode, rank, id, title) of the k best passages of each question (question_id, query) by vector, by text and by both."""

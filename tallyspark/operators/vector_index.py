@@ -79,11 +79,13 @@ class VectorIndex:
         return rows.withColumn("at", place("embedding")).select("*", "at.cell", "at.angle").drop("at")
 
     @staticmethod
-    def _prepared(rows: DataFrame, metadata: list[str]) -> DataFrame:
-        """One row an id, of those that can be compared: vec_id, content_hash, embedding, metadata."""
+    def _prepared(rows: DataFrame, metadata: list[str], once: bool = False) -> DataFrame:
+        """One row an id, of those that can be compared: vec_id, content_hash, embedding, metadata. once: no id is there twice."""
         about = F.map_filter(F.create_map(*[x for c in metadata for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull()) if metadata else F.create_map().cast("map<string, string>")
         rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), about.alias("metadata"))
         rows = rows.withColumn("content_hash", F.sha2(F.to_json(F.struct("embedding", "metadata")), 256))
+        if once:
+            return rows.select("vec_id", "content_hash", "embedding", "metadata")
         largest = F.max(F.struct("content_hash", "embedding", F.map_entries("metadata").alias("m")))
         return rows.groupBy("vec_id").agg(largest.alias("r")).select("vec_id", "r.content_hash", "r.embedding", F.map_from_entries("r.m").alias("metadata"))
 
@@ -97,9 +99,9 @@ class VectorIndex:
             self._change(rows.join(diff.filter("action in ('new', 'changed')").select("vec_id"), "vec_id", "left_semi"), diff.filter("action = 'orphan'").select("vec_id"))
         return {a: counts.get(a, 0) for a in ("new", "changed", "unchanged", "orphan")}
 
-    def change(self, rows: DataFrame, lost: DataFrame, metadata: tuple[str, ...] | list[str] = ()) -> None:
-        """Put these rows in place of those of their ids, and take ids (vec_id) away; all others stay."""
-        self._change(self._prepared(rows, list(metadata)), lost)
+    def change(self, rows: DataFrame, lost: DataFrame, metadata: tuple[str, ...] | list[str] = (), once: bool = False) -> None:
+        """Put these rows in place of those of their ids, and take ids (vec_id) away; all others stay. once: no id of both is there twice."""
+        self._change(self._prepared(rows, list(metadata), once), lost if once else lost.distinct())
 
     def _change(self, coming: DataFrame, lost: DataFrame) -> None:
         known = self.bounds.read().orderBy("cell").collect()  # as many as there are cells
@@ -118,9 +120,9 @@ class VectorIndex:
         left = written(self.places.read().select("vec_id", "cell").join(changed, "vec_id").filter("to is null or to <> cell"), "left")
         none = lambda kind: F.lit(None).cast(kind)
         gone = left.select("vec_id", "cell", none("array<float>").alias("embedding"), none("map<string, string>").alias("metadata"), F.lit(True).alias("gone"))
-        self.vectors.merge(placed.select("vec_id", "cell", "embedding", "metadata", F.lit(False).alias("gone")).unionByName(gone))
+        self.vectors.merge(placed.select("vec_id", "cell", "embedding", "metadata", F.lit(False).alias("gone")).unionByName(gone), once=True)
         orphans = left.filter("to is null").select("vec_id", F.lit("").alias("content_hash"), "cell", F.lit(True).alias("gone"))
-        self.places.merge(placed.select("vec_id", "content_hash", "cell", F.lit(False).alias("gone")).unionByName(orphans))
+        self.places.merge(placed.select("vec_id", "content_hash", "cell", F.lit(False).alias("gone")).unionByName(orphans), once=True)
 
     def candidates(self, query: list[float], cells: list[int], k: int, having: dict[str, str] | None = None, where: Column | None = None) -> DataFrame:
         """The k nearest in some cells, of rows whose metadata has all pairs of `having` and for which `where` holds."""
