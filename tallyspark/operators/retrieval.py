@@ -104,8 +104,11 @@ def checked(vectors: DataFrame, size: int, column: str = "embedding") -> DataFra
     return vectors.filter(F.when(ok, True).otherwise(F.raise_error(F.lit(f"a vector does not have {size} components")).cast("boolean")))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 

@@ -28,6 +28,8 @@ from tallyspark.session import written
 from tallyspark.streaming.store import KeyedStore
 
 CELLS, SAMPLE, ROUNDS, PROBES = 64, 20_000, 12, 8
+#: Vectors of a cell that meet a question in one row.
+BLOCK = 2048
 #: Scores are rounded to 6 places: nearer than this, a cell may hold a tie.
 CLOSE = 2e-6
 
@@ -152,6 +154,26 @@ class VectorIndex:
                 break
         return self.spark.createDataFrame(best, self.hits).orderBy(F.desc("score"), "vec_id")
 
+    def _best_of_blocks(self, asked: DataFrame, k: int) -> DataFrame:
+        """(question_id, vec_id, score) of the k nearest in each block of the cells asked (question_id, asked, cell).
+
+        Vectors of a cell are dealt into blocks of about BLOCK, and a question meets a block in one row, of which k are left: no
+        task sorts all pairs, and a hot cell is many groups.
+        """
+        rows = self.vectors.read().select("cell", "vec_id", "embedding")
+        many = {r.cell: math.ceil(r.n / BLOCK) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as many as there are cells
+        if not many:
+            return asked.join(rows, "cell").select("question_id", "vec_id", F.lit(0.0).alias("score"))
+        blocks = F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("cell"))
+        dot = retrieval.dot
+        block = rows.select("cell", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), F.struct("vec_id", "embedding", dot(F.col("embedding"), F.col("embedding")).alias("own")).alias("row"))
+        block = block.groupBy("cell", "block").agg(F.collect_list("row").alias("rows"))
+        asked = asked.filter(F.col("cell").isin(*many)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("theirs", dot(F.col("asked"), F.col("asked")))
+        score = F.transform("rows", lambda r: F.struct(r["vec_id"].alias("vec_id"), F.round(dot(r["embedding"], F.col("asked")) / F.sqrt(r["own"] * F.col("theirs")), 6).alias("score")))
+        first = lambda s: F.when(F.isnan(s), F.lit(float("-inf"))).otherwise(-s)
+        best = F.slice(F.array_sort(F.transform(score, lambda r: F.struct(first(r["score"]).alias("first"), r["vec_id"].alias("vec_id"), r["score"].alias("score")))), 1, k)
+        return asked.join(block, ["cell", "block"]).select("question_id", F.inline(best)).select("question_id", "vec_id", "score")
+
     def search_many(self, questions: DataFrame, k: int = retrieval.HALF, probes: int | None = PROBES) -> DataFrame:
         """(question_id, vec_id, score, rank) of the k nearest of each question (question_id, embedding) in its `probes` nearest cells, or in all.
 
@@ -170,7 +192,6 @@ class VectorIndex:
 
         asked = questions.filter(usable(F.col("embedding"))).select("question_id", F.col("embedding").alias("asked"))
         asked = written(retrieval.checked(asked, centre.shape[1], "asked").withColumn("cells", nearest("asked")), "asked")
-        rows = self.vectors.read().join(asked.select("question_id", "asked", F.explode("cells").alias("cell")), "cell")
-        found = rows.select("question_id", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
+        found = self._best_of_blocks(asked.select("question_id", "asked", F.explode("cells").alias("cell")), k)
         best = Window.partitionBy("question_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -98,3 +98,19 @@ def test_centres_are_unit_and_near(spark):
     c = centres(v, 12)
     assert np.allclose(np.linalg.norm(c, axis=1), 1) and (v @ c.T).max(1).mean() > 0.9
     assert len(centres(v[:3], 12)) == 3
+
+
+def test_many_questions_meet_blocks_of_a_cell(spark, tmp_path, monkeypatch):
+    """A cell of 300 vectors, many of them equal, in blocks of about 16: each leaves k rows at most, and the ranks are those of a scan."""
+    from tallyspark.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "BLOCK", 16)
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(300)], "vec_id long, embedding array<float>")
+    index = VectorIndex(spark, str(tmp_path), cells=1)
+    index.update(rows)
+    asked = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, -1.0, 2.0]), ("z", [0.0, 0.0, 0.0])], "question_id string, embedding array<double>")
+    got = [(r.question_id, r["rank"], r.vec_id, r.score) for r in index.search_many(asked, 5, None).orderBy("question_id", "rank").collect()]
+    want = [(q.question_id, n, r.vec_id, r.score) for q in asked.filter("question_id <> 'z'").orderBy("question_id").collect() for n, r in enumerate(retrieval.vector_search(rows, q.embedding, 5).collect(), 1)]
+    assert got == want and len(got) == 10
+    left = index._best_of_blocks(asked.filter("question_id <> 'z'").select("question_id", F.col("embedding").alias("asked"), F.lit(0).alias("cell")), 2).count()
+    assert left <= 2 * 2 * 19
