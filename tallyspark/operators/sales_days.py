@@ -59,10 +59,10 @@ class SalesDays:
         period = DateRange(settled + dt.timedelta(days=1), through)
         new = self._summed(shop, period)
         lost = self.between(period.start, period.end).join(new.select("variant_id", "day"), ["variant_id", "day"], "left_anti")
-        self.days.merge(new.withColumn("gone", F.lit(False)).unionByName(lost.withColumn("gone", F.lit(True))))
+        self.days.merge(new.withColumn("gone", F.lit(False)).unionByName(lost.withColumn("gone", F.lit(True))), once=True)
         to = max(settled, through - dt.timedelta(days=self.again))
         if to > settled:
-            self.last.merge(self.between(period.start, to).groupBy("variant_id").agg(F.max("last_sale").alias("last_sale")))
+            self.last.merge(self.between(period.start, to).groupBy("variant_id").agg(F.max("last_sale").alias("last_sale")), once=True)
         self.marks.merge(shop.orders.sparkSession.createDataFrame([("sales", through, to)], self.marks.schema))
 
     def sales(self, shop: Shop, as_of: dt.date, **windows: int) -> DataFrame:

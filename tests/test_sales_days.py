@@ -66,3 +66,14 @@ def test_a_refresh_that_failed_is_done_again(spark, tmp_path, monkeypatch):
     assert kept.mark()[0] == AS_OF - D(days=90)
     kept.refresh(shop, AS_OF - D(days=2))
     assert _rows(inventory.dead_stock(shop, AS_OF, kept=kept)) == _rows(inventory.dead_stock(shop, AS_OF))
+
+
+def test_sums_are_not_searched_for_repeats(spark, tmp_path):
+    """What is summed by variant and day has each key once, so no task sorts it to find the last of a key."""
+    shop = binding.shop(spark, "/root/testdata/sf0.001")
+    kept = SalesDays(spark, str(tmp_path), again=20)
+    plans = []
+    for store in (kept.days, kept.last):
+        store._write = lambda rows, n, *more, inner=store._write: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), inner(rows, n, *more))[1]
+    kept.refresh(shop, AS_OF - D(days=40))
+    assert len(plans) == 2 and not any("max_by" in p for p in plans)
